@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import language_id, quality
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_quality_classifier": quality.op5_quality_classifier,
 }
