@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, quality
+from . import language_id, quality, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 ORACLES: dict[str, str] = {}
