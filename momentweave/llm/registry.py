@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, quality, sentencepiece_codec, simhash
+from . import language_id, mixing, neighbours, quality, sentencepiece_codec, simhash
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {"op4_source_mixing": mixing.OP4_SQL}
