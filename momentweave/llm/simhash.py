@@ -188,7 +188,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes.select(F.col("node").alias("a")), "a", "left_semi"
     )  # a doc_id with several texts may stand for one fingerprint and belong to another
     found = components(link(nodes).union(repeated))
-    of_print = nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id"))
+    of_print = cut(nodes.join(found, "node", "left").select("fingerprint", F.coalesce("component", "node").alias("component_id")), "components")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint")
     return prints.join(of_print, "fingerprint", "left").select("doc_id", hexed, "component_id")
 
