@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, language_id, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality_classifier": quality.op5_quality_classifier,
+    "op6_chat_formatting": chat.op6_chat_formatting,
     "op7_suffix_array_dedup": suffix_dedup.op7_suffix_array_dedup,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
