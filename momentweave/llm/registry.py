@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, language_id, licenses, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_quality_rules": quality.op3_quality_rules,
     "op4_source_mixing": mixing.op4_source_mixing,
     "op5_quality_classifier": quality.op5_quality_classifier,
@@ -15,4 +16,4 @@ QUERIES = {
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
 }
-ORACLES: dict[str, str] = {"op4_source_mixing": mixing.OP4_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.OP2_SQL, "op4_source_mixing": mixing.OP4_SQL}
