@@ -15,7 +15,7 @@ from .common import bounded_batches, cut, mix, table
 
 SHARD_ROWS = 4_096  # vectors of one graph, about
 QUERY_ROWS = 2_048  # queries that search a graph together
-LINKS, BREADTH = 16, 96  # neighbours of a node (twice that on the ground layer), and width of a search
+LINKS, BREADTH = 16, 72  # neighbours of a node (twice that on the ground layer), and width of a search
 _BLOCK = 512
 
 
@@ -40,14 +40,12 @@ def _diverse(points: np.ndarray, near: np.ndarray, gap: np.ndarray, links: int)
     of the rest until `links` are found. All rows are pruned together, a candidate column at a time."""
     n, k = near.shape
     kept = np.zeros((n, k), bool)
+    x = points[near]
+    square = (x**2).sum(2)
+    apart = square[:, :, None] + square[:, None, :] - 2 * x @ x.transpose(0, 2, 1)
     for j in range(k):
-        good = kept.sum(1) < links
-        if j:
-            between = np.einsum("nd,nkd->nk", points[near[:, j]], points[near[:, :j]])
-            square = (points**2).sum(1)
-            apart = square[near[:, j]][:, None] + square[near[:, :j]] - 2 * between
-            good &= ~((apart < gap[:, j][:, None] - 1e-12) & kept[:, :j]).any(1)
-        kept[:, j] = good
+        crowded = ((apart[:, j, :j] < gap[:, j][:, None] - 1e-6) & kept[:, :j]).any(1)
+        kept[:, j] = ~crowded & (kept.sum(1) < links)
     rank = np.where(kept, np.arange(k), np.arange(k) + k)
     return np.take_along_axis(near, np.argsort(rank, axis=1, kind="stable")[:, :links], 1)
 
@@ -56,6 +54,7 @@ def build_graph(points: np.ndarray, ids: np.ndarray, *, links: int = LINKS) -> G
     """Build all layers of a shard. A layer's candidates are its members' exact nearest neighbours, found in blocks;
     they are thinned to diverse ones and the reverse links are added while there is room."""
     level = _levels(ids, links)
+    points = points.astype(np.float32)  # to find the way; scores are taken from the original vectors
     layers = []
     for height in range(int(level.max(initial=0)) + 1):
         members = np.flatnonzero(level >= height)
@@ -66,7 +65,7 @@ def build_graph(points: np.ndarray, ids: np.ndarray, *, links: int = LINKS) -> G
         if k < 1:
             layers.append((members, members[:, None]))
             break
-        near, gap = np.empty((len(members), k), np.int64), np.empty((len(members), k))
+        near, gap = np.empty((len(members), k), np.int64), np.empty((len(members), k), np.float32)
         for a in range(0, len(members), _BLOCK):
             d = square[None, :] + square[a : a + _BLOCK, None] - 2 * local[a : a + _BLOCK] @ local.T
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
@@ -100,6 +99,7 @@ def search_graph(graph: Graph, queries: np.ndarray, k: int, *, breadth: int = BR
     n, size = len(queries), len(graph.points)
     if not n or not size:
         return np.full((n, k), -1), np.full((n, k), np.inf)
+    queries = queries.astype(np.float32)
     square, own = (graph.points**2).sum(1), (queries**2).sum(1)
     every = np.arange(n)
 
@@ -120,7 +120,7 @@ def search_graph(graph: Graph, queries: np.ndarray, k: int, *, breadth: int = BR
     breadth = max(breadth, k)
     seen = np.zeros((n, size), bool)
     seen[every, at] = True
-    pool, far = np.full((n, breadth), -1), np.full((n, breadth), np.inf)
+    pool, far = np.full((n, breadth), -1), np.full((n, breadth), np.inf, np.float32)
     pool[:, 0], far[:, 0] = at, gap
     done = np.zeros((n, breadth), bool)
     ground, live = graph.layers[0][1], every
