@@ -2,6 +2,311 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import candidates as C
+from ..operators import captions, docindex, ranking, segments, series, signals
+from ..operators import responses as R
+from ..operators import words as W
+from ..params import DEFAULTS, DIMENSIONS
+from ..sources import tables as T
+from . import views
+from .oracles import COMBOS, ENERGY, ESTIMATES, SEGMENTS, WORDS, sql
+
 FLAGSHIP = "best_clips"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLES[name] = oracle
+        return f
+
+    return register
+
+
+def r6(*names: str):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Words.
+
+
+@query("w1_word_windows", sql(WORDS, """
+SELECT video_id, k::BIGINT AS "window", round(min(start), 6) AS start, round(max("end"), 6) AS "end", count(*) AS n_words, md5(string_agg(word, ' ' ORDER BY word_idx)) AS text
+FROM (SELECT *, unnest(range(greatest(0, (word_idx - 100 + 75) // 75 - (CASE WHEN word_idx < 25 THEN 1 ELSE 0 END))::BIGINT, (word_idx // 75 + 1)::BIGINT)) AS k FROM words)
+WHERE word_idx BETWEEN k * 75 AND k * 75 + 99 GROUP BY video_id, k HAVING count(*) >= 10
+"""))
+def w1_word_windows(spark, d):
+    return W.word_windows(views.words(spark, d)).select("video_id", "window", *r6("start", "end"), "n_words", F.md5("text").alias("text"))
+
+
+@query("w2_word_chunks", sql(WORDS, """
+SELECT video_id, k::BIGINT AS "window", round(min(start), 6) AS start, round(max("end"), 6) AS "end", count(*) AS n_words
+FROM (SELECT *, count(*) OVER (PARTITION BY video_id) AS n FROM words) w JOIN (SELECT unnest(range(0, 1000)) AS k) ks
+  ON (w.n <= 800 AND k = 0) OR (w.n > 800 AND word_idx BETWEEN k * 600 AND k * 600 + 799)
+GROUP BY video_id, k, n HAVING n <= 800 OR count(*) >= 20
+"""))
+def w2_word_chunks(spark, d):
+    return W.word_chunks(views.words(spark, d)).select("video_id", "window", *r6("start", "end"), "n_words")
+
+
+@query("w3_sentence_segments", sql(SEGMENTS, "SELECT video_id, segment_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, word_from, word_to FROM segments"))
+def w3_sentence_segments(spark, d):
+    return segments.sentence_segments(views.words(spark, d)).select("video_id", "segment_id", *r6("start_time", "end_time"), "word_from", "word_to")
+
+
+@query("j1_speech_words", sql(WORDS + """,
+regions AS (SELECT user_id AS video_id, (event_id % 600)::DOUBLE AS start, (event_id % 600)::DOUBLE + 3 AS "end" FROM events WHERE event_type = 'view')
+""", """
+SELECT w.video_id, word_idx, word FROM words w
+WHERE NOT EXISTS (SELECT 1 FROM regions r WHERE r.video_id = w.video_id)
+   OR EXISTS (SELECT 1 FROM regions r WHERE r.video_id = w.video_id AND (w.start + w."end") / 2 BETWEEN r.start AND r."end")
+"""))
+def j1_speech_words(spark, d):
+    at = F.col("event_id") % 600
+    regions = views.read(spark, d, "events").where("event_type = 'view'").select(F.col("user_id").alias("video_id"), at.cast("double").alias("start"), (at + 3).cast("double").alias("end"))
+    return W.in_speech(views.words(spark, d), regions).select("video_id", "word_idx", "word")
+
+
+_RANGES = "ranges AS (SELECT video_id, segment_id, start_time + 1.5 AS t0, end_time - 1.5 AS t1 FROM segments WHERE segment_id % 10 = 0)"
+
+
+def _ranges(spark, d):
+    return views.segments(spark, d).where("segment_id % 10 = 0").select("video_id", "segment_id", (F.col("start_time") + 1.5).alias("t0"), (F.col("end_time") - 1.5).alias("t1"))
+
+
+@query("j2_words_inside", sql(SEGMENTS + "," + _RANGES, """
+SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
+FROM ranges r JOIN words w ON w.video_id = r.video_id AND w.start >= t0 AND w."end" <= t1 GROUP BY r.video_id, r.segment_id
+"""))
+def j2_words_inside(spark, d):
+    return W.range_text(_ranges(spark, d), views.words(spark, d), ["video_id", "segment_id"])
+
+
+@query("j3_words_overlapping", sql(SEGMENTS + "," + _RANGES, """
+SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
+FROM ranges r JOIN words w ON w.video_id = r.video_id AND w."end" > t0 AND w.start < t1 GROUP BY r.video_id, r.segment_id
+"""))
+def j3_words_overlapping(spark, d):
+    return W.range_text(_ranges(spark, d), views.words(spark, d), ["video_id", "segment_id"], contained=False)
+
+
+@query("j4_natural_boundaries", sql(SEGMENTS + """,
+targets AS (SELECT video_id, start_time + 7.3 AS target, segment_id % 2 = 0 AS forward FROM segments),
+scored AS (SELECT t.video_id, t.target, t.forward, w."end", w.word_idx,
+    10 + CASE WHEN right(word, 1) IN ('.', '!', '?') THEN 50 WHEN right(word, 1) IN (',', ';', ':') THEN 20 ELSE 0 END - abs(w."end" - target) * 3 AS points
+  FROM targets t JOIN words w ON w.video_id = t.video_id AND w."end" BETWEEN target - 5.001 AND target + 5.001 WHERE abs(w."end" - target) <= 5),
+best AS (SELECT video_id, target, forward, "end", row_number() OVER (PARTITION BY video_id, target, forward ORDER BY points DESC, CASE WHEN forward THEN word_idx ELSE -word_idx END) AS n
+  FROM scored WHERE points > -1)
+""", """
+SELECT t.video_id, round(t.target, 6) AS target, t.forward, round(coalesce(b."end", t.target), 6) AS snapped
+FROM targets t LEFT JOIN best b ON b.video_id = t.video_id AND b.target = t.target AND b.forward = t.forward AND b.n = 1
+"""))
+def j4_natural_boundaries(spark, d):
+    targets = views.segments(spark, d).select("video_id", (F.col("start_time") + 7.3).alias("target"), (F.col("segment_id") % 2 == 0).alias("forward"))
+    return W.snapped(targets, views.words(spark, d)).select("video_id", *r6("target"), "forward", *r6("snapped"))
+
+
+# Candidates.
+
+_RANGE = "video_id, i, j, round(t0, 6) AS t0, round(t1, 6) AS t1"
+
+
+def _range(df):
+    return df.select("video_id", "i", "j", *r6("t0", "t1"))
+
+
+@query("w5_combinations", sql(COMBOS, f"SELECT {_RANGE} FROM combos"))
+def w5_combinations(spark, d):
+    return _range(C.combinations(views.segments(spark, d)))
+
+
+@query("w6_arcs", sql(SEGMENTS, f"""
+SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
+FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx BETWEEN a.idx + 3 AND a.idx + 7) WHERE t1 - t0 BETWEEN 145 AND 180
+"""))
+def w6_arcs(spark, d):
+    return _range(C.arcs(views.segments(spark, d)))
+
+
+@query("j6_hook_payoffs", sql(SEGMENTS, f"""
+SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
+FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx > a.idx AND b.idx < a.idx + 60
+WHERE a.segment_type IN ('hook', 'story', 'question', 'setup') AND b.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice')) WHERE t1 - t0 BETWEEN 30 AND 180
+"""))
+def j6_hook_payoffs(spark, d):
+    return _range(C.hook_payoffs(views.segments(spark, d)))
+
+
+@query("w11_extended_segments", sql(SEGMENTS + """,
+reach AS (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1, a.end_time - a.start_time AS own
+  FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx >= a.idx AND b.idx < a.idx + 60
+  WHERE a.end_time - a.start_time >= 10 AND a.end_time - a.start_time < 145 AND b.end_time - a.start_time <= 180),
+picked AS (SELECT video_id, i, t0, coalesce(min(CASE WHEN abs(t1 - t0 - 148) <= 3 AND j > i THEN j END), max(j)) AS j FROM reach GROUP BY video_id, i, t0)
+""", f"""
+SELECT {_RANGE} FROM (SELECT p.video_id, p.i, p.j, p.t0, r.t1 FROM picked p JOIN reach r ON r.video_id = p.video_id AND r.i = p.i AND r.j = p.j WHERE r.t1 - p.t0 >= 30
+UNION ALL SELECT video_id, idx, idx, start_time, end_time FROM segments WHERE abs(end_time - start_time - 148) <= 3)
+"""))
+def w11_extended_segments(spark, d):
+    return _range(C.extended(views.segments(spark, d)))
+
+
+@query("w13_trimmed_segments")
+def w13_trimmed_segments(spark, d):
+    p = DEFAULTS.__class__(target=40.0, shortest=15.0)
+    return _range(C.trimmed(views.segments(spark, d), views.words(spark, d), p))
+
+
+@query("a8_candidate_ids", sql(COMBOS, """
+SELECT c.video_id, c.i, c.j, array_to_string(list(s.segment_id ORDER BY s.idx), ',') AS segment_ids,
+  coalesce(arg_min(s.segment_id, s.idx) FILTER (s.segment_type IN ('hook', 'question', 'setup')), -1) AS hook_segment_id,
+  coalesce(arg_max(s.segment_id, s.idx) FILTER (s.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice')), -1) AS payoff_segment_id
+FROM combos c JOIN segments s ON s.video_id = c.video_id AND s.idx BETWEEN c.i AND c.j GROUP BY c.video_id, c.i, c.j
+"""))
+def a8_candidate_ids(spark, d):
+    s = views.segments(spark, d)
+    return C.described(C.combinations(s), s).select("video_id", "i", "j", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ",").alias("segment_ids"), "hook_segment_id", "payoff_segment_id")
+
+
+@query("w15_deduplicated")
+def w15_deduplicated(spark, d):
+    s = views.segments(spark, d)
+    return _range(C.deduplicated(C.combinations(s).unionByName(C.hook_payoffs(s))))
+
+
+@query("u2_generated_candidates")
+def u2_generated_candidates(spark, d):
+    return _range(C.generate(views.segments(spark, d), views.words(spark, d)))
+
+
+@query("a1_estimated_scores", sql(ESTIMATES, "SELECT video_id, i, j, round(estimated_score, 4) AS estimated_score FROM estimates"))
+def a1_estimated_scores(spark, d):
+    s = views.segments(spark, d)
+    scored = ranking.estimated(C.combinations(s), s.drop("idx"), ["video_id", "i", "j", "t0", "t1"])
+    return scored.select("video_id", "i", "j", F.round("estimated_score", 4).alias("estimated_score"))
+
+
+_TOP = """
+SELECT video_id, i, j, round(t0, 6) AS t0, round(t1, 6) AS t1, round(estimated_score, 4) AS estimated_score, rank::INT AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(estimated_score, 4) DESC, t0, t1, i) AS rank FROM estimates) WHERE rank <= {k}"""
+
+
+def _best(spark, d, k):
+    s = views.segments(spark, d)
+    scored = ranking.estimated(C.combinations(s), s.drop("idx"), ["video_id", "i", "j", "t0", "t1"]).withColumn("estimated_score", F.round("estimated_score", 4))
+    return ranking.top(scored, k, F.desc("estimated_score"), "t0", "t1", "i").select("video_id", "i", "j", *r6("t0", "t1"), "estimated_score", "rank")
+
+
+@query("best_clips", sql(ESTIMATES, _TOP.format(k=8)))
+def best_clips(spark, d):
+    return _best(spark, d, 8)
+
+
+@query("t2_refined_candidates", sql(ESTIMATES, _TOP.format(k=120)))
+def t2_refined_candidates(spark, d):
+    return _best(spark, d, DEFAULTS.refined)
+
+
+@query("t3_top_segments", sql(SEGMENTS, """
+SELECT video_id, segment_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_time, end_time) AS rank FROM segments) WHERE rank <= 20
+"""))
+def t3_top_segments(spark, d):
+    return ranking.top(views.segments(spark, d), 20, F.desc("score"), "start_time", "end_time").select("video_id", "segment_id", "score", "rank")
+
+
+# Refinement and choice.
+
+_ROUNDS = """,
+rounds AS (SELECT video_id, segment_id AS candidate_id, r AS "round", start_time + r AS new_start, start_time + r + 20 + (segment_id * 13 + r * 41) % 180 AS new_end,
+    CASE WHEN (segment_id + r) % 11 > 0 OR r > 0 THEN ((video_id * 3 + segment_id * 7 + r * 29) % 101)::DOUBLE END AS score,
+    CASE WHEN (segment_id + r) % 5 > 0 THEN 'round ' || r ELSE '' END AS reasoning
+  FROM segments, (SELECT unnest([0, 1, 2, 3]) AS r)),
+judged AS (SELECT *, lag(score) OVER w AS prior, "round" = 0 OR (score IS NOT NULL AND new_start >= 0 AND new_end > new_start AND new_end - new_start BETWEEN 30 AND 180
+    AND score > coalesce(lag(score) OVER w, 0) + 2) AS ok FROM rounds WINDOW w AS (PARTITION BY video_id, candidate_id ORDER BY "round")),
+kept AS (SELECT *, bool_and(ok) OVER (PARTITION BY video_id, candidate_id ORDER BY "round") AS live FROM judged)"""
+
+
+def _rounds(spark, d):
+    r, c, v = F.col("round"), F.col("candidate_id"), F.col("video_id")
+    s = views.segments(spark, d).select("video_id", F.col("segment_id").alias("candidate_id"), "start_time", F.explode(F.array(*map(F.lit, range(4)))).alias("round"))
+    return s.select(
+        "video_id", "candidate_id", "round", (F.col("start_time") + r).alias("new_start"), (F.col("start_time") + r + 20 + (c * 13 + r * 41) % 180).alias("new_end"),
+        F.when(((c + r) % 11 > 0) | (r > 0), ((v * 3 + c * 7 + r * 29) % 101).cast("double")).alias("score"),
+        F.when((c + r) % 5 > 0, F.concat(F.lit("round "), r.cast("string"))).otherwise("").alias("reasoning"), F.lit("a text of twenty characters").alias("text"),
+    )
+
+
+@query("w19_refinements", sql(SEGMENTS + _ROUNDS, """
+SELECT video_id, candidate_id, round(arg_max(new_start, "round"), 6) AS start_time, round(arg_max(new_end, "round"), 6) AS end_time, arg_max(struct_pack(s := score), "round").s AS score,
+  coalesce(string_agg(CASE WHEN "round" > 0 AND reasoning <> '' THEN reasoning END, '; ' ORDER BY "round"), '') AS improvements, count(CASE WHEN "round" > 0 AND reasoning <> '' THEN 1 END)::INT AS iteration
+FROM kept WHERE live GROUP BY video_id, candidate_id HAVING arg_max(struct_pack(s := score), "round").s IS NOT NULL
+"""))
+def w19_refinements(spark, d):
+    out = ranking.accepted_refinements(_rounds(spark, d))
+    return out.select("video_id", "candidate_id", *r6("start_time", "end_time"), "score", F.array_join("improvements", "; ").alias("improvements"), "iteration")
+
+
+@query("w18_diverse_clips")
+def w18_diverse_clips(spark, d):
+    """Of each video's best candidates near 100 s, up to eight that differ."""
+    best = _best(spark, d, DEFAULTS.refined).where(S.in_target(F.col("t1") - F.col("t0"), 100.0, 30.0))
+    text = W.range_text(best, views.words(spark, d), ["video_id", "i", "j", "t0", "t1", "estimated_score"])
+    labels = views.read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), (F.col("toxic") == 1).alias("flagged"), F.when(F.col("doc_id") % 2 == 0, 0.4).otherwise(0.8).alias("severity"))
+    judged = text.join(labels, "video_id", "left").where(~S.moderated(F.col("text"), F.col("flagged"), F.col("severity")))
+    clips = judged.select("video_id", (F.col("i") * 1000 + F.col("j")).cast("long").alias("candidate_id"), F.col("t0").alias("start_time"), F.col("t1").alias("end_time"), F.col("estimated_score").alias("score"), S.topic("text").alias("topic"), S.emotion("text").alias("emotion"))
+    return ranking.select_diverse(clips)
+
+
+# Series.
+
+
+@query("w16_packed_series")
+def w16_packed_series(spark, d):
+    return series.packed_series(views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
+
+
+_PROPOSED = """,
+proposals AS (SELECT l.video_id, s AS series_idx, e AS episode_idx, (s * 10 + e * 3)::INT AS start_segment_id, (s * 10 + e * 3 + 2 - (CASE WHEN (l.video_id + e) % 7 = 0 THEN 9 ELSE 0 END))::INT AS end_segment_id
+  FROM lengths l, (SELECT unnest([0, 1]) AS s), (SELECT unnest([1, 2, 3]) AS e)),
+known AS (SELECT p.*, a.idx AS named_from, b.idx AS to_idx, b.end_time FROM proposals p JOIN segments a ON a.video_id = p.video_id AND a.segment_id = start_segment_id
+  JOIN segments b ON b.video_id = p.video_id AND b.segment_id = end_segment_id),
+chained AS (SELECT *, coalesce(lag(to_idx) OVER w + 1, named_from) AS from_idx, count(*) OVER (PARTITION BY video_id, series_idx) AS n FROM known WINDOW w AS (PARTITION BY video_id, series_idx ORDER BY episode_idx)),
+episodes AS (SELECT c.video_id, series_idx, episode_idx, s.start_time, c.end_time, from_idx, to_idx, bool_and(to_idx >= from_idx) OVER (PARTITION BY c.video_id, series_idx) AS good
+  FROM chained c LEFT JOIN segments s ON s.video_id = c.video_id AND s.idx = c.from_idx WHERE n = 3)"""
+
+
+def _proposals(spark, d):
+    videos = views.words(spark, d).select("video_id").distinct()
+    s = videos.select("video_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("series_idx")).select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("episode_idx"))
+    at = F.col("series_idx") * 10 + F.col("episode_idx") * 3
+    return s.select("*", at.alias("start_segment_id"), (at + 2 - F.when((F.col("video_id") + F.col("episode_idx")) % 7 == 0, 9).otherwise(0)).alias("end_segment_id"))
+
+
+@query("j9_proposed_series", sql(SEGMENTS + _PROPOSED, "SELECT video_id, series_idx, episode_idx, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, from_idx, to_idx FROM episodes WHERE good"))
+def j9_proposed_series(spark, d):
+    return series.proposed_series(_proposals(spark, d), views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
+
+
+@query("j7_uncovered_segments", sql(SEGMENTS + _PROPOSED + """,
+spans AS (SELECT video_id, min(start_time) AS a, max(end_time) AS b FROM episodes WHERE good GROUP BY video_id, series_idx)
+""", "SELECT video_id, segment_id FROM segments s WHERE NOT EXISTS (SELECT 1 FROM spans p WHERE p.video_id = s.video_id AND s.start_time >= a AND s.end_time <= b)"))
+def j7_uncovered_segments(spark, d):
+    s = views.segments(spark, d)
+    return series.uncovered(s, series.proposed_series(_proposals(spark, d), s)).select("video_id", "segment_id")
+
+
+@query("a9_series_scores", sql(SEGMENTS + _PROPOSED, """
+SELECT e.video_id, e.series_idx, round(avg(coalesce(CASE WHEN e.episode_idx <> 2 THEN s.score END, 50)), 4) AS overall
+FROM episodes e JOIN segments s ON s.video_id = e.video_id AND s.idx = e.from_idx WHERE good GROUP BY e.video_id, e.series_idx
+"""))
+def a9_series_scores(spark, d):
+    s = views.segments(spark, d)
+    e = series.proposed_series(_proposals(spark, d), s)
+    scored = e.join(s.select("video_id", F.col("idx").alias("from_idx"), "score"), ["video_id", "from_idx"])
+    scored = scored.select("video_id", "series_idx", F.when(F.col("episode_idx") != 2, F.col("score")).alias("score"), F.lit(None).cast("double").alias("overall_story_score"))
+    return series.series_scores(scored).select("video_id", "series_idx", F.round("overall", 4).alias("overall"))
