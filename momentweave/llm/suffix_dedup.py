@@ -17,6 +17,7 @@ LENGTH = 100  # bytes of a string that may stay once
 GRAM = 32  # bytes of an anchor
 SHARD_SEGMENTS = 4_096  # segments of one anchor in one shard
 SHARD_BYTES = 2 << 20  # bytes of a suffix array, about
+PART_ROWS = 1_024  # rows of one anchor that are compared in one place, about
 HOT_ANCHORS, HOT_SHARE = 20_000, 32  # anchors that get split, at most; one document in so many is looked at to find them
 _PACK = 16  # bits of a start count beside a start
 
@@ -321,37 +322,41 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     keyed: key, text. Every string of `length` bytes has one anchor, at the same place in each copy, so anchors that
     occur once rule their strings out. Copies of a whole segment are settled by its hash (64 bits beside the anchor's
     64); where segments of one anchor differ, suffix arrays over the different ones find their equal strings. Anchors
-    that are very frequent are found in a sample of documents first and take another way: their segments are summed
-    up before the shuffle, and dealt into several shards.
+    that are very frequent are found in a sample of documents first: their rows are dealt into parts, and their
+    different segments into several shards.
     """
     bounded_batches(keyed.sparkSession)
     texts = keyed.select("key", "text").where(F.octet_length("text") >= length)
     found_type = "anchor long, segment long, key long, packed long"
     rows = texts.mapInArrow(_find_anchors(length, gram), found_type)
     sampled = texts.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SHARE)) == 0).mapInArrow(_find_anchors(length, gram), found_type)
-    # At most HOT_ANCHORS rows: bounded, so it may be broadcast. It only says which way an anchor goes.
-    hot = sampled.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") * HOT_SHARE > SHARD_SEGMENTS).orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS)
-    hot = cut(hot.select("anchor"), "hot")
-
-    plain = rows.join(F.broadcast(hot), "anchor", "left_anti")
-    place = F.rank().over(Window.partitionBy("anchor", "segment").orderBy("key", "packed"))
-    whole = Window.partitionBy("anchor")
-    judged = plain.withColumn("place", place)
+    # At most HOT_ANCHORS rows: bounded, so it may be broadcast. It only says into how many parts an anchor's rows go.
+    parts = F.ceil(F.count("*") * HOT_SHARE / PART_ROWS).cast("int")
+    hot = sampled.groupBy("anchor").agg(F.count("*").alias("n"), parts.alias("parts")).where("parts > 1").orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS)
+    hot = cut(hot.select("anchor", "parts"), "hot")
+
+    # A part settles its copies alone; a segment's first row in each part is then held against the other parts'.
+    dealt = rows.join(F.broadcast(hot), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    place = F.rank().over(Window.partitionBy("anchor", "part", "segment").orderBy("key", "packed"))
+    whole = Window.partitionBy("anchor", "part")
+    judged = dealt.withColumn("place", place)
     judged = judged.withColumn("several", F.min("segment").over(whole) != F.max("segment").over(whole))
-    judged = judged.where("place > 1 OR several").select("anchor", "key", "packed", (F.col("place") > 1).alias("copy"), F.lit(0).alias("shard"), F.lit(1).alias("shards"))
-
-    busy = rows.join(F.broadcast(hot), "anchor", "left_semi")
-    firsts = cut(busy.groupBy("anchor", "segment").agg(F.min(F.struct("key", "packed")).alias("first")), "firsts")
-    kinds = firsts.groupBy("anchor").agg(F.count("*").alias("kinds"))
+    judged = judged.where("place > 1 OR several OR parts > 1")
+    # Copies need no anchor any more, and only an anchor in several parts needs its segments told apart again.
+    kept = judged.select(
+        F.when(F.col("place") == 1, F.col("anchor")).alias("anchor"), F.when((F.col("place") == 1) & (F.col("parts") > 1), F.col("segment")).alias("segment"),
+        "key", "packed", (F.col("place") > 1).alias("copy"),
+    )
+    kept = cut(kept, "segments")
+
+    again = kept.where("segment IS NOT NULL").withColumn("place", F.rank().over(Window.partitionBy("anchor", "segment").orderBy("key", "packed")))
+    kinds = again.where("place = 1").groupBy("anchor").agg(F.approx_count_distinct("segment").alias("kinds"), (F.min("segment") != F.max("segment")).alias("several"))
     shards = F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int")
     mine = F.pmod(F.xxhash64("segment"), shards).cast("int")
-    different = firsts.join(kinds.where("kinds > 1"), "anchor").select("anchor", "first.key", "first.packed", F.lit(False).alias("copy"), mine.alias("shard"), shards.alias("shards"))
-    copies = busy.join(firsts, ["anchor", "segment"]).where(F.struct("key", "packed") > F.col("first"))
-    copies = copies.select("anchor", "key", "packed", F.lit(True).alias("copy"), F.lit(0).alias("shard"), F.lit(1).alias("shards"))
-
-    judged = judged.union(different).union(copies)
-    light = F.when(~F.col("copy"), F.col("anchor"))  # copies need no anchor any more
-    judged = cut(judged.select(light.alias("anchor"), "key", "packed", "copy", "shard", "shards"), "segments")
+    again = again.join(kinds, "anchor").where("place > 1 OR several")
+    again = cut(again.select("anchor", "key", "packed", (F.col("place") > 1).alias("copy"), mine.alias("shard"), shards.alias("shards")), "parted")
+    judged = kept.where("segment IS NULL").select("anchor", "key", "packed", "copy", F.lit(0).alias("shard"), F.lit(1).alias("shards")).union(again)
 
     begin, count = F.shiftright("packed", _PACK), F.col("packed").bitwiseAND(F.lit((1 << _PACK) - 1))
     sliced = F.expr(f"substring(cast(text AS binary), cast(shiftright(packed, {_PACK}) AS int) + 1, cast(packed & {(1 << _PACK) - 1} AS int) + {length - 1})")
