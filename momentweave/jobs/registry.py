@@ -310,3 +310,317 @@ def a9_series_scores(spark, d):
     scored = e.join(s.select("video_id", F.col("idx").alias("from_idx"), "score"), ["video_id", "from_idx"])
     scored = scored.select("video_id", "series_idx", F.when(F.col("episode_idx") != 2, F.col("score")).alias("score"), F.lit(None).cast("double").alias("overall_story_score"))
     return series.series_scores(scored).select("video_id", "series_idx", F.round("overall", 4).alias("overall"))
+
+
+# Signals.
+
+
+@query("w7_energy_regions", sql(ENERGY + """,
+marked AS (SELECT *, energy > avg(energy) OVER (PARTITION BY video_id) * 1.3 AS high, lead(time_sec) OVER (PARTITION BY video_id ORDER BY time_sec) AS next_time FROM energy),
+runs AS (SELECT *, sum(CASE WHEN high AND NOT was THEN 1 ELSE 0 END) OVER (PARTITION BY video_id ORDER BY time_sec) AS run
+  FROM (SELECT *, coalesce(lag(high) OVER (PARTITION BY video_id ORDER BY time_sec), false) AS was FROM marked))
+""", """
+SELECT video_id, round(min(time_sec), 6) AS start, round(max(coalesce(next_time, time_sec)), 6) AS "end", round(avg(energy), 4) AS mean_energy
+FROM runs WHERE high GROUP BY video_id, run HAVING max(coalesce(next_time, time_sec)) - min(time_sec) >= 0.25
+"""))
+def w7_energy_regions(spark, d):
+    out = signals.energy_regions(views.energy(spark, d), DEFAULTS.__class__(energy_region=0.25))
+    return out.select("video_id", *r6("start", "end"), F.round("mean_energy", 4).alias("mean_energy"))
+
+
+_FRAMES = ENERGY + """,
+frames AS (SELECT video_id, frame_idx, time_sec, energy % 256 AS brightness, CASE WHEN frame_idx > 0 THEN energy / 100 END AS motion, floor(time_sec / 3)::INT AS segment_id FROM energy),
+placed AS (SELECT *, frame_idx - min(frame_idx) OVER (PARTITION BY video_id, segment_id) AS k,
+  greatest(1, least(5, (max(frame_idx) OVER (PARTITION BY video_id, segment_id) - min(frame_idx) OVER (PARTITION BY video_id, segment_id)) // 30)) AS step FROM frames),
+scenes AS MATERIALIZED (SELECT *, coalesce(motion > 3 * avg(motion) OVER (PARTITION BY video_id, segment_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 2, false) AS scene_change
+  FROM placed WHERE k % step = 0)"""
+
+
+def _scenes(spark, d):
+    f = views.frames(spark, d)
+    return signals.scene_changes(signals.sampled_frames(f, views.grid(f)))
+
+
+@query("w9_scene_changes", sql(_FRAMES, "SELECT video_id, segment_id, frame_idx, scene_change FROM scenes"))
+def w9_scene_changes(spark, d):
+    return _scenes(spark, d).select("video_id", "segment_id", "frame_idx", "scene_change")
+
+
+@query("a6_video_features", sql(_FRAMES, """
+SELECT video_id, segment_id, round(coalesce(avg(motion), 0), 6) AS mean_motion, round(coalesce(var_pop(motion), 0), 6) AS motion_variance, sum(scene_change::INT)::BIGINT AS scene_change_count,
+  round(1 / (1 + coalesce(var_pop(motion), 0)), 6) AS scene_stability, round(avg(brightness), 4) AS mean_brightness, round(var_pop(brightness), 4) AS brightness_variance,
+  avg(brightness) < 40 AS is_dark, round(least(1, coalesce(var_pop(motion), 0) / 20), 6) AS visual_variety
+FROM scenes GROUP BY video_id, segment_id
+"""))
+def a6_video_features(spark, d):
+    v = signals.video_features(_scenes(spark, d))
+    return v.select("video_id", "segment_id", *r6("mean_motion", "motion_variance"), "scene_change_count", *r6("scene_stability"), F.round("mean_brightness", 4).alias("mean_brightness"), F.round("brightness_variance", 4).alias("brightness_variance"), "is_dark", *r6("visual_variety"))
+
+
+_SAMPLES = ENERGY + """,
+samples AS MATERIALIZED (SELECT video_id, frame_idx, CASE WHEN (frame_idx // 70) % 3 = 0 THEN 0.001::DOUBLE ELSE (energy - 245) / 250 END AS x FROM energy)"""
+
+
+@query("w10_sample_windows", sql(_SAMPLES, """
+SELECT video_id, (frame_idx // 20)::BIGINT AS "window", round((frame_idx // 20) * 0.1::DOUBLE, 6) AS time_sec, round(sqrt(avg(x * x)), 6) AS energy, round(max(abs(x)), 6) AS peak
+FROM samples GROUP BY video_id, frame_idx // 20 HAVING count(*) >= 10
+"""))
+def w10_sample_windows(spark, d):
+    return signals.sample_windows(views.audio_chunks(spark, d)).select("video_id", "window", *r6("time_sec", "energy", "peak"))
+
+
+def _audio_grid(spark, d):
+    """Segments of 0.8 s over the samples (200 a second)."""
+    length = views.audio_chunks(spark, d).groupBy("video_id").agg(F.max("chunk_idx").alias("m"))
+    spans = length.select("video_id", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") + 1) * 64 / 160).cast("int"))).alias("segment_id"))
+    return spans.withColumns({"start_time": F.col("segment_id") * 0.8, "end_time": (F.col("segment_id") + 1) * 0.8})
+
+
+def _stretches(spark, d):
+    return signals.segment_samples(views.audio_chunks(spark, d), _audio_grid(spark, d))
+
+
+_LOUD = _SAMPLES + """,
+held AS (SELECT *, (frame_idx // 160)::INT AS segment_id, frame_idx % 160 AS k FROM samples),
+win AS (SELECT video_id, segment_id, k // 20 AS w, count(*) AS n, sum(x * x) AS sq, max(abs(x)) AS peak FROM held GROUP BY 1, 2, 3),
+loud AS MATERIALIZED (SELECT video_id, segment_id, sum(n) AS n, sqrt(sum(sq) / sum(n)) AS mean_rms, max(peak) AS peak_rms,
+  coalesce(var_pop(CASE WHEN n > 10 THEN sqrt(sq / n) END), 0) AS rms_variance, coalesce(max(CASE WHEN n > 10 THEN sqrt(sq / n) END), 0) AS max_rms FROM win GROUP BY 1, 2)"""
+
+
+@query("a2_loudness", sql(_LOUD, """
+SELECT video_id, segment_id, round(CASE WHEN n >= 20 THEN mean_rms ELSE 0 END, 6) AS mean_rms, round(CASE WHEN n >= 20 THEN peak_rms ELSE 0 END, 6) AS peak_rms,
+  round(CASE WHEN n >= 20 THEN rms_variance ELSE 0 END, 6) AS rms_variance, round(CASE WHEN n >= 20 THEN least(1, rms_variance / (max_rms + 1e-8)) ELSE 0 END, 6) AS volume_dynamics FROM loud
+"""))
+def a2_loudness(spark, d):
+    return signals.loudness(_stretches(spark, d)).select("video_id", "segment_id", *r6("mean_rms", "peak_rms", "rms_variance", "volume_dynamics"))
+
+
+_RUNS = _LOUD + """,
+quiet AS (SELECT h.video_id, h.segment_id, k, l.n FROM held h JOIN loud l ON l.video_id = h.video_id AND l.segment_id = h.segment_id WHERE l.n >= 20 AND abs(x) < 0.15 * mean_rms),
+runs AS (SELECT video_id, segment_id, n AS total, min(k) AS "first", count(*) AS n FROM (SELECT *, k - row_number() OVER (PARTITION BY video_id, segment_id ORDER BY k) AS g FROM quiet) GROUP BY video_id, segment_id, n, g)"""
+
+
+@query("w8_silence_runs", sql(_RUNS, """SELECT video_id, segment_id, "first"::BIGINT AS "first", n::BIGINT AS n FROM runs"""))
+def w8_silence_runs(spark, d):
+    s = _stretches(spark, d)
+    return signals.silence_runs(s, signals.loudness(s)).select("video_id", "segment_id", F.col("first").cast("long").alias("first"), F.col("n").cast("long").alias("n"))
+
+
+@query("a3_pauses", sql(_RUNS, """
+SELECT video_id, segment_id, count(CASE WHEN n >= 60 THEN 1 END) AS pause_count, round(coalesce(sum(CASE WHEN n >= 60 THEN n END), 0) / total, 6) AS pause_ratio,
+  round(coalesce(avg(CASE WHEN n >= 60 THEN n END), 0) / 200, 6) AS mean_pause_duration, round(1 - coalesce(sum(CASE WHEN n >= 60 THEN n END), 0) / total, 6) AS speech_ratio
+FROM runs GROUP BY video_id, segment_id, total
+"""))
+def a3_pauses(spark, d):
+    s = _stretches(spark, d)
+    return signals.pauses(signals.silence_runs(s, signals.loudness(s))).select("video_id", "segment_id", "pause_count", *r6("pause_ratio", "mean_pause_duration", "speech_ratio"))
+
+
+@query("w21_audio_features")
+def w21_audio_features(spark, d):
+    return signals.audio_features(views.audio_chunks(spark, d), _audio_grid(spark, d))
+
+
+# Scores and labels.
+
+_DIMS = ", ".join(f"((doc_id * 31 + {k} * 13) % 6 * 20)::DOUBLE AS {d}" for k, d in enumerate(DIMENSIONS))
+
+
+def _scored(spark, d):
+    dims = {name: ((F.col("doc_id") * 31 + k * 13) % 6 * 20).cast("double") for k, name in enumerate(DIMENSIONS)}
+    return views.read(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in dims.items()])
+
+
+_OVERALL = "0.30 * viewer_retention + 0.20 * story_quality + 0.15 * hook_strength + 0.10 * emotional_intensity + 0.10 * educational_value + 0.05 * visual_quality + 0.05 * audio_quality + 0.05 * virality"
+
+
+@query("f1_overall_score", sql(f"s AS (SELECT doc_id, doc_id % 130 AS model, {_DIMS} FROM documents)", f"""
+SELECT doc_id, round(CASE WHEN model BETWEEN 1 AND 100 THEN 0.7 * ({_OVERALL}) + 0.3 * model ELSE {_OVERALL} END::DOUBLE, 2) AS score FROM s
+"""))
+def f1_overall_score(spark, d):
+    s = _scored(spark, d)
+    return s.select("doc_id", S.overall_score(S.dimensions(s), (F.col("doc_id") % 130).cast("double")).alias("score"))
+
+
+@query("f2_f3_retention", sql(f"s AS (SELECT doc_id, {_DIMS} FROM documents), f AS (SELECT *," + """
+  0.30 * (viewer_retention + completion_probability + replay_probability) / 3 + 0.20 * (story_quality + emotional_payoff + resolution_quality + 50) / 4 + 0.15 * hook_strength
+  + 0.10 * (50 + emotional_intensity + surprise) / 3 + 0.10 * educational_value + 0.05 * visual_quality + 0.05 * audio_quality + 0.05 * (virality + share_probability + comment_potential) / 3 AS formula FROM s)""", """
+SELECT doc_id, round(formula::DOUBLE, 2) AS retention_score, round(least(1, greatest(0, round(formula::DOUBLE, 2) / 100 * 0.85))::DOUBLE, 6) AS completion_rate,
+  round(((share_probability * 0.25 + comment_potential * 0.25 + replay_probability * 0.20 + 50 * 0.15 + virality * 0.15) / 100)::DOUBLE, 4) AS engagement_rate FROM f
+"""))
+def f2_f3_retention(spark, d):
+    s = _scored(spark, d)
+    m = S.retention_fallback(S.dimensions(s), F.lit(148.0))
+    return s.select("doc_id", m["retention_score"].alias("retention_score"), F.round(m["completion_rate"], 6).alias("completion_rate"), F.round(m["engagement_rate"], 4).alias("engagement_rate"))
+
+
+@query("f4_multimodal_adjustments", sql(f"s AS (SELECT doc_id, {_DIMS} FROM documents), a AS (SELECT * REPLACE (" + """
+  CASE WHEN doc_id % 3 = 0 THEN emotional_intensity ELSE least(100, greatest(0, emotional_intensity + CASE WHEN doc_id % 10 > 6 THEN 5 ELSE 0 END)) END AS emotional_intensity,
+  CASE WHEN doc_id % 3 = 0 THEN audio_quality ELSE least(100, greatest(0, audio_quality + CASE WHEN doc_id % 10 > 6 THEN 3 ELSE 0 END - CASE WHEN doc_id % 7 < 3 THEN 15 ELSE 0 END)) END AS audio_quality,
+  CASE WHEN doc_id % 3 = 0 THEN visual_quality ELSE least(100, greatest(0, visual_quality + CASE WHEN doc_id % 12 > 5 THEN 5 ELSE 0 END - CASE WHEN doc_id % 5 = 0 THEN 10 ELSE 0 END)) END AS visual_quality) FROM s)""", f"""
+SELECT doc_id, emotional_intensity, audio_quality, visual_quality, round(CASE WHEN doc_id % 3 = 0 THEN 1 ELSE {_OVERALL} END::DOUBLE, 2) AS score FROM a
+"""))
+def f4_multimodal_adjustments(spark, d):
+    known = F.col("doc_id") % 3 != 0
+    s = _scored(spark, d).withColumns({
+        "score": F.lit(1.0), "voice_excitement": F.when(known, F.col("doc_id") % 10 / 10), "speech_ratio": F.when(known, F.col("doc_id") % 7 / 10),
+        "mean_motion": F.when(known, (F.col("doc_id") % 12).cast("double")), "is_dark": F.when(known, F.col("doc_id") % 5 == 0),
+    })
+    return S.multimodal_adjusted(s).select("doc_id", "emotional_intensity", "audio_quality", "visual_quality", "score")
+
+
+_STOP = ", ".join(f"'{w}'" for w in S.STOPWORDS)
+_EMOTION = " ".join(f"WHEN regexp_matches(lower(text), '{'|'.join(words)}') THEN '{name}'" for name, words in S.EMOTIONS.items())
+
+
+@query("f5_f6_topic_emotion", f"""
+WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')[1:20] AS ws FROM documents)
+SELECT doc_id, coalesce(list_filter(list_transform(ws, lambda x: regexp_replace(x, '[^a-z]', '', 'g')), lambda x: length(x) > 2 AND NOT list_contains([{_STOP}], x))[1], 'general') AS topic,
+  CASE {_EMOTION} ELSE 'neutral' END AS emotion FROM w
+""")
+def f5_f6_topic_emotion(spark, d):
+    return views.read(spark, d, "documents").select("doc_id", S.topic("text").alias("topic"), S.emotion("text").alias("emotion"))
+
+
+@query("f8_f11_formats", """
+SELECT event_id, format('{:02d}:{:02d}:{:02d},{:03d}', s // 3600, s % 3600 // 60, s % 60, ms) AS srt, format('{:d}:{:02d}:{:02d}.{:02d}', s // 3600, s % 3600 // 60, s % 60, ms // 10) AS ass,
+  format('{:d}:{:02d}', s // 60, s % 60) AS clock, CASE WHEN event_id % 101 >= 80 THEN '#4caf50' WHEN event_id % 101 >= 60 THEN '#FFD700' WHEN event_id % 101 >= 40 THEN '#ff9800' ELSE '#f44336' END AS colour,
+  concat('user_', user_id, '_standalone_score', event_id % 101, '.mp4') AS file, abs(event_id % 300 - 148) <= 3 AS in_target,
+  CASE event_id % 4 WHEN 0 THEN 1080 WHEN 1 THEN 1080 WHEN 2 THEN 1080 ELSE 1920 END AS width
+FROM (SELECT *, event_id * 7 AS s, 0 AS ms FROM events)
+""")
+def f8_f11_formats(spark, d):
+    t, n = (F.col("event_id") * 7).cast("double"), F.col("event_id") % 101
+    stem = F.concat(F.lit("user "), F.col("user_id").cast("string"))
+    aspect = F.element_at(F.array(*map(F.lit, ("9:16", "4:5", "1:1", "16:9"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return views.read(spark, d, "events").select(
+        "event_id", S.srt_time(t).alias("srt"), S.ass_time(t).alias("ass"), S.clock(t).alias("clock"), S.colour_band(n).alias("colour"),
+        S.clip_file(stem, F.lit("standalone"), n.cast("double")).alias("file"), S.in_target((F.col("event_id") % 300).cast("double")).alias("in_target"), S.output_size(aspect)["width"].alias("width"),
+    )
+
+
+@query("p1_p10_text_rules", """
+SELECT d.doc_id, length(trim(text)) >= 20 AS scoreable, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '...' ELSE text END) AS short,
+  length(trim(text)) >= 30 AND coalesce(toxic = 1, false) AND CASE WHEN d.doc_id % 2 = 0 THEN 0.4 ELSE 0.8 END >= 0.5 AS moderated,
+  CASE WHEN d.doc_id % 3 = 0 THEN 'Title' WHEN d.doc_id % 3 = 1 THEN 'Hook' ELSE left(text, 60) END AS title, sha1(concat(source, '/', d.doc_id, '.txt')) AS path_id
+FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+""")
+def p1_p10_text_rules(spark, d):
+    df = views.read(spark, d, "documents").join(views.read(spark, d, "labels"), "doc_id", "left")
+    k = F.col("doc_id") % 3
+    title = S.clip_title(F.when(k == 0, "Title"), F.when(k == 1, "Hook").otherwise(""), F.col("text"))
+    flagged, severity = F.col("toxic") == 1, F.when(F.col("doc_id") % 2 == 0, 0.4).otherwise(0.8)
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return df.select("doc_id", S.scoreable("text").alias("scoreable"), F.md5(S.truncated("text", 2500, "...")).alias("short"), S.moderated(F.col("text"), flagged, severity).alias("moderated"), title.alias("title"), docindex.doc_id(path).alias("path_id"))
+
+
+@query("s3_p6_metadata", """
+SELECT CASE WHEN page_id % 5 = 0 THEN 'Unknown' ELSE concat('Page ', page_id) END AS title, page_id::DOUBLE AS duration, 'Unknown' AS uploader, CASE WHEN page_id % 2 = 0 THEN page_id ELSE 0 END AS view_count, url,
+  regexp_matches(url, '^https?://') AS is_url FROM pages
+""")
+def s3_p6_metadata(spark, d):
+    p = views.read(spark, d, "pages")
+    fields = F.struct(F.when(F.col("page_id") % 5 != 0, F.concat(F.lit("Page "), F.col("page_id").cast("string"))).alias("title"), F.col("page_id").alias("duration"), F.when(F.col("page_id") % 2 == 0, F.col("page_id")).alias("view_count"), F.col("url").alias("webpage_url"))
+    m = T.video_metadata(p.select(F.to_json(fields).alias("line")))
+    return m.withColumn("is_url", S.is_url("url"))
+
+
+# Captions, reports, answers.
+
+
+@query("s5_srt", """
+SELECT conv_id AS video_id, md5(string_agg(concat(n, chr(10), format('00:{:02d}:{:02d},000', turn * 10 // 60, turn * 10 % 60), ' --> ', format('00:{:02d}:{:02d},500', (turn * 10 + 9) // 60, (turn * 10 + 9) % 60), chr(10), trim(text, ' '), chr(10)), chr(10) ORDER BY n)) AS srt
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
+""")
+def s5_srt(spark, d):
+    turns = views.read(spark, d, "conversations").select(F.col("conv_id").alias("video_id"), (F.col("turn") * 10).cast("double").alias("start_time"), (F.col("turn") * 10 + 9.5).alias("end_time"), "text")
+    return captions.srt(turns).select("video_id", F.md5("srt").alias("srt"))
+
+
+@query("s1_transcript_words", r"""
+SELECT conv_id AS video_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1)::INT AS word_idx, w AS word, turn::DOUBLE AS start, 0.0::DOUBLE AS "end", 1.0::DOUBLE AS confidence
+FROM (SELECT conv_id, turn, unnest(range(len(ws))) AS k, unnest(ws) AS w FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM conversations))
+""")
+def s1_transcript_words(spark, d):
+    turns = views.read(spark, d, "conversations")
+    word = lambda w: F.struct(F.concat(F.lit(" "), w).alias("word"), F.col("turn").cast("double").alias("start"))
+    rows = turns.select("conv_id", "turn", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), word).alias("words"))
+    segs = F.transform(F.array_sort(F.collect_list(F.struct("turn", "words"))), lambda r: F.struct(r["words"].alias("words")))
+    lines = rows.groupBy("conv_id").agg(segs.alias("segments")).select(F.to_json(F.struct(F.col("conv_id").alias("video_id"), "segments")).alias("line"))
+    return T.transcript_words(T.parse_transcripts(lines))
+
+
+@query("w12_s8_captions")
+def w12_s8_captions(spark, d):
+    """Caption lines of every tenth segment, padded."""
+    s = views.segments(spark, d).where("segment_id % 10 = 0")
+    t0, t1 = captions.padded(F.col("start_time"), F.col("end_time"))
+    clips = s.select("video_id", F.col("segment_id").cast("long").alias("clip_id"), t0.alias("t0"), t1.alias("t1"))
+    found = W.words_overlapping(clips, views.words(spark, d))
+    return captions.ass_dialogue(captions.caption_lines(found))
+
+
+@query("m3_f7_scores_of_answers", sql("s AS (SELECT doc_id, (doc_id % 6 * 20)::DOUBLE AS v, doc_id % 7 AS k FROM documents)", """
+SELECT doc_id, v AS hook_strength, 0.0::DOUBLE AS virality, round(CASE WHEN k % 2 = 1 THEN 0.7 * f + 0.3 * 90 ELSE f END::DOUBLE, 2) AS score
+FROM (SELECT *, 0.15 * v + 0.85 * 50 AS f FROM s WHERE k < 5)
+"""))
+def m3_scores_of_answers(spark, d):
+    k, v = F.col("doc_id") % 7, (F.col("doc_id") % 6 * 20).cast("string")
+    body = F.concat(F.lit('{"hook_strength": '), v, F.when(k % 2 == 1, ', "overall_score": 90}').otherwise("}"))
+    raw = F.when(k == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k < 5, F.concat(F.lit("Sure: "), body, F.lit(" done"))).when(k == 5, F.lit("{broken")).otherwise(F.lit("no"))
+    answers = views.read(spark, d, "documents").select("doc_id", raw.alias("response"))
+    return R.scores_of(answers, "doc_id").select("doc_id", "hook_strength", "virality", "score")
+
+
+@query("m7_moderation_of_answers", """
+SELECT doc_id, coalesce(doc_id % 4 < 2 AND doc_id % 3 = 0, false) AS flagged, CASE WHEN doc_id % 4 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE AS severity FROM documents
+""")
+def m7_moderation_of_answers(spark, d):
+    k, yes = F.col("doc_id") % 4, F.when(F.col("doc_id") % 3 == 0, "true").otherwise("false")
+    raw = F.when(k == 0, F.concat(F.lit('{"flagged": '), yes, F.lit(', "severity": 0.9}'))).when(k == 1, F.concat(F.lit('{"flagged": '), yes, F.lit("}"))).when(k == 2, "{}").otherwise("oops")
+    return R.moderation_of(views.read(spark, d, "documents").select("doc_id", raw.alias("response")), "doc_id").select("doc_id", "flagged", "severity")
+
+
+@query("m2_segments_of_answers", sql(WORDS + """,
+lengths AS (SELECT video_id, max(word_idx) + 1 AS n FROM words GROUP BY 1),
+found AS (SELECT video_id, 0 AS segment_id, 0 AS word_from, least(4, n - 1)::INT AS word_to FROM lengths UNION ALL SELECT video_id, 1, n - 1, n - 1 FROM lengths WHERE n <= 3)""", """
+SELECT f.video_id, segment_id, round(a.start, 6) AS start_time, round(b."end", 6) AS end_time, word_from, word_to
+FROM found f JOIN words a ON a.video_id = f.video_id AND a.word_idx = word_from JOIN words b ON b.video_id = f.video_id AND b.word_idx = word_to
+"""))
+def m2_segments_of_answers(spark, d):
+    w = views.words(spark, d)
+    raw = F.lit('Here: [{"start_word": -3, "end_word": 4, "topic": "t"}, {"start_word": 9, "end_word": 2}]')
+    chunks = w.groupBy("video_id").agg(F.lit(0).alias("chunk_from"), F.max("word_idx").alias("chunk_to")).withColumn("response", raw)
+    return R.segments_of(chunks, w).select("video_id", "segment_id", *r6("start_time", "end_time"), "word_from", "word_to")
+
+
+@query("j7_not_indexed", """
+SELECT sha1(concat(source, '/', doc_id, '.txt')) AS doc_id, length(text)::INT AS length FROM documents WHERE length(trim(text)) > 0 AND doc_id % 3 <> 0
+""")
+def j7_not_indexed(spark, d):
+    path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = views.read(spark, d, "documents").select(F.col("doc_id").alias("n"), path.alias("path"), "text")
+    index = files.where("n % 3 = 0").select(docindex.doc_id().alias("doc_id"))
+    return docindex.not_indexed(files, index).select("doc_id", "length")
+
+
+@query("t4_nearest_documents", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
+SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(0, 2 * (1 - list_cosine_similarity(q.e, v.e)))), 4) AS distance
+FROM v q, v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5
+""")
+def t4_nearest_documents(spark, d):
+    v = views.read(spark, d, "embeddings")
+    return docindex.nearest(v, v.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding")).select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
+
+
+@query("s4_u3_reports", sql(SEGMENTS, """
+SELECT s.video_id, count(*) AS segments_scored, least(count(*), 20)::INT AS top_segments, max(score) AS best, least(count(*), 8)::BIGINT AS standalone_clips
+FROM segments s GROUP BY s.video_id
+"""))
+def s4_u3_reports(spark, d):
+    s = views.segments(spark, d)
+    alone = ranking.top(s, 8, F.desc("score"), "start_time").select("video_id", "rank", "start_time", "end_time", "score")
+    clips = ranking.clip_index(alone, series.packed_series(s).withColumn("score", F.lit(50.0)))
+    r = T.reports(s.withColumn("text", F.lit("")), clips)
+    return r.select("video_id", "segments_scored", F.size("top_segments").alias("top_segments"), F.col("top_segments")[0]["score"].alias("best"), "standalone_clips")
