@@ -51,7 +51,7 @@ def read_text_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...]
 def text_files(files: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """S2, from a table of path and content."""
     wanted = files.where(F.lower(F.regexp_extract("path", r"\.[^./]+$", 0)).isin(*suffixes))
-    return wanted.select("path", decoded().alias("text")).where(F.length(F.trim("text")) > 0)
+    return wanted.select("path", decoded().alias("text")).where(F.rlike("text", F.lit(r"(?U)\S")))
 
 
 def video_metadata(lines: DataFrame, column: str = "line") -> DataFrame:
