@@ -115,7 +115,8 @@ def build_pieces(kind: int, vocabulary: list[tuple[str, float, int]]) -> Pieces:
                     pairs[symbol[p[:k]] * span + symbol[p[k:]]] = (i, s)
     keys = np.array(sorted(pairs), np.int64)
     joined = {c for p in usable if len(p) > 1 for c in p}
-    lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
+    # Without byte pieces, neighbouring unknown characters become one id: they must stay in one unit.
+    lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined) if len(byte_of) == 256 else ""
     unit = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
     return Pieces(
         kind, decoded, unk, np.array([byte_of[b] for b in range(256)]) if len(byte_of) == 256 else None, by_length,
