@@ -67,7 +67,8 @@ def _keyed(df: DataFrame, stride: int, *keep: str) -> DataFrame:
     similarity j share one with probability 1 - (1 - j)^BANDS.
     """
     orders = range(BANDS // 2)
-    permuted = df.select(*keep, "h", *[F.transform("h", lambda x, k=k: F.xxhash64(x, F.lit(k))).alias(f"p{k}") for k in orders])
+    shuffled = lambda k: lambda x: F.xxhash64(x, F.lit(k))
+    permuted = df.select(*keep, "h", *[F.transform("h", shuffled(k)).alias(f"p{k}") for k in orders])
     starts = F.sequence(F.lit(1), F.size("h") - (WINDOW - 1), F.lit(stride))
     bands = lambda i: F.array(
         *[F.xxhash64(F.lit(2 * k), F.array_min(F.slice(f"p{k}", i, WINDOW))) for k in orders],
