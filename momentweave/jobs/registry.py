@@ -76,8 +76,8 @@ def j1_speech_words(spark, d):
 _RANGES = "ranges AS (SELECT video_id, segment_id, start_time + 1.5 AS t0, end_time - 1.5 AS t1 FROM segments WHERE segment_id % 10 = 0)"
 
 
-def _ranges(spark, d):
-    return views.segments(spark, d).where("segment_id % 10 = 0").select("video_id", "segment_id", (F.col("start_time") + 1.5).alias("t0"), (F.col("end_time") - 1.5).alias("t1"))
+def _ranges(s):
+    return s.select("video_id", "segment_id", (F.col("start_time") + 1.5).alias("t0"), (F.col("end_time") - 1.5).alias("t1"))
 
 
 @query("j2_words_inside", sql(SEGMENTS + "," + _RANGES, """
@@ -85,7 +85,13 @@ SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
 FROM ranges r JOIN words w ON w.video_id = r.video_id AND w.start >= t0 AND w."end" <= t1 GROUP BY r.video_id, r.segment_id
 """))
 def j2_words_inside(spark, d):
-    return W.range_text(_ranges(spark, d), views.words(spark, d), ["video_id", "segment_id"])
+    """Every tenth segment alone, as its SQL has them; j2_all_words_inside runs the whole."""
+    return W.range_text(_ranges(views.segments(spark, d).where("segment_id % 10 = 0")), views.words(spark, d), ["video_id", "segment_id"])
+
+
+@query("j2_all_words_inside")
+def j2_all_words_inside(spark, d):
+    return W.range_text(_ranges(views.segments(spark, d)), views.words(spark, d), ["video_id", "segment_id"])
 
 
 @query("j3_words_overlapping", sql(SEGMENTS + "," + _RANGES, """
@@ -93,7 +99,13 @@ SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
 FROM ranges r JOIN words w ON w.video_id = r.video_id AND w."end" > t0 AND w.start < t1 GROUP BY r.video_id, r.segment_id
 """))
 def j3_words_overlapping(spark, d):
-    return W.range_text(_ranges(spark, d), views.words(spark, d), ["video_id", "segment_id"], contained=False)
+    """Every tenth segment alone, as its SQL has them; j3_all_words_overlapping runs the whole."""
+    return W.range_text(_ranges(views.segments(spark, d).where("segment_id % 10 = 0")), views.words(spark, d), ["video_id", "segment_id"], contained=False)
+
+
+@query("j3_all_words_overlapping")
+def j3_all_words_overlapping(spark, d):
+    return W.range_text(_ranges(views.segments(spark, d)), views.words(spark, d), ["video_id", "segment_id"], contained=False)
 
 
 @query("j4_natural_boundaries", sql(SEGMENTS + """,
@@ -552,8 +564,8 @@ def s1_transcript_words(spark, d):
 
 @query("w12_s8_captions")
 def w12_s8_captions(spark, d):
-    """Caption lines of every tenth segment, padded."""
-    s = views.segments(spark, d).where("segment_id % 10 = 0")
+    """Caption lines of every segment, padded."""
+    s = views.segments(spark, d)
     t0, t1 = captions.padded(F.col("start_time"), F.col("end_time"))
     clips = s.select("video_id", F.col("segment_id").cast("long").alias("clip_id"), t0.alias("t0"), t1.alias("t1"))
     found = W.words_overlapping(clips, views.words(spark, d))

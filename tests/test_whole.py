@@ -1,12 +1,24 @@
 """Queries that run over every row beside brute force, on the smallest tables."""
 
 import numpy as np
+import pytest
 
-from momentweave.jobs import registry
+from momentweave.jobs import registry, views
+from momentweave.operators.captions import packed_lines
 
 DATA = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module")
+def words(spark):
+    return {v: g for v, g in views.words(spark, DATA).toPandas().sort_values(["video_id", "word_idx"]).groupby("video_id")}
+
+
+@pytest.fixture(scope="module")
+def segments(spark):
+    return views.segments(spark, DATA).toPandas().sort_values(["video_id", "idx"])
+
+
 def test_every_fiftieth_vector_is_searched(spark):
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas().sort_values("vec_id")
     ids, m = e.vec_id.to_numpy(), np.stack(e.embedding).astype(float)
@@ -20,3 +32,29 @@ def test_every_fiftieth_vector_is_searched(spark):
     for q, g in got.groupby("query_id"):
         assert g.vec_id.nunique() == 5 and np.allclose(sorted(g.distance), want[q], atol=1e-4)
         assert np.allclose(g.distance, np.sqrt(np.maximum(2 * (1 - m[np.searchsorted(ids, g.vec_id)] @ m[ids == q][0]), 0)), atol=1e-4)
+
+
+def ranged(segments, words, pad, contained):
+    """(video, segment) with the words of its span, moved out by pad on both sides, as a frame."""
+    for r in segments.itertuples():
+        w = words[r.video_id]
+        t0, t1 = r.start_time - pad, r.end_time + pad
+        inside = (w.start >= t0) & (w.end <= t1) if contained else (w.end > t0) & (w.start < t1)
+        if inside.any():
+            yield (r.video_id, r.segment_id), w[inside]
+
+
+@pytest.mark.parametrize("name, contained", [("j2_all_words_inside", True), ("j3_all_words_overlapping", False)])
+def test_every_segment_gets_its_words(spark, words, segments, name, contained):
+    want = {key: " ".join(w.word) for key, w in ranged(segments, words, -1.5, contained)}
+    got = {(r.video_id, r.segment_id): r.text for r in registry.QUERIES[name](spark, DATA).collect()}
+    assert any(s % 10 for _, s in want) and got == want
+
+
+def test_every_segment_gets_captions(spark, words, segments):
+    want = set()
+    for (v, s), w in ranged(segments, words, 0.3, False):
+        text = w.word.tolist()
+        want |= {(v, s, k, " ".join(text[a : b + 1])) for k, (a, b) in enumerate(packed_lines(np.array([len(x) for x in text]), 28))}
+    got = [(r.video_id, r.clip_id, r.line, r.text) for r in registry.QUERIES["w12_s8_captions"](spark, DATA).collect()]
+    assert any(s % 10 for _, s, _, _ in want) and len(got) == len(want) and set(got) == want
