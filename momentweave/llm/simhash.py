@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, bounded_batches, cut, spare, table
+from .common import as_bytes, bounded_batches, cut, mix, prefix_hash, span_hash, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
+STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 20  # of the pipeline's stage
+BANDS, BAND_ROWS = 20, 5  # 20 keys of five minima: texts of similarity 0.8 share none once in 2,800 pairs
 SHARD = 512  # fingerprints of one shard tree; larger buckets are compared shard by shard
 
 
@@ -30,6 +32,11 @@ def fingerprint(text: bytes) -> int:
     starts = np.concatenate(([0], ends[: -SHINGLE] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
     h = np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)], np.uint64)
+    return majority(h)
+
+
+def majority(h: np.ndarray) -> int:
+    """A bit is 1 if set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 1 << 16):
         part = np.ascontiguousarray(h[k : k + (1 << 16)]).view(np.uint8).reshape(-1, 8)
@@ -193,12 +200,133 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return prints.join(of_print, "fingerprint", "left").select("doc_id", hexed, "component_id")
 
 
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """Distinct hashes, in order, of the `size`-word shingles of a text; a shorter text is one shingle, none has none."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    size = min(size, len(words))
+    return np.unique(span_hash(prefix_hash(np.frombuffer(b" ".join(words), np.uint8)), starts[: len(words) - size + 1], ends[size - 1 :]))
+
+
+def sketch(text: bytes, size: int, factors: np.ndarray) -> np.ndarray:
+    """Hash of a text's set of shingles, SimHash of the set, and a key of each band of minima (factors: bands x rows)."""
+    h = shingles(text, size)
+    least = np.full(factors.size, 2**64 - 1, np.uint64)
+    for k in range(0, len(h), 1 << 12):
+        np.minimum(least, (h[k : k + (1 << 12), None] * factors.ravel()).min(0), out=least)
+    places = np.arange(1, factors.size + 1, dtype=np.uint64).reshape(factors.shape)
+    bands = mix(mix(least.reshape(factors.shape) + mix(places)).sum(1, dtype=np.uint64))
+    return np.concatenate((np.array([mix(h).sum(dtype=np.uint64), majority(h)], np.uint64), bands))
+
+
+def sketches(size: int, bands: int, rows: int):
+    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in arrays:
+            found = [sketch(b, size, factors).view(np.int64) for b in as_bytes(texts)]
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (2 + bands))
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
+
+    return of
+
+
+def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose sets of shingles have a Jaccard similarity of at least `similarity`."""
+
+    @F.arrow_udf(T.BooleanType())
+    def similar(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            out = []
+            for x, y in zip(as_bytes(left), as_bytes(right), strict=True):
+                x, y = shingles(x, size), shingles(y, size)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                out.append(shared >= similarity * (len(x) + len(y) - shared) - 1e-9)
+            yield pa.array(out, pa.bool_())
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = cut(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"), "compared")
+    both = pairs.join(texts.toDF("a", "left"), "a").join(texts.toDF("b", "right"), "b")
+    return cut(both.where(similar("left", "right")).select("a", "b").distinct(), "similar")
+
+
+def _pair_partitions(radius: int):
+    """Rows (group, side, fingerprint, node, component), sorted by group and side, to pairs within radius of different components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
+        side, fp, node, component = (np.concatenate(c) for c in zip(*rows, strict=True))
+        tree = np.flatnonzero(side == 0)
+        asking = tree if len(tree) == len(side) else np.flatnonzero(side == 1)
+        near = (np.bitwise_count(fp[asking][:, None] ^ fp[tree]) <= radius) & (component[asking][:, None] != component[tree])
+        x, y = np.nonzero(near)
+        x, y = node[asking[x]], node[tree[y]]
+        return pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)}, schema)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            group, side, fp, node, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+            for a, b in zip(edges, edges[1:]):
+                if rows and group[a] != key:
+                    yield pairs(rows)
+                    rows = []
+                key = group[a]
+                rows.append((side[a:b], fp[a:b], node[a:b], component[a:b]))
+        if rows:
+            yield pairs(rows)
+
+    return of
+
+
+def similar_documents(docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, bands: int = BANDS, rows: int = BAND_ROWS, shard: int = SHARD) -> DataFrame:
+    """doc_id and component_id of every row of docs (doc_id, text) with a doc_id; links are pairs of similar sets of shingles.
+
+    Blocks of a fingerprint's bits cannot bring texts of similarity 0.8 together (they differ in about 10 of 64 bits),
+    so rows meet by bands of minima instead. Those whose SimHash lies within radius are compared exactly. First each
+    row with the least of its bucket; then, in buckets that this leaves in several components, all rows of different
+    ones, dealt into shards as in link(). Rows that share a doc_id count as one document, equal sets as one row.
+    """
+    bounded_batches(docs.sparkSession)
+    s = F.col("sketch")
+    told = docs.where("doc_id IS NOT NULL").select("doc_id", sketches(size, bands, rows)("text").alias("sketch"))
+    prints = cut(told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), F.slice(s, 3, bands).alias("bands")), "sketches")
+    nodes = cut(prints.groupBy("same").agg(F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "bands")).alias("least")).select("same", "least.*"), "nodes")
+    keyed = nodes.select("node", "fingerprint", F.explode("bands").alias("bucket"))
+    heads = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("fingerprint", "node").alias("head_print")).where("n > 1").drop("n")
+    met = cut(keyed.join(heads, "bucket"), "met")
+    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("head_print"))) <= radius
+    star = cut(met.where((F.col("node") != F.col("head")) & near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star")
+    links = verified(star, docs, size, similarity)
+    rest = met.join(components(links), "node", "left").select("bucket", "node", "fingerprint", F.coalesce("component", "node").alias("component"))
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    rest = rest.join(open_.select("bucket", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "bucket")
+    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    groups = dealt.select(F.xxhash64("bucket", low, high).alias("group"), F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side"), "fingerprint", "node", "component")
+    dealt = groups.repartition("group").sortWithinPartitions("group", "side")
+    pairs = dealt.mapInArrow(_pair_partitions(radius), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
+    links = links.union(verified(cut(pairs, "pairs"), docs, size, similarity))
+    several = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    of_row = prints.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node")
+    repeated = of_row.join(several, "doc_id", "left_semi").where("doc_id != node").select(F.greatest("doc_id", "node").alias("a"), F.least("doc_id", "node").alias("b"))
+    found = components(links.union(repeated))
+    return of_row.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs with one row of each near-duplicate group, that of its smallest doc_id, and each row without a doc_id.
+    """docs with one row of each group of similar_documents, that of its smallest doc_id, and each row without a doc_id.
 
     If several rows share that doc_id, the first by text and then by the row's hash stays.
     """
-    judged = near_duplicates(docs.select("doc_id", "text"))
+    judged = cut(similar_documents(docs.select("doc_id", "text")), "judged")
     later = judged.where("component_id < doc_id").select("doc_id").distinct()
     kept = docs.join(later, "doc_id", "left_anti").select(docs.columns)
     repeated = judged.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

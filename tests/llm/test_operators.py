@@ -272,6 +272,33 @@ def test_simhash_shards_and_chains(spark):
     assert set(found.values()) == {60} and len(found) == 40
 
 
+def five_words(text):
+    w = text.split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_stage_keeps_one_of_each_group_of_similarity_four_fifths(spark):
+    rng, rows, want = np.random.default_rng(7), [], set()
+    for n in range(120):
+        w = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(60, 250)))]
+        near = list(w)
+        for k in rng.choice(len(w), int(len(w) * rng.uniform(0.01, 0.04)) + 1, replace=False):
+            near[k] = "other"
+        x, y = five_words(" ".join(w)), five_words(" ".join(near))
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(near))]
+        want |= {2 * n} | ({2 * n + 1} if len(x & y) < 0.8 * len(x | y) else set())
+    assert 150 < len(want) < 220
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in got.collect()} == want
+
+
+def test_stage_links_over_shards_and_rows_that_miss_the_least(spark):
+    base = [f"b{k}" for k in range(100)]
+    steps = [" ".join([f"new{k}" if k < 2 * n else w for k, w in enumerate(base)]) for n in range(30)]  # each like its neighbours alone
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(steps)), "doc_id long, text string"), shard=2)
+    assert {r.component_id for r in got.collect()} == {0}
+
+
 def test_neighbours(spark):
     got = neighbours.op9_nearest_neighbours(spark, DATA).toPandas()
     e = spark.read.parquet(f"{DATA}/embeddings.parquet").toPandas().sort_values("vec_id")
