@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -14,7 +16,7 @@ from ..sources import tables as T
 from . import views
 from .oracles import COMBOS, ENERGY, ESTIMATES, SEGMENTS, WORDS, sql
 
-FLAGSHIP = "best_clips"
+FLAGSHIP = "best_all_clips"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -208,20 +210,50 @@ SELECT video_id, i, j, round(t0, 6) AS t0, round(t1, 6) AS t1, round(estimated_s
 FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY round(estimated_score, 4) DESC, t0, t1, i) AS rank FROM estimates) WHERE rank <= {k}"""
 
 
-def _best(spark, d, k):
-    s = views.segments(spark, d)
-    scored = ranking.estimated(C.combinations(s), s.drop("idx"), ["video_id", "i", "j", "t0", "t1"]).withColumn("estimated_score", F.round("estimated_score", 4))
+def _best(s, ranges, k):
+    scored = ranking.estimated(ranges, s.drop("idx"), ["video_id", "i", "j", "t0", "t1"]).withColumn("estimated_score", F.round("estimated_score", 4))
     return ranking.top(scored, k, F.desc("estimated_score"), "t0", "t1", "i").select("video_id", "i", "j", *r6("t0", "t1"), "estimated_score", "rank")
 
 
+def _best_combinations(spark, d, k):
+    s = views.segments(spark, d)
+    return _best(s, C.combinations(s), k)
+
+
+def _kept(df):
+    """df computed once, as Parquet in spark.checkpoint.dir; if that isn't set, by the executors."""
+    if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
+        return df.localCheckpoint()
+    df.write.parquet(path := f"{folder}/kept-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _best_generated(spark, d, k):
+    """The strategies read segments and words many times over, and the ranking reads candidates twice."""
+    s, w = _kept(views.segments(spark, d)), _kept(views.words(spark, d))
+    return _best(s, _kept(C.generate(s, w)), k)
+
+
 @query("best_clips", sql(ESTIMATES, _TOP.format(k=8)))
 def best_clips(spark, d):
-    return _best(spark, d, 8)
+    """Of W5's candidates alone, as its SQL has them; best_all_clips ranks those of all strategies."""
+    return _best_combinations(spark, d, 8)
+
+
+@query("best_all_clips")
+def best_all_clips(spark, d):
+    return _best_generated(spark, d, DEFAULTS.clips)
 
 
 @query("t2_refined_candidates", sql(ESTIMATES, _TOP.format(k=120)))
 def t2_refined_candidates(spark, d):
-    return _best(spark, d, DEFAULTS.refined)
+    """Of W5's candidates alone, as its SQL has them; t2_all_refined_candidates ranks those of all strategies."""
+    return _best_combinations(spark, d, DEFAULTS.refined)
+
+
+@query("t2_all_refined_candidates")
+def t2_all_refined_candidates(spark, d):
+    return _best_generated(spark, d, DEFAULTS.refined)
 
 
 @query("t3_top_segments", sql(SEGMENTS, """
@@ -265,12 +297,12 @@ def w19_refinements(spark, d):
 
 @query("w18_diverse_clips")
 def w18_diverse_clips(spark, d):
-    """Of each video's best candidates near 100 s, up to eight that differ."""
-    best = _best(spark, d, DEFAULTS.refined).where(S.in_target(F.col("t1") - F.col("t0"), 100.0, 30.0))
-    text = W.range_text(best, views.words(spark, d), ["video_id", "i", "j", "t0", "t1", "estimated_score"])
+    """Of each video's best candidates in target, up to eight that differ; candidate_id is the rank among the best."""
+    best = _best_generated(spark, d, DEFAULTS.refined).where(S.in_target(F.col("t1") - F.col("t0")))
+    text = W.range_text(best, views.words(spark, d), ["video_id", "t0", "t1", "estimated_score", "rank"])
     labels = views.read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), (F.col("toxic") == 1).alias("flagged"), F.when(F.col("doc_id") % 2 == 0, 0.4).otherwise(0.8).alias("severity"))
     judged = text.join(labels, "video_id", "left").where(~S.moderated(F.col("text"), F.col("flagged"), F.col("severity")))
-    clips = judged.select("video_id", (F.col("i") * 1000 + F.col("j")).cast("long").alias("candidate_id"), F.col("t0").alias("start_time"), F.col("t1").alias("end_time"), F.col("estimated_score").alias("score"), S.topic("text").alias("topic"), S.emotion("text").alias("emotion"))
+    clips = judged.select("video_id", F.col("rank").cast("long").alias("candidate_id"), F.col("t0").alias("start_time"), F.col("t1").alias("end_time"), F.col("estimated_score").alias("score"), S.topic("text").alias("topic"), S.emotion("text").alias("emotion"))
     return ranking.select_diverse(clips)
 
 

@@ -3,8 +3,11 @@
 import numpy as np
 import pytest
 
+from momentweave.functions import scalars as S
 from momentweave.jobs import registry, views
+from momentweave.operators import candidates as C
 from momentweave.operators.captions import packed_lines
+from momentweave.params import HOOK_NARROW, PAYOFF
 
 DATA = "/root/testdata/sf0.001"
 
@@ -58,3 +61,55 @@ def test_every_segment_gets_captions(spark, words, segments):
         want |= {(v, s, k, " ".join(text[a : b + 1])) for k, (a, b) in enumerate(packed_lines(np.array([len(x) for x in text]), 28))}
     got = [(r.video_id, r.clip_id, r.line, r.text) for r in registry.QUERIES["w12_s8_captions"](spark, DATA).collect()]
     assert any(s % 10 for _, s, _, _ in want) and len(got) == len(want) and set(got) == want
+
+
+@pytest.fixture(scope="module")
+def ranked(spark, segments):
+    """The candidates of all strategies of each video, scored one by one, best first."""
+    of, out = {v: list(g.itertuples()) for v, g in segments.groupby("video_id")}, {}
+    for c in C.generate(views.segments(spark, DATA).localCheckpoint(), views.words(spark, DATA).localCheckpoint()).toPandas().itertuples():
+        total = weights = bonus = 0.0
+        for s in of[c.video_id]:
+            shared = min(c.t1, s.end_time) - max(c.t0, s.start_time)
+            if shared > 0 and s.end_time > s.start_time:
+                w = shared / (s.end_time - s.start_time)
+                total, weights = total + s.score * w, weights + w
+                bonus += s.is_complete + 3 * (w > 0.3) * ((s.segment_type in HOOK_NARROW) + (s.segment_type in PAYOFF))
+        score = min(100.0, max(0.0, total / weights + bonus - abs(c.t1 - c.t0 - 148) * 0.5)) if weights else 50.0
+        out.setdefault(c.video_id, []).append((-round(score, 4), c.t0, c.t1, c.i, c.j))
+    return {v: sorted(rows) for v, rows in out.items()}
+
+
+@pytest.mark.parametrize("name, k", [("best_all_clips", 8), ("t2_all_refined_candidates", 120)])
+def test_the_best_of_all_strategies_are_ranked(spark, ranked, name, k):
+    got = registry.QUERIES[name](spark, DATA).toPandas().sort_values(["video_id", "rank"])
+    assert (got.j - got.i > 5).any()  # longer runs than W5 has
+    assert set(got.video_id) == set(ranked)
+    for v, g in got.groupby("video_id"):
+        want = ranked[v][:k]
+        assert list(g["rank"]) == list(range(1, len(want) + 1))
+        assert np.allclose(g.estimated_score, [-r[0] for r in want], atol=2e-4)
+        all_of_it = {(round(r[1], 6), round(r[2], 6), r[3], r[4]): -r[0] for r in ranked[v]}
+        assert np.allclose(g.estimated_score, [all_of_it[r.t0, r.t1, r.i, r.j] for r in g.itertuples()], atol=2e-4)
+
+
+def test_diverse_clips_are_chosen_from_all_strategies_in_target(spark, words):
+    best = registry.QUERIES["t2_all_refined_candidates"](spark, DATA).toPandas()
+    best = best[(best.t1 - best.t0 - 148).abs() <= 3]
+    rows = [(r.video_id, r.rank, r.t0, r.t1, r.estimated_score, " ".join(w.word[(w.start >= r.t0) & (w.end <= r.t1)])) for r in best.itertuples() for w in [words[r.video_id]]]
+    toxic = {r.doc_id for r in views.read(spark, DATA, "labels").where("toxic = 1").collect()}
+    rows = [r for r in rows if not (r[0] in toxic and r[0] % 2 and len(r[5].strip()) >= 30)]
+    frame = spark.createDataFrame(rows, "v long, id long, t0 double, t1 double, score double, text string")
+    told = frame.select("v", "id", "t0", "t1", "score", S.topic("text").alias("topic"), S.emotion("text").alias("emotion")).toPandas()
+    want = set()
+    for v, g in told.sort_values(["score", "t0", "t1"], ascending=[False, True, True]).groupby("v"):
+        picks = []
+        for varied in (True, False):
+            for r in g.itertuples():
+                new = all(r.topic != p.topic for p in picks) or all(r.emotion != p.emotion for p in picks)
+                clear = all((min(r.t1, p.t1) - max(r.t0, p.t0)) / (r.t1 - r.t0) <= 0.3 for p in picks)
+                if len(picks) < 8 and clear and (new or not varied):
+                    picks.append(r)
+        want |= {(v, p.id, p.t0, p.t1) for p in picks}
+    got = [(r.video_id, r.candidate_id, r.start_time, r.end_time) for r in registry.QUERIES["w18_diverse_clips"](spark, DATA).collect()]
+    assert want and len(got) == len(want) and set(got) == want
