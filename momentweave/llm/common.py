@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"  # the words of every contract: runs without ASCII white space
-BATCH_ROWS, BATCH_BYTES = 4_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 4_000, 4 << 20
+POWERS = 1 << 20  # of the hash base that a worker keeps
 _MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones((2, 1), np.uint64)
@@ -71,17 +72,19 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def powers(n: int) -> np.ndarray:
-    """Powers of the hash base up to n, and of its inverse."""
+    """Powers of the hash base up to n, and of its inverse. At most POWERS of them are kept for the next call."""
     global _powers
-    if _powers.shape[1] < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        grown = np.empty((2, max(n, 1 << 16)), np.uint64)
-        for row, base in zip(grown, (_BASE, inverse), strict=True):
-            row[0] = 1
-            row[1:] = base
-            np.multiply.accumulate(row, out=row)
+    if _powers.shape[1] >= n:
+        return _powers[:, :n]
+    inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
+    grown = np.empty((2, max(n, 1 << 16)), np.uint64)
+    for row, base in zip(grown, (_BASE, inverse), strict=True):
+        row[0] = 1
+        row[1:] = base
+        np.multiply.accumulate(row, out=row)
+    if len(grown[0]) <= POWERS:
         _powers = grown
-    return _powers[:, :n]
+    return grown[:, :n]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -101,7 +104,7 @@ def as_bytes(texts: pa.Array) -> list[bytes]:
     return [b or b"" for b in texts.cast(pa.binary()).to_pylist()]
 
 
-def pieces(texts: pa.Array, limit: int = 4 << 20):
+def pieces(texts: pa.Array, limit: int = 1 << 20):
     """Slices of about limit bytes (one text at least), as lists of bytes: bounds the memory of numpy temporaries."""
     held, size = [], 0
     for b in as_bytes(texts):

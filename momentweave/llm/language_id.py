@@ -22,7 +22,7 @@ UNKNOWN = "und"
 RESULTS = ("lang_pred", "score", "cross_entropy", "rejected")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGE = "\x02"  # stands before and after each word
-_SLICE = 4 << 20  # characters scored at a time
+_SLICE = 1 << 20  # characters scored at a time
 
 
 def words_of(text: str | None) -> list[str]:

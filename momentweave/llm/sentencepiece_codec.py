@@ -22,7 +22,7 @@ UNIGRAM, BPE = 1, 2  # fixed values of the model file's format
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # likewise
 LONG = 48  # characters; longer units are encoded one by one with a heap
 _UNK_PENALTY = 10.0  # what the library subtracts from the lowest score for an unknown character
-_SLICE = 8 << 20
+_SLICE = 1 << 20
 
 
 def _rolling(codes: np.ndarray, n: int) -> np.ndarray:

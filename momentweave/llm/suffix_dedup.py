@@ -16,7 +16,7 @@ from .common import as_bytes, bounded_batches, cut, mix, powers, prefix_hash, sp
 LENGTH = 100  # bytes of a string that may stay once
 GRAM = 32  # bytes of an anchor
 SHARD_SEGMENTS = 4_096  # segments of one anchor in one shard
-SHARD_BYTES = 2 << 20  # bytes of a suffix array, about
+SHARD_BYTES = 1 << 20  # bytes of a suffix array, about
 PART_ROWS = 1_024  # rows of one anchor that are compared in one place, about
 HOT_ANCHORS, HOT_SHARE = 20_000, 32  # anchors that get split, at most; one document in so many is looked at to find them
 _PACK = 16  # bits of a start count beside a start
