@@ -1,4 +1,4 @@
-"""Operator 10: SentencePiece encoding and decoding in numpy, for unigram and for BPE models."""
+"""Operator 10: SentencePiece encoding and decoding by batched Viterbi in numpy, for unigram and for BPE models."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +19,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model file's format
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # likewise
-LONG = 48  # characters; longer units are encoded one by one with a heap
+LONG = 64  # characters; longer units are few, so vectors over them would be short: each is merged with a heap
+KEPT_UNITS = 50_000  # encoded units that a worker keeps for its next texts
 _UNK_PENALTY = 10.0  # what the library subtracts from the lowest score for an unknown character
-_SLICE = 1 << 20
+_SLICE = 1 << 20  # characters encoded at a time
+_NEVER = np.iinfo(np.int64).max
 
 
 def _rolling(codes: np.ndarray, n: int) -> np.ndarray:
@@ -38,31 +39,131 @@ def _codes(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1).astype(np.uint64)
 
 
-def _probe(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Places of wanted among sorted keys, -1 where absent."""
-    if not len(keys):
-        return np.full(wanted.shape, -1)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, at, -1)
+class _Keys:
+    """Sorted hashes. A probe looks up where those of its leading bits begin, and goes on from there."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.order = np.argsort(hashes)
+        self.hashes = np.append(hashes[self.order], np.uint64(0))
+        bits = max(4, len(hashes).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        heads = np.searchsorted(self.hashes[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift)
+        self.first, self.size = heads, np.diff(np.append(heads, len(hashes)))
+        self.used, self.most = self.size > 0, int(self.size.max(initial=0))
+
+    def probe(self, wanted: np.ndarray) -> np.ndarray:
+        """Places of wanted (a vector) among the sorted hashes, -1 where absent."""
+        out = np.full(len(wanted), -1)
+        head = wanted >> self.shift
+        rows = np.flatnonzero(self.used[head])  # most are absent, and go here
+        at, mine = self.first[head[rows]], wanted[rows]
+        for k in range(self.most):
+            hit = self.hashes[np.minimum(at + k, len(self.order))] == mine
+            hit &= at + k < len(self.order)
+            out[rows[hit]] = at[hit] + k
+        return out
+
+
+class Merges:
+    """The merges of a BPE model over its symbols: the ids of its pieces, then single characters that are no piece, the
+    last of them for every character that no piece holds.
+
+    A symbol has the place of its merge in the order of merges (-1: a single character) and the two symbols that this
+    merge joins. A piece's last merge joins the two parts that stay apart under all earlier merges.
+    """
+
+    def __init__(self, usable: dict[str, tuple[int, float]], singles: dict[str, int], other: int):
+        self.span = other + 1
+        self.place, self.left, self.right = (np.full(self.span, -1, np.int64) for _ in range(3))
+        symbol = {p: i for p, (i, _) in usable.items()} | singles
+        rank = {p: k for k, p in enumerate(sorted((p for p in usable if len(p) > 1), key=lambda p: -usable[p][1]))}
+        splits = [(symbol[p[:k]] * self.span + symbol[p[k:]], rank[p], usable[p][0], len(p)) for p in rank for k in range(1, len(p)) if p[:k] in symbol and p[k:] in symbol]
+        keys, places, ids, length = np.array(splits, np.int64).reshape(-1, 4).T
+        self.keys = _Keys(mix(keys.astype(np.uint64)))
+        keys, self.places, self.ids, length = (x[self.keys.order] for x in (keys, places, ids, length))
+        single = np.zeros(self.span, bool)
+        single[list(singles.values())] = True
+        for n in np.unique(length):  # the merges of a piece's parts, which are shorter, are known by then
+            at = np.flatnonzero(length == n)
+            a, b = np.divmod(keys[at], self.span)
+            made = ((self.place[a] >= 0) | single[a]) & ((self.place[b] >= 0) | single[b]) & (np.maximum(self.place[a], self.place[b]) < self.places[at])
+            at, a, b = at[made], a[made], b[made]
+            fits = self.apart(a, b, self.places[at])
+            whole = self.ids[at[fits]]
+            self.place[whole], self.left[whole], self.right[whole] = self.places[at[fits]], a[fits], b[fits]
+        #: Whether every piece is merged after both of its parts; pieces that no text becomes don't count.
+        self.ordered = all(self.merged([singles[c] for c in p]) != [usable[p][0]] for p in rank if self.place[usable[p][0]] < 0)
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of the pairs that can be merged, -1 of others."""
+        return self.keys.probe(mix((a * self.span + b).astype(np.uint64)))
+
+    def apart(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
+        """Whether merging (up to place limit) leaves neighbouring symbols a and b as they are.
+
+        Their merges are undone from the last one on. Two symbols that meet at the boundary on the way stay apart
+        only if they can't be merged before one of them is taken up on its own side; of equal merges the left one
+        goes first.
+        """
+        fits, live = np.ones(len(a), bool), np.arange(len(a))
+        limit = np.full(len(a), _NEVER) if limit is None else limit
+        while len(live):
+            at = self.pairs(a, b)
+            bad = at >= 0
+            bad[bad] = self.places[at[bad]] < limit[bad]
+            fits[live[bad]] = False
+            more = ~bad & (np.maximum(self.place[a], self.place[b]) >= 0)
+            live, a, b = live[more], a[more], b[more]
+            back = self.place[a] > self.place[b]
+            limit = np.where(back, self.place[a], self.place[b] + 1)
+            a, b = np.where(back, self.right[a], a), np.where(back, b, self.left[b])
+        return fits
+
+    def merged(self, symbols: list[int]) -> list[int]:
+        """Symbols of one word merged pair by pair, with a heap of candidates."""
+        n = len(symbols)
+        after, before, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
+
+        def offer(lefts: list[int]) -> None:
+            lefts = [i for i in lefts if i >= 0 and after[i] >= 0]
+            at = self.pairs(np.array([symbols[i] for i in lefts], np.int64), np.array([symbols[after[i]] for i in lefts], np.int64)).tolist()
+            for i, k in zip(lefts, at, strict=True):
+                if k >= 0:
+                    heapq.heappush(heap, (int(self.places[k]), i, symbols[i], symbols[after[i]], int(self.ids[k])))
+
+        offer(list(range(n - 1)))
+        while heap:
+            _, i, a, b, whole = heapq.heappop(heap)
+            j = after[i]
+            if symbols[i] != a or j < 0 or symbols[j] != b:
+                continue
+            symbols[i], symbols[j] = whole, -1
+            after[i] = after[j]
+            if after[j] >= 0:
+                before[after[j]] = i
+            after[j] = -1
+            offer([before[i], i])
+        return [s for s in symbols if s >= 0]
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """A model's pieces as sorted arrays. Ids from len(bytes) on stand for single characters that are no piece."""
+    """A model's pieces as sorted arrays."""
 
-    kind: int
     bytes_: list[bytes]  # what each id decodes to, before the dummy prefix goes
     unk: int
     byte_ids: np.ndarray | None
-    by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # length -> sorted hashes, ids, scores
+    by_length: dict[int, tuple[_Keys, np.ndarray, np.ndarray]]  # length -> keys, their ids and scores
     lowest: float
-    pair_keys: np.ndarray  # BPE: left * span + right, sorted
-    pair_ids: np.ndarray
-    pair_scores: np.ndarray
-    pairs: dict[int, tuple[float, int]]  # the same, for one long unit
-    singles: dict[str, int]
-    span: int
-    unit: re.Pattern
+    unit: re.Pattern  # what is encoded by itself: no piece crosses its edges
+    points: np.ndarray  # code points of single characters, sorted, and their symbols
+    symbols: np.ndarray
+    merges: Merges | None  # of a BPE model
+
+    def single(self, codes: np.ndarray) -> np.ndarray:
+        """BPE: symbols of single characters."""
+        at = np.minimum(np.searchsorted(self.points, codes), len(self.points) - 1)
+        return np.where(self.points[at] == codes, self.symbols[at], self.merges.span - 1) if len(self.points) else np.full(codes.shape, self.merges.span - 1)
 
 
 def load_pieces(path: str = MODEL) -> Pieces:
@@ -81,9 +182,9 @@ def load_pieces(path: str = MODEL) -> Pieces:
 def build_pieces(kind: int, vocabulary: list[tuple[str, float, int]]) -> Pieces:
     if kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are supported")
-    usable = {p: (i, s) for i, (p, s, t) in enumerate(vocabulary) if t in (NORMAL, USER)}
-    if any(t == UNUSED for *_, t in vocabulary) or any(t == USER for *_, t in vocabulary):
+    if any(t in (UNUSED, USER) for *_, t in vocabulary):
         raise ValueError("user-defined and unused pieces are not supported")
+    usable = {p: (i, s) for i, (p, s, t) in enumerate(vocabulary) if t == NORMAL}
     if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in usable):
         raise ValueError("pieces across words are not supported")
     byte_of = {int(p[3:-1], 16): i for i, (p, _, t) in enumerate(vocabulary) if t == BYTE}
@@ -92,217 +193,160 @@ def build_pieces(kind: int, vocabulary: list[tuple[str, float, int]]) -> Pieces:
         b"" if t == CONTROL else bytes([int(p[3:-1], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNK else p.replace(SPACE, " ").encode()
         for p, _, t in vocabulary
     ]
-    by_length = {}
+    singles = {p: i for p, (i, _) in usable.items() if len(p) == 1}
+    for c in sorted({c for p in usable for c in p} - set(singles)):
+        singles[c] = len(vocabulary) + len(singles)
+    merges = Merges(usable, singles, len(vocabulary) + len(singles)) if kind == BPE else None
     lengths = defaultdict(list)
-    for p in usable:
-        lengths[len(p)].append(p)
+    for p, (i, _) in usable.items():
+        if merges is None or (len(p) > 1 and merges.place[i] >= 0):
+            lengths[len(p)].append(p)
+    by_length = {}
     for n, group in lengths.items():
-        h = _rolling(_codes(group), n)[:, 0]
-        order = np.argsort(h)
-        ids, scores = np.array([usable[p][0] for p in group]), np.array([usable[p][1] for p in group])
-        by_length[n] = (h[order], ids[order], scores[order])
-    singles = {p: i for p, (i, _) in usable.items() if len(p) == 1}
-    for p in usable:
-        for c in p:
-            singles.setdefault(c, len(vocabulary) + len(singles))
-    symbol = {p: i for p, (i, _) in usable.items()} | singles
-    span = len(vocabulary) + len(singles) + 2
-    pairs = {}
-    if kind == BPE:
-        for p, (i, s) in usable.items():
-            for k in range(1, len(p)):
-                if p[:k] in symbol and p[k:] in symbol:
-                    pairs[symbol[p[:k]] * span + symbol[p[k:]]] = (i, s)
-    keys = np.array(sorted(pairs), np.int64)
+        keys = _Keys(_rolling(_codes(group), n)[:, 0])
+        by_length[n] = (keys, np.array([usable[p][0] for p in group])[keys.order], np.array([usable[p][1] for p in group])[keys.order])
     joined = {c for p in usable if len(p) > 1 for c in p}
     # Without byte pieces, neighbouring unknown characters become one id: they must stay in one unit.
     lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined) if len(byte_of) == 256 else ""
     unit = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
+    chars = sorted(singles)
     return Pieces(
-        kind, decoded, unk, np.array([byte_of[b] for b in range(256)]) if len(byte_of) == 256 else None, by_length,
-        min((s for _, s in usable.values()), default=0.0), keys, np.array([pairs[k][0] for k in keys.tolist()], np.int64),
-        np.array([pairs[k][1] for k in keys.tolist()], float), {k: (s, i) for k, (i, s) in pairs.items()}, singles, span, unit,
+        decoded, unk, np.array([byte_of[b] for b in range(256)]) if len(byte_of) == 256 else None, by_length, min((s for _, s in usable.values()), default=0.0),
+        unit, np.array([ord(c) for c in chars], np.uint64), np.array([singles[c] for c in chars], np.int64), merges,
     )
 
 
-def viterbi(p: Pieces, words: list[str]) -> list[list[tuple[int, int, int]]]:
-    """Best-scoring segmentations of words of one length, as (start, end, id) with id -1 for an unknown character.
+def viterbi(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Best segmentations of words of one length: for each word and end, where the last piece of the text up to there
+    starts, and which symbol it is (-1: an unknown character).
 
     All words advance one character at a time: hashes of the substrings that end there probe the sorted pieces of
-    each length, and the maximum over lengths gives the score and the backpointer. Ties go to the longer piece.
+    each length, and the maximum over lengths gives the score and the backpointer. In a unigram model the score is
+    the best sum of piece scores; ties go to the longer piece. In a BPE model a piece scores if merging leaves it
+    apart from the last piece of the text before it. Merging gives each part of a word what it gives the part by
+    itself, so exactly one piece does, and the path is the one that merging the whole word would give.
     """
     codes = _codes(words)
     n, size = codes.shape
-    best = np.full((n, size + 1), -np.inf)
+    best = np.full((n, size + 1), -np.inf, order="F")
     best[:, 0] = 0
-    back, ids = np.zeros((n, size + 1), np.int64), np.full((n, size + 1), -1)
+    back, ids = np.zeros((n, size + 1), np.int64, "F"), np.full((n, size + 1), -1, order="F")
     lengths = sorted((k for k in p.by_length if k <= size), reverse=True)
-    hashes = {k: _rolling(codes, k) for k in lengths}
+    hashes = {k: np.asfortranarray(_rolling(codes, k)) for k in lengths}  # a column is read at a time
+    single = p.single(codes) if p.merges else None
     for end in range(1, size + 1):
-        best[:, end], back[:, end] = best[:, end - 1] + p.lowest - _UNK_PENALTY, end - 1
         options = [k for k in lengths if k <= end]
+        found = [p.by_length[k][0].probe(hashes[k][:, end - k]) for k in options]
+        piece = [p.by_length[k][1][a] for k, a in zip(options, found, strict=True)]
+        if p.merges:
+            options, piece = [*options, 1], [*piece, single[:, end - 1]]
+            rows = [*(np.flatnonzero(a >= 0) for a in found), np.arange(n)]
+            before = np.concatenate([ids[r, end - k] for k, r in zip(options, rows, strict=True)])
+            here = np.concatenate([x[r] for x, r in zip(piece, rows, strict=True)])
+            fits = before < 0  # the word's first piece
+            fits[~fits] = p.merges.apart(before[~fits], here[~fits])
+            score = np.full((len(options), n), -np.inf)
+            score[np.repeat(np.arange(len(options)), [len(r) for r in rows])[fits], np.concatenate(rows)[fits]] = 0
+        else:
+            best[:, end], back[:, end] = best[:, end - 1] + p.lowest - _UNK_PENALTY, end - 1
+            score = np.stack([np.where(a >= 0, best[:, end - k] + p.by_length[k][2][a], -np.inf) for k, a in zip(options, found, strict=True)]) if options else np.empty((0, n))
         if not options:
             continue
-        at = [_probe(p.by_length[k][0], hashes[k][:, end - k]) for k in options]
-        score = np.stack([np.where(a >= 0, best[:, end - k] + p.by_length[k][2][a], -np.inf) for k, a in zip(options, at, strict=True)])
         pick = score.argmax(0)
         top = score[pick, np.arange(n)]
         won = top > best[:, end]
         best[won, end] = top[won]
         for j, k in enumerate(options):
             mine = won & (pick == j)
-            back[mine, end], ids[mine, end] = end - k, p.by_length[k][1][at[j][mine]]
-    out = []
-    for row in range(n):
-        path, end = [], size
-        while end:
-            start = int(back[row, end])
-            path.append((start, end, int(ids[row, end])))
-            end = start
-        out.append(path[::-1])
-    return out
+            back[mine, end], ids[mine, end] = end - k, piece[j][mine]
+    return back, ids
 
 
-def _merge_rows(p: Pieces, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Merge words of one length together, the best pair of each at a time; yields (rows, symbols) as they finish."""
-    rows = np.arange(len(symbols))
+def _paths(back: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols and starts of the pieces of all words, from the first, and where each word's end. All go back together."""
+    n, rows, end, steps = len(ids), np.arange(len(ids)), np.full(len(ids), ids.shape[1] - 1), []
     while len(rows):
-        if symbols.shape[1] == 1:
-            yield rows, symbols
-            return
-        at = _probe(p.pair_keys, symbols[:, :-1] * p.span + symbols[:, 1:])
-        score = np.where(at >= 0, p.pair_scores[at] if len(p.pair_keys) else -np.inf, -np.inf)
-        pick = score.argmax(1)  # the leftmost of equal ones
-        live = score[np.arange(len(rows)), pick] > -np.inf
-        if not live.all():
-            yield rows[~live], symbols[~live]
-            rows, symbols, at, pick = rows[live], symbols[live], at[live], pick[live]
-        if not len(rows):
-            return
-        columns = np.arange(symbols.shape[1] - 1)[None, :]
-        merged = p.pair_ids[at[np.arange(len(rows)), pick]]
-        symbols = np.take_along_axis(symbols, columns + (columns > pick[:, None]), 1)
-        symbols[np.arange(len(rows)), pick] = merged
-
-
-def _merge_long(p: Pieces, symbols: list[int]) -> list[int]:
-    """The same for one long word, with a heap of candidate pairs."""
-    n = len(symbols)
-    after, before, heap = [*range(1, n), -1], [*range(-1, n - 1)], []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := after[i]) >= 0 and (found := p.pairs.get(symbols[i] * p.span + symbols[j])):
-            heapq.heappush(heap, (-found[0], i, symbols[i], symbols[j], found[1]))
-
-    for i in range(n - 1):
-        offer(i)
-    while heap:
-        _, i, a, b, merged = heapq.heappop(heap)
-        j = after[i]
-        if symbols[i] != a or j < 0 or symbols[j] != b:
-            continue
-        symbols[i], symbols[j] = merged, -1
-        after[i] = after[j]
-        if after[j] >= 0:
-            before[after[j]] = i
-        after[j] = -1
-        offer(before[i])
-        offer(i)
-    return [s for s in symbols if s >= 0]
-
-
-def _spell(p: Pieces, chars: str) -> list[int]:
-    """Ids of characters that are no piece."""
-    if p.byte_ids is None:
-        return [p.unk]
-    return p.byte_ids[list(chars.encode("utf-8", "surrogatepass"))].tolist()
-
-
-def encode_units(p: Pieces, units: list[str]) -> list[list[int]]:
-    """Ids of each unit; units of one length go together."""
-    out: list[list[int]] = [[]] * len(units)
+        steps.append((rows, ids[rows, end], back[rows, end]))
+        rows, end = rows[steps[-1][2] > 0], steps[-1][2][steps[-1][2] > 0]
+    word = np.concatenate([r for r, _, _ in steps])
+    count = np.bincount(word, minlength=n)
+    ends = np.cumsum(count)
+    place = ends[word] - 1 - np.repeat(np.arange(len(steps)), [len(r) for r, _, _ in steps])
+    symbols, starts = np.empty(len(word), np.int64), np.empty(len(word), np.int64)
+    symbols[place], starts[place] = np.concatenate([s for _, s, _ in steps]), np.concatenate([s for _, _, s in steps])
+    return symbols, starts, ends
+
+
+def _spelled(p: Pieces, word: str, symbols: list[int], starts: list[int]) -> bytes:
+    """Ids of a word's symbols, as 32-bit integers; characters that are no piece become their bytes or the unknown id."""
+    ids: list[int] = []
+    for s, start in zip(symbols, starts, strict=True):
+        if 0 <= s < len(p.bytes_):
+            ids.append(s)
+        elif p.byte_ids is not None:
+            ids += p.byte_ids[list(word[start].encode("utf-8", "surrogatepass"))].tolist()
+        elif not ids or ids[-1] != p.unk:  # the library joins unknown characters
+            ids.append(p.unk)
+    return np.array(ids, np.int32).tobytes()
+
+
+def encode_units(p: Pieces, units: list[str]) -> dict[str, bytes]:
+    """Ids of each unit, as 32-bit integers; units of one length go together."""
+    out: dict[str, bytes] = {}
     groups = defaultdict(list)
-    for i, u in enumerate(units):
-        groups[len(u)].append(i)
-    for size, members in groups.items():
-        words = [units[i] for i in members]
-        if p.kind == UNIGRAM:
-            for i, w, path in zip(members, words, viterbi(p, words), strict=True):
-                ids: list[int] = []
-                for a, b, piece in path:
-                    if piece >= 0:
-                        ids.append(piece)
-                    elif p.byte_ids is not None or not ids or ids[-1] != p.unk:  # the library joins unknown characters
-                        ids += _spell(p, w[a:b])
-                out[i] = ids
+    for u in units:
+        groups[len(u)].append(u)
+    top = len(p.bytes_)
+    for size, words in groups.items():
+        if p.merges and (size > LONG or not p.merges.ordered):
+            for w in words:
+                symbols = p.merges.merged(p.single(_codes([w])[0]).tolist())
+                width = [len(p.bytes_[s].decode()) if s < top else 1 for s in symbols]
+                out[w] = _spelled(p, w, symbols, [0, *np.cumsum(width)[:-1].tolist()])
             continue
-        other = p.span - 1
-        codes = [[p.singles.get(c, other) for c in w] for w in words]
-        if size > LONG:
-            done = [(i, w, _merge_long(p, c)) for i, w, c in zip(members, words, codes, strict=True)]
-        else:
-            done = []
-            for rows, symbols in _merge_rows(p, np.array(codes, np.int64)):
-                done += [(members[r], words[r], s) for r, s in zip(rows.tolist(), symbols.tolist(), strict=True)]
-        top = len(p.bytes_)
-        for i, w, symbols in done:
-            if max(symbols) < top:
-                out[i] = symbols
-                continue
-            ids, at = [], 0
-            for s in symbols:
-                if s < top:
-                    ids.append(s)
-                    at += len(p.bytes_[s].decode("utf-8"))
-                else:
-                    if p.byte_ids is not None or not ids or ids[-1] != p.unk:
-                        ids += _spell(p, w[at])
-                    at += 1
-            out[i] = ids
+        symbols, starts, ends = _paths(*viterbi(p, words))
+        raw = symbols.astype(np.int32).tobytes()
+        edges = [0, *ends.tolist()]
+        out |= {w: raw[4 * a : 4 * b] for w, a, b in zip(words, edges, edges[1:])}
+        for k in np.unique(np.searchsorted(ends, np.flatnonzero((symbols < 0) | (symbols >= top)), "right")).tolist():
+            out[words[k]] = _spelled(p, words[k], symbols[edges[k] : edges[k + 1]].tolist(), starts[edges[k] : edges[k + 1]].tolist())
     return out
 
 
 class Codec:
-    """Encodes and decodes batches of texts; each different unit of a batch is encoded once."""
+    """Encodes and decodes texts; a unit that it has met lately is not encoded again."""
 
     def __init__(self, p: Pieces):
         self.p = p
         sizes = np.fromiter(map(len, p.bytes_), np.int64, len(p.bytes_))
         self._size, self._first = sizes, np.cumsum(sizes) - sizes
         self._data = np.frombuffer(b"".join(p.bytes_) or b"\0", np.uint8)
+        self._known: dict[str, bytes] = {}  # ids as 32-bit integers
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids. Null and empty texts have none."""
         find = self.p.unit.findall
         units = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        count = np.fromiter(map(len, units), np.int64, len(units))
-        if not count.sum():
-            return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int32)
-        codes, different = pd.factorize(np.array([u for us in units for u in us], dtype=object))
-        encoded = encode_units(self.p, list(different))
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        flat = np.fromiter((i for ids in encoded for i in ids), np.int32, size.sum())
-        ids, unit_ends = _gather(flat, np.cumsum(size) - size, size, codes)
-        ends = np.concatenate(([0], unit_ends))
-        return ends[np.concatenate(([0], np.cumsum(count)))], ids
+        different = set().union(*units)
+        new = [u for u in different if u not in self._known]
+        if len(self._known) + len(new) > KEPT_UNITS:
+            self._known = {u: self._known[u] for u in different & self._known.keys()}
+        known = dict(self._known) if len(self._known) + len(new) > KEPT_UNITS else self._known  # too many to keep: for these texts alone
+        known |= encode_units(self.p, new)
+        parts = [b"".join([known[u] for u in us]) for us in units]
+        offsets = np.cumsum([0, *(len(x) // 4 for x in parts)])
+        return offsets, np.frombuffer(b"".join(parts), np.int32)
 
     def decode(self, offsets: np.ndarray, ids: np.ndarray) -> list[bytes]:
         """UTF-8 bytes of each sequence of ids, without the dummy prefix."""
-        data, ends = _gather(self._data, self._first, self._size, ids)
+        size = self._size[ids]
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        whole = self._data[np.repeat(self._first[ids] - (ends - size), size) + np.arange(total)].tobytes()
         ends = np.concatenate(([0], ends))[offsets]
-        whole = data.tobytes()
         return [whole[a:b].removeprefix(b" ") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ragged rows of flat in the given order, end to end, with their ends."""
-    n = size[order]
-    ends = np.cumsum(n)
-    if not len(ends) or not ends[-1]:
-        return flat[:0], ends
-    return flat[np.repeat(first[order] - (ends - n), n) + np.arange(ends[-1])], ends
-
-
 _codecs: dict[str, Codec] = {}
 
 
@@ -312,12 +356,21 @@ def _codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _slices(array: pa.Array) -> Iterator[pa.Array]:
+    """Runs of rows with about _SLICE bytes of text, one row at least; the whole array is never made into strings."""
+    size = np.diff(np.frombuffer(array.buffers()[1], np.int32 if pa.types.is_string(array.type) else np.int64)[array.offset : array.offset + len(array) + 1])
+    cuts = (np.flatnonzero(np.diff(np.cumsum(size) // _SLICE)) + 1).tolist() if len(array) else []
+    for first, last in zip([0, *cuts], [*cuts, len(array)], strict=True):
+        yield array.slice(first, last - first)
+
+
 def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     """docs with n_tokens, token_ids (of the whole text) and round_trip (decoding them gives the text back, byte for byte).
 
     model: path of a model file that every executor has. The ids are those of the library for the same file: for a
-    unigram model by Viterbi, for a BPE model by merging. A null or empty text has no ids. A text that contains the
-    space marker itself comes back with spaces there, so its round_trip is false. Columns of these names are replaced.
+    unigram model by the best sum of scores, for a BPE model by the one path that merging gives. A null or empty text
+    has no ids. A text that contains the space marker itself comes back with spaces there, so its round_trip is false.
+    Equal texts get equal ids. Columns of these names are replaced. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
 
@@ -325,15 +378,13 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def code(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(model)
         for array in arrays:
-            texts, counts, parts, same, first = array.to_pylist(), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [], 0
-            cuts = (np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in texts]) // _SLICE)) + 1).tolist() if texts else []
-            for last in (*cuts, len(texts)):
-                part = texts[first:last]
-                offsets, ids = codec.encode(part)
-                same += [a == (t or "").encode() for a, t in zip(codec.decode(offsets, ids), part, strict=True)]
+            counts, parts, same = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], []
+            for part in _slices(array):
+                texts = part.to_pylist()
+                offsets, ids = codec.encode(texts)
+                same += [a == (t or "").encode() for a, t in zip(codec.decode(offsets, ids), texts, strict=True)]
                 counts.append(np.diff(offsets))
                 parts.append(ids)
-                first = last
             n = np.concatenate(counts)
             ends = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
             yield pa.StructArray.from_arrays(

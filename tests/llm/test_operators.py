@@ -348,3 +348,16 @@ def test_pipeline(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "source_mixing", "sentencepiece"]
     out = corpus_pipeline.run(spark, DATA).toPandas()
     assert out.round_trip.all() and out.doc_id.nunique() > 120 and isinstance(out, pd.DataFrame)
+
+
+def test_sentencepiece_bpe_paths_are_those_of_merging():
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_pieces())
+    assert codec.p.merges.ordered  # so units up to LONG characters go through viterbi()
+    rng = np.random.default_rng(2)
+    pieces = [library.id_to_piece(i).replace("▁", " ") for i in range(259, library.get_piece_size())]
+    texts = ["".join(pieces[i] for i in rng.integers(0, len(pieces), int(n))) for n in rng.integers(1, 9, 4000)]
+    texts += ["".join(rng.choice(list("aabbcdeé日🙂 .x1"), int(n))) for n in rng.integers(1, 120, 1500)]
+    offsets, ids = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == library.encode(texts)
+    assert codec.decode(offsets, ids) == [t.encode() for t in texts]
