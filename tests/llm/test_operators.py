@@ -142,6 +142,32 @@ def test_mixing(spark, odd, none):
     assert mixing.mix_sources(none).count() == 0 and mixing.take_mix(none).count() == 0
 
 
+def test_mixing_draws_by_inclusion_odds(spark):
+    rows = [(i, "big" if i % 2 else "small", "w " * (400 if i % 4 < 2 else 40)) for i in range(4000)]
+    rows += [(None, "big", "same words here " * 20)] * 600  # equal rows: no order of their own
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    r = mixing.mix_sources(docs, share=0.5, bins=8).toPandas()
+    for _, g in r.groupby("source"):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= 200 and set(g.copies) <= {0, 1}
+        rest, size = g.target.iloc[0], g["size"].to_numpy(float)
+        p = np.minimum(1, size * rest / (size**2).sum())  # nobody is certain here
+        assert p.max() < 1
+        for n in np.unique(size):
+            many = (size == n).sum()
+            assert abs((g.copies[size == n] > 0).mean() - p[size == n][0]) < 4 / np.sqrt(many)
+        large, small = (g.copies[size == n].mean() for n in (400, 40))
+        assert large > 4 * small  # equal odds would make them alike
+    again = mixing.mix_sources(docs.repartition(7), share=0.5, bins=8).toPandas()
+    key = ["source", "size", "doc_id", "copies"]
+    assert sorted(map(str, r[key].values.tolist())) == sorted(map(str, again[key].values.tolist()))
+
+
+def test_mixing_takes_certain_documents_first(spark):
+    rows = [(0, "a", "w " * 5000), *((i, "a", "w " * 10) for i in range(1, 500))]
+    r = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string"), share=0.7).toPandas().set_index("doc_id")
+    assert r.copies[0] == 1 and abs(r.taken.sum() - 0.7 * 9990) <= 5
+
+
 def test_quality_classifier(spark, odd):
     r = quality.op5_quality_classifier(spark, DATA).toPandas().merge(spark.read.parquet(f"{DATA}/labels.parquet").toPandas(), on="doc_id")
     held = r[r.held_out]
