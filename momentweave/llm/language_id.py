@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, fold, mix, spare, table
+from .common import bounded_batches, cut, fold, mix, spare, table
 
-#: Training documents a language (about: drawn by a hash of doc_id), n-grams in all, and languages, at most.
-DOCS_PER_LANGUAGE, MOST_GRAMS, MOST_LANGUAGES = 2_000, 1_000_000, 500
+#: Labelled documents of a language that teach, and their characters, about: the only bound on what is learned.
+DOCS_PER_LANGUAGE, CHARACTERS_PER_LANGUAGE = 2_000, 4_000_000
 ORDER = 5
 UNKNOWN = "und"
 RESULTS = ("lang_pred", "score", "cross_entropy", "rejected")
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 _EDGE = "\x02"  # stands before and after each word
 _SLICE = 1 << 20  # characters scored at a time
+_NOTHING = np.uint64(1)  # the hash of the context of a single character
 
 
 def words_of(text: str | None) -> list[str]:
@@ -42,11 +44,6 @@ def _code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
 
-def _gram_hash(grams: list[str]) -> np.ndarray:
-    n = len(grams[0])
-    return _hashes(_code_points("".join(grams)), n)[::n]
-
-
 @dataclass(frozen=True)
 class _Order:
     """One order of one language: sorted hashes of its n-grams with their probabilities, and of its contexts with
@@ -65,39 +62,25 @@ def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: flo
     return np.where(keys[at] == wanted, values[at], default)
 
 
-def _table(entries: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-    if not entries:
-        return np.zeros(0, np.uint64), np.zeros(0)
-    h = _gram_hash(list(entries))
-    order = np.argsort(h)
-    return h[order], np.fromiter(entries.values(), float, len(entries))[order]
-
+def kneser_ney(orders: list[pd.DataFrame], alphabet: int) -> list[_Order]:
+    """Interpolated Kneser-Ney tables, lowest order first, from each order's n-grams in hashes: gram, context, suffix
+    (the gram without its first character) and n.
 
-def kneser_ney(counts: dict[str, int], alphabet: int, order: int = ORDER) -> list[_Order]:
-    """Interpolated Kneser-Ney tables, lowest order first, from the counts of order-long strings.
-
-    The highest order uses counts, lower ones the number of different characters to the left; each order has its
-    own discount n1 / (n1 + 2 n2). Order 0 is uniform over the alphabet.
+    n is the count in the highest order, and the number of different characters to the left in lower ones; each order
+    has its own discount n1 / (n1 + 2 n2). Order 0 is uniform over the alphabet.
     """
-    levels = {order: dict(counts)}
-    for n in range(order - 1, 0, -1):
-        levels[n] = Counter(gram[1:] for gram in levels[n + 1])
     tables: list[_Order] = []
-    lower: dict[str, float] = {}
-    for n in range(1, order + 1):
-        level = levels[n]
-        ones, twos = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+    for k, level in enumerate(orders):
+        n = level["n"].to_numpy(float)
+        ones, twos = (n == 1).sum(), (n == 2).sum()
         discount = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
-        total: dict[str, int] = defaultdict(int)
-        kinds: dict[str, int] = defaultdict(int)
-        for gram, c in level.items():
-            total[gram[:-1]] += c
-            kinds[gram[:-1]] += 1
-        rest = {h: discount * kinds[h] / total[h] for h in total}
-        prob = {g: (c - discount) / total[g[:-1]] + rest[g[:-1]] * (lower[g[1:]] if n > 1 else 1 / alphabet) for g, c in level.items()}
-        contexts = _table(rest) if n > 1 else (np.zeros(1, np.uint64), np.array([rest.get("", 1.0)]))
-        tables.append(_Order(*_table(prob), *contexts))
-        lower = prob
+        contexts, of = np.unique(level["context"].to_numpy(), return_inverse=True)
+        total, kinds = np.bincount(of, n), np.bincount(of)
+        rest = discount * kinds / total
+        below = _find(tables[-1].grams, tables[-1].prob, level["suffix"].to_numpy(), 0.0) if k else np.full(len(n), 1 / alphabet)
+        prob = (n - discount) / total[of] + rest[of] * below
+        by = np.argsort(level["gram"].to_numpy())
+        tables.append(_Order(level["gram"].to_numpy()[by], prob[by], contexts, rest))
     return tables
 
 
@@ -121,12 +104,12 @@ class LanguageModel:
         full, at, back = np.unique(_hashes(codes, ORDER)[ends - ORDER + 1], return_index=True, return_inverse=True)
         ends = ends[at]
         grams = [_hashes(codes, n)[ends - n + 1] for n in range(1, ORDER)] + [full]
-        contexts = [None] + [_hashes(codes, n - 1)[ends - n + 1] for n in range(2, ORDER + 1)]
+        contexts = [np.full(len(ends), _NOTHING)] + [_hashes(codes, n - 1)[ends - n + 1] for n in range(2, ORDER + 1)]
         out = np.empty((len(words), len(self.languages)))
         for j, orders in enumerate(self.tables):
             p = np.full(len(full), 1 / self.alphabet)
             for n, o in enumerate(orders):
-                rest = _find(o.contexts, o.rest, contexts[n], 1.0) if n else o.rest[0]
+                rest = _find(o.contexts, o.rest, contexts[n], 1.0)
                 seen = _find(o.grams, o.prob, grams[n], np.nan)
                 p = np.where(np.isnan(seen), rest * p, seen)
             out[:, j] = np.add.reduceat(np.log(p)[back], np.cumsum(sizes) - sizes)
@@ -190,30 +173,53 @@ def _count_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(rows)
 
 
-def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, most_grams: int = MOST_GRAMS) -> LanguageModel:
+@F.arrow_udf(T.StructType().add("gram", "long").add("context", "long").add("suffix", "long"))
+def _gram_keys(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Hashes of n-grams of one length, of each without its last and without its first character."""
+    for array in arrays:
+        grams = array.to_pylist()
+        n = len(grams[0]) if grams else 1
+        codes = _code_points("".join(grams))
+        whole = _hashes(codes, n)[::n] if grams else np.zeros(0, np.uint64)
+        context = _hashes(codes, n - 1)[::n][: len(grams)] if n > 1 else np.full(len(grams), _NOTHING)
+        suffix = _hashes(codes, n - 1)[1::n][: len(grams)] if n > 1 else np.full(len(grams), _NOTHING)
+        yield pa.StructArray.from_arrays([pa.array(x.view(np.int64)) for x in (whole, context, suffix)], ["gram", "context", "suffix"])
+
+
+def _sample(known: DataFrame, docs_per_language: int, characters_per_language: int) -> DataFrame:
+    """About docs_per_language rows of each language of known (doc_id, text, lang), fewer if they have more than
+    characters_per_language, drawn by a hash of doc_id and text. Equal rows teach once."""
+    size = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
+    share = F.least(F.lit(1.0), docs_per_language / F.col("rows"), characters_per_language / F.greatest(F.col("characters"), F.lit(1)))
+    share = size.select(F.col("lang").alias("of"), share.alias("share"))
+    unit = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    return known.join(share, F.col("lang") == F.col("of")).where(unit < F.col("share")).drop("of", "share").distinct()
+
+
+def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, characters_per_language: int = CHARACTERS_PER_LANGUAGE) -> LanguageModel:
     """Learn a model from doc_id, text, lang (rows with a null in any of them teach nothing).
 
-    About docs_per_language documents a language, drawn by a hash of doc_id; a tenth of them only calibrates. The
-    executors count n-grams; the driver gets the most_grams most frequent ones and the calibration texts' share.
+    Each language is learned from a bounded sample of its labelled rows (_sample); a tenth of it only calibrates.
+    Executors count n-grams, and of these the characters to the left of each shorter one; no n-gram of the sample is
+    left out, so counts of counts and discounts are those of the whole sample. The driver gets the tables, which are
+    as large as the samples' n-grams, and the calibration documents' cross-entropies.
     """
     spark = docs.sparkSession
-    known = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    found = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
-    if not found:
-        return LanguageModel((), (), 2)
     bounded_batches(spark)
-    unit = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))
-    limit = F.create_map(*[F.lit(x) for r in found for x in (r["lang"], int(min(1, docs_per_language / r["count"]) * (1 << 30)))])
-    sample = known.where(unit < F.coalesce(F.element_at(limit, F.col("lang")), F.lit(0)))
+    known = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
+    sample = cut(_sample(known, docs_per_language, characters_per_language), "labelled")
     trial = F.pmod(F.xxhash64(F.lit("trial"), "doc_id"), F.lit(10)) == 0
     grams = sample.where(~trial).select("lang", "text").mapInPandas(_count_grams, "lang string, gram string, n long")
-    counted = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang", "gram").limit(most_grams).toPandas()
-    languages = tuple(sorted(counted["lang"].unique()))
+    level, levels = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"), []
+    alphabet = 1 + level.agg(F.count_distinct(F.substring("gram", -1, 1))).first()[0]
+    for k in range(ORDER, 0, -1):
+        levels.append(level.select("lang", F.lit(k).alias("k"), _gram_keys("gram").alias("keys"), "n").select("lang", "k", "keys.*", "n"))
+        level = level.groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count("*").alias("n"))
+    found = [x.toPandas().astype({c: np.uint64 for c in ("gram", "context", "suffix")}) for x in levels[::-1]]
+    languages = tuple(sorted(found[0]["lang"].unique()))
     if not languages:
         return LanguageModel((), (), 2)
-    alphabet = len({c for g in counted["gram"] for c in g[-1]}) + 1
-    by = {lang: dict(zip(part["gram"], part["n"], strict=True)) for lang, part in counted.groupby("lang")}
-    model = LanguageModel(languages, tuple(tuple(kneser_ney(by[lang], alphabet)) for lang in languages), alphabet)
+    model = LanguageModel(languages, tuple(tuple(kneser_ney([x[x["lang"] == lang] for x in found], alphabet)) for lang in languages), alphabet)
     shared = spark.sparkContext.broadcast(model)
 
     def trials(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -222,6 +228,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, most_gra
             yield pd.DataFrame({"lang": frame["lang"], "chars": chars, "ce": list(ce)})
 
     tried = sample.where(trial & F.col("lang").isin(*languages)).select("lang", "text").mapInPandas(trials, "lang string, chars long, ce array<double>").toPandas()
+    shared.unpersist()
     tried = tried.assign(key=tried["ce"].map(tuple)).sort_values(["lang", "chars", "key"])  # one order, whatever the partitions
     ce = np.stack(tried["ce"].to_list()) if len(tried) else np.zeros((0, len(languages)))
     truth = np.array([languages.index(x) for x in tried["lang"]], np.int64)
@@ -231,7 +238,7 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, most_gra
 def _identifier(spark: SparkSession, model: LanguageModel):
     """A column function: struct of RESULTS for a text."""
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # at most MOST_GRAMS n-grams of each order
+    shared = spark.sparkContext.broadcast(model)  # its size is bounded by the samples: CHARACTERS_PER_LANGUAGE a language
 
     def decide(m: LanguageModel, texts: list[str | None]) -> list[np.ndarray]:
         if not m.languages or not texts:

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+import regex
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
@@ -54,23 +55,74 @@ def test_language_id(spark, odd, none, docs):
     model = language_id.fit(docs)
     got = language_id.identify_languages(odd, model).collect()
     assert len(got) == 11 and got[0]["source"] is None
-    assert [x.lang_pred == "und" for x in got] == [x.text is None or not re.search(r"[^\W\d_]", x.text) for x in got]
+    assert [x.lang_pred == "und" for x in got] == [x.text is None or not regex.search(r"\p{L}", x.text) for x in got]
     assert language_id.keep_identified(odd, model).columns == odd.columns
     assert language_id.identify_languages(none, model).count() == 0
     assert {x.lang_pred for x in language_id.identify_languages(odd, language_id.fit(none)).collect()} == {"und"}
 
 
-def test_kneser_ney_probabilities_sum_to_one():
-    counts = Counter()
-    for w in ("abab", "abc", "cab", "bb"):
-        p = "\x02" * 4 + w + "\x02"
-        counts.update(p[i : i + 5] for i in range(len(w) + 1))
-    model = language_id.LanguageModel(("x",), (tuple(language_id.kneser_ney(counts, 4)),), 4)
-    every = ["".join(w) for n in range(9) for w in itertools.product("abc", repeat=n)]
-    total = np.exp(model.word_scores(every)[1][:, 0]).sum()
-    assert 0.9 < total < 1 + 1e-9  # the rest is longer words
-    _, (known, strange) = model.word_scores(["abab", "ccca"])
-    assert known[0] > strange[0]
+def plain_model(texts):
+    """Interpolated Kneser-Ney of one language over whole dictionaries: a function of context and character."""
+    levels = {5: Counter()}
+    for t in texts:
+        for w in regex.findall(r"\p{L}+", (t or "").lower()):
+            padded = "\x02" * 4 + w + "\x02"
+            levels[5].update(padded[i : i + 5] for i in range(len(w) + 1))
+    for n in (4, 3, 2, 1):
+        levels[n] = Counter(g[1:] for g in levels[n + 1])
+    held = {}
+    for n, level in levels.items():
+        ones, twos = (sum(c == k for c in level.values()) for k in (1, 2))
+        d = min(max(ones / (ones + 2 * twos) if ones else 0.5, 0.1), 0.9)
+        total, kinds = Counter(), Counter()
+        for g, c in level.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        held[n] = d, total, kinds
+
+    def p(gram, alphabet):
+        if not gram:
+            return 1 / alphabet
+        d, total, kinds = held[len(gram)]
+        lower = p(gram[1:], alphabet)
+        h = gram[:-1]
+        return max(levels[len(gram)][gram] - d, 0) / total[h] + d * kinds[h] / total[h] * lower if total[h] else lower
+
+    return p
+
+
+def plain_cross_entropy(p, alphabet, text):
+    total = n = 0
+    for w in regex.findall(r"\p{L}+", (text or "").lower()):
+        padded = "\x02" * 4 + w + "\x02"
+        for i in range(len(w) + 1):
+            total, n = total - np.log(p(padded[i : i + 5], alphabet)), n + 1
+    return total / max(n, 1)
+
+
+def test_language_models_are_those_of_plain_dictionaries(spark, docs):
+    model = language_id.fit(docs)
+    trial = (F.pmod(F.xxhash64(F.lit("trial"), "doc_id"), F.lit(10)) == 0).alias("trial")
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang", trial).collect()
+    assert model.languages == tuple(sorted({r.lang for r in rows}))
+    learned = {lang: [r.text for r in rows if r.lang == lang and not r.trial] for lang in model.languages}
+    letters = {c for ts in learned.values() for t in ts for w in regex.findall(r"\p{L}+", t.lower()) for c in w}
+    assert model.alphabet == len(letters) + 2  # and the edge of a word, and any other character
+    plain = [plain_model(learned[lang]) for lang in model.languages]
+    texts = [r.text[:400] for r in rows if r.trial][:8] + ["qqq zzz", "½ ² Ⅷ", "日本 é"]
+    chars, got = model.cross_entropy(texts)
+    assert chars[-2] == 0  # neither fractions nor numerals are letters
+    want = [[plain_cross_entropy(p, model.alphabet, t) for p in plain] for t in texts]
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_no_language_is_dropped(spark):
+    rows = [(k * 20 + i, " ".join(f"{chr(97 + k % 26)}{chr(97 + (k // 26 + j) % 26)}" for j in range(i + 3)), f"l{k:03d}") for k in range(60) for i in range(20)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 60
+    few = spark.createDataFrame([(7, "many rows of one id", "x")] * 900 + [(8, None, "x"), (None, "no id", "x")], "doc_id long, text string, lang string")
+    assert language_id._sample(few.where("text IS NOT NULL"), 10_000, 1_000_000).count() == 2
+    assert language_id.fit(few).languages in ((), ("x",))
 
 
 def test_licenses(spark, odd, none):
