@@ -18,6 +18,7 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 20  # of the pipeline's stage
 BANDS, BAND_ROWS = 20, 5  # 20 keys of five minima: texts of similarity 0.8 share none once in 2,800 pairs
 SHARD = 512  # fingerprints of one shard tree; larger buckets are compared shard by shard
+SHARD_BYTES = 8 << 20  # of the texts that a shard of the stage holds, about
 
 
 def fingerprint(text: bytes) -> int:
@@ -214,6 +215,8 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 def sketch(text: bytes, size: int, factors: np.ndarray) -> np.ndarray:
     """Hash of a text's set of shingles, SimHash of the set, and a key of each band of minima (factors: bands x rows)."""
     h = shingles(text, size)
+    if not factors.size:
+        return np.array([mix(h).sum(dtype=np.uint64), majority(h)], np.uint64)
     least = np.full(factors.size, 2**64 - 1, np.uint64)
     for k in range(0, len(h), 1 << 12):
         np.minimum(least, (h[k : k + (1 << 12), None] * factors.ravel()).min(0), out=least)
@@ -254,66 +257,130 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
     return cut(both.where(similar("left", "right")).select("a", "b").distinct(), "similar")
 
 
-def _pair_partitions(radius: int):
-    """Rows (group, side, fingerprint, node, component), sorted by group and side, to pairs within radius of different components."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Runs of rows with one value in the first column; a run may span batches."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
+        for a, b in zip(edges, edges[1:]):
+            if held and group[a] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = group[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _near(group: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's rows within radius, of different components, whose first common band is the group's: so each
+    pair is looked at in one bucket alone. Rows of side 1 are held against those of side 0; if there is no side 1, all."""
+    side, fp, component, band = (group[c].to_numpy() for c in ("side", "fingerprint", "component", "band"))
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
+    left = np.flatnonzero(side == 0)
+    right = np.flatnonzero(side == 1) if side.any() else left
+    near = (np.bitwise_count(fp[right][:, None] ^ fp[left]) <= radius) & (component[right][:, None] != component[left])
+    if not side.any():
+        near &= right[:, None] > left
+    for k in range(int(band[0])):
+        near &= bands[right, k][:, None] != bands[left, k]
+    x, y = np.nonzero(near)
+    return right[x], left[y]
+
+
+def _candidates(radius: int):
+    """Rows (group, side, node, fingerprint, component, band, bands), sorted by group, to (group, side, node) of those
+    that have a partner in _near."""
+    schema = pa.schema([("group", pa.int64()), ("side", pa.int64()), ("node", pa.int64())])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            rows = np.unique(np.concatenate(_near(group, radius)))
+            if len(rows):
+                yield from group.select(["group", "side", "node"]).take(pa.array(rows)).cast(schema).combine_chunks().to_batches()
+
+    return of
+
 
-    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        side, fp, node, component = (np.concatenate(c) for c in zip(*rows, strict=True))
-        tree = np.flatnonzero(side == 0)
-        asking = tree if len(tree) == len(side) else np.flatnonzero(side == 1)
-        near = (np.bitwise_count(fp[asking][:, None] ^ fp[tree]) <= radius) & (component[asking][:, None] != component[tree])
-        x, y = np.nonzero(near)
-        x, y = node[asking[x]], node[tree[y]]
-        return pa.RecordBatch.from_pydict({"a": np.maximum(x, y), "b": np.minimum(x, y)}, schema)
+def _compared(radius: int, size: int, similarity: float):
+    """The same rows with text, to links (a, b) between similar ones: enough to connect all that are, not all pairs."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            group, side, fp, node, component = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-            for a, b in zip(edges, edges[1:]):
-                if rows and group[a] != key:
-                    yield pairs(rows)
-                    rows = []
-                key = group[a]
-                rows.append((side[a:b], fp[a:b], node[a:b], component[a:b]))
-        if rows:
-            yield pairs(rows)
+        for group in _groups(batches):
+            node, component = group["node"].to_numpy(), group["component"].to_numpy().tolist()
+            root = {c: c for c in component}
+
+            def top(c: int) -> int:
+                while root[c] != c:  # noqa: B023
+                    root[c] = root[root[c]]  # noqa: B023
+                    c = root[c]  # noqa: B023
+                return c
+
+            pairs = list(zip(*(x.tolist() for x in _near(group, radius)), strict=True))
+            told = {i: shingles(b, size) for i, b in enumerate(as_bytes(group["text"].combine_chunks()))} if pairs else {}
+            links = []
+            for x, y in pairs:
+                p, q = top(component[x]), top(component[y])
+                few, many = sorted((len(told[x]), len(told[y])))
+                if p == q or few < similarity * many:
+                    continue
+                shared = len(np.intersect1d(told[x], told[y], assume_unique=True))
+                if shared >= similarity * (few + many - shared) - 1e-9:
+                    root[max(p, q)] = min(p, q)
+                    links.append((max(node[x], node[y]), min(node[x], node[y])))
+            if links:
+                a, b = zip(*links, strict=True)
+                yield pa.RecordBatch.from_pydict({"a": a, "b": b}, schema)
 
     return of
 
 
-def similar_documents(docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, bands: int = BANDS, rows: int = BAND_ROWS, shard: int = SHARD) -> DataFrame:
+def similar_documents(
+    docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, bands: int = BANDS, rows: int = BAND_ROWS, shard: int = SHARD
+) -> DataFrame:
     """doc_id and component_id of every row of docs (doc_id, text) with a doc_id; links are pairs of similar sets of shingles.
 
     Blocks of a fingerprint's bits cannot bring texts of similarity 0.8 together (they differ in about 10 of 64 bits),
     so rows meet by bands of minima instead. Those whose SimHash lies within radius are compared exactly. First each
-    row with the least of its bucket; then, in buckets that this leaves in several components, all rows of different
-    ones, dealt into shards as in link(). Rows that share a doc_id count as one document, equal sets as one row.
+    row with the least of its bucket; then, in buckets that this leaves in several components, rows of different
+    ones, in shards bounded in rows and bytes: a first look at fingerprints finds the rows that need their text, a
+    second compares these and gives the links that connect, so nothing grows with the pairs of a group but time. Rows
+    that share a doc_id count as one document, equal sets as one row.
     """
     bounded_batches(docs.sparkSession)
     s = F.col("sketch")
-    told = docs.where("doc_id IS NOT NULL").select("doc_id", sketches(size, bands, rows)("text").alias("sketch"))
-    prints = cut(told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), F.slice(s, 3, bands).alias("bands")), "sketches")
-    nodes = cut(prints.groupBy("same").agg(F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "bands")).alias("least")).select("same", "least.*"), "nodes")
-    keyed = nodes.select("node", "fingerprint", F.explode("bands").alias("bucket"))
+    told = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.octet_length("text").alias("bytes")).withColumn("sketch", sketches(size, bands, rows)("text"))
+    told = told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), F.slice(s, 3, bands).alias("bands"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    prints = cut(told, "sketches")
+    least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "bands", "bytes"))
+    nodes = cut(prints.groupBy("same").agg(least.alias("least")).select("same", "least.*"), "nodes")
+    keyed = nodes.select("node", "fingerprint", "bands", "bytes", F.posexplode("bands").alias("band", "bucket"))
     heads = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("fingerprint", "node").alias("head_print")).where("n > 1").drop("n")
     met = cut(keyed.join(heads, "bucket"), "met")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("head_print"))) <= radius
-    star = cut(met.where((F.col("node") != F.col("head")) & near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "star")
-    links = verified(star, docs, size, similarity)
-    rest = met.join(components(links), "node", "left").select("bucket", "node", "fingerprint", F.coalesce("component", "node").alias("component"))
-    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    rest = rest.join(open_.select("bucket", F.ceil(F.col("n") / shard).cast("int").alias("shards")), "bucket")
+    star = met.where((F.col("node") != F.col("head")) & near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    links = verified(cut(star, "star"), docs, size, similarity)
+
+    rest = met.drop("head", "head_print").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    shards = F.ceil(F.greatest(F.col("n") / shard, F.col("bytes") / SHARD_BYTES)).cast("int")
+    rest = rest.drop("bytes").join(open_.select("bucket", shards.alias("shards")), "bucket")
     dealt = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    groups = dealt.select(F.xxhash64("bucket", low, high).alias("group"), F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side"), "fingerprint", "node", "component")
-    dealt = groups.repartition("group").sortWithinPartitions("group", "side")
-    pairs = dealt.mapInArrow(_pair_partitions(radius), "a long, b long").distinct().join(star, ["a", "b"], "left_anti")
-    links = links.union(verified(cut(pairs, "pairs"), docs, size, similarity))
+    side = F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side")
+    groups = cut(dealt.select(F.xxhash64("bucket", low, high).alias("group"), side, "node", "fingerprint", "component", F.col("band").cast("long"), "bands"), "groups")
+    sorted_ = lambda df: df.repartition("group").sortWithinPartitions("group", "side", "node")
+    asking = cut(sorted_(groups).mapInArrow(_candidates(radius), "group long, side long, node long"), "asking")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(asking.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "same"), "node")
+    # Rows that share a doc_id may have other texts than the one the node stands for.
+    texts = cut(texts.where(sketches(size, 0, rows)("text")[0] == F.col("same")).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    full = groups.join(asking, ["group", "side", "node"]).join(texts, "node").select(*groups.columns, "text")
+    links = links.union(sorted_(full).mapInArrow(_compared(radius, size, similarity), "a long, b long"))
+
     several = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     of_row = prints.select("doc_id", "same").join(nodes.select("same", "node"), "same").select("doc_id", "node")
     repeated = of_row.join(several, "doc_id", "left_semi").where("doc_id != node").select(F.greatest("doc_id", "node").alias("a"), F.least("doc_id", "node").alias("b"))
