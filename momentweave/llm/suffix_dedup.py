@@ -291,17 +291,57 @@ def _shards(length: int):
     return decide
 
 
+def own_repeats(anchor: np.ndarray, doc: np.ndarray, start: np.ndarray, count: np.ndarray, segment: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """Which rows of anchors() repeat a segment that their document has before, and the maximal runs (document, from,
+    to) of bytes in those: a long periodic text has a row for every byte, but few different ones."""
+    order = np.lexsort((start, segment, anchor, doc))
+    same = (doc[order][1:] == doc[order][:-1]) & (anchor[order][1:] == anchor[order][:-1]) & (segment[order][1:] == segment[order][:-1])
+    again = np.zeros(len(doc), bool)
+    again[order[1:]] = same
+    at = np.flatnonzero(again)
+    at = at[np.lexsort((start[at], doc[at]))]
+    d, begin, end = doc[at], start[at], start[at] + count[at] + length - 1
+    if not len(at):
+        return again, d, begin, end
+    far = np.int64(max(end.max(), 1) + 1)
+    reach = np.maximum.accumulate(end + d * far)  # of all rows so far, documents laid apart
+    new = np.concatenate(([True], begin[1:] + d[1:] * far > reach[:-1]))
+    last = np.concatenate((np.flatnonzero(new)[1:], [len(at)])) - 1
+    return again, d[new], begin[new], reach[last] - d[new] * far
+
+
 def _find_anchors(length: int, gram: int):
+    """Rows (key, text) to rows (anchor, segment, key, packed: start and count); for bytes that repeat a segment of
+    their own document, to rows with packed below 0: a run from -1 - packed to `segment`."""
     schema = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("key", pa.int64()), ("packed", pa.int64())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, docs, first = batch.column(0).to_numpy(zero_copy_only=False), as_bytes(batch.column(1)), 0
-            cuts = (np.flatnonzero(np.diff(np.cumsum([len(d) for d in docs]) // SHARD_BYTES)) + 1).tolist() if docs else []
-            for last in (*cuts, len(docs)):
-                anchor, doc, start, count, segment = anchors(docs[first:last], length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(segment), pa.array(keys[first:last][doc]), pa.array(start << _PACK | count)], schema=schema)
-                first = last
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            held, size = [], 0
+            for i, b in enumerate(batch.column(1)):
+                text = b.as_buffer().to_pybytes() if b.is_valid else b""
+                for first in range(0, max(len(text) - length + 1, 1), SHARD_BYTES):  # a long text comes in chunks: each string starts in one
+                    part = text[first : first + SHARD_BYTES + length - 1]
+                    if held and size + len(part) > SHARD_BYTES:
+                        yield rows(keys, held)
+                        held, size = [], 0
+                    held.append((i, first, part))
+                    size += len(part)
+            if held:
+                yield rows(keys, held)
+
+    def rows(keys: np.ndarray, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        of, offset = np.array([i for i, _, _ in held]), np.array([first for _, first, _ in held])
+        anchor, doc, start, count, segment = anchors([part for *_, part in held], length, gram)
+        again, d, begin, end = own_repeats(anchor, doc, start, count, segment, length)
+        anchor, doc, start, count, segment = (x[~again] for x in (anchor, doc, start, count, segment))
+        run = keys[of[d]]
+        columns = (
+            np.concatenate((anchor, mix(mix(run.astype(np.uint64)) + (begin + offset[d]).astype(np.uint64)).view(np.int64))), np.concatenate((segment, end + offset[d])),
+            np.concatenate((keys[of[doc]], run)), np.concatenate(((start + offset[doc]) << _PACK | count, -1 - (begin + offset[d]))),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 
     return find
 
@@ -323,7 +363,8 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     occur once rule their strings out. Copies of a whole segment are settled by its hash (64 bits beside the anchor's
     64); where segments of one anchor differ, suffix arrays over the different ones find their equal strings. Anchors
     that are very frequent are found in a sample of documents first: their rows are dealt into parts, and their
-    different segments into several shards.
+    different segments into several shards. One document gives an anchor no segment twice (own_repeats), so a frequent
+    anchor lies in many documents, and the sample misses one that is in a thousand of them once in 10^13 times.
     """
     bounded_batches(keyed.sparkSession)
     texts = keyed.select("key", "text").where(F.octet_length("text") >= length)
@@ -337,18 +378,20 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
 
     # A part settles its copies alone; a segment's first row in each part is then held against the other parts'.
     dealt = rows.join(F.broadcast(hot), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "packed"), F.col("parts")).cast("int"))
     place = F.rank().over(Window.partitionBy("anchor", "part", "segment").orderBy("key", "packed"))
     whole = Window.partitionBy("anchor", "part")
     judged = dealt.withColumn("place", place)
     judged = judged.withColumn("several", F.min("segment").over(whole) != F.max("segment").over(whole))
-    judged = judged.where("place > 1 OR several OR parts > 1")
+    judged = judged.where("place > 1 OR several OR parts > 1 OR packed < 0")
     # Copies need no anchor any more, and only an anchor in several parts needs its segments told apart again.
     kept = judged.select(
-        F.when(F.col("place") == 1, F.col("anchor")).alias("anchor"), F.when((F.col("place") == 1) & (F.col("parts") > 1), F.col("segment")).alias("segment"),
+        F.when(F.col("place") == 1, F.col("anchor")).alias("anchor"), F.when((F.col("place") == 1) & (F.col("parts") > 1) | (F.col("packed") < 0), F.col("segment")).alias("segment"),
         "key", "packed", (F.col("place") > 1).alias("copy"),
     )
     kept = cut(kept, "segments")
+    own = kept.where("packed < 0").select("key", (-1 - F.col("packed")).alias("from"), F.col("segment").alias("to"))
+    kept = kept.where("packed >= 0")
 
     again = kept.where("segment IS NOT NULL").withColumn("place", F.rank().over(Window.partitionBy("anchor", "segment").orderBy("key", "packed")))
     kinds = again.where("place = 1").groupBy("anchor").agg(F.approx_count_distinct("segment").alias("kinds"), (F.min("segment") != F.max("segment")).alias("several"))
@@ -369,7 +412,7 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     later = F.filter("rows", lambda r: ~F.col("split") | (F.struct(r["key"], r["from"]) > F.struct(F.col("rows")[0]["key"], F.col("rows")[0]["from"])))
     partial = met.select(F.inline(later))
     full = judged.where("copy").select("key", begin.alias("from"), (begin + count + (length - 1)).alias("to"))
-    return partial.union(full).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
+    return partial.union(full).union(own).groupBy("key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:

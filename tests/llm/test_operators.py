@@ -8,6 +8,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 import sentencepiece
@@ -304,6 +305,21 @@ def test_suffix_dedup(spark, odd, none, monkeypatch, parted):
         assert (7, 0) in left and (2, 0) in left and cleaned.where("doc_id = 2 AND text IS NULL").count() == 1
 
 
+def test_suffix_dedup_of_long_periodic_texts(spark, monkeypatch):
+    texts = ["x" * 5_000_000, "ab" * 300, "y" + "x" * 120, "ba" * 300, None]
+    got = suffix_dedup.removed_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert (got[0].n_removed, got[0].n_spans) == (4_999_999, 1) and got[0].kept_sha256 == hashlib.sha256(b"x").hexdigest()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got[1:]] == kept_by_brute_force(["x" * 200, *texts[1:]])[1:]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 700)  # chunks of one text
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab"), 900)) + "c" * 2000 + "ab" * 900, "".join(rng.choice(list("ab"), 3000)), "b" + "ab" * 500 + "c" * 150]
+    texts += [texts[1][1000:2500] + texts[0][:800]]
+    rows = next(suffix_dedup._find_anchors(100, 32)(iter([pa.RecordBatch.from_pydict({"key": [0], "text": ["x" * 100_000]}, pa.schema([("key", pa.int64()), ("text", pa.string())]))])))
+    assert len(rows) <= 3
+    got = suffix_dedup.removed_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == kept_by_brute_force(texts)
+
+
 def brute_print(text):
     w = words(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(w[k : k + 3]) for k in range(max(len(w) - 2, 1))] if w else []
