@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,20 +10,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut, table
+from .common import bounded_batches, cut, fold, table
 
 ROLES = ("system", "user", "assistant")
-CHUNK = 64  # turns that one step of Viterbi takes together
-LINE = 4_096  # characters of a line that its features look at: markers and closings lie within
+BLOCK = 12  # bits of a line's number below its block's: 4,096 lines are decoded together
 #: Speaker markers, lower case, that may open a line before a colon. Fixed values.
 MARKERS = {
     "system": ("system", "instructions", "context"),
     "user": ("user", "human", "question", "q", "customer", "me"),
     "assistant": ("assistant", "ai", "bot", "answer", "a", "agent", "model"),
 }
-FEATURES = {"place": 3, "ending": 3, "length": 4, "shape": 3}  # feature -> number of values
-_MARKER = re.compile(r"^\s*[\[<*#]*\s*([A-Za-z]+)\s*[\]>*]*\s*:")
 MARKER_ODDS = 50.0  # how much likelier a role is on a line with its marker
+FEATURES = {"place": 3, "ending": 3, "length": 4, "shape": 3}  # feature -> number of values
+NAMES = "|".join(name for names in MARKERS.values() for name in names)
+MARKER = rf"[\[<*#]*\s*(?i:({NAMES}))\s*[\]>*]*\s*:"
+#: White space with a line break in it, before a marker; each run of white space is looked at once.
+EDGE = rf"(?<=\S)(?=[^\S\n]*+\n)\s++(?={MARKER})"
+#: White space that is taken off lines.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 
 
 @dataclass(frozen=True)
@@ -36,7 +39,7 @@ class RoleModel:
     emit: tuple[np.ndarray, ...]
 
     def observe(self, features: np.ndarray, marker: np.ndarray) -> np.ndarray:
-        """Log likelihood of each turn in each role; marker: index of the role that a marker names, or -1."""
+        """Log likelihood of each line in each role; marker: index of the role that a marker names, or -1."""
         out = np.zeros((len(features), len(ROLES)))
         for j, table_ in enumerate(self.emit):
             out += table_[:, features[:, j]].T
@@ -44,39 +47,45 @@ class RoleModel:
         out[named, marker[named]] += _exact(np.log(MARKER_ODDS))
         return out
 
-
-def marked() -> Column:
-    """Index of the role whose marker opens the text (`Role:`), or -1."""
-    name = F.lower(F.regexp_extract(F.substring("text", 1, 64), _MARKER.pattern, 1))
-    out = F.lit(-1)
-    for k, role in enumerate(ROLES):
-        out = F.when(name.isin(*MARKERS[role]), k).otherwise(out)
-    return F.coalesce(out, F.lit(-1))
+    @property
+    def into(self) -> np.ndarray:
+        """Log probability of each role after each role, and (last row) of each at the start."""
+        return np.vstack((self.step, self.first))
 
 
-def _named(text: str | None) -> int:
-    found = _MARKER.match((text or "")[:64])
-    return next((k for k, r in enumerate(ROLES) if found and found[1].lower() in MARKERS[r]), -1)
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(WHITE))
 
 
-def line_features() -> list[Column]:
-    """FEATURES of a turn, from its text and place alone."""
-    head, size = F.coalesce(F.trim(F.substring("text", 1, LINE)), F.lit("")), F.coalesce(F.length("text"), F.lit(0))
-    tail = F.coalesce(F.trim(F.expr("right(text, 16)")), F.lit(""))
-    place = F.when(F.col("turn") <= 0, 0).when(F.col("turn") == 1, 1).otherwise(2)
-    ending = F.when(tail.endswith("?"), 0).when(tail.endswith("."), 1).otherwise(2)
-    length = F.when(size < 80, 0).when(size < 200, 1).when(size < 500, 2).otherwise(3)
-    shape = F.when(head.rlike(r"^(?i:you are|you're|act as|as an?|please)\b"), 0).when(head.contains("\n"), 1).otherwise(2)
-    return [F.coalesce(place, F.lit(2)).alias("place"), ending.alias("ending"), length.alias("length"), shape.alias("shape")]
+def lines_of(turns: DataFrame, *keep: str) -> DataFrame:
+    """keep, part, marker, said and FEATURES of the lines in turns (turn, text): a text is cut where a line of it opens
+    with a speaker marker. marker: index of the role that the line's marker names, or -1; said: the rest of the line
+    without outer white space. Whole texts are looked at; a null text is one empty line."""
+    text = F.coalesce("text", F.lit(""))
+    split = turns.select(*keep, "turn", F.posexplode(F.split(text, EDGE)).alias("part", "raw"))
+    name = F.lower(F.regexp_extract("raw", rf"^\s*{MARKER}", 1))
+    marker = F.lit(-1)
+    for k, role in enumerate(ROLES):
+        marker = F.when(name.isin(*MARKERS[role]), k).otherwise(marker)
+    out = split.withColumns({"marker": marker, "said": stripped(F.regexp_replace("raw", rf"^\s*{MARKER}", ""))})
+    place = F.when(F.col("part") > 0, 2).when(F.col("turn") <= 0, 0).when(F.col("turn") == 1, 1).otherwise(2)
+    size = F.length("said")
+    return out.select(
+        *keep, "turn", "part", "marker", "said", F.coalesce(place, F.lit(2)).alias("place"),
+        F.when(F.endswith("said", F.lit("?")), 0).when(F.endswith("said", F.lit(".")), 1).otherwise(2).alias("ending"),
+        F.when(size < 80, 0).when(size < 200, 1).when(size < 500, 2).otherwise(3).alias("length"),
+        F.when(F.rlike("said", F.lit(r"^(?i:you are|you're|act as|as an?|please)\b")), 0).when(F.contains("said", F.lit("\n")), 1).otherwise(2).alias("shape"),
+    )
 
 
 def fit(turns: DataFrame) -> RoleModel:
     """Count transitions and features over all turns (conv_id, turn, role, text) whose role is known.
 
-    The counts, not the turns, come to the driver: a few dozen rows at any size. Add-one smoothing; roles that never
-    occur get it alone. A transition joins a turn with the next number of its conversation.
+    A text's first line has the row's role. A transition joins a turn with the next number of its conversation; roles
+    of one number are counted before the join, so many rows of one number make no pairs. The counts, not the turns,
+    come to the driver: a few dozen rows at any size. Add-one smoothing; roles that never occur get it alone.
     """
-    known = turns.where(F.col("role").isin(*ROLES)).select("conv_id", "turn", "role", *line_features())
+    known = lines_of(turns.where(F.col("role").isin(*ROLES)), "conv_id", "role").where("part = 0")
     emit = []
     for name, values in FEATURES.items():
         counts = np.ones((len(ROLES), values))
@@ -86,9 +95,11 @@ def fit(turns: DataFrame) -> RoleModel:
     first, step = np.ones(len(ROLES)), np.ones((len(ROLES), len(ROLES)))
     for r in known.where("turn = 0").groupBy("role").count().collect():
         first[ROLES.index(r["role"])] += r["count"]
-    after = known.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"))
-    for r in known.join(after, ["conv_id", "turn"]).groupBy("role", "next").count().collect():
-        step[ROLES.index(r["role"]), ROLES.index(r["next"])] += r["count"]
+    at = known.groupBy("conv_id", "turn", "role").count()
+    after = at.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("role").alias("next"), F.col("count").alias("times"))
+    pairs = at.join(after, ["conv_id", "turn"]).groupBy("role", "next").agg(F.sum(F.col("count").cast("double") * F.col("times")).alias("n"))
+    for r in pairs.collect():
+        step[ROLES.index(r["role"]), ROLES.index(r["next"])] += r["n"]
     return RoleModel(_exact(np.log(first / first.sum())), _exact(np.log(step / step.sum(1, keepdims=True))), tuple(map(_exact, emit)))
 
 
@@ -97,158 +108,160 @@ def _exact(x: np.ndarray) -> np.ndarray:
     return np.round(x * (1 << 24)) / (1 << 24)
 
 
-def _edges(scores: np.ndarray, model: RoleModel) -> np.ndarray:
-    """Each turn as a matrix: best score from a role before it (or the start, the last row) to a role at it."""
-    return np.vstack((model.step, model.first))[None, :, :] + scores[:, None, :]
-
-
-def _product(edges: np.ndarray) -> np.ndarray:
-    """Matrices of neighbouring runs as one matrix of the whole: best scores from before the first to the last."""
-    whole = edges[0]
-    for edge in edges[1:]:
-        whole = (whole[:, :, None] + edge[None, : len(ROLES)]).max(1)
-    return whole
-
-
-def _path(edges: np.ndarray, before: int, end: int | None) -> list[int]:
-    """The best role at the end of each run, from a given one before the first to a given (or the best) last one."""
-    best, back = edges[0][before], []
-    for edge in edges[1:]:
-        options = best[:, None] + edge[: len(ROLES)]
-        back.append(options.argmax(0))
-        best = options.max(0)
-    path = [int(best.argmax()) if end is None else end]
-    for pointers in reversed(back):
-        path.append(int(pointers[path[-1]]))
-    return path[::-1]
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
-    """Runs of rows with equal first two columns; runs may span batches."""
-    key, rows = None, []
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and length of each run of equal neighbours."""
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(key)))
+
+
+def products(model: RoleModel, scores: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of each run of lines, best scores from each role before it (or the start, the last row) to each at its end. All
+    runs advance together."""
+    order = np.argsort(-size, kind="stable")
+    whole = model.into[None] + scores[first[order]][:, None]
+    for k in range(1, int(size.max(initial=1))):
+        live = int(np.searchsorted(-size[order], -k))
+        whole[:live] = (whole[:live, :, :, None] + model.step).max(2) + scores[first[order[:live]] + k][:, None]
+    out = np.empty_like(whole)
+    out[order] = whole
+    return out
+
+
+def viterbi(model: RoleModel, scores: np.ndarray, first: np.ndarray, size: np.ndarray, before: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The best role of each line, by runs of lines; before: the role before a run (or len(ROLES): none); end: its last
+    role, or -1. All runs advance together."""
+    order = np.argsort(-size, kind="stable")
+    best = model.into[before[order]] + scores[first[order]]
+    back = np.zeros((len(scores), len(ROLES)), np.int64)
+    live = len(order)
+    for k in range(1, int(size.max(initial=1))):
+        live = int(np.searchsorted(-size[order], -k))
+        at = first[order[:live]] + k
+        options = best[:live, :, None] + model.step
+        back[at] = options.argmax(1)
+        best[:live] = options.max(1) + scores[at]
+    role = np.empty(len(order), np.int64)
+    role[order] = np.where(end[order] >= 0, end[order], best.argmax(1))
+    out = np.empty(len(scores), np.int64)
+    for k in range(int(size.max(initial=0))):  # from the ends back
+        mine = np.flatnonzero(size > k)
+        at = first[mine] + size[mine] - 1 - k
+        out[at] = role[mine]
+        role[mine] = back[at, role[mine]]
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Runs of rows with one value in column `key`; a run may span batches."""
+    held, now = [], None
     for batch in batches:
-        for row in zip(*[batch.column(i).to_pylist() for i in range(batch.num_columns)], strict=True):
-            if rows and row[:2] != key:
-                yield key, rows
-                rows = []
-            key = row[:2]
-            rows.append(row)
-    if rows:
-        yield key, rows
-
-
-def _sent(out: Iterator[tuple], schema: pa.Schema, size: int = 2_000) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-    for row in out:
-        held.append(row)
-        if len(held) == size:
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
-            held = []
-    yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in held], schema)
-
-
-def canonical(turns: list[tuple[str, str | None]]) -> str:
-    """Turns (role, text) as `<|role|>`, text and `<|end|>` lines: markers and outer white space go, neighbouring
-    turns of one role become one."""
-    merged: list[tuple[str, list[str]]] = []
-    for role, text in turns:
-        said = _MARKER.sub("", text or "", count=1) if _named(text) >= 0 else text or ""
-        if merged and merged[-1][0] == role:
-            merged[-1][1].append(said.strip())
-        else:
-            merged.append((role, [said.strip()]))
-    return "".join(f"<|{role}|>\n{chr(10).join(said)}\n<|end|>\n" for role, said in merged)
+        value = batch.column(key).to_numpy(zero_copy_only=False)
+        for a, n in zip(*_runs(value), strict=True):
+            if held and value[a] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = value[a]
+            held.append(batch.slice(a, n))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def parse_transcripts(turns: DataFrame, model: RoleModel) -> DataFrame:
-    """conv_id, part, n_turns, roles and rendered text of the transcripts in turns (conv_id, turn, text).
-
-    The roles are the Viterbi path over each conversation; a column `role` is not looked at. A conversation comes in
-    parts of CHUNK turn numbers (part = turn / CHUNK), so that no row, group or task grows with it: products of the
-    parts' score matrices, taken in a tree, give every part the roles before it and at its end, and each part then
-    finds its own path between them.
-
-    Null turns count as number -1; rows of one number stay in one part, by text hash. A null text is an empty turn.
-    Rows of a null conv_id are one conversation. Extra columns are ignored. No rows give no rows.
+    """conv_id, turn, part, seq, role, opens and rendered of each line of the transcripts in turns (conv_id, turn, text).
+
+    A text is cut into lines where one opens with a speaker marker. The roles are the Viterbi path over all lines of a
+    conversation; a column `role` is not looked at. opens: whether the line's role differs from the one before.
+    rendered is the line's share of the canonical transcript, `<|role|>`, what is said, and `<|end|>`, without markers
+    and outer white space: a conversation's shares, joined in the order of seq (transcripts()), are its whole text,
+    with neighbouring lines of one role as one turn. So no row, group or task grows with a conversation.
+
+    Lines come in ranges of (conv_id, turn, text hash, part), cut into blocks. A block of a conversation that goes over
+    several is summed up as a matrix of best scores; the matrices give the roles at the blocks' edges, and every block
+    is then decoded between them. Null turns come first; rows of one number go by text hash, equal rows in any order.
+    A null text is an empty line. Rows of a null conv_id are one conversation. Extra columns are ignored. No rows give
+    no rows.
     """
     bounded_batches(turns.sparkSession)
     shared = turns.sparkSession.sparkContext.broadcast(model)
-    at = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    part = F.floor(at / CHUNK).cast("long")
-    span = turns.agg(F.min(part).alias("low"), F.max(part).alias("high")).first()
-    base = span["low"] or 0  # parts are numbered from the lowest: halving never meets a negative number
-    lines = turns.select(F.col("conv_id").cast("long").alias("conv_id"), (part - base).alias("part"), at.alias("at"), *line_features(), marked().alias("marker"), "text")
-    lines = lines.withColumn("h", F.xxhash64("text"))
-    names = ["conv_id", "part", *FEATURES, "marker"]
-    ordered = lambda df, *more: df.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", *more)
-    n = len(FEATURES)
-
-    def edges(rows: list[tuple]) -> np.ndarray:
-        features, marker = np.array([r[2 : 2 + n] for r in rows], np.int64), np.array([r[2 + n] for r in rows], np.int64)
-        return _edges(shared.value.observe(features, marker), shared.value)
-
-    # Up: parts of more than one part's conversations, 64 to one, until each conversation is one run.
-    levels: list[DataFrame] = []
-    if span["low"] is not None and (span["low"] != span["high"]):
-        matrix = pa.schema([("conv_id", pa.int64()), ("at", pa.int64()), ("m", pa.list_(pa.float64()))])
-
-        def summed(batches):
-            return _sent(((conv, p, _product(edges(rows)).ravel().tolist()) for (conv, p), rows in _groups(batches)), matrix)
-
-        def joined(batches):
-            return _sent(((conv, p, _product(_matrices(rows)).ravel().tolist()) for (conv, p), rows in _groups(batches)), matrix)
-
-        kind = "conv_id long, at long, m array<double>"
-        found = ordered(lines.select(*names, "at", "h"), "at", "h").mapInArrow(summed, kind)
-        low, high = 0, span["high"] - base
-        while True:
-            low, high = low // CHUNK, high // CHUNK
-            levels.append(cut(found.withColumn("part", F.floor(F.col("at") / CHUNK).cast("long")), "roles"))
-            if low == high:
-                break
-            found = ordered(levels[-1].select("conv_id", "part", "m", "at"), "at").mapInArrow(joined, kind)
-
-    # Down: the roles before and at the end of each run of a level, from those of the run it lies in.
-    ends = None
-    bounds = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("before", pa.int64()), ("end", pa.int64())])
-
-    def bounded(batches):
-        def runs():
-            for (conv, _), rows in _groups(batches):
-                before = len(ROLES) if rows[0][4] is None else rows[0][4]
-                path = _path(_matrices(rows), before, rows[0][5])
-                for row, a, b in zip(rows, [before, *path[:-1]], path, strict=True):
-                    yield conv, row[3], a, b
-
-        return _sent(runs(), bounds)
-
-    def with_ends(df: DataFrame) -> DataFrame:
-        if ends is None:
-            return df.withColumns({"before": F.lit(None).cast("long"), "end": F.lit(None).cast("long")})
-        return df.join(ends.withColumnRenamed("conv_id", "c").withColumnRenamed("part", "p"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p"))).drop("c", "p")
-
-    for level in reversed(levels):
-        ends = ordered(with_ends(level).select("conv_id", "part", "m", "at", "before", "end"), "at").mapInArrow(bounded, "conv_id long, part long, before long, end long")
-
-    result = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("n_turns", pa.int64()), ("roles", pa.list_(pa.string())), ("rendered", pa.string())])
-
-    def decoded(batches):
-        def parts():
-            for (conv, p), rows in _groups(batches):
-                before, end, texts = rows[0][3 + n], rows[0][4 + n], [r[5 + n] for r in rows]
-                roles = [ROLES[k] for k in _path(edges(rows), len(ROLES) if before is None else before, end)]
-                yield conv, p + base, len(rows), roles, canonical(list(zip(roles, texts, strict=True)))
-
-        return _sent(parts(), result)
-
-    leaves = with_ends(lines).select(*names, "before", "end", "text", "at", "h")
-    return ordered(leaves, "at", "h", "text").mapInArrow(decoded, "conv_id long, part long, n_turns long, roles array<string>, rendered string")
-
-
-def _matrices(rows: list[tuple]) -> np.ndarray:
-    return np.array([r[2] for r in rows]).reshape(len(rows), len(ROLES) + 1, len(ROLES))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "text", F.xxhash64("text").alias("h"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "h", "tie", "part")]
+    ranged = lines_of(rows, "conv_id", "h", "tie").repartitionByRange(*order).sortWithinPartitions(*order).drop("h", "tie")
+    lines = cut(ranged.withColumn("seq", F.monotonically_increasing_id()), "lines").withColumn("block", F.shiftright("seq", BLOCK))
+    # Null is a conversation too: keys are compared by (conv, none).
+    lines = lines.withColumns({"conv": F.coalesce("conv_id", F.lit(0)), "none": F.col("conv_id").isNull().cast("long")})
+    names = [*FEATURES, "marker"]
+    long = lines.groupBy("conv", "none").agg(F.min("block").alias("low"), F.max("block").alias("high")).where("low < high")
+    matrix = pa.schema([("conv", pa.int64()), ("none", pa.int64()), ("block", pa.int64()), ("m", pa.list_(pa.float64()))])
+
+    def observed(block: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        features = np.column_stack([block[c].to_numpy() for c in FEATURES])
+        first, size = _runs(np.stack([block[c].to_numpy() for c in ("conv", "none")], 1).view([("c", "i8"), ("n", "i8")]).ravel())
+        return shared.value.observe(features, block["marker"].to_numpy()), first, size
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "block"):
+            scores, first, size = observed(block)
+            found = products(shared.value, scores, first, size).reshape(len(first), -1)
+            keys = [pa.array(block[c].to_numpy()[first]) for c in ("conv", "none", "block")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(found.tolist(), pa.list_(pa.float64()))], schema=matrix)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("conv", pa.int64()), ("none", pa.int64()), ("block", pa.int64()), ("before", pa.int64()), ("end", pa.int64()), ("last", pa.bool_())])
+        for part in _blocks(batches, "key"):
+            m = np.array(part["m"].to_pylist()).reshape(len(part), len(ROLES) + 1, len(ROLES))
+            best, back = m[0][-1], []
+            for edge in m[1:]:
+                options = best[:, None] + edge[: len(ROLES)]
+                back.append(options.argmax(0))
+                best = options.max(0)
+            path = [int(best.argmax())]
+            for pointers in reversed(back):
+                path.append(int(pointers[path[-1]]))
+            path = path[::-1]
+            last = [False] * (len(path) - 1) + [True]
+            columns = [part[c].combine_chunks() for c in ("conv", "none", "block")] + [pa.array([len(ROLES), *path[:-1]]), pa.array(path), pa.array(last)]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    in_blocks = lambda df: df.repartition("block").sortWithinPartitions("block", "seq")
+    crossing = lines.select("conv", "none", "block", "seq", *names).join(long.select("conv", "none"), ["conv", "none"])
+    sums = in_blocks(crossing).mapInArrow(summed, "conv long, none long, block long, m array<double>").withColumn("key", F.xxhash64("conv", "none"))
+    # A conversation's blocks, one row for 4,096 lines, are chained in one place.
+    chained = sums.repartition("key").sortWithinPartitions("key", "block")
+    ends = cut(chained.mapInArrow(bounded, "conv long, none long, block long, before long, end long, last boolean"), "ends")
+
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, "block"):
+            scores, first, size = observed(block)
+            start, end, last = (block[c].to_numpy()[first] for c in ("before", "end", "last"))
+            path = viterbi(shared.value, scores, first, size, start, end)
+            before = np.concatenate(([0], path[:-1]))
+            before[first] = start
+            closes = np.zeros(len(path), bool)
+            closes[(first + size - 1)[last]] = True
+            columns = [block[c].combine_chunks() for c in ("conv_id", "turn", "part", "seq", "said")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(path), pa.array(before), pa.array(closes)], ["conv_id", "turn", "part", "seq", "said", "role", "before", "closes"])
+
+    known = lines.join(ends, ["conv", "none", "block"], "left")
+    known = known.withColumns({"before": F.coalesce("before", F.lit(len(ROLES)).cast("long")), "end": F.coalesce("end", F.lit(-1).cast("long")), "last": F.coalesce("last", F.lit(True))})
+    sent = known.select("conv", "none", "block", "seq", *names, "before", "end", "last", "conv_id", "turn", F.col("part").cast("long"), "said")
+    found = in_blocks(sent).mapInArrow(decoded, "conv_id long, turn long, part long, seq long, said string, role long, before long, closes boolean")
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("role") + 1).cast("int"))
+    opens = F.col("role") != F.col("before")
+    ended = F.when(F.col("before") < len(ROLES), "\n<|end|>\n").otherwise("")
+    rendered = F.concat(F.when(opens, F.concat(ended, F.lit("<|"), role, F.lit("|>\n"))).otherwise("\n"), "said", F.when(F.col("closes"), "\n<|end|>\n").otherwise(""))
+    return found.select("conv_id", "turn", "part", "seq", role.alias("role"), opens.alias("opens"), rendered.alias("rendered"))
+
+
+def transcripts(lines: DataFrame) -> DataFrame:
+    """conv_id and text: the whole canonical transcript of each conversation in parse_transcripts' lines, as one row;
+    for conversations that fit one."""
+    rows = F.array_sort(F.collect_list(F.struct("seq", "rendered")))
+    return lines.groupBy("conv_id").agg(F.array_join(F.transform(rows, lambda r: r["rendered"]), "").alias("text"))
 
 
 def op6_chat_formatting(spark, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations")
-    return parse_transcripts(turns.select("conv_id", "turn", "text"), fit(turns))
+    """The model learns from conversations whose crc32(conv_id as text) mod 5 is not 0; held_out marks the others."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    held = fold("conv_id", 5) == 0
+    found = parse_transcripts(turns.select("conv_id", "turn", "text"), fit(turns.where(~held)))
+    return found.select("conv_id", "turn", "part", held.alias("held_out"), "role", "opens", "rendered")

@@ -230,27 +230,46 @@ def test_quality_classifier(spark, odd):
     assert len(rows) == 11 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in rows)
 
 
-def test_chat(spark, monkeypatch):
+def test_chat_roles_of_held_out_conversations(spark):
+    more = DATA.replace("sf0.001", "sf0.01")  # the smallest table holds out two conversations
+    turns = spark.read.parquet(f"{more}/conversations.parquet")
+    got = chat.op6_chat_formatting(spark, more).toPandas()
+    assert len(got) == turns.count() and got.held_out.any()
+    both = got.merge(turns.select("conv_id", "turn", F.col("role").alias("true")).toPandas(), on=["conv_id", "turn"])
+    assert (both.role == both.true)[both.held_out].mean() > 0.9
+
+
+@pytest.mark.parametrize("block", [2, 12])
+def test_chat_paths_and_rendering(spark, monkeypatch, block):
+    monkeypatch.setattr(chat, "BLOCK", block)
     turns = spark.read.parquet(f"{DATA}/conversations.parquet")
     model = chat.fit(turns)
-    got = chat.op6_chat_formatting(spark, DATA).toPandas()
-    assert got.n_turns.sum() == turns.count() and got.rendered.str.startswith("<|").all()
     rng, texts = np.random.default_rng(1), [r.text for r in turns.collect()]
     rows = [(7, i, ("User: " if rng.random() < 0.05 else "") + texts[rng.integers(len(texts))]) for i in range(150)]
-    rows += [(None, 0, "Assistant: hello"), (None, None, None), (8, 0, ""), (8, 0, "")]
+    rows += [(None, 0, "Assistant: hello"), (None, None, None), (8, 0, ""), (8, 0, ""), (9, 3, "x" * 70_000 + "\n" * 200_000 + "what?" + " " * 300)]
+    rows += [(10, 0, "System: be kind\nUser: hi there\nhow are you?\n ** Assistant ** : fine\n\n[user]: and now?"), (10, 1, " " * 500 + "Bot: bye. ")]
+    rows += [(11, 5, f"one number {k % 3}") for k in range(90)] + [(11, 5, "Q: the same?")] * 40
     df = spark.createDataFrame(rows, "conv_id long, turn long, text string").withColumn("role", F.lit("?"))
-    monkeypatch.setattr(chat, "CHUNK", 4)
-    out = chat.parse_transcripts(df, model).toPandas()
-    assert out.n_turns.sum() == len(rows)
-    path = [chat.ROLES.index(x) for r in out[out.conv_id == 7].sort_values("part").roles for x in r]
-    f = df.where("conv_id = 7").orderBy("turn").select(*chat.line_features(), chat.marked().alias("marker")).toPandas()
-    scores = model.observe(f[list(chat.FEATURES)].to_numpy(), f.marker.to_numpy())
-    best = model.first + scores[0]
-    for row in scores[1:]:
-        best = (best[:, None] + model.step).max(0) + row
-    assert model.first[path[0]] + scores[0][path[0]] + sum(model.step[a, b] + scores[i + 1][b] for i, (a, b) in enumerate(zip(path, path[1:], strict=False))) == best.max()
+    out = chat.parse_transcripts(df, model).toPandas().sort_values("seq")
+    assert len(out) == len(rows) + 3 and (out.opens | ~out.rendered.str.startswith("<|")).all()
+    feed = chat.lines_of(df.withColumn("h", F.xxhash64("text")), "conv_id", "h").toPandas()
+    feed = feed.sort_values(["turn", "h", "part"], na_position="first")
+    for (_, lines), (_, told) in zip(out.groupby("conv_id", dropna=False), feed.groupby("conv_id", dropna=False), strict=True):
+        scores = model.observe(told[list(chat.FEATURES)].to_numpy(int), told.marker.to_numpy(int))
+        path = [chat.ROLES.index(x) for x in lines.role]
+        best = model.first + scores[0]
+        for row in scores[1:]:
+            best = (best[:, None] + model.step).max(0) + row
+        own = model.first[path[0]] + scores[0][path[0]] + sum(model.step[a, b] + scores[i + 1][b] for i, (a, b) in enumerate(itertools.pairwise(path)))
+        assert own == best.max()
+        want = "".join(f"<|{role}|>\n" + "\n".join(said for _, said in g) + "\n<|end|>\n" for role, g in itertools.groupby(zip(lines.role, told.said, strict=True), key=lambda x: x[0]))
+        assert "".join(lines.rendered) == want
+    ten = out[out.conv_id == 10]
+    assert ten.role.tolist() == ["system", "user", "assistant", "user", "assistant"]
+    assert "".join(ten.rendered).startswith("<|system|>\nbe kind\n<|end|>\n<|user|>\nhi there\nhow are you?\n<|end|>\n<|assistant|>\nfine\n<|end|>\n")
+    whole = {r.conv_id: r.text for r in chat.transcripts(chat.parse_transcripts(df, model)).collect()}
+    assert whole[10] == "".join(ten.rendered) and len(whole) == 6
     assert chat.parse_transcripts(df.limit(0), model).count() == 0
-    assert chat.canonical([("user", "User: hi "), ("user", "there"), ("assistant", None)]) == "<|user|>\nhi\nthere\n<|end|>\n<|assistant|>\n\n<|end|>\n"
 
 
 def test_suffix_arrays():
