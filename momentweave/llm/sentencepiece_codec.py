@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,9 +20,9 @@ SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model file's format
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # likewise
 LONG = 64  # characters; longer units are few, so vectors over them would be short: each is merged with a heap
-KEPT_UNITS = 50_000  # encoded units that a worker keeps for its next texts
+KEPT_UNITS = 100_000  # encoded units, about, that a worker keeps for its next texts; as many again that it has not met since
 _UNK_PENALTY = 10.0  # what the library subtracts from the lowest score for an unknown character
-_SLICE = 1 << 20  # characters encoded at a time
+_SLICE = 3 << 19  # characters encoded at a time
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -205,17 +205,39 @@ def build_pieces(kind: int, vocabulary: list[tuple[str, float, int]]) -> Pieces:
     for n, group in lengths.items():
         keys = _Keys(_rolling(_codes(group), n)[:, 0])
         by_length[n] = (keys, np.array([usable[p][0] for p in group])[keys.order], np.array([usable[p][1] for p in group])[keys.order])
-    joined = {c for p in usable if len(p) > 1 for c in p}
-    # Without byte pieces, neighbouring unknown characters become one id: they must stay in one unit.
-    lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined) if len(byte_of) == 256 else ""
-    unit = re.compile(f"{SPACE}*[^{SPACE}{lone}]+|{SPACE}+" + (f"|[{lone}]" if lone else ""))
     chars = sorted(singles)
     return Pieces(
         decoded, unk, np.array([byte_of[b] for b in range(256)]) if len(byte_of) == 256 else None, by_length, min((s for _, s in usable.values()), default=0.0),
-        unit, np.array([ord(c) for c in chars], np.uint64), np.array([singles[c] for c in chars], np.int64), merges,
+        _units(usable, len(byte_of) == 256), np.array([ord(c) for c in chars], np.uint64), np.array([singles[c] for c in chars], np.int64), merges,
     )
 
 
+def _units(pieces: Iterable[str], spelled: bool) -> re.Pattern:
+    """What is encoded by itself: space markers and a run of characters that pieces join, directly or by others.
+
+    No piece crosses the edge of such a run. Without byte pieces (not spelled) neighbouring unknown characters become
+    one id, so all that stands between spaces stays together.
+    """
+    if not spelled:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    root: dict[str, str] = {}
+
+    def top(c: str) -> str:
+        while root.setdefault(c, c) != c:
+            c = root[c]
+        return c
+
+    for p in pieces:
+        core = p.lstrip(SPACE)
+        for a, b in zip(core, core[1:]):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    kinds = defaultdict(list)
+    for c in sorted(root):
+        kinds[top(c)].append(re.escape(c))
+    runs = [f"[{''.join(k)}]+" for _, k in sorted(kinds.items())]
+    return re.compile(f"{SPACE}*(?:{'|'.join([*runs, f'[^{SPACE}]'])})|{SPACE}+")
+
+
 def viterbi(p: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Best segmentations of words of one length: for each word and end, where the last piece of the text up to there
     starts, and which symbol it is (-1: an unknown character).
@@ -321,18 +343,20 @@ class Codec:
         sizes = np.fromiter(map(len, p.bytes_), np.int64, len(p.bytes_))
         self._size, self._first = sizes, np.cumsum(sizes) - sizes
         self._data = np.frombuffer(b"".join(p.bytes_) or b"\0", np.uint8)
-        self._known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self._new: dict[str, bytes] = {}  # units met lately and their ids, as 32-bit integers
+        self._old: dict[str, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets (one more than texts) and ids. Null and empty texts have none."""
         find = self.p.unit.findall
         units = [find(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        different = set().union(*units)
-        new = [u for u in different if u not in self._known]
-        if len(self._known) + len(new) > KEPT_UNITS:
-            self._known = {u: self._known[u] for u in different & self._known.keys()}
-        known = dict(self._known) if len(self._known) + len(new) > KEPT_UNITS else self._known  # too many to keep: for these texts alone
-        known |= encode_units(self.p, new)
+        different = set().union(*units) - self._new.keys()
+        met = different & self._old.keys()
+        self._new |= {u: self._old[u] for u in met}
+        self._new |= encode_units(self.p, list(different - met))
+        known = self._new
+        if len(known) > KEPT_UNITS:
+            self._new, self._old = {}, known if len(known) <= 2 * KEPT_UNITS else {}
         parts = [b"".join([known[u] for u in us]) for us in units]
         offsets = np.cumsum([0, *(len(x) // 4 for x in parts)])
         return offsets, np.frombuffer(b"".join(parts), np.int32)
