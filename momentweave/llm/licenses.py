@@ -5,16 +5,16 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 SHINGLE, CONTAINED = 5, 0.8
-WINDOW, STRIDE = 16, 8  # shingles of a window of the long scale, and from one to the next
-LONG = 48  # shingles of a template from which on the long scale finds it
-BANDS = 8  # of one row each
-MOST_KEYS = 100_000
+#: Scales: from so many shingles of a template on, shingles of a window, and one-row bands of a window. A window is at
+#: most a third of its template; windows of a text lie half a window apart, those of a template start everywhere.
+SCALES = ((48, 16, 8), (12, 4, 4), (1, 1, 1))
+MOST_KEYS = 20_000  # that are looked for inside a row of shingles; more are joined
 WORDS = r"[^a-z0-9\x{80}-\x{10FFFF}]+"  # what lies between words
 
 #: Public license notices to look for. Fixed values.
@@ -60,37 +60,43 @@ def _shingled(df: DataFrame, *keep: str) -> DataFrame:
     return split.select(*keep, F.when(F.size("words") >= SHINGLE, each).otherwise(F.array().cast("array<bigint>")).alias("h"))
 
 
-def _keyed(df: DataFrame, stride: int, *keep: str) -> DataFrame:
-    """keep, h, short keys (each shingle by itself) and long keys (the bands of each window) of rows with h.
-
-    A band is the least or the greatest hash of a window under one of BANDS / 2 permutations: two windows of
-    similarity j share one with probability 1 - (1 - j)^BANDS.
-    """
-    orders = range(BANDS // 2)
+def _permuted(df: DataFrame, bands: int) -> DataFrame:
+    """df with p0, p1, ...: h under bands / 2 permutations, each computed once a row."""
     shuffled = lambda k: lambda x: F.xxhash64(x, F.lit(k))
-    permuted = df.select(*keep, "h", *[F.transform("h", shuffled(k)).alias(f"p{k}") for k in orders])
-    starts = F.sequence(F.lit(1), F.size("h") - (WINDOW - 1), F.lit(stride))
-    bands = lambda i: F.array(
-        *[F.xxhash64(F.lit(2 * k), F.array_min(F.slice(f"p{k}", i, WINDOW))) for k in orders],
-        *[F.xxhash64(F.lit(2 * k + 1), F.array_max(F.slice(f"p{k}", i, WINDOW))) for k in orders],
+    return df.withColumns({f"p{k}": F.transform("h", shuffled(k)) for k in range(bands // 2)})
+
+
+def _windows(width: int, bands: int, stride: int) -> Column:
+    """Keys of the windows of h, whose permutations are p0, p1, ...: a band is the least or the greatest hash of a
+    window under one of bands / 2 permutations, so two windows of similarity j share one with probability
+    1 - (1 - j)^bands. A window of one shingle is its own."""
+    if width == 1:
+        return F.transform("h", lambda x: F.xxhash64(F.lit(-1), x))
+    starts = F.sequence(F.lit(1), F.size("h") - (width - 1), F.lit(stride))
+    band = lambda k: lambda i: F.array(
+        F.xxhash64(F.lit(width), F.lit(2 * k), F.array_min(F.slice(f"p{k}", i, width))),
+        F.xxhash64(F.lit(width), F.lit(2 * k + 1), F.array_max(F.slice(f"p{k}", i, width))),
     )
-    long = F.when(F.size("h") >= WINDOW, F.flatten(F.transform(starts, bands))).otherwise(F.array().cast("array<bigint>"))
-    return permuted.select(*keep, "h", long.alias("long"))
+    keys = [F.flatten(F.transform(starts, band(k))) for k in range(bands // 2)]
+    return F.when(F.size("h") >= width, F.concat(*keys)).otherwise(F.array().cast("array<bigint>"))
 
 
 def template_keys(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """license, shingles (different ones), and keys by which windows of texts find each template.
+    """license, shingles (different ones), keys by which windows of texts find each template, and their scale.
 
-    Templates under LONG shingles are found by any shingle: windows of one shingle, whose band is its hash, so two
-    equal ones collide for certain. Longer ones are found by windows of WINDOW shingles at every place: a text that
-    contains 0.8 of a template has, even if changes are spread evenly, windows of similarity 2/3 with it, and there
-    are at least (LONG - WINDOW) / STRIDE = 4 of them: 1 - (1/3)^(4 * BANDS), more than 1 - 1e-15 of a hit.
+    A text that contains 0.8 of a template has, even if changes are spread evenly, windows of similarity 2/3 with it.
+    A template is at least three windows long and those of a text lie half a window apart, so it has four of them at
+    least, which miss all bands with probability (1/3)^(4 * bands): 6e-16 at 16 shingles, 3e-8 at 4. Templates under
+    12 shingles are found by windows of one, of which equal ones collide for certain.
     """
     rows = F.explode(F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in templates.items()]))
-    known = _shingled(spark.range(1).select(rows.alias("t")).select("t.*"), "license")
-    keyed = _keyed(known.where(F.size("h") > 0), 1, "license")
-    keys = F.when(F.size("h") < LONG, F.col("h")).otherwise(F.col("long"))
-    return keyed.select("license", F.array_distinct("h").alias("shingles"), F.array_distinct(keys).alias("keys"))
+    known = _shingled(spark.range(1).select(rows.alias("t")).select("t.*"), "license").where(F.size("h") > 0)
+    keys, scale = F.array().cast("array<bigint>"), F.lit(-1)
+    for k, (least, width, bands) in reversed(list(enumerate(SCALES))):
+        keys = F.when(F.size("h") >= least, _windows(width, bands, 1)).otherwise(keys)
+        scale = F.when(F.size("h") >= least, k).otherwise(scale)
+    known = _permuted(known, max(bands for *_, bands in SCALES))
+    return known.select("license", F.array_distinct("h").alias("shingles"), F.array_distinct(keys).alias("keys"), scale.alias("scale"))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -99,22 +105,30 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     Null texts and templates under five words find nothing. Rows that share a doc_id give each license once, with the
     greatest containment; so do rows without one. Extra columns are ignored. No rows, or no templates, give no rows.
+    Whatever the number of templates, texts meet them by the same keys; up to MOST_KEYS are sought inside the row.
     """
     spark = docs.sparkSession
-    known = template_keys(spark, templates if templates is not None else TEMPLATES) if templates != {} else None
-    # The templates are an argument: their keys are bounded by its size, and checked before they are sent.
-    found = [] if known is None else known.collect()
-    keys = sorted({k for r in found for k in r["keys"]})
-    if len(keys) > MOST_KEYS:
-        raise ValueError(f"the templates have {len(keys)} keys; {MOST_KEYS} can be broadcast")
-    if not keys:
+    templates = TEMPLATES if templates is None else templates
+    found = template_keys(spark, templates).select("keys", "scale").collect() if templates else []  # an argument's keys
+    if not found:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment")).where("false")
-    texts = _keyed(_shingled(docs.select("doc_id", "text"), "doc_id"), STRIDE, "doc_id")
-    wanted = F.array(*[F.lit(k).cast("bigint") for k in keys])
-    hits = texts.select("doc_id", "h", F.explode(F.array_intersect(wanted, F.concat("h", "long"))).alias("key"))
-    places = F.broadcast(known.select("license", "shingles", F.explode("keys").alias("key")))
+    known = template_keys(spark, templates)
+    keys = sorted({k for r in found for k in r["keys"]})
+    scales = [SCALES[k] for k in sorted({r["scale"] for r in found})]  # those that some template needs
+    own = F.concat(*[_windows(width, bands, max(1, width // 2)) for _, width, bands in scales])
+    texts = _permuted(_shingled(docs.select("doc_id", "text"), "doc_id"), max(bands for *_, bands in scales))
+    places = known.select("license", F.explode("keys").alias("key"))
+    if len(keys) <= MOST_KEYS:  # most texts share none: only the others' shingles are carried on
+        wanted = F.array(*[F.lit(k).cast("bigint") for k in keys])
+        # The row's number keeps the filter from being pushed into the windows, where each would permute the row anew.
+        hits = texts.select("doc_id", "h", F.array_intersect(wanted, own).alias("keys"), F.monotonically_increasing_id().alias("row")).where(F.size("keys") > 0)
+        licenses = hits.select("row", "doc_id", "h", F.explode("keys").alias("key")).join(F.broadcast(places), "key").drop("key").dropDuplicates(["row", "license"])
+    else:
+        texts = cut(texts.select("doc_id", "h", F.array_distinct(own).alias("keys"), F.monotonically_increasing_id().alias("row")), "shingles")
+        met = texts.select("row", F.explode("keys").alias("key")).join(places, "key").select("row", "license").distinct()
+        licenses = met.join(texts.select("row", "doc_id", "h"), "row")
     share = F.size(F.array_intersect("shingles", "h")) / F.size("shingles")
-    checked = hits.join(places, "key").select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= CONTAINED)
+    checked = licenses.join(known.select("license", "shingles"), "license").select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= CONTAINED)
     return checked.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
 
 

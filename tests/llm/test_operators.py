@@ -140,6 +140,27 @@ def test_licenses(spark, odd, none):
     assert licenses.scan_licenses(odd, {}).count() == 0
 
 
+@pytest.mark.parametrize("joined", [False, True])
+def test_templates_of_every_scale_are_found_wherever_they_lie(spark, monkeypatch, joined):
+    if joined:
+        monkeypatch.setattr(licenses, "MOST_KEYS", 0)
+    rng = np.random.default_rng(6)
+    vocabulary = [f"w{k}" for k in range(400)]
+    templates = {f"t{n}": " ".join(rng.choice(vocabulary, n)) for n in (5, 7, 12, 16, 20, 27, 40, 52, 90, 200)}
+    rows, want = [], set()
+    for i in range(150):
+        name = f"t{rng.choice((5, 7, 12, 16, 20, 27, 40, 52, 90, 200))}"
+        words_ = templates[name].split()
+        for k in rng.choice(len(words_), int(len(words_) * rng.uniform(0, 0.06)), replace=False):
+            words_[k] = "other"
+        text = " ".join([*rng.choice(vocabulary, int(rng.integers(0, 60))), *words_, *rng.choice(vocabulary, int(rng.integers(0, 60)))])
+        rows.append((i, text))
+        held = five_words(text)
+        want |= {(i, t) for t, x in templates.items() if len(five_words(x) & held) >= 0.8 * len(five_words(x))}
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), templates)
+    assert len({t for _, t in want}) == 10 and {(r.doc_id, r.license) for r in got.collect()} == want
+
+
 def base(text):
     text = text or ""
     w, lines, seen = words(text), text.split("\n"), set()
