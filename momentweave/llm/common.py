@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,12 @@ _powers = np.ones((2, 1), np.uint64)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset: tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one, if they are one
+    process; on a cluster they would not share it, so that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-momentweave-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

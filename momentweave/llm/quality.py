@@ -59,8 +59,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, constrai
     """Fit trees on labelled documents.
 
     docs: doc_id, text. labels: doc_id, quality (0 or 1; other values and nulls teach nothing). At most about
-    `rows` labels are used: those whose hash of doc_id lies under a bound that follows from their number, so the
-    sample, and what the driver gets (its statistics, not its texts), stays bounded at any size.
+    `rows` labels are used: those whose hash of doc_id lies under a bound that follows from their number, and of the
+    rows of docs that they label about as many, by a hash of doc_id and text, if ids repeat. Equal rows teach once. So
+    the sample, and what the driver gets (its statistics, not its texts), stays bounded at any size.
     """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     share = rows / max(known.count(), 1)
@@ -68,8 +69,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROWS, constrai
         known = known.where((F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))) < int(share * (1 << 30)))
     bounded_batches(docs.sparkSession)
     # The labels' side is about `rows` rows at most: bounded, so it may be broadcast.
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", features("text").alias("x")).toArrow()
-    order = np.lexsort((sample["quality"].to_numpy(), sample["doc_id"].to_numpy()))
+    told = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    share = rows / max(told.select("doc_id").count(), 1)
+    if share < 0.5:
+        told = told.where(F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1)) < int(share * (1 << 30)))
+    sample = told.distinct().select("doc_id", "quality", features("text").alias("x"), F.xxhash64("text").alias("h")).toArrow()
+    order = np.lexsort((sample["h"].to_numpy(), sample["quality"].to_numpy(), sample["doc_id"].to_numpy()))
     x = np.array(sample["x"].combine_chunks().flatten()).reshape(-1, len(FEATURES))[order]
     y = sample["quality"].to_numpy()[order].astype(float)
     monotone = np.array([-1 if constrained and f in WORSE else 0 for f in FEATURES])

@@ -251,6 +251,33 @@ def test_quality_classifier(spark, odd):
     assert len(rows) == 11 and all(0 <= x.score <= 1 and x.predicted == int(x.score >= 0.5) for x in rows)
 
 
+def test_tree_scores_are_those_of_a_walk_by_row(spark, docs, none):
+    trees = quality.fit(docs, spark.read.parquet(f"{DATA}/labels.parquet"), constrained=True)
+    texts = [r.text for r in docs.limit(60).collect()] + [None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", "text", quality.features("text").alias("x"))
+    got = {r.doc_id: r.score for r in quality.quality_classifier(rows, trees).collect()}
+    for r in rows.collect():
+        margin = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            k = 0
+            while k < len(feature):
+                k = 2 * k + (2 if r.x[feature[k]] > threshold[k] else 1)
+            margin += leaf[k - len(feature)]
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-margin))) < 1e-12
+    assert quality.quality_classifier(none, trees).count() == 0
+    clash = docs.limit(5).withColumns({c: F.lit("mine") for c in ("predicted", "kept", "n_words", "base_failed", "lang_pred", "token_ids", "round_trip")})
+    assert {type(r.predicted) for r in quality.quality_classifier(clash, trees).collect()} == {int}
+    assert {type(r.kept) for r in quality.quality_rules(clash, trees).collect()} == {bool}
+    assert {type(r.token_ids) for r in sentencepiece_codec.encode_decode(clash).collect()} == {list}
+    assert "mine" not in {r.lang_pred for r in language_id.identify_languages(clash, language_id.fit(docs)).collect()}
+
+
+def test_sample_of_labelled_rows_is_bounded_when_ids_repeat(spark):
+    rows = [(1, f"text number {k % 5000} of many words") for k in range(12_000)] + [(2, "another text")] * 3
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    assert quality.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels, rows=500).leaf.shape[0] > 0
+
+
 def test_chat_roles_of_held_out_conversations(spark):
     more = DATA.replace("sf0.001", "sf0.01")  # the smallest table holds out two conversations
     turns = spark.read.parquet(f"{more}/conversations.parquet")
