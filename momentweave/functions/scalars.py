@@ -12,9 +12,10 @@ from ..params import DEFAULTS, DIMENSIONS, RETENTION_CATEGORIES, SCORE_WEIGHTS
 
 #: Words that are no topic. Fixed values.
 STOPWORDS = (
-    "the a an and or but in on at to for of with by is are was were be been being have has had do does did will would could should may "
-    "might must can this that these those i you he she it we they me him her us them my your his its our their"
-).split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must", "can", "this", "that", "these", "those",
+    "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "my", "your", "his", "its", "our", "their",
+)
 
 #: Keywords by emotion, in order: the first emotion with one of them in the text wins. Fixed values.
 EMOTIONS = {
@@ -36,6 +37,11 @@ def _or(value: str | Column, default) -> Column:
     return F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(default))
 
 
+def stripped(text: str | Column) -> Column:
+    """Text without outer white space of any kind."""
+    return F.regexp_replace(text, r"(?U)^\s+|(?<=\S)\s+$", "")
+
+
 def overall_score(dims: dict[str, Column], model_score: Column | None = None) -> Column:
     """F1. Weighted sum of eight dimensions (missing: 50); a model's own score in (0, 100] takes 30% of it."""
     total = reduce(add, (F.lit(w) * _or(dims.get(d, F.lit(None).cast("double")), 50.0) for d, w in SCORE_WEIGHTS.items()))
@@ -119,7 +125,7 @@ def json_array(raw: str | Column, schema: str) -> Column:
 
 
 def _json(raw: str | Column, schema: str, pattern: str) -> Column:
-    text = F.regexp_replace(F.trim(raw), r"^```(?:json)?\s*|\s*```$", "")
+    text = F.regexp_replace(stripped(raw), r"^```(?:json)?\s*|\s*```$", "")
     found = F.regexp_extract(text, pattern, 0)
     body = F.when(found != "", found).otherwise(text)
     return F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema))
@@ -169,7 +175,7 @@ def truncated(text: str | Column, n: int, mark: str = "") -> Column:
 
 def scoreable(text: str | Column) -> Column:
     """P1. Texts worth scoring: 20 characters or more."""
-    return F.length(F.trim(text)) >= 20
+    return F.length(stripped(text)) >= 20
 
 
 def in_target(duration: Column, target: float = DEFAULTS.target, tolerance: float = DEFAULTS.tolerance) -> Column:
@@ -189,7 +195,7 @@ def is_url(text: str | Column) -> Column:
 
 def moderated(text: Column, flagged: Column, severity: Column, threshold: float = DEFAULTS.moderation) -> Column:
     """P7. True if a clip may not be shown: flagged at or over the threshold; texts under 30 characters pass."""
-    return (F.length(F.trim(_or(text, ""))) >= 30) & _or(flagged, False) & (_or(severity, 0.0) >= threshold)
+    return (F.length(stripped(_or(text, ""))) >= 30) & _or(flagged, False) & (_or(severity, 0.0) >= threshold)
 
 
 def clip_file(stem: Column, suffix: Column, score: Column) -> Column:

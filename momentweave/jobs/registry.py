@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -12,11 +10,13 @@ from ..operators import captions, docindex, ranking, segments, series, signals
 from ..operators import responses as R
 from ..operators import words as W
 from ..params import DEFAULTS, DIMENSIONS
+from ..scratch import kept
 from ..sources import tables as T
 from . import views
 from .oracles import COMBOS, ENERGY, ESTIMATES, SEGMENTS, WORDS, sql
 
 FLAGSHIP = "best_all_clips"
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -112,9 +112,11 @@ def j3_all_words_overlapping(spark, d):
 
 @query("j4_natural_boundaries", sql(SEGMENTS + """,
 targets AS (SELECT video_id, start_time + 7.3 AS target, segment_id % 2 = 0 AS forward FROM segments),
+spread AS (SELECT *, unnest([floor(target / 5) - 1, floor(target / 5), floor(target / 5) + 1])::BIGINT AS bucket FROM targets),
+placed AS MATERIALIZED (SELECT *, floor("end" / 5)::BIGINT AS bucket FROM words),
 scored AS (SELECT t.video_id, t.target, t.forward, w."end", w.word_idx,
     10 + CASE WHEN right(word, 1) IN ('.', '!', '?') THEN 50 WHEN right(word, 1) IN (',', ';', ':') THEN 20 ELSE 0 END - abs(w."end" - target) * 3 AS points
-  FROM targets t JOIN words w ON w.video_id = t.video_id AND w."end" BETWEEN target - 5.001 AND target + 5.001 WHERE abs(w."end" - target) <= 5),
+  FROM spread t JOIN placed w ON w.video_id = t.video_id AND w.bucket = t.bucket WHERE abs(w."end" - target) <= 5),
 best AS (SELECT video_id, target, forward, "end", row_number() OVER (PARTITION BY video_id, target, forward ORDER BY points DESC, CASE WHEN forward THEN word_idx ELSE -word_idx END) AS n
   FROM scored WHERE points > -1)
 """, """
@@ -142,7 +144,7 @@ def w5_combinations(spark, d):
 
 @query("w6_arcs", sql(SEGMENTS, f"""
 SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
-FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx BETWEEN a.idx + 3 AND a.idx + 7) WHERE t1 - t0 BETWEEN 145 AND 180
+FROM (SELECT *, unnest(range(idx + 3, idx + 8)) AS j FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.j) WHERE t1 - t0 BETWEEN 145 AND 180
 """))
 def w6_arcs(spark, d):
     return _range(C.arcs(views.segments(spark, d)))
@@ -150,7 +152,7 @@ def w6_arcs(spark, d):
 
 @query("j6_hook_payoffs", sql(SEGMENTS, f"""
 SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
-FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx > a.idx AND b.idx < a.idx + 60
+FROM (SELECT *, unnest(range(idx + 1, idx + 60)) AS j FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.j
 WHERE a.segment_type IN ('hook', 'story', 'question', 'setup') AND b.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice')) WHERE t1 - t0 BETWEEN 30 AND 180
 """))
 def j6_hook_payoffs(spark, d):
@@ -158,8 +160,8 @@ def j6_hook_payoffs(spark, d):
 
 
 @query("w11_extended_segments", sql(SEGMENTS + """,
-reach AS (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1, a.end_time - a.start_time AS own
-  FROM segments a JOIN segments b ON b.video_id = a.video_id AND b.idx >= a.idx AND b.idx < a.idx + 60
+reach AS MATERIALIZED (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1, a.end_time - a.start_time AS own
+  FROM (SELECT *, unnest(range(idx, idx + 60)) AS k FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.k
   WHERE a.end_time - a.start_time >= 10 AND a.end_time - a.start_time < 145 AND b.end_time - a.start_time <= 180),
 picked AS (SELECT video_id, i, t0, coalesce(min(CASE WHEN abs(t1 - t0 - 148) <= 3 AND j > i THEN j END), max(j)) AS j FROM reach GROUP BY video_id, i, t0)
 """, f"""
@@ -220,18 +222,10 @@ def _best_combinations(spark, d, k):
     return _best(s, C.combinations(s), k)
 
 
-def _kept(df):
-    """df computed once, as Parquet in spark.checkpoint.dir; if that isn't set, by the executors."""
-    if not (folder := df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        return df.localCheckpoint()
-    df.write.parquet(path := f"{folder}/kept-{uuid.uuid4().hex}")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _best_generated(spark, d, k):
-    """The strategies read segments and words many times over, and the ranking reads candidates twice."""
-    s, w = _kept(views.segments(spark, d)), _kept(views.words(spark, d))
-    return _best(s, _kept(C.generate(s, w)), k)
+    """The ranking reads candidates and segments twice."""
+    s = kept(views.segments(spark, d), "segments")
+    return _best(s, kept(C.generate(s, views.words(spark, d)), "generated"), k)
 
 
 @query("best_clips", sql(ESTIMATES, _TOP.format(k=8)))
@@ -392,13 +386,14 @@ def w9_scene_changes(spark, d):
 
 @query("a6_video_features", sql(_FRAMES, """
 SELECT video_id, segment_id, round(coalesce(avg(motion), 0), 6) AS mean_motion, round(coalesce(var_pop(motion), 0), 6) AS motion_variance, sum(scene_change::INT)::BIGINT AS scene_change_count,
-  round(1 / (1 + coalesce(var_pop(motion), 0)), 6) AS scene_stability, round(avg(brightness), 4) AS mean_brightness, round(var_pop(brightness), 4) AS brightness_variance,
+  round(1 / (1 + coalesce(var_pop(motion), 0)), 6) AS scene_stability, round(avg(brightness) + 1e-7::DOUBLE, 4) AS mean_brightness, round(var_pop(brightness) + 1e-7::DOUBLE, 4) AS brightness_variance,
   avg(brightness) < 40 AS is_dark, round(least(1, coalesce(var_pop(motion), 0) / 20), 6) AS visual_variety
 FROM scenes GROUP BY video_id, segment_id
 """))
 def a6_video_features(spark, d):
+    """Means of cents can lie between two values of four digits: a ten-millionth decides these alike everywhere."""
     v = signals.video_features(_scenes(spark, d))
-    return v.select("video_id", "segment_id", *r6("mean_motion", "motion_variance"), "scene_change_count", *r6("scene_stability"), F.round("mean_brightness", 4).alias("mean_brightness"), F.round("brightness_variance", 4).alias("brightness_variance"), "is_dark", *r6("visual_variety"))
+    return v.select("video_id", "segment_id", *r6("mean_motion", "motion_variance"), "scene_change_count", *r6("scene_stability"), *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("mean_brightness", "brightness_variance")], "is_dark", *r6("visual_variety"))
 
 
 _SAMPLES = ENERGY + """,
@@ -543,9 +538,9 @@ def f8_f11_formats(spark, d):
     )
 
 
-@query("p1_p10_text_rules", """
-SELECT d.doc_id, length(trim(text)) >= 20 AS scoreable, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '...' ELSE text END) AS short,
-  length(trim(text)) >= 30 AND coalesce(toxic = 1, false) AND CASE WHEN d.doc_id % 2 = 0 THEN 0.4 ELSE 0.8 END >= 0.5 AS moderated,
+@query("p1_p10_text_rules", f"""
+SELECT d.doc_id, length({STRIPPED}) >= 20 AS scoreable, md5(CASE WHEN length(text) > 2500 THEN left(text, 2500) || '...' ELSE text END) AS short,
+  length({STRIPPED}) >= 30 AND coalesce(toxic = 1, false) AND CASE WHEN d.doc_id % 2 = 0 THEN 0.4 ELSE 0.8 END >= 0.5 AS moderated,
   CASE WHEN d.doc_id % 3 = 0 THEN 'Title' WHEN d.doc_id % 3 = 1 THEN 'Hook' ELSE left(text, 60) END AS title, sha1(concat(source, '/', d.doc_id, '.txt')) AS path_id
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 """)
@@ -572,8 +567,8 @@ def s3_p6_metadata(spark, d):
 # Captions, reports, answers.
 
 
-@query("s5_srt", """
-SELECT conv_id AS video_id, md5(string_agg(concat(n, chr(10), format('00:{:02d}:{:02d},000', turn * 10 // 60, turn * 10 % 60), ' --> ', format('00:{:02d}:{:02d},500', (turn * 10 + 9) // 60, (turn * 10 + 9) % 60), chr(10), trim(text, ' '), chr(10)), chr(10) ORDER BY n)) AS srt
+@query("s5_srt", f"""
+SELECT conv_id AS video_id, md5(string_agg(concat(n, chr(10), format('00:{{:02d}}:{{:02d}},000', turn * 10 // 60, turn * 10 % 60), ' --> ', format('00:{{:02d}}:{{:02d}},500', (turn * 10 + 9) // 60, (turn * 10 + 9) % 60), chr(10), {STRIPPED}, chr(10)), chr(10) ORDER BY n)) AS srt
 FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) GROUP BY conv_id
 """)
 def s5_srt(spark, d):
@@ -638,8 +633,8 @@ def m2_segments_of_answers(spark, d):
     return R.segments_of(chunks, w).select("video_id", "segment_id", *r6("start_time", "end_time"), "word_from", "word_to")
 
 
-@query("j7_not_indexed", """
-SELECT sha1(concat(source, '/', doc_id, '.txt')) AS doc_id, length(text)::INT AS length FROM documents WHERE length(trim(text)) > 0 AND doc_id % 3 <> 0
+@query("j7_not_indexed", f"""
+SELECT sha1(concat(source, '/', doc_id, '.txt')) AS doc_id, length(text)::INT AS length FROM documents WHERE length({STRIPPED}) > 0 AND doc_id % 3 <> 0
 """)
 def j7_not_indexed(spark, d):
     path = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))

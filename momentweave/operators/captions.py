@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import ass_time, srt_time
+from ..functions.scalars import ass_time, srt_time, stripped
 from ..params import DEFAULTS, Params
 
 LINE = "video_id long, clip_id long, line int, start double, end double, text string"
@@ -58,7 +58,7 @@ def ass_dialogue(lines: DataFrame) -> DataFrame:
 def srt(segments: DataFrame) -> DataFrame:
     """S5. A video's segments (start_time, end_time, text) as one SubRip text: numbered from 1, in time order."""
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("start_time", "end_time", "text"))
-    block = F.concat(number.cast("string"), F.lit("\n"), srt_time("start_time"), F.lit(" --> "), srt_time("end_time"), F.lit("\n"), F.trim("text"), F.lit("\n"))
+    block = F.concat(number.cast("string"), F.lit("\n"), srt_time("start_time"), F.lit(" --> "), srt_time("end_time"), F.lit("\n"), stripped("text"), F.lit("\n"))
     blocks = segments.select("video_id", number.alias("n"), block.alias("block"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda r: r["block"])
     return blocks.groupBy("video_id").agg(F.array_join(rows, "\n").alias("srt"))

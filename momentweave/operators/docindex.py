@@ -20,7 +20,7 @@ def doc_id(path: str | Column = "path") -> Column:
 def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
     """J7. Files (path, text) whose id the index doesn't have, with doc_id and length; blank ones are left out."""
     fresh = files.where(F.rlike("text", F.lit(r"(?U)\S"))).select(doc_id().alias("doc_id"), "path", F.length("text").alias("length"), "text")
-    return fresh.join(index.select("doc_id"), "doc_id", "left_anti")
+    return fresh.join(index.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])  # a path counts once
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, per_block: int = QUERIES_PER_BLOCK, spread: int = 64) -> DataFrame:

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stripped
+from .runs import by_video
+
 SEGMENT = "video_id long, segment_id int, start_time double, end_time double, word_from int, word_to int"
 
 
@@ -31,22 +34,22 @@ def sentence_segments(words: DataFrame, *, least: int = 5, tail: int = 3) -> Dat
     marked = words.select(
         "video_id", "word_idx", "start", "end",
         F.lead("start").over(by).alias("next_start"),
-        F.substring(F.trim("word"), -1, 1).isin(".", "!", "?").alias("closes"),
+        F.substring(stripped("word"), -1, 1).isin(".", "!", "?").alias("closes"),
     )
     few = marked.where(F.col("closes") | F.col("next_start").isNull() | (F.col("word_idx") == 0))
 
-    def segment(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("word_idx")
-        idx, n = frame["word_idx"].to_numpy(), int(frame["word_idx"].iloc[-1]) + 1
-        found = cut_points(idx[frame["closes"].to_numpy(bool)], n, least, tail)
-        end = dict(zip(idx, frame["end"], strict=True))
-        start = {0: frame["start"].iloc[0]} | dict(zip(idx + 1, frame["next_start"], strict=True))
-        return pd.DataFrame({
-            "video_id": frame["video_id"].iloc[0], "segment_id": np.arange(len(found)), "start_time": [start[a] for a, _ in found],
-            "end_time": [end[b] for _, b in found], "word_from": [a for a, _ in found], "word_to": [b for _, b in found],
+    def segment(video: pa.Table) -> pa.Table:
+        idx, end, ahead = (video[c].to_numpy() for c in ("word_idx", "end", "next_start"))
+        found = cut_points(idx[video["closes"].to_numpy()], int(idx[-1]) + 1, least, tail)
+        first, last = np.array(found, np.int64).reshape(-1, 2).T
+        at, before = np.searchsorted(idx, last), np.searchsorted(idx, first - 1)
+        start = np.where(first > 0, ahead[np.minimum(before, len(idx) - 1)], video["start"][0].as_py())
+        return pa.table({
+            "video_id": np.full(len(found), video["video_id"][0].as_py()), "segment_id": np.arange(len(found)), "start_time": start, "end_time": end[at],
+            "word_from": first, "word_to": last,
         })
 
-    return few.groupBy("video_id").applyInPandas(segment, SEGMENT)
+    return by_video(few, ["word_idx"], segment, SEGMENT, dealt=True)  # by the window
 
 
 def merged_rows(start: np.ndarray, end: np.ndarray, complete: np.ndarray) -> list[int]:
@@ -68,11 +71,9 @@ def merge_overlaps(segments: DataFrame) -> DataFrame:
     """W4. Segments in start order, those that mostly repeat the one kept before dropped (or, if complete and that one
     not, put in its place), numbered anew. segments: video_id, segment_id, start_time, end_time, is_complete, ..."""
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["start_time", "end_time", "segment_id"]).reset_index(drop=True)
-        rows = merged_rows(frame["start_time"].to_numpy(), frame["end_time"].to_numpy(), frame["is_complete"].to_numpy(bool))
-        out = frame.iloc[rows].copy()
-        out["segment_id"] = np.arange(len(out))
-        return out
+    def merge(video: pa.Table) -> pa.Table:
+        rows = merged_rows(*(video[c].to_numpy() for c in ("start_time", "end_time", "is_complete")))
+        out = video.take(rows)
+        return out.set_column(out.column_names.index("segment_id"), "segment_id", pa.array(np.arange(len(out))))
 
-    return segments.groupBy("video_id").applyInPandas(merge, segments.schema)
+    return by_video(segments, ["start_time", "end_time", "segment_id"], merge, segments.schema)

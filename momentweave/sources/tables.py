@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import stripped
 from ..operators.docindex import decoded, not_indexed
 
 TRANSCRIPT = (
@@ -31,7 +32,7 @@ def transcript_words(transcripts: DataFrame) -> DataFrame:
     words = segments.select("video_id", "seg", F.posexplode("s.words").alias("pos", "w"))
     place = F.row_number().over(Window.partitionBy("video_id").orderBy("seg", "pos")) - 1
     return words.select(
-        "video_id", place.alias("word_idx"), F.trim("w.word").alias("word"), F.coalesce("w.start", F.lit(0.0)).alias("start"),
+        "video_id", place.alias("word_idx"), stripped("w.word").alias("word"), F.coalesce("w.start", F.lit(0.0)).alias("start"),
         F.coalesce("w.end", F.lit(0.0)).alias("end"), F.coalesce("w.confidence", F.lit(1.0)).alias("confidence"),
     )
 
@@ -44,7 +45,8 @@ def transcript_videos(transcripts: DataFrame) -> DataFrame:
 
 def read_text_files(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """S2. path and text of a folder's files by suffix, in all its subfolders; bad bytes and blank files are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    either = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in suffix) for suffix in suffixes]  # letters in both cases
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{{{','.join(either)}}}").load(folder)
     return text_files(files, suffixes)
 
 

@@ -67,7 +67,7 @@ def test_every_segment_gets_captions(spark, words, segments):
 def ranked(spark, segments):
     """The candidates of all strategies of each video, scored one by one, best first."""
     of, out = {v: list(g.itertuples()) for v, g in segments.groupby("video_id")}, {}
-    for c in C.generate(views.segments(spark, DATA).localCheckpoint(), views.words(spark, DATA).localCheckpoint()).toPandas().itertuples():
+    for c in C.generate(views.segments(spark, DATA), views.words(spark, DATA)).toPandas().itertuples():
         total = weights = bonus = 0.0
         for s in of[c.video_id]:
             shared = min(c.t1, s.end_time) - max(c.t0, s.start_time)
