@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import candidates as C
-from ..operators import captions, docindex, ranking, segments, series, signals
+from ..operators import captions, docindex, highlights, ranking, segments, series, signals
 from ..operators import responses as R
 from ..operators import words as W
 from ..params import DEFAULTS, DIMENSIONS
-from ..scratch import kept
+from ..scratch import kept, shared_folder
 from ..sources import tables as T
 from . import views
 from .oracles import COMBOS, ENERGY, ESTIMATES, SEGMENTS, WORDS, sql
@@ -300,6 +303,32 @@ def w18_diverse_clips(spark, d):
     return ranking.select_diverse(clips)
 
 
+def _proposed_rounds(best):
+    """Boundaries that a model would propose for ranked candidates, by rule: each round moves both ends by a quarter of
+    a second; its score is the estimate and up to six points more."""
+    r, c, v = F.col("round"), F.col("rank"), F.col("video_id")
+    rows = best.withColumn("round", F.explode(F.array(*map(F.lit, range(4)))))
+    return rows.select(
+        "video_id", F.col("rank").cast("long").alias("candidate_id"), "round", (F.col("t0") + r * 0.25).alias("new_start"), (F.col("t1") + r * 0.25).alias("new_end"),
+        (F.col("estimated_score") + F.when(r > 0, (v * 3 + c * 7 + r * 29) % 7).otherwise(0)).alias("score"), F.lit("a later start").alias("reasoning"), F.lit("a text of twenty characters").alias("text"),
+    )
+
+
+@query("highlights")
+def highlights_(spark, d):
+    """The whole job: candidates of all strategies, estimates, the best, refinement, moderation, diverse choice, series
+    with filler and fallback, one numbered list with texts."""
+    w = kept(views.words(spark, d), "words")
+    s = kept(views.segments(spark, d), "segments")
+    best = _best(s, kept(C.generate(s, w), "generated"), DEFAULTS.refined)
+    rounds = kept(_proposed_rounds(best), "rounds")
+    labels = views.read(spark, d, "labels").select(F.col("doc_id").alias("video_id"), (F.col("toxic") == 1).alias("flagged"), F.when(F.col("doc_id") % 2 == 0, 0.4).otherwise(0.8).alias("severity"))
+    judged = rounds.where("round = 0").select("video_id", "candidate_id").join(labels, "video_id")
+    clips = highlights.highlight_clips(rounds, w, judged)
+    found = highlights.numbered_clips(clips, series.story_series(_proposals(spark, d), s), w)
+    return found.select("video_id", "clip_index", "type", *r6("start_time", "end_time"), F.round("score", 4).alias("score"), F.md5("text").alias("text"))
+
+
 # Series.
 
 
@@ -308,6 +337,13 @@ def w16_packed_series(spark, d):
     return series.packed_series(views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
 
 
+@query("w17_story_series")
+def w17_story_series(spark, d):
+    """Proposed series, and filler and fallback where they are too few."""
+    found = series.story_series(_proposals(spark, d), kept(views.segments(spark, d), "segments"))
+    return found.select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx", "source")
+
+
 _PROPOSED = """,
 proposals AS (SELECT l.video_id, s AS series_idx, e AS episode_idx, (s * 10 + e * 3)::INT AS start_segment_id, (s * 10 + e * 3 + 2 - (CASE WHEN (l.video_id + e) % 7 = 0 THEN 9 ELSE 0 END))::INT AS end_segment_id
   FROM lengths l, (SELECT unnest([0, 1]) AS s), (SELECT unnest([1, 2, 3]) AS e)),
@@ -620,6 +656,136 @@ def m7_moderation_of_answers(spark, d):
     return R.moderation_of(views.read(spark, d, "documents").select("doc_id", raw.alias("response")), "doc_id").select("doc_id", "flagged", "severity")
 
 
+def _answers(spark, d, body, *, plain="no"):
+    """A model's raw answers to each document: the body, fenced, in a sentence, or none that parses."""
+    k = F.col("doc_id") % 5
+    raw = F.when(k < 2, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k < 4, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(plain)
+    return views.read(spark, d, "documents").withColumn("response", raw)
+
+
+@query("m4_retention_of_answers", sql(f"s AS (SELECT doc_id, {_DIMS} FROM documents), f AS (SELECT *," + """
+  round(0.30 * (viewer_retention + completion_probability + replay_probability) / 3 + 0.20 * (story_quality + emotional_payoff + resolution_quality + 50) / 4 + 0.15 * hook_strength
+  + 0.10 * (50 + emotional_intensity + surprise) / 3 + 0.10 * educational_value + 0.05 * visual_quality + 0.05 * audio_quality + 0.05 * (virality + share_probability + comment_potential) / 3, 2)::DOUBLE AS formula FROM s)""", """
+SELECT doc_id, CASE WHEN doc_id % 5 < 4 AND doc_id % 2 = 0 THEN 61.5 ELSE formula END::DOUBLE AS retention_score,
+  round(CASE WHEN doc_id % 5 < 4 THEN 0.25 ELSE formula / 100 * 0.85 END::DOUBLE, 6) AS completion_rate,
+  round(CASE WHEN doc_id % 5 < 4 THEN 0 ELSE 1 - formula / 100 * 0.85 END::DOUBLE, 6) AS drop_off_rate FROM f
+"""))
+def m4_retention_of_answers(spark, d):
+    body = F.concat(F.lit('{"completion_rate": 0.25'), F.when(F.col("doc_id") % 2 == 0, ', "retention_score": 61.5}').otherwise("}"))
+    s = _scored(spark, d).join(_answers(spark, d, body).select("doc_id", "response"), "doc_id")
+    m = R.retention_of(s, S.dimensions(s), F.lit(148.0), "doc_id")
+    return m.select("doc_id", "retention_score", *r6("completion_rate", "drop_off_rate"))
+
+
+_HINTS = {"tutorial": "Look for steps.", "interview": "Look for answers.", "unknown": "Look for a story."}
+
+
+@query("m5_p9_content_types", """
+SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN ['tutorial', 'interview', 'vlog'][doc_id % 3 + 1] ELSE 'unknown' END AS content_type,
+  CASE WHEN doc_id % 5 < 4 AND doc_id % 3 = 0 THEN 'Look for steps.' WHEN doc_id % 5 < 4 AND doc_id % 3 = 1 THEN 'Look for answers.' ELSE 'Look for a story.' END AS hint FROM documents
+""")
+def m5_p9_content_types(spark, d):
+    kind = F.element_at(F.array(*map(F.lit, ("tutorial", "interview", "vlog"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    asked = _answers(spark, d, F.concat(F.lit('{"content_type": "'), kind, F.lit('"}')))
+    return R.with_hint(asked.select("doc_id", R.content_type_of("response").alias("content_type")), _HINTS)
+
+
+@query("m6_m1_prompts", """
+SELECT doc_id, md5(concat('Rate this, from ', coalesce(source, ''), ': ', CASE WHEN length(text) > 500 THEN left(text, 500) ELSE text END)) AS prompt,
+  length(concat('Rate this, from ', coalesce(source, ''), ': ', CASE WHEN length(text) > 500 THEN left(text, 500) ELSE text END))::VARCHAR AS response FROM documents WHERE text IS NOT NULL
+""")
+def m6_m1_prompts(spark, d):
+    """Each different prompt is answered once, here by its length."""
+    docs = views.read(spark, d, "documents").where("text IS NOT NULL")
+    asked = docs.select("doc_id", R.prompts(docs, "Rate this, from {source}: {text}", source=F.col("source"), text=S.truncated("text", 500)).alias("prompt"))
+    return R.infer(asked, lambda: lambda texts: [str(len(t)) for t in texts]).select("doc_id", F.md5("prompt").alias("prompt"), "response")
+
+
+@query("m7_boundaries_of_answers", """
+SELECT doc_id AS video_id, doc_id % 3 AS candidate_id, 1 AS "round", CASE WHEN doc_id % 2 = 0 THEN doc_id + 0.5 ELSE 10 END::DOUBLE AS new_start, 90.0::DOUBLE AS new_end,
+  CASE WHEN doc_id % 2 = 0 THEN 'tighter' ELSE '' END AS reasoning FROM documents WHERE doc_id % 5 < 4
+""")
+def m7_boundaries_of_answers(spark, d):
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('{"new_start": '), (F.col("doc_id") + 0.5).cast("string"), F.lit(', "reasoning": "tighter"}'))).otherwise('{"new_end": 90}')
+    asked = _answers(spark, d, body).select(F.col("doc_id").alias("video_id"), (F.col("doc_id") % 3).alias("candidate_id"), F.lit(1).alias("round"), F.lit(10.0).alias("start_time"), F.lit(90.0).alias("end_time"), "response")
+    return R.boundaries_of(asked)
+
+
+@query("m7_series_of_answers", """
+SELECT doc_id AS video_id, 0 AS series_idx, e::INT AS episode_idx, CASE WHEN e = 1 THEN 'one' ELSE '' END AS title, (doc_id % 7 + e)::INT AS start_segment_id, (doc_id % 7 + e + 2)::INT AS end_segment_id,
+  CASE WHEN e = 2 THEN 'and then' ELSE '' END AS cliffhanger, CASE WHEN e = 3 THEN 'so' ELSE '' END AS ending, 71.0::DOUBLE AS overall_story_score
+FROM documents, (SELECT unnest([1, 2, 3]) AS e) WHERE doc_id % 5 < 4
+""")
+def m7_series_of_answers(spark, d):
+    n = F.col("doc_id") % 7
+    episode = lambda e, more: F.concat(F.lit(f'"episode_{e}": {{"start_segment_id": '), (n + e).cast("string"), F.lit(', "end_segment_id": '), (n + e + 2).cast("string"), F.lit(f"{more}}}"))
+    body = F.concat(F.lit('[{"overall_story_score": 71, '), episode(1, ', "title": "one"'), F.lit(", "), episode(2, ', "cliffhanger": "and then"'), F.lit(", "), episode(3, ', "ending": "so"'), F.lit("}]"))
+    return R.series_of(_answers(spark, d, body).select(F.col("doc_id").alias("video_id"), "response"))
+
+
+@query("f10_s6_sidecars", """
+SELECT doc_id, md5(concat('Clip ', doc_id, chr(10), chr(10), CASE WHEN doc_id % 3 = 0 THEN '#viral #mustwatch #trending' ELSE concat('#', coalesce(lang, 'x'), ' #clip') END, chr(10))) AS sidecar FROM documents
+""")
+def f10_s6_sidecars(spark, d):
+    docs = views.read(spark, d, "documents")
+    tags = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("##"), F.coalesce("lang", F.lit("x"))), F.lit("clip")))
+    return docs.select("doc_id", F.md5(S.sidecar(F.concat(F.lit("Clip "), F.col("doc_id").cast("string")), S.hashtags(tags))).alias("sidecar"))
+
+
+@query("w20_j10_clip_records", sql(SEGMENTS + """,
+clips AS (SELECT * FROM (SELECT video_id, segment_id, start_time, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, start_time, end_time) - 1 AS k FROM segments) WHERE k < 8),
+files AS (SELECT *, concat('clip_', segment_id, '_', format('{:.1f}', start_time), '.mp4') AS file FROM clips)
+""", """
+SELECT f.video_id, f.file, (CASE WHEN f.k % 2 = 1 THEN f.k ELSE min(c.k) FILTER (contains(f.file, format('{:.1f}', c.start_time))) END)::INT AS clip_index
+FROM files f JOIN clips c ON c.video_id = f.video_id GROUP BY f.video_id, f.file, f.k
+"""))
+def w20_j10_clip_records(spark, d):
+    """Files of each video's best segments with their records: every other one by its index, the rest by the start in
+    its name."""
+    alone = ranking.top(views.segments(spark, d), 8, F.desc("score"), "start_time", "end_time")
+    episodes = alone.limit(0).select("video_id", F.lit(0).alias("series_idx"), F.lit(0).alias("episode_idx"), "start_time", "end_time")
+    clips = kept(ranking.clip_index(alone.select("video_id", "rank", "segment_id", "start_time", "end_time", "score"), episodes), "clips")
+    name = F.concat(F.lit("clip_"), F.col("segment_id").cast("string"), F.lit("_"), F.format_string("%.1f", "start_time"), F.lit(".mp4"))
+    files = clips.select("video_id", name.alias("file"), F.when(F.col("rank") % 2 == 0, F.col("clip_index")).alias("clip_index"))
+    found = T.clip_records(files, clips.select("video_id", "clip_index", "start_time", "score"))
+    return found.select("video_id", "file", F.col("r_index").alias("clip_index"))
+
+
+@query("s2_s7_index", """
+SELECT sha1(concat('f/', doc_id, '.txt')) AS doc_id, concat('f/', doc_id, '.txt') AS path, length(text)::INT AS length FROM documents
+WHERE doc_id % 4 <> 3 AND regexp_matches(coalesce(text, ''), '\\S')
+""")
+def s2_s7_index(spark, d):
+    """Documents as files of several suffixes, added to an index in two goes, the second with files that it has."""
+    docs = views.read(spark, d, "documents")
+    suffix = F.element_at(F.array(*map(F.lit, (".txt", ".txt", ".txt", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    files = kept(T.text_files(docs.select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.col("text").cast("binary").alias("content"))), "files")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    T.append_index(files.where("length(text) % 2 = 0"), path)
+    return T.append_index(files.unionByName(files), path)
+
+
+@query("w4_merged_segments")
+def w4_merged_segments(spark, d):
+    """Segments, and each pair of neighbours as one more that overlaps both."""
+    s = views.segments(spark, d).select("video_id", "segment_id", "start_time", "end_time", "is_complete")
+    by = Window.partitionBy("video_id").orderBy("segment_id")
+    pairs = s.select("video_id", (F.col("segment_id") + 1_000_000).cast("int").alias("segment_id"), "start_time", F.lead("end_time").over(by).alias("end_time"), (F.col("segment_id") % 3 == 0).alias("is_complete"))
+    return segments.merge_overlaps(s.unionByName(pairs.where("end_time IS NOT NULL"))).select("video_id", "segment_id", *r6("start_time", "end_time"), "is_complete")
+
+
+@query("j8_f4_scores_with_signals")
+def j8_f4_scores_with_signals(spark, d):
+    """Scores of stretches of 0.8 s, with what audio and video tell of the same stretch."""
+    grid = kept(_audio_grid(spark, d), "grid")
+    frames = views.frames(spark, d)
+    video = signals.video_features(signals.scene_changes(signals.sampled_frames(frames, grid)))
+    dims = {name: ((F.col("segment_id") * 31 + F.col("video_id") + k * 13) % 6 * 20).cast("double") for k, name in enumerate(DIMENSIONS)}
+    scores = grid.select("video_id", "segment_id", *[c.alias(n) for n, c in dims.items()], F.lit(1.0).alias("score"))
+    joined = signals.with_signals(scores, signals.audio_features(views.audio_chunks(spark, d), grid), video)
+    return S.multimodal_adjusted(joined).select("video_id", "segment_id", *r6("emotional_intensity", "audio_quality", "visual_quality"), "score")
+
+
 @query("m2_segments_of_answers", sql(WORDS + """,
 lengths AS (SELECT video_id, max(word_idx) + 1 AS n FROM words GROUP BY 1),
 found AS (SELECT video_id, 0 AS segment_id, 0 AS word_from, least(4, n - 1)::INT AS word_to FROM lengths UNION ALL SELECT video_id, 1, n - 1, n - 1 FROM lengths WHERE n <= 3)""", """

@@ -1,5 +1,7 @@
 """Queries that run over every row beside brute force, on the smallest tables."""
 
+import hashlib
+
 import numpy as np
 import pytest
 
@@ -7,7 +9,7 @@ from momentweave.functions import scalars as S
 from momentweave.jobs import registry, views
 from momentweave.operators import candidates as C
 from momentweave.operators.captions import packed_lines
-from momentweave.params import HOOK_NARROW, PAYOFF
+from momentweave.params import DIMENSIONS, HOOK_NARROW, PAYOFF
 
 DATA = "/root/testdata/sf0.001"
 
@@ -113,3 +115,142 @@ def test_diverse_clips_are_chosen_from_all_strategies_in_target(spark, words):
         want |= {(v, p.id, p.t0, p.t1) for p in picks}
     got = [(r.video_id, r.candidate_id, r.start_time, r.end_time) for r in registry.QUERIES["w18_diverse_clips"](spark, DATA).collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def chosen(rows):
+    """Of (score, start, end, topic, emotion, id), best first: up to eight that overlap little and differ; then others."""
+    picks = []
+    for varied in (True, False):
+        for r in sorted(rows, key=lambda r: (-r[0], r[1], r[2], r[5])):
+            new = all(r[3] != p[3] for p in picks) or all(r[4] != p[4] for p in picks)
+            clear = all((min(r[2], p[2]) - max(r[1], p[1])) / (r[2] - r[1]) <= 0.3 for p in picks)
+            if r not in picks and len(picks) < 8 and clear and (new or not varied):
+                picks.append(r)
+    return sorted(picks, key=lambda r: (r[1], -r[0], r[5]))
+
+
+def test_highlights_are_the_chain_of_their_parts(spark, words):
+    best = registry.QUERIES["t2_all_refined_candidates"](spark, DATA).toPandas()
+    toxic = {r.doc_id for r in views.read(spark, DATA, "labels").where("toxic = 1").collect()}
+    rows = []
+    for c in best.itertuples():
+        at, score = 0, c.estimated_score
+        for r in (1, 2, 3):
+            told = c.estimated_score + (c.video_id * 3 + c.rank * 7 + r * 29) % 7
+            if told <= score + 2 or not 30 <= c.t1 - c.t0 <= 180 or c.t0 + r * 0.25 < 0:
+                break
+            at, score = r, told
+        t0, t1 = c.t0 + at * 0.25, c.t1 + at * 0.25
+        if abs(t1 - t0 - 148) <= 3:
+            w = words[c.video_id]
+            text = " ".join(w.word[(w.end > t0) & (w.start < t1)])
+            if text and not (c.video_id in toxic and c.video_id % 2 and len(text) >= 30):
+                rows.append((c.video_id, c.rank, t0, t1, score, text))
+    frame = spark.createDataFrame(rows, "v long, id long, t0 double, t1 double, score double, text string")
+    told = frame.select("v", "id", "t0", "t1", "score", "text", S.topic("text").alias("topic"), S.emotion("text").alias("emotion")).toPandas()
+    want = {}
+    for v, g in told.groupby("v"):
+        text = dict(zip(g.id, g.text, strict=True))
+        picks = chosen([(r.score, r.t0, r.t1, r.topic, r.emotion, r.id) for r in g.itertuples()])
+        want |= {(v, k): ("standalone", round(p[1], 6), round(p[2], 6), hashlib.md5(text[p[5]].encode()).hexdigest()) for k, p in enumerate(picks)}
+    got = registry.QUERIES["highlights"](spark, DATA).toPandas()
+    alone = got[got.type == "standalone"]
+    assert want and {(r.video_id, r.clip_index): (r.type, round(r.start_time, 6), round(r.end_time, 6), r.text) for r in alone.itertuples()} == want
+    episodes = registry.QUERIES["w17_story_series"](spark, DATA).toPandas().sort_values(["video_id", "series_idx", "episode_idx"])
+    rest = got[got.type == "story_series"].sort_values(["video_id", "clip_index"])
+    assert rest[["video_id", "start_time", "end_time"]].values.tolist() == episodes[["video_id", "start_time", "end_time"]].values.tolist()
+    for _, g in got.groupby("video_id"):
+        assert sorted(g.clip_index) == list(range(len(g)))
+
+
+def plain_packed(segs, first):
+    """Three episodes of (start, end, idx) from a place on, segment by segment, or none."""
+    if len(segs) - first < 9:
+        return None
+    out, at = [], first
+    for _ in range(3):
+        begin = at
+        while at < len(segs) and segs[at][1] - segs[begin][0] < 110:
+            at += 1
+        if begin >= len(segs):
+            return None
+        to = min(at, len(segs) - 1)
+        out.append((segs[begin][2], segs[to][2]))
+        at = to + 1
+    return out
+
+
+def test_series_are_packed_proposed_filled(spark, segments):
+    segs = {v: [(r.start_time, r.end_time, r.idx) for r in g.itertuples()] for v, g in segments.groupby("video_id")}
+    want = {}
+    for v, rows in segs.items():
+        found = [x for first in (0, len(rows) // 4, len(rows) // 2) if (x := plain_packed(rows, first))]
+        want |= {(v, k, e): x for k, runs in enumerate(found) for e, x in enumerate(runs, 1)}
+    got = registry.QUERIES["w16_packed_series"](spark, DATA).collect()
+    assert want and {(r.video_id, r.series_idx, r.episode_idx): (r.from_idx, r.to_idx) for r in got} == want
+    proposed = {}
+    for r in registry.QUERIES["j9_proposed_series"](spark, DATA).collect():
+        proposed.setdefault(r.video_id, {}).setdefault(r.series_idx, []).append((r.episode_idx, r.from_idx, r.to_idx, r.start_time, r.end_time))
+    full = {}
+    for v, rows in segs.items():
+        mine = proposed.get(v, {})
+        full |= {(v, k, e, "proposed"): (a, b) for k, es in mine.items() for e, a, b, _, _ in es}
+        if not mine:
+            full |= {(v, k, e, "fallback"): x for (w, k, e), x in want.items() if w == v}
+        elif len(mine) < 3:
+            spans = [(min(e[3] for e in es), max(e[4] for e in es)) for es in mine.values()]
+            left = [r for r in rows if not any(round(r[0], 6) >= a and round(r[1], 6) <= b for a, b in spans)]
+            full |= {(v, max(mine) + 1, e, "filler"): x for e, x in enumerate(plain_packed(left, 0) or [], 1)}
+    got = registry.QUERIES["w17_story_series"](spark, DATA).collect()
+    assert {k[3] for k in full} == {"proposed", "filler", "fallback"}
+    assert {(r.video_id, r.series_idx, r.episode_idx, r.source): (r.from_idx, r.to_idx) for r in got} == full
+
+
+def test_merged_and_trimmed_segments(spark, segments, words):
+    want = set()
+    for v, g in segments.groupby("video_id"):
+        rows = [(r.start_time, r.end_time, r.segment_id, r.segment_id % 2 == 0) for r in g.itertuples()]
+        rows += [(a[0], b[1], a[2] + 1_000_000, a[2] % 3 == 0) for a, b in zip(rows, rows[1:], strict=False)]
+        kept = []
+        for r in sorted(rows):
+            if kept and r[1] > r[0]:
+                share = (min(r[1], kept[-1][1]) - max(r[0], kept[-1][0])) / (r[1] - r[0])
+                if share > 0.7 or (share > 0.3 and not (r[3] and not kept[-1][3])):
+                    continue
+                if share > 0.3:
+                    kept.pop()
+            kept.append(r)
+        want |= {(v, k, round(r[0], 6), round(r[1], 6), r[3]) for k, r in enumerate(kept)}
+    assert {tuple(r) for r in registry.QUERIES["w4_merged_segments"](spark, DATA).select("video_id", "segment_id", "start_time", "end_time", "is_complete").collect()} == want
+    trimmed = {}
+    for s in segments[segments.end_time - segments.start_time > 43].itertuples():
+        w, target = words[s.video_id], s.start_time + 40
+        near = [(10 + (50 if x.word[-1] in ".!?" else 20 if x.word[-1] in ",;:" else 0) - abs(x.end - target) * 3, x.word_idx, x.end) for x in w[(w.end - target).abs() <= 5].itertuples()]
+        end = max(near)[2] if near and max(near)[0] > -1 else target
+        trimmed[s.video_id, s.idx] = round(min(max(end, s.start_time + 15), s.end_time), 6)
+    got = {(r.video_id, r.i): r.t1 for r in registry.QUERIES["w13_trimmed_segments"](spark, DATA).collect()}
+    assert trimmed and got == trimmed
+
+
+def test_near_repeats_are_dropped_in_order(spark):
+    every = C.combinations(views.segments(spark, DATA)).unionByName(C.hook_payoffs(views.segments(spark, DATA))).toPandas()
+    want = []
+    for v, g in every.sort_values(["t0", "t1", "i", "j"]).groupby("video_id"):
+        kept = []
+        for r in g.itertuples():
+            if not any(abs(r.t0 - k[0]) < 1 and abs(r.t1 - k[1]) < 1 for k in kept[-60:]):
+                kept.append((r.t0, r.t1, r.i, r.j))
+        want += [(v, i, j) for _, _, i, j in kept]
+    got = [(r.video_id, r.i, r.j) for r in registry.QUERIES["w15_deduplicated"](spark, DATA).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_signals_are_joined_to_scores(spark):
+    got = registry.QUERIES["j8_f4_scores_with_signals"](spark, DATA).toPandas().set_index(["video_id", "segment_id"])
+    audio = registry.QUERIES["w21_audio_features"](spark, DATA).toPandas().set_index(["video_id", "segment_id"])
+    assert len(got) >= len(audio) and got.index.is_unique
+    names = [d for d in ("emotional_intensity", "audio_quality")]
+    for key, a in audio.iterrows():
+        base = [(key[1] * 31 + key[0] + DIMENSIONS.index(d) * 13) % 6 * 20 for d in names]
+        up, quiet = a.voice_excitement > 0.6, a.speech_ratio < 0.3
+        assert got.loc[key, names].tolist() == [min(100, max(0, base[0] + 5 * up)), min(100, max(0, base[1] + 3 * up - 15 * quiet))]
