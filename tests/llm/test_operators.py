@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tempfile
 from collections import Counter
 
 import duckdb
@@ -504,11 +505,55 @@ def test_sentencepiece_unigram_by_viterbi():
 
 
 def test_pipeline(spark):
+    """The stages' decisions beside brute force: languages from the stage's own model, groups by Jaccard similarity of
+    five-word shingles, removed bytes, the mix's targets, the library's ids."""
     import corpus_pipeline
 
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "source_mixing", "sentencepiece"]
-    out = corpus_pipeline.run(spark, DATA).toPandas()
-    assert out.round_trip.all() and out.doc_id.nunique() > 120 and isinstance(out, pd.DataFrame)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").cache()
+    near = " ".join(f"word{k}" for k in range(120))
+    extra = [(9_001, near + " the end of it", "en", "web", 1), (9_002, near + " and the end", "en", "web", 1), (9_003, None, "en", "web", 1), (9_004, " \n", None, None, 1)]
+    extra += [(9_005, docs.first().text, "en", "web", 1), (9_006, "½ 12", "en", "web", 1)]
+    given = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    stages, state, seen = dict(corpus_pipeline.STAGES), given, {}
+    for name in stages:
+        folder = f"{tempfile.mkdtemp(prefix='spark-stage-')}/{name}"
+        stages[name](spark, state, DATA).write.parquet(folder)
+        before, state = state, spark.read.parquet(folder)
+        seen[name] = state.toPandas()
+        if name != "sentencepiece":
+            assert state.columns == given.columns and name
+        if name == "language_id":
+            gone = set(before.toPandas().doc_id) - set(seen[name].doc_id)
+            assert {9_003, 9_004, 9_006} <= gone and len(gone) < 12
+        if name == "simhash_near_dedup":
+            rows = sorted((r.doc_id, five_words(re.sub("[A-Z]", lambda c: c[0].lower(), r.text))) for r in before.collect())
+            root = {i: i for i, _ in rows}
+
+            def top(x):
+                while root[x] != x:  # noqa: B023
+                    x = root[x]  # noqa: B023
+                return x
+
+            for n, (i, x) in enumerate(rows):
+                for j, y in rows[n + 1 :]:
+                    if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)) and len(x & y) >= 0.8 * len(x | y) and top(i) != top(j):
+                        root[max(top(i), top(j))] = min(top(i), top(j))
+            assert set(seen[name].doc_id) == {top(i) for i, _ in rows} and 9_002 not in set(seen[name].doc_id)
+        if name == "suffix_array_dedup":
+            rows = sorted((r.doc_id, r.text) for r in before.collect())
+            kept = {i: n - removed for (i, _), (n, removed, _, _) in zip(rows, kept_by_brute_force([t for _, t in rows]), strict=True)}
+            assert all(0 <= len(r.text.encode()) - kept[r.doc_id] <= 6 and len(r.text) == r.n_chars for r in seen[name].itertuples())  # cut characters stay
+        if name == "source_mixing":
+            size = before.toPandas().assign(n=lambda d: d.text.map(lambda t: len(words(t))))
+            taken = seen[name].assign(n=lambda d: d.text.map(lambda t: len(words(t)))).groupby("source", dropna=False).n.sum()
+            targets = mixing.source_targets(spark.createDataFrame(size[["source", "n"]].rename(columns={"n": "size"}))).toPandas().set_index("source").target
+            assert all(abs(taken.get(k, 0) - t) <= size.n.max() / 2 for k, t in targets.items())
+            assert seen[name].groupby("doc_id").size().max() <= 2
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    out, texts = seen["sentencepiece"], seen["source_mixing"].drop_duplicates("doc_id").set_index("doc_id").text
+    assert out.round_trip.all() and len(out) == len(seen["source_mixing"])
+    assert all(list(r.token_ids) == library.encode(texts[r.doc_id]) for r in out.itertuples())
 
 
 def test_sentencepiece_bpe_paths_are_those_of_merging():
@@ -522,3 +567,37 @@ def test_sentencepiece_bpe_paths_are_those_of_merging():
     offsets, ids = codec.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == library.encode(texts)
     assert codec.decode(offsets, ids) == [t.encode() for t in texts]
+
+
+def recall(found, ids, m, k=20):
+    """Share of exact neighbours found: by score, so equal ones count alike."""
+    hits = n = 0
+    for q, g in found.groupby("query_id"):
+        s = m @ m[ids == q][0]
+        s[np.flatnonzero(ids == q)[0]] = -np.inf
+        n += min(k, len(ids) - 1)
+        hits += (g.score.to_numpy() >= np.sort(s)[::-1][: k][-1] - 1e-9).sum()
+    return hits / n
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "lengths", "groups"])
+def test_neighbours_over_several_shards(spark, kind):
+    rng = np.random.default_rng(8)
+    m = rng.standard_normal((2400, 24))
+    if kind == "lengths":
+        m *= rng.lognormal(0, 1, (2400, 1))
+    if kind == "groups":  # tight ones, larger than a node's links, and many copies of one vector
+        m = np.repeat(rng.standard_normal((12, 24)), 200, 0) + rng.standard_normal((2400, 24)) * 0.01
+        m[:800] = m[0]
+    rows = [(i, x.tolist()) for i, x in enumerate(m)] + [(40, m[7].tolist()), (5000, [1.0, 2.0]), (5020, [2.0, 1.0]), (5040, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=256, query_rows=64).toPandas()
+    ids = np.array([r[0] for r in rows[:2401]])
+    full = np.vstack((m, m[7]))
+    own = got[(got.query_id < 5000) & (got.query_id != 40)]
+    assert own.query_id.nunique() == 119 and recall(own, ids, full) >= 0.9
+    assert len(got[got.query_id == 40]) == 40  # two rows of one vec_id, each with its own answers
+    short = got[got.query_id >= 5000].sort_values(["query_id", "rank"])
+    assert short[["query_id", "vec_id"]].values.tolist() == [[5000, 5020], [5000, 5040], [5020, 5000], [5020, 5040], [5040, 5000], [5040, 5020]]
+    if kind == "groups":
+        assert own[own.query_id == 60].sort_values("rank").vec_id.tolist() == list(range(20))
