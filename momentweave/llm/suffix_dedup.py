@@ -397,7 +397,8 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     kinds = again.where("place = 1").groupBy("anchor").agg(F.approx_count_distinct("segment").alias("kinds"), (F.min("segment") != F.max("segment")).alias("several"))
     shards = F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int")
     mine = F.pmod(F.xxhash64("segment"), shards).cast("int")
-    again = again.join(kinds, "anchor").where("place > 1 OR several")
+    # Only split anchors are told apart again, so `kinds` has HOT_ANCHORS rows at most: bounded, it may be broadcast.
+    again = again.join(F.broadcast(kinds), "anchor").where("place > 1 OR several")
     again = cut(again.select("anchor", "key", "packed", (F.col("place") > 1).alias("copy"), mine.alias("shard"), shards.alias("shards")), "parted")
     judged = kept.where("segment IS NULL").select("anchor", "key", "packed", "copy", F.lit(0).alias("shard"), F.lit(1).alias("shards")).union(again)
 
