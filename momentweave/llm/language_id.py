@@ -191,7 +191,7 @@ def _sample(known: DataFrame, docs_per_language: int, characters_per_language: i
     characters_per_language, drawn by a hash of doc_id and text. Equal rows teach once."""
     size = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
     share = F.least(F.lit(1.0), docs_per_language / F.col("rows"), characters_per_language / F.greatest(F.col("characters"), F.lit(1)))
-    share = size.select(F.col("lang").alias("of"), share.alias("share"))
+    share = cut(size.select(F.col("lang").alias("of"), share.alias("share")), "shares")  # a row a language: Spark broadcasts it while it is small
     unit = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     return known.join(share, F.col("lang") == F.col("of")).where(unit < F.col("share")).drop("of", "share").distinct()
 
