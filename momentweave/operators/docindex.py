@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERIES_PER_BLOCK = 1_024
+QUERIES_PER_BLOCK, ROWS_PER_SLICE = 1_024, 16_384
 
 
 def doc_id(path: str | Column = "path") -> Column:
@@ -23,14 +23,14 @@ def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
     return fresh.join(index.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])  # a path counts once
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, per_block: int = QUERIES_PER_BLOCK, spread: int = 64) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, per_block: int = QUERIES_PER_BLOCK, per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """T4. query_id, rank, vec_id, distance: the k nearest vectors by angular distance sqrt(2 (1 - cosine)), exactly.
 
-    queries: query_id, embedding. Vectors are dealt into `spread` slices (raise it with their number), queries into
-    blocks of about per_block; each pair of the two keeps its k best a query before anything is merged.
+    queries: query_id, embedding. Vectors are dealt into slices of about per_slice, queries into blocks of about
+    per_block; each pair of the two keeps its k best a query before anything is merged, so a group and its matrix are
+    bounded whatever the number of vectors.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // per_block))
+    blocks, spread = max(1, -(-queries.count() // per_block)), max(8, -(-vectors.count() // per_slice))
     q = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.hash("query_id"), F.lit(blocks)).alias("block"))
     q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     v = vectors.select("vec_id", "embedding", F.pmod(F.hash("vec_id"), F.lit(spread)).alias("slice")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
