@@ -358,7 +358,7 @@ def similar_documents(
     prints = cut(told, "sketches")
     least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "bands", "bytes"))
     nodes = cut(prints.groupBy("same").agg(least.alias("least")).select("same", "least.*"), "nodes")
-    keyed = nodes.select("node", "fingerprint", "bands", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    keyed = nodes.select("node", "fingerprint", "bytes", F.posexplode("bands").alias("band", "bucket"))
     heads = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("fingerprint", "node").alias("head_print")).where("n > 1").drop("n")
     met = cut(keyed.join(heads, "bucket"), "met")
     near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("head_print"))) <= radius
@@ -372,7 +372,8 @@ def similar_documents(
     dealt = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side")
-    groups = cut(dealt.select(F.xxhash64("bucket", low, high).alias("group"), side, "node", "fingerprint", "component", F.col("band").cast("long"), "bands"), "groups")
+    groups = cut(dealt.select(F.xxhash64("bucket", low, high).alias("group"), side, "node", "fingerprint", "component", F.col("band").cast("long")), "groups")
+    groups = groups.join(nodes.select("node", "bands"), "node").select(*groups.columns, "bands")  # only rows of open buckets carry all their bands
     sorted_ = lambda df: df.repartition("group").sortWithinPartitions("group", "side", "node")
     asking = cut(sorted_(groups).mapInArrow(_candidates(radius), "group long, side long, node long"), "asking")
     texts = docs.select(F.col("doc_id").alias("node"), "text").join(asking.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "same"), "node")
