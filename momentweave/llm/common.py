@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"  # the words of every contract: runs without ASCII white space
 BATCH_ROWS, BATCH_BYTES = 4_000, 4 << 20
 POWERS = 1 << 20  # of the hash base that a worker keeps
@@ -19,18 +19,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers = np.ones((2, 1), np.uint64)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new one, if they are one
-    process; on a cluster they would not share it, so that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-momentweave-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends there, any executor may be lost."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -8,7 +8,6 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pytest
 import regex
