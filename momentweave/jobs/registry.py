@@ -175,7 +175,18 @@ def w11_extended_segments(spark, d):
     return _range(C.extended(views.segments(spark, d)))
 
 
-@query("w13_trimmed_segments")
+@query("w13_trimmed_segments", sql(SEGMENTS + """,
+long AS (SELECT video_id, idx, start_time, end_time, start_time + 40 AS target FROM segments WHERE end_time - start_time > 43),
+spread AS (SELECT *, unnest([floor(target / 5) - 1, floor(target / 5), floor(target / 5) + 1])::BIGINT AS bucket FROM long),
+placed AS MATERIALIZED (SELECT *, floor("end" / 5)::BIGINT AS bucket FROM words),
+scored AS (SELECT t.video_id, t.idx, w."end", w.word_idx,
+    10 + CASE WHEN right(word, 1) IN ('.', '!', '?') THEN 50 WHEN right(word, 1) IN (',', ';', ':') THEN 20 ELSE 0 END - abs(w."end" - target) * 3 AS points
+  FROM spread t JOIN placed w ON w.video_id = t.video_id AND w.bucket = t.bucket WHERE abs(w."end" - target) <= 5),
+best AS (SELECT video_id, idx, "end", row_number() OVER (PARTITION BY video_id, idx ORDER BY points DESC, word_idx DESC) AS n FROM scored WHERE points > -1),
+snapped AS (SELECT l.*, coalesce(b."end", target) AS ends FROM long l LEFT JOIN best b ON b.video_id = l.video_id AND b.idx = l.idx AND b.n = 1)
+""", """
+SELECT video_id, idx AS i, idx AS j, round(start_time, 6) AS t0, round(least(CASE WHEN ends - start_time < 15 THEN start_time + 15 ELSE ends END, end_time), 6) AS t1 FROM snapped
+"""))
 def w13_trimmed_segments(spark, d):
     p = DEFAULTS.__class__(target=40.0, shortest=15.0)
     return _range(C.trimmed(views.segments(spark, d), views.words(spark, d), p))
@@ -332,7 +343,19 @@ def highlights_(spark, d):
 # Series.
 
 
-@query("w16_packed_series")
+@query("w16_packed_series", sql(SEGMENTS + """,
+counts AS (SELECT video_id, count(*)::INT AS n FROM segments GROUP BY 1),
+firsts AS (SELECT video_id, n, s, [0, n // 4, n // 2][s + 1] AS f FROM counts, (SELECT unnest([0, 1, 2]) AS s) WHERE n >= 9),
+closed AS MATERIALIZED (SELECT a.video_id, a.idx AS a, min(b.idx) FILTER (b.end_time - a.start_time >= 110) AS b
+  FROM (SELECT *, unnest(range(idx, idx + 60)) AS k FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.k GROUP BY 1, 2),
+packed AS (SELECT f.video_id, row_number() OVER (PARTITION BY f.video_id ORDER BY s) - 1 AS series_idx, e1.a AS a1, coalesce(e1.b, n - 1) AS b1, e2.a AS a2, coalesce(e2.b, n - 1) AS b2, e3.a AS a3, coalesce(e3.b, n - 1) AS b3
+  FROM firsts f JOIN closed e1 ON e1.video_id = f.video_id AND e1.a = f.f JOIN closed e2 ON e2.video_id = f.video_id AND e2.a = coalesce(e1.b, n - 1) + 1
+  JOIN closed e3 ON e3.video_id = f.video_id AND e3.a = coalesce(e2.b, n - 1) + 1 WHERE f.f + 9 <= n),
+episodes AS (SELECT video_id, series_idx, 1 AS e, a1 AS a, b1 AS b FROM packed UNION ALL SELECT video_id, series_idx, 2, a2, b2 FROM packed UNION ALL SELECT video_id, series_idx, 3, a3, b3 FROM packed)
+""", """
+SELECT p.video_id, series_idx::INT AS series_idx, e::INT AS episode_idx, round(x.start_time, 6) AS start_time, round(y.end_time, 6) AS end_time, a::INT AS from_idx, b::INT AS to_idx
+FROM episodes p JOIN segments x ON x.video_id = p.video_id AND x.idx = a JOIN segments y ON y.video_id = p.video_id AND y.idx = b
+"""))
 def w16_packed_series(spark, d):
     return series.packed_series(views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
 
