@@ -648,7 +648,21 @@ def s1_transcript_words(spark, d):
     return T.transcript_words(T.parse_transcripts(lines))
 
 
-@query("w12_s8_captions")
+@query("w12_s8_captions", sql(SEGMENTS + """,
+clips AS (SELECT video_id, segment_id::BIGINT AS clip_id, greatest(0.0::DOUBLE, start_time - 0.3::DOUBLE) AS t0, end_time + 0.3::DOUBLE AS t1, unnest(range(word_from - 1, word_to + 2)) AS idx FROM segments),
+held AS MATERIALIZED (SELECT c.video_id, c.clip_id, c.t0, w.word, w.start AS ws, w."end" AS we, row_number() OVER o AS k, sum(length(w.word) + 1) OVER o AS upto
+  FROM clips c JOIN words w ON w.video_id = c.video_id AND w.word_idx = c.idx WHERE w."end" > t0 AND w.start < t1 WINDOW o AS (PARTITION BY c.video_id, c.clip_id ORDER BY w.word_idx)),
+closed AS MATERIALIZED (SELECT a.video_id, a.clip_id, a.k AS a, max(b.k) FILTER (b.k = a.k OR b.upto - a.upto + length(a.word) <= 28) AS b
+  FROM (SELECT *, unnest(range(k, k + 15)) AS j FROM held) a JOIN held b ON b.video_id = a.video_id AND b.clip_id = a.clip_id AND b.k = a.j GROUP BY 1, 2, 3),
+packs AS (SELECT video_id, clip_id, 0 AS line, a, b FROM closed WHERE a = 1
+  UNION ALL SELECT c.video_id, c.clip_id, p.line + 1, c.a, c.b FROM packs p JOIN closed c ON c.video_id = p.video_id AND c.clip_id = p.clip_id AND c.a = p.b + 1),
+lines AS (SELECT p.video_id, p.clip_id, line::INT AS line, greatest(0.0::DOUBLE, min(ws) - t0) AS start, greatest(0.0::DOUBLE, max(we) - t0) AS "end", string_agg(word, ' ' ORDER BY k) AS text
+  FROM (SELECT *, unnest(range(a, b + 1)) AS j FROM packs) p JOIN held h ON h.video_id = p.video_id AND h.clip_id = p.clip_id AND h.k = p.j GROUP BY p.video_id, p.clip_id, line, t0)
+""", r"""
+SELECT *, concat('Dialogue: 0,', format('{:d}:{:02d}:{:02d}.{:02d}', floor(start / 3600)::BIGINT, floor(start % 3600 / 60)::BIGINT, floor(start % 60)::BIGINT, floor(start % 1 * 100)::BIGINT), ',',
+  format('{:d}:{:02d}:{:02d}.{:02d}', floor("end" / 3600)::BIGINT, floor("end" % 3600 / 60)::BIGINT, floor("end" % 60)::BIGINT, floor("end" % 1 * 100)::BIGINT), ',Default,,0,0,0,,',
+  replace(replace(replace(text, '\\', '\\\\'), '{', '\\{'), '}', '\\}')) AS dialogue FROM lines
+"""))
 def w12_s8_captions(spark, d):
     """Caption lines of every segment, padded."""
     s = views.segments(spark, d)
