@@ -203,7 +203,24 @@ def a8_candidate_ids(spark, d):
     return C.described(C.combinations(s), s).select("video_id", "i", "j", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ",").alias("segment_ids"), "hook_segment_id", "payoff_segment_id")
 
 
-@query("w15_deduplicated")
+_PAIRS = """
+SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
+FROM (SELECT *, unnest(range(idx + 1, idx + 60)) AS k FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.k
+WHERE a.segment_type IN ('hook', 'story', 'question', 'setup') AND b.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice') AND b.end_time - a.start_time BETWEEN 30 AND 180"""
+
+
+@query("w15_deduplicated", sql(COMBOS + f""",
+ranges AS (SELECT video_id, i, j, t0, t1 FROM combos UNION ALL {_PAIRS}),
+marked AS (SELECT *, CASE WHEN t0 - lag(t0) OVER w < 1 THEN 0 ELSE 1 END AS fresh FROM ranges WINDOW w AS (PARTITION BY video_id ORDER BY t0, t1, i, j)),
+parted AS (SELECT *, sum(fresh) OVER w AS part FROM marked WINDOW w AS (PARTITION BY video_id ORDER BY t0, t1, i, j ROWS UNBOUNDED PRECEDING)),
+placed AS MATERIALIZED (SELECT video_id, i, j, t0, t1, part, row_number() OVER (PARTITION BY video_id, part ORDER BY t0, t1, i, j) AS k FROM parted),
+judged AS (
+  SELECT video_id, part, k, [t0] AS k0, [t1] AS k1, true AS keep FROM placed WHERE k = 1
+  UNION ALL
+  SELECT video_id, part, k, CASE WHEN keep THEN list_append(k0, t0) ELSE k0 END, CASE WHEN keep THEN list_append(k1, t1) ELSE k1 END, keep
+  FROM (SELECT p.*, g.k0, g.k1, len(list_filter(range(1, len(g.k0) + 1), lambda x: abs(p.t0 - g.k0[x]) < 1 AND abs(p.t1 - g.k1[x]) < 1)) = 0 AS keep
+        FROM judged g JOIN placed p ON p.video_id = g.video_id AND p.part = g.part AND p.k = g.k + 1))
+""", f"SELECT {_RANGE} FROM placed JOIN judged USING (video_id, part, k) WHERE keep"))
 def w15_deduplicated(spark, d):
     s = views.segments(spark, d)
     return _range(C.deduplicated(C.combinations(s).unionByName(C.hook_payoffs(s))))
