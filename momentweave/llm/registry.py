@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, licenses, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
+from . import chat, divergence, infill, language_id, licenses, minhash, mixing, neighbours, quality, sentencepiece_codec, simhash, suffix_dedup
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,5 +15,14 @@ QUERIES = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_nearest_neighbours": neighbours.op9_nearest_neighbours,
     "op10_sentencepiece": sentencepiece_codec.op10_sentencepiece,
+    "op11_minhash_near_dedup": minhash.op11_minhash_near_dedup,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_fill_in_middle": infill.op13_fill_in_middle,
+}
+ORACLES: dict[str, str] = {
+    "op2_license_scan": licenses.OP2_SQL,
+    "op4_source_mixing": mixing.OP4_SQL,
+    "op11_minhash_near_dedup": minhash.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
+    "op13_fill_in_middle": infill.OP13_SQL,
 }
-ORACLES: dict[str, str] = {"op2_license_scan": licenses.OP2_SQL, "op4_source_mixing": mixing.OP4_SQL}
