@@ -282,6 +282,7 @@ def _near(group: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
     bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
     left = np.flatnonzero(side == 0)
     right = np.flatnonzero(side == 1) if side.any() else left
+    fp = fp.view(np.uint64)  # of a signed number, bits of its absolute value would be counted
     near = (np.bitwise_count(fp[right][:, None] ^ fp[left]) <= radius) & (component[right][:, None] != component[left])
     if not side.any():
         near &= right[:, None] > left
