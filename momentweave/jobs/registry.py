@@ -16,9 +16,9 @@ from ..params import DEFAULTS, DIMENSIONS
 from ..scratch import kept, shared_folder
 from ..sources import tables as T
 from . import views
-from .oracles import COMBOS, ENERGY, ESTIMATES, SEGMENTS, WORDS, sql
+from .oracles import ARCS, COMBOS, ENERGY, ESTIMATES, EXTENDED, GENERATED, GENERATED_ESTIMATES, PAIRS, SEGMENTS, WORDS, greedy, sql
 
-FLAGSHIP = "best_all_clips"
+FLAGSHIP = "best_clips"
 STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -78,38 +78,27 @@ def j1_speech_words(spark, d):
     return W.in_speech(views.words(spark, d), regions).select("video_id", "word_idx", "word")
 
 
-_RANGES = "ranges AS (SELECT video_id, segment_id, start_time + 1.5 AS t0, end_time - 1.5 AS t1 FROM segments WHERE segment_id % 10 = 0)"
+_RANGES = """,
+ranges AS (SELECT video_id, segment_id, start_time + 1.5 AS t0, end_time - 1.5 AS t1, unnest(range(word_from - 2, word_to + 3)) AS k FROM segments)"""
 
 
 def _ranges(s):
     return s.select("video_id", "segment_id", (F.col("start_time") + 1.5).alias("t0"), (F.col("end_time") - 1.5).alias("t1"))
 
 
-@query("j2_words_inside", sql(SEGMENTS + "," + _RANGES, """
+@query("j2_words_inside", sql(SEGMENTS + _RANGES, """
 SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
-FROM ranges r JOIN words w ON w.video_id = r.video_id AND w.start >= t0 AND w."end" <= t1 GROUP BY r.video_id, r.segment_id
+FROM ranges r JOIN words w ON w.video_id = r.video_id AND w.word_idx = r.k AND w.start >= t0 AND w."end" <= t1 GROUP BY r.video_id, r.segment_id
 """))
 def j2_words_inside(spark, d):
-    """Every tenth segment alone, as its SQL has them; j2_all_words_inside runs the whole."""
-    return W.range_text(_ranges(views.segments(spark, d).where("segment_id % 10 = 0")), views.words(spark, d), ["video_id", "segment_id"])
-
-
-@query("j2_all_words_inside")
-def j2_all_words_inside(spark, d):
     return W.range_text(_ranges(views.segments(spark, d)), views.words(spark, d), ["video_id", "segment_id"])
 
 
-@query("j3_words_overlapping", sql(SEGMENTS + "," + _RANGES, """
+@query("j3_words_overlapping", sql(SEGMENTS + _RANGES, """
 SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
-FROM ranges r JOIN words w ON w.video_id = r.video_id AND w."end" > t0 AND w.start < t1 GROUP BY r.video_id, r.segment_id
+FROM ranges r JOIN words w ON w.video_id = r.video_id AND w.word_idx = r.k AND w."end" > t0 AND w.start < t1 GROUP BY r.video_id, r.segment_id
 """))
 def j3_words_overlapping(spark, d):
-    """Every tenth segment alone, as its SQL has them; j3_all_words_overlapping runs the whole."""
-    return W.range_text(_ranges(views.segments(spark, d).where("segment_id % 10 = 0")), views.words(spark, d), ["video_id", "segment_id"], contained=False)
-
-
-@query("j3_all_words_overlapping")
-def j3_all_words_overlapping(spark, d):
     return W.range_text(_ranges(views.segments(spark, d)), views.words(spark, d), ["video_id", "segment_id"], contained=False)
 
 
@@ -145,32 +134,17 @@ def w5_combinations(spark, d):
     return _range(C.combinations(views.segments(spark, d)))
 
 
-@query("w6_arcs", sql(SEGMENTS, f"""
-SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
-FROM (SELECT *, unnest(range(idx + 3, idx + 8)) AS j FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.j) WHERE t1 - t0 BETWEEN 145 AND 180
-"""))
+@query("w6_arcs", sql(SEGMENTS + "," + ARCS, f"SELECT {_RANGE} FROM arcs"))
 def w6_arcs(spark, d):
     return _range(C.arcs(views.segments(spark, d)))
 
 
-@query("j6_hook_payoffs", sql(SEGMENTS, f"""
-SELECT {_RANGE} FROM (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
-FROM (SELECT *, unnest(range(idx + 1, idx + 60)) AS j FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.j
-WHERE a.segment_type IN ('hook', 'story', 'question', 'setup') AND b.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice')) WHERE t1 - t0 BETWEEN 30 AND 180
-"""))
+@query("j6_hook_payoffs", sql(SEGMENTS + "," + PAIRS, f"SELECT {_RANGE} FROM pairs"))
 def j6_hook_payoffs(spark, d):
     return _range(C.hook_payoffs(views.segments(spark, d)))
 
 
-@query("w11_extended_segments", sql(SEGMENTS + """,
-reach AS MATERIALIZED (SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1, a.end_time - a.start_time AS own
-  FROM (SELECT *, unnest(range(idx, idx + 60)) AS k FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.k
-  WHERE a.end_time - a.start_time >= 10 AND a.end_time - a.start_time < 145 AND b.end_time - a.start_time <= 180),
-picked AS (SELECT video_id, i, t0, coalesce(min(CASE WHEN abs(t1 - t0 - 148) <= 3 AND j > i THEN j END), max(j)) AS j FROM reach GROUP BY video_id, i, t0)
-""", f"""
-SELECT {_RANGE} FROM (SELECT p.video_id, p.i, p.j, p.t0, r.t1 FROM picked p JOIN reach r ON r.video_id = p.video_id AND r.i = p.i AND r.j = p.j WHERE r.t1 - p.t0 >= 30
-UNION ALL SELECT video_id, idx, idx, start_time, end_time FROM segments WHERE abs(end_time - start_time - 148) <= 3)
-"""))
+@query("w11_extended_segments", sql(SEGMENTS + "," + EXTENDED, f"SELECT {_RANGE} FROM extended"))
 def w11_extended_segments(spark, d):
     return _range(C.extended(views.segments(spark, d)))
 
@@ -203,30 +177,21 @@ def a8_candidate_ids(spark, d):
     return C.described(C.combinations(s), s).select("video_id", "i", "j", F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ",").alias("segment_ids"), "hook_segment_id", "payoff_segment_id")
 
 
-_PAIRS = """
-SELECT a.video_id, a.idx AS i, b.idx AS j, a.start_time AS t0, b.end_time AS t1
-FROM (SELECT *, unnest(range(idx + 1, idx + 60)) AS k FROM segments) a JOIN segments b ON b.video_id = a.video_id AND b.idx = a.k
-WHERE a.segment_type IN ('hook', 'story', 'question', 'setup') AND b.segment_type IN ('payoff', 'conclusion', 'revelation', 'advice') AND b.end_time - a.start_time BETWEEN 30 AND 180"""
-
-
-@query("w15_deduplicated", sql(COMBOS + f""",
-ranges AS (SELECT video_id, i, j, t0, t1 FROM combos UNION ALL {_PAIRS}),
-marked AS (SELECT *, CASE WHEN t0 - lag(t0) OVER w < 1 THEN 0 ELSE 1 END AS fresh FROM ranges WINDOW w AS (PARTITION BY video_id ORDER BY t0, t1, i, j)),
-parted AS (SELECT *, sum(fresh) OVER w AS part FROM marked WINDOW w AS (PARTITION BY video_id ORDER BY t0, t1, i, j ROWS UNBOUNDED PRECEDING)),
-placed AS MATERIALIZED (SELECT video_id, i, j, t0, t1, part, row_number() OVER (PARTITION BY video_id, part ORDER BY t0, t1, i, j) AS k FROM parted),
-judged AS (
-  SELECT video_id, part, k, [t0] AS k0, [t1] AS k1, true AS keep FROM placed WHERE k = 1
-  UNION ALL
-  SELECT video_id, part, k, CASE WHEN keep THEN list_append(k0, t0) ELSE k0 END, CASE WHEN keep THEN list_append(k1, t1) ELSE k1 END, keep
-  FROM (SELECT p.*, g.k0, g.k1, len(list_filter(range(1, len(g.k0) + 1), lambda x: abs(p.t0 - g.k0[x]) < 1 AND abs(p.t1 - g.k1[x]) < 1)) = 0 AS keep
-        FROM judged g JOIN placed p ON p.video_id = g.video_id AND p.part = g.part AND p.k = g.k + 1))
-""", f"SELECT {_RANGE} FROM placed JOIN judged USING (video_id, part, k) WHERE keep"))
+@query("w15_deduplicated", sql(COMBOS + "," + PAIRS + """,
+ranges AS (SELECT video_id, i, j, t0, t1 FROM combos UNION ALL FROM pairs),""" + greedy("singled", "ranges"), f"SELECT {_RANGE} FROM singled"))
 def w15_deduplicated(spark, d):
     s = views.segments(spark, d)
     return _range(C.deduplicated(C.combinations(s).unionByName(C.hook_payoffs(s))))
 
 
-@query("u2_generated_candidates")
+@query("w14_variants", sql(GENERATED, f"SELECT {_RANGE} FROM variants"))
+def w14_variants(spark, d):
+    """The shifted copies of candidates, before near-repeats are removed again."""
+    s, w = kept(views.segments(spark, d), "segments"), kept(views.words(spark, d), "words")
+    return _range(C.variants(kept(C.candidates(s, w), "candidates"), w))
+
+
+@query("u2_generated_candidates", sql(GENERATED, f"SELECT {_RANGE} FROM generated"))
 def u2_generated_candidates(spark, d):
     return _range(C.generate(views.segments(spark, d), views.words(spark, d)))
 
@@ -248,36 +213,19 @@ def _best(s, ranges, k):
     return ranking.top(scored, k, F.desc("estimated_score"), "t0", "t1", "i").select("video_id", "i", "j", *r6("t0", "t1"), "estimated_score", "rank")
 
 
-def _best_combinations(spark, d, k):
-    s = views.segments(spark, d)
-    return _best(s, C.combinations(s), k)
-
-
 def _best_generated(spark, d, k):
     """The ranking reads candidates and segments twice."""
     s = kept(views.segments(spark, d), "segments")
     return _best(s, kept(C.generate(s, views.words(spark, d)), "generated"), k)
 
 
-@query("best_clips", sql(ESTIMATES, _TOP.format(k=8)))
+@query("best_clips", sql(GENERATED_ESTIMATES, _TOP.format(k=8)))
 def best_clips(spark, d):
-    """Of W5's candidates alone, as its SQL has them; best_all_clips ranks those of all strategies."""
-    return _best_combinations(spark, d, 8)
-
-
-@query("best_all_clips")
-def best_all_clips(spark, d):
     return _best_generated(spark, d, DEFAULTS.clips)
 
 
-@query("t2_refined_candidates", sql(ESTIMATES, _TOP.format(k=120)))
+@query("t2_refined_candidates", sql(GENERATED_ESTIMATES, _TOP.format(k=120)))
 def t2_refined_candidates(spark, d):
-    """Of W5's candidates alone, as its SQL has them; t2_all_refined_candidates ranks those of all strategies."""
-    return _best_combinations(spark, d, DEFAULTS.refined)
-
-
-@query("t2_all_refined_candidates")
-def t2_all_refined_candidates(spark, d):
     return _best_generated(spark, d, DEFAULTS.refined)
 
 
@@ -842,9 +790,10 @@ def j8_f4_scores_with_signals(spark, d):
 
 @query("m2_segments_of_answers", sql(WORDS + """,
 lengths AS (SELECT video_id, max(word_idx) + 1 AS n FROM words GROUP BY 1),
-found AS (SELECT video_id, 0 AS segment_id, 0 AS word_from, least(4, n - 1)::INT AS word_to FROM lengths UNION ALL SELECT video_id, 1, n - 1, n - 1 FROM lengths WHERE n <= 3)""", """
-SELECT f.video_id, segment_id, round(a.start, 6) AS start_time, round(b."end", 6) AS end_time, word_from, word_to
-FROM found f JOIN words a ON a.video_id = f.video_id AND a.word_idx = word_from JOIN words b ON b.video_id = f.video_id AND b.word_idx = word_to
+found AS (SELECT video_id, 0 AS segment_id, 0 AS word_from, least(4, n - 1)::INT AS word_to FROM lengths UNION ALL SELECT video_id, 1, n - 1, n - 1 FROM lengths WHERE n <= 3),
+begun AS MATERIALIZED (SELECT f.*, a.start FROM found f JOIN words a ON a.video_id = f.video_id AND a.word_idx = word_from)""", """
+SELECT f.video_id, segment_id, round(f.start, 6) AS start_time, round(b."end", 6) AS end_time, word_from, word_to
+FROM begun f JOIN words b ON b.video_id = f.video_id AND b.word_idx = word_to
 """))
 def m2_segments_of_answers(spark, d):
     w = views.words(spark, d)
@@ -863,25 +812,16 @@ def j7_not_indexed(spark, d):
     return docindex.not_indexed(files, index).select("doc_id", "length")
 
 
-def _nearest(vectors, asked):
-    queries = vectors.where(asked).select(F.col("vec_id").alias("query_id"), "embedding")
-    return docindex.nearest(vectors, queries).select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
-
-
 @query("t4_nearest_documents", """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
-SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(0, 2 * (1 - list_cosine_similarity(q.e, v.e)))), 4) AS distance
-FROM v q, v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.e, v.e) DESC, v.vec_id) <= 5
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+far AS (SELECT q.vec_id AS query_id, v.vec_id, round(sqrt(greatest(0, 2 * (1 - list_cosine_similarity(q.e, v.e)))), 6) AS distance FROM v q, v WHERE q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(distance, 4) AS distance FROM far QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) <= 5
 """)
 def t4_nearest_documents(spark, d):
-    """Five searches alone, as its SQL has them; t4_all_nearest_documents runs the whole."""
-    return _nearest(views.read(spark, d, "embeddings"), "vec_id < 5")
-
-
-@query("t4_all_nearest_documents")
-def t4_all_nearest_documents(spark, d):
     """Every row whose id is divisible by 50 against all rows."""
-    return _nearest(views.read(spark, d, "embeddings"), "vec_id % 50 = 0")
+    vectors = views.read(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return docindex.nearest(vectors, queries).select("query_id", "vec_id", F.round("distance", 4).alias("distance"))
 
 
 @query("s4_u3_reports", sql(SEGMENTS, """

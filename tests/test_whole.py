@@ -32,7 +32,7 @@ def test_every_fiftieth_vector_is_searched(spark):
     for q in ids[ids % 50 == 0]:
         far = np.sqrt(np.maximum(2 * (1 - m @ m[ids == q][0]), 0))
         want[q] = sorted(far)[:5]
-    got = registry.QUERIES["t4_all_nearest_documents"](spark, DATA).toPandas()
+    got = registry.QUERIES["t4_nearest_documents"](spark, DATA).toPandas()
     assert len(want) > 5 and set(got.query_id) == set(want)
     for q, g in got.groupby("query_id"):
         assert g.vec_id.nunique() == 5 and np.allclose(sorted(g.distance), want[q], atol=1e-4)
@@ -49,7 +49,7 @@ def ranged(segments, words, pad, contained):
             yield (r.video_id, r.segment_id), w[inside]
 
 
-@pytest.mark.parametrize("name, contained", [("j2_all_words_inside", True), ("j3_all_words_overlapping", False)])
+@pytest.mark.parametrize("name, contained", [("j2_words_inside", True), ("j3_words_overlapping", False)])
 def test_every_segment_gets_its_words(spark, words, segments, name, contained):
     want = {key: " ".join(w.word) for key, w in ranged(segments, words, -1.5, contained)}
     got = {(r.video_id, r.segment_id): r.text for r in registry.QUERIES[name](spark, DATA).collect()}
@@ -82,7 +82,7 @@ def ranked(spark, segments):
     return {v: sorted(rows) for v, rows in out.items()}
 
 
-@pytest.mark.parametrize("name, k", [("best_all_clips", 8), ("t2_all_refined_candidates", 120)])
+@pytest.mark.parametrize("name, k", [("best_clips", 8), ("t2_refined_candidates", 120)])
 def test_the_best_of_all_strategies_are_ranked(spark, ranked, name, k):
     got = registry.QUERIES[name](spark, DATA).toPandas().sort_values(["video_id", "rank"])
     assert (got.j - got.i > 5).any()  # longer runs than W5 has
@@ -96,7 +96,7 @@ def test_the_best_of_all_strategies_are_ranked(spark, ranked, name, k):
 
 
 def test_diverse_clips_are_chosen_from_all_strategies_in_target(spark, words):
-    best = registry.QUERIES["t2_all_refined_candidates"](spark, DATA).toPandas()
+    best = registry.QUERIES["t2_refined_candidates"](spark, DATA).toPandas()
     best = best[(best.t1 - best.t0 - 148).abs() <= 3]
     rows = [(r.video_id, r.rank, r.t0, r.t1, r.estimated_score, " ".join(w.word[(w.start >= r.t0) & (w.end <= r.t1)])) for r in best.itertuples() for w in [words[r.video_id]]]
     toxic = {r.doc_id for r in views.read(spark, DATA, "labels").where("toxic = 1").collect()}
@@ -130,7 +130,7 @@ def chosen(rows):
 
 
 def test_highlights_are_the_chain_of_their_parts(spark, words):
-    best = registry.QUERIES["t2_all_refined_candidates"](spark, DATA).toPandas()
+    best = registry.QUERIES["t2_refined_candidates"](spark, DATA).toPandas()
     toxic = {r.doc_id for r in views.read(spark, DATA, "labels").where("toxic = 1").collect()}
     rows = []
     for c in best.itertuples():
