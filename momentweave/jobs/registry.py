@@ -763,8 +763,27 @@ def s2_s7_index(spark, d):
     suffix = F.element_at(F.array(*map(F.lit, (".txt", ".txt", ".txt", ".bin"))), (F.col("doc_id") % 4 + 1).cast("int"))
     files = kept(T.text_files(docs.select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), suffix).alias("path"), F.col("text").cast("binary").alias("content"))), "files")
     path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    T.append_index(files.where("length(text) % 2 = 0"), path)
-    return T.append_index(files.unionByName(files), path)
+    docindex.append_index(files.where("length(text) % 2 = 0"), path)
+    return docindex.append_index(files.unionByName(files), path).select("doc_id", "path", "length")
+
+
+@query("s7_t4_index_search", r"""
+WITH entries AS (SELECT doc_id AS n, sha1(concat('f/', doc_id, '.txt')) AS doc_id, concat('f/', doc_id, '.txt') AS path, list_transform(embedding, lambda x: x::DOUBLE) AS e
+  FROM documents JOIN embeddings ON vec_id = doc_id WHERE regexp_matches(coalesce(text, ''), '\S')),
+far AS (SELECT q.vec_id AS query_id, doc_id, path, round(sqrt(greatest(0, 2 * (1 - list_cosine_similarity(list_transform(q.embedding, lambda x: x::DOUBLE), e)))), 6) AS distance
+  FROM embeddings q, entries WHERE q.vec_id % 50 = 0)
+SELECT query_id, path, rank::INT AS rank, round(distance, 4) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, doc_id) AS rank FROM far) WHERE rank <= 5
+""")
+def s7_t4_index_search(spark, d):
+    """Documents with the vector of their number, added in two goes, the second with files that the index has; every
+    fiftieth vector is searched in what was stored."""
+    docs = views.read(spark, d, "documents").join(views.read(spark, d, "embeddings"), F.col("vec_id") == F.col("doc_id"))
+    files = kept(docs.select(F.concat(F.lit("f/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text", "embedding"), "files")
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docindex.append_index(files.where("length(text) % 2 = 0"), path)
+    docindex.append_index(files, path)
+    queries = views.read(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return docindex.search_index(spark, path, queries).select("query_id", "rank", "path", F.round("distance", 4).alias("distance"))
 
 
 @query("w4_merged_segments")

@@ -1,15 +1,17 @@
-"""An incremental document index, and exact nearest neighbours over its vectors."""
+"""An incremental document index: what it lacks, what is added, and searches over what it stores."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-QUERIES_PER_BLOCK, ROWS_PER_SLICE = 1_024, 16_384
+from .nearest import nearest
+
+BUCKETS = 64
+ENTRY = "doc_id string, path string, length int, embedding array<float>, bucket int"
 
 
 def doc_id(path: str | Column = "path") -> Column:
@@ -18,36 +20,48 @@ def doc_id(path: str | Column = "path") -> Column:
 
 
 def not_indexed(files: DataFrame, index: DataFrame) -> DataFrame:
-    """J7. Files (path, text) whose id the index doesn't have, with doc_id and length; blank ones are left out."""
-    fresh = files.where(F.rlike("text", F.lit(r"(?U)\S"))).select(doc_id().alias("doc_id"), "path", F.length("text").alias("length"), "text")
+    """J7. Files (path, text) whose id the index doesn't have, with doc_id, length and, if files have it, embedding;
+    blank ones are left out."""
+    more = [c for c in ("embedding",) if c in files.columns]
+    fresh = files.where(F.rlike("text", F.lit(r"(?U)\S"))).select(doc_id().alias("doc_id"), "path", F.length("text").alias("length"), "text", *more)
     return fresh.join(index.select("doc_id"), "doc_id", "left_anti").dropDuplicates(["doc_id"])  # a path counts once
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, *, per_block: int = QUERIES_PER_BLOCK, per_slice: int = ROWS_PER_SLICE) -> DataFrame:
-    """T4. query_id, rank, vec_id, distance: the k nearest vectors by angular distance sqrt(2 (1 - cosine)), exactly.
+def bucket(id_: str | Column = "doc_id", buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(buckets)).cast("int")
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """S7. The entries of the index at path: doc_id, path, length, embedding (null without one), bucket."""
+    try:
+        return spark.read.schema(ENTRY).parquet(path)
+    except Exception as missing:  # no index yet
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], ENTRY)
+
+
+def append_index(files: DataFrame, path: str, *, buckets: int = BUCKETS) -> DataFrame:
+    """S7. Add files (path, text, perhaps embedding) that the index at path doesn't have, and return it.
 
-    queries: query_id, embedding. Vectors are dealt into slices of about per_slice, queries into blocks of about
-    per_block; each pair of the two keeps its k best a query before anything is merged, so a group and its matrix are
-    bounded whatever the number of vectors.
+    Entries are Parquet, in a folder for each hash bucket of doc_id. A file is added once: a batch that is written twice,
+    or again after a job that failed, changes nothing, since what the index holds is left out and a failed job's rows
+    are never seen. One job at a time may add to an index. Blank files are never added; of files of one path, one is.
+    An entry without an embedding is not found by searches.
     """
-    blocks, spread = max(1, -(-queries.count() // per_block)), max(8, -(-vectors.count() // per_slice))
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.hash("query_id"), F.lit(blocks)).alias("block"))
-    q = q.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    v = vectors.select("vec_id", "embedding", F.pmod(F.hash("vec_id"), F.lit(spread)).alias("slice")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def best(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "distance": []})
-        unit = lambda c: (m := np.stack(c).astype(float)) / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        ids = left["vec_id"].to_numpy()
-        order = np.argsort(ids)
-        far = np.sqrt(np.maximum(2 * (1 - unit(right["q"]) @ unit(left["embedding"])[order].T), 0))
-        top = np.argsort(far, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"query_id": np.repeat(right["query_id"].to_numpy(), top.shape[1]), "vec_id": ids[order][top].ravel(), "distance": np.take_along_axis(far, top, 1).ravel()})
-
-    found = v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInPandas(best, "query_id long, vec_id long, distance double")
-    by = Window.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    fresh = not_indexed(files, read_index(files.sparkSession, path).select("doc_id"))
+    vector = F.col("embedding").cast("array<float>") if "embedding" in files.columns else F.lit(None).cast("array<float>")
+    rows = fresh.select("doc_id", "path", "length", vector.alias("embedding"), bucket(buckets=buckets).alias("bucket"))
+    rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(path)
+    return read_index(files.sparkSession, path)
+
+
+def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 5) -> DataFrame:
+    """T4. query_id, rank, doc_id, path, distance: the k nearest entries of the index at path to each query (query_id,
+    embedding), exactly."""
+    index = read_index(spark, path).where("embedding IS NOT NULL")
+    found = nearest(index.select(F.col("doc_id").alias("vec_id"), "embedding"), queries, k).withColumnRenamed("vec_id", "doc_id")
+    return found.join(index.select("doc_id", "path"), "doc_id").select("query_id", "rank", "doc_id", "path", "distance")
 
 
 def decoded(content: str = "content") -> Column:

@@ -1,4 +1,4 @@
-"""Readers and writers: transcripts, text files, metadata, reports, subtitles, the document index."""
+"""Readers and writers: transcripts, text files, metadata, reports, subtitles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stripped
-from ..operators.docindex import decoded, not_indexed
+from ..operators.docindex import decoded
 
 TRANSCRIPT = (
     "video_id long, language string, duration double, segments array<struct<text string, start double, end double, "
@@ -89,20 +89,6 @@ def write_texts(df: DataFrame, text: str | Column, path: str) -> None:
     df.select(F.col(text) if isinstance(text, str) else text).write.mode("overwrite").text(path, lineSep="\n\n")
 
 
-def append_index(files: DataFrame, path: str) -> DataFrame:
-    """S7. Add files that the index at path doesn't have, and return it."""
-    spark = files.sparkSession
-    kind = "doc_id string, path string, length int"
-    try:
-        index = spark.read.schema(kind).parquet(path)
-    except Exception as missing:  # no index yet
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        index = spark.createDataFrame([], kind)
-    not_indexed(files, index).select("doc_id", "path", "length").write.mode("append").parquet(path)
-    return spark.read.schema(kind).parquet(path)
-
-
 def clip_records(files: DataFrame, records: DataFrame) -> DataFrame:
     """J10. Each clip file (video_id, file, clip_index or null) with its report record (video_id, clip_index, start_time,
     score): by index, else by the start's text in the file's name; the first record that fits."""
