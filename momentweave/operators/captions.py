@@ -2,50 +2,36 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import ass_time, srt_time, stripped
 from ..params import DEFAULTS, Params
 
-LINE = "video_id long, clip_id long, line int, start double, end double, text string"
-
-
-def packed_lines(lengths: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Runs of words (first, last) whose joined length is at most `most`; a longer word stands alone."""
-    out, a, size = [], 0, -1
-    for i, n in enumerate(lengths):
-        if i > a and size + 1 + n > most:
-            out.append((a, i - 1))
-            a, size = i, -1
-        size += 1 + n
-    if len(lengths):
-        out.append((a, len(lengths) - 1))
-    return out
-
-
 def caption_lines(clip_words: DataFrame, p: Params = DEFAULTS) -> DataFrame:
-    """W12. Caption lines of clips, with times from the clip's start.
+    """W12. Caption lines (video_id, clip_id, line, start, end, text) of clips, with times from the clip's start: words go
+    on a line while it has at most p.caption_chars characters; a longer word stands alone.
 
     clip_words: video_id, clip_id, t0 (the clip's start), word_idx, word, w_start, w_end. Words that end before the
-    clip starts are dropped; times are cut at 0.
+    clip starts are dropped; times are cut at 0. A clip's words are one array, folded into its lines.
     """
-
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame[frame["w_end"] > frame["t0"]].sort_values("word_idx")
-        words = frame["word"].tolist()
-        runs = packed_lines(np.array([len(w) for w in words]), p.caption_chars)
-        start = np.maximum(frame["w_start"].to_numpy() - frame["t0"].to_numpy(), 0)
-        end = np.maximum(frame["w_end"].to_numpy() - frame["t0"].to_numpy(), 0)
-        rows = [(k, start[a], end[b], " ".join(words[a : b + 1])) for k, (a, b) in enumerate(runs)]
-        out = pd.DataFrame(rows, columns=["line", "start", "end", "text"])
-        out.insert(0, "clip_id", frame["clip_id"].iloc[0] if len(frame) else 0)
-        out.insert(0, "video_id", frame["video_id"].iloc[0] if len(frame) else 0)
-        return out
-
-    return clip_words.groupBy("video_id", "clip_id").applyInPandas(pack, LINE)
+    from_start = lambda c: F.greatest(F.col(c) - F.col("t0"), F.lit(0.0))
+    word = F.struct("word_idx", F.col("word").alias("text"), from_start("w_start").alias("start"), from_start("w_end").alias("end"))
+    clips = clip_words.where("w_end > t0").groupBy("video_id", "clip_id").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    line = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
+
+    def state(lines: Column, start: Column, end: Column, text: Column) -> Column:
+        return F.struct(lines.alias("lines"), start.alias("start"), end.alias("end"), text.alias("text"))
+
+    def step(s: Column, w: Column) -> Column:
+        fits = F.length(s["text"]) + 1 + F.length(w["text"]) <= p.caption_chars
+        on = state(s["lines"], s["start"], w["end"], F.concat(s["text"], F.lit(" "), w["text"]))
+        return F.when(fits, on).otherwise(state(F.concat(s["lines"], F.array(line(s))), w["start"], w["end"], w["text"]))
+
+    first = F.col("words")[0]
+    begin = state(F.slice(F.transform("words", line), 1, 0), first["start"], first["end"], first["text"])
+    packed = F.aggregate(F.slice("words", 2, F.size("words")), begin, step, lambda s: F.concat(s["lines"], F.array(line(s))))
+    return clips.select("video_id", "clip_id", F.posexplode(packed).alias("line", "l")).select("video_id", "clip_id", "line", "l.*")
 
 
 def ass_dialogue(lines: DataFrame) -> DataFrame:

@@ -2,54 +2,100 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import stripped
+from ..scratch import kept
 from .runs import by_video
 
 SEGMENT = "video_id long, segment_id int, start_time double, end_time double, word_from int, word_to int"
-
-
-def cut_points(ends: np.ndarray, n: int, least: int = 5, tail: int = 3) -> list[tuple[int, int]]:
-    """Word ranges of sentences: from each cut to the first terminator that makes it `least` words long, and a rest of
-    at least `tail` words. ends: indices of words that end a sentence."""
-    out, at = [], 0
-    while (k := np.searchsorted(ends, at + least - 1)) < len(ends):
-        out.append((at, int(ends[k])))
-        at = int(ends[k]) + 1
-    if n - at >= tail:
-        out.append((at, n - 1))
-    return out
-
-
-def sentence_segments(words: DataFrame, *, least: int = 5, tail: int = 3) -> DataFrame:
-    """W3. Segments that close at a word ending in . ! or ? once five words are in; three or more words at the end are one.
-
-    Only sentence ends, with the start of the word after each, reach Python: the words themselves stay in the JVM.
+BLOCK = 4_096  # words
+
+
+def _fold(ends: Column, first: Column, open_: Column, least: int) -> Column:
+    """The cuts of a block: after each of `ends` (places of words that end a sentence) that makes a sentence of at least
+    `least` words. first: the block's first place; open_: words of the sentence that is open when the block begins, up
+    to least - 1 (more make no difference)."""
+
+    def step(s: Column, at: Column) -> Column:
+        return F.when(at - s["from"] + 1 >= least, F.struct((at + 1).alias("from"), F.concat(s["cuts"], F.array(at)).alias("cuts"))).otherwise(s)
+
+    start = F.struct((first - open_).cast("int").alias("from"), F.array().cast("array<int>").alias("cuts"))
+    return F.aggregate(ends, start, step)["cuts"]
+
+
+def _chained(tail: int, least: int):
+    """Blocks in order, to what each begins with: words of the open sentence, its first word and start, and the segments
+    before; and a last row for what is left of a video. Only this walk goes through a video in order, with a few numbers
+    a block; it holds one block at a time."""
+    schema = pa.schema([("video_id", pa.int64()), ("block", pa.int64()), ("open", pa.int32()), ("word_from", pa.int32()), ("start_time", pa.float64()), ("before", pa.int32())])
+
+    def rest(video: int, first: int, start: float, before: int, to: int) -> tuple:
+        return (video, -1 if to - first + 1 >= tail else -2, 0, first, start, before)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = first = start = before = to = None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["video_id"] != now:
+                    if now is not None:
+                        out.append(rest(now, first, start, before, to))
+                    now, first, start, before = row["video_id"], row["first"], row["starts"], 0
+                if start is None:  # the last block ended with a cut
+                    start = row["starts"]
+                held = min(row["first"] - first, least - 1)
+                out.append((now, row["block"], held, first, start, before))
+                told, to = row["told"][held], row["last"]
+                if told["n"]:
+                    first, start, before = told["cut"] + 1, told["next"], before + told["n"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema) if out else pa.RecordBatch.from_pylist([], schema)
+        if now is not None:
+            last = rest(now, first, start, before, to)
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(last, schema.types, strict=True)], schema=schema)
+
+    return of
+
+
+def sentence_segments(words: DataFrame, *, least: int = 5, tail: int = 3, block: int = BLOCK) -> DataFrame:
+    """W3. Segments that close at a word ending in . ! or ? once `least` words are in; `tail` or more words at the end
+    are one. words: word_idx counts a video's words from 0 without gaps.
+
+    Where a sentence is cut depends on what came before only through the number of words since the last cut, up to
+    least - 1. So words are dealt into blocks, and each block is a function of `least` states: how many cuts it has, and
+    the last. Blocks are folded apart, a video's functions are applied one after the other, and each block, knowing what
+    it begins with, gives its segments. No task holds more than a block of a video, however long that is.
     """
-    by = Window.partitionBy("video_id").orderBy("word_idx")
-    marked = words.select(
-        "video_id", "word_idx", "start", "end",
-        F.lead("start").over(by).alias("next_start"),
-        F.substring(stripped("word"), -1, 1).isin(".", "!", "?").alias("closes"),
+    word = F.struct("word_idx", "start", "end", F.substring(stripped("word"), -1, 1).isin(".", "!", "?").alias("closes"))
+    blocks = words.groupBy("video_id", F.floor(F.col("word_idx") / block).alias("block")).agg(F.sort_array(F.collect_list(word)).alias("ws"))
+    first, last = F.col("ws")[0]["word_idx"], F.element_at("ws", -1)["word_idx"]
+    blocks = kept(blocks.withColumns({"first": first, "last": last, "ends": F.transform(F.filter("ws", lambda w: w["closes"]), lambda w: w["word_idx"])}), "blocks")
+
+    at = lambda i: F.get("ws", i - F.col("first"))
+    cuts = F.array(*[_fold(F.col("ends"), F.col("first"), F.lit(k), least) for k in range(least)])
+    function = blocks.withColumn("cuts", cuts)
+    told = F.transform("cuts", lambda c: F.struct(F.size(c).alias("n"), F.try_element_at(c, F.lit(-1)).alias("cut"), at(F.try_element_at(c, F.lit(-1)) + 1)["start"].alias("next")))
+    function = function.select("video_id", "block", "first", "last", F.col("ws")[0]["start"].alias("starts"), told.alias("told"))
+    begun = function.repartition("video_id").sortWithinPartitions("video_id", "block").mapInArrow(
+        _chained(tail, least), "video_id long, block long, open int, word_from int, start_time double, before int"
+    )
+    begun = kept(begun, "begun")
+
+    here = begun.where("block >= 0").join(blocks, ["video_id", "block"]).withColumn("cuts", _fold(F.col("ends"), F.col("first"), F.col("open"), least))
+    here = here.where(F.size("cuts") > 0).select("*", F.posexplode("cuts").alias("k", "word_to"))
+    before = F.get("cuts", F.col("k") - 1)
+    closed = here.select(
+        "video_id", (F.col("before") + F.col("k")).alias("segment_id"), F.when(F.col("k") == 0, F.col("start_time")).otherwise(at(before + 1)["start"]).alias("start_time"),
+        at(F.col("word_to"))["end"].alias("end_time"), F.coalesce(before + 1, F.col("word_from")).alias("word_from"), "word_to",
     )
-    few = marked.where(F.col("closes") | F.col("next_start").isNull() | (F.col("word_idx") == 0))
-
-    def segment(video: pa.Table) -> pa.Table:
-        idx, end, ahead = (video[c].to_numpy() for c in ("word_idx", "end", "next_start"))
-        found = cut_points(idx[video["closes"].to_numpy()], int(idx[-1]) + 1, least, tail)
-        first, last = np.array(found, np.int64).reshape(-1, 2).T
-        at, before = np.searchsorted(idx, last), np.searchsorted(idx, first - 1)
-        start = np.where(first > 0, ahead[np.minimum(before, len(idx) - 1)], video["start"][0].as_py())
-        return pa.table({
-            "video_id": np.full(len(found), video["video_id"][0].as_py()), "segment_id": np.arange(len(found)), "start_time": start, "end_time": end[at],
-            "word_from": first, "word_to": last,
-        })
-
-    return by_video(few, ["word_idx"], segment, SEGMENT, dealt=True)  # by the window
+    ends = blocks.groupBy("video_id").agg(F.max(F.struct("last", F.element_at("ws", -1)["end"].alias("end"))).alias("e"))
+    over = begun.where("block = -1").join(ends, "video_id").select("video_id", F.col("before").alias("segment_id"), "start_time", F.col("e.end").alias("end_time"), "word_from", F.col("e.last").alias("word_to"))
+    return closed.unionByName(over).select(*[F.col(c.split()[0]).cast(c.split()[1]) for c in SEGMENT.split(", ")])
 
 
 def merged_rows(start: np.ndarray, end: np.ndarray, complete: np.ndarray) -> list[int]:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from momentweave.functions import scalars as S
-from momentweave.operators import candidates, captions, ranking, segments, series, signals, words
+from momentweave.operators import candidates, ranking, segments, series, signals, words
 from momentweave.operators import responses as R
 from momentweave.params import Params
 
@@ -116,11 +116,6 @@ def test_refinement(spark):
     assert (out.score, out.iteration) == (73.0, 1)
 
 
-def test_captions():
-    assert captions.packed_lines(np.array([10, 10, 10]), 28) == [(0, 1), (2, 2)]
-    assert captions.packed_lines(np.array([40, 3]), 28) == [(0, 0), (1, 1)]
-
-
 def test_dedupe_golden():
     t0, t1 = np.array([0, 0.5, 1.0, 1.2]), np.array([10, 10.5, 10, 10.9])
     assert candidates.distinct_rows(t0, t1) == [0, 2]
@@ -144,37 +139,6 @@ def test_dedupe_restated(rows):
     assert candidates.distinct_rows(t[:, 0], t[:, 1]) == kept
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.booleans(), max_size=40))
-def test_sentences_restated(closes):
-    out, current = [], []
-    for i, c in enumerate(closes):
-        current.append(i)
-        if c and len(current) >= 5:
-            out.append((current[0], i))
-            current = []
-    if len(current) >= 3:
-        out.append((current[0], current[-1]))
-    assert segments.cut_points(np.flatnonzero(np.array(closes, bool)), len(closes)) == out
-
-
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 50), st.integers(1, 20), st.integers(0, 3), st.integers(0, 2)), max_size=25))
-def test_selection_rules(rows):
-    start, end = np.array([r[0] for r in rows], float), np.array([r[0] + r[1] for r in rows], float)
-    picks = ranking.chosen_rows(start, end, [r[2] for r in rows], [r[3] for r in rows], 8, 0.3)
-    assert len(picks) <= 8 and len(set(picks)) == len(picks)
-    for n, i in enumerate(picks):
-        for k in picks[:n]:
-            assert (min(end[i], end[k]) - max(start[i], start[k])) / (end[i] - start[i]) <= 0.3
-
-
-def test_pitch():
-    rate, t = 8000, np.arange(8000) / 8000
-    found = signals.chunk_pitches(np.sign(np.sin(2 * np.pi * 200 * t)), rate, 1.0)
-    assert len(found) and abs(np.median(found) - 200) < 5
-
-
 def test_generated_candidates_hold_their_rules(spark):
     from momentweave.jobs import registry
 
@@ -208,6 +172,7 @@ def test_inference_answers_each_prompt_once(spark):
 
 
 def test_files_and_index(spark, tmp_path):
+    from momentweave.operators import docindex
     from momentweave.sources import tables
 
     (tmp_path / "in/sub").mkdir(parents=True)
@@ -218,4 +183,4 @@ def test_files_and_index(spark, tmp_path):
     files = tables.read_text_files(spark, str(tmp_path / "in"))
     assert sorted(r.text for r in files.collect()) == ["ok  text", "x = 1"]
     for _ in range(2):
-        assert tables.append_index(files, str(tmp_path / "index")).count() == 2
+        assert docindex.append_index(files, str(tmp_path / "index")).count() == 2

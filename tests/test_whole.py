@@ -8,7 +8,6 @@ import pytest
 from momentweave.functions import scalars as S
 from momentweave.jobs import registry, views
 from momentweave.operators import candidates as C
-from momentweave.operators.captions import packed_lines
 from momentweave.params import DIMENSIONS, HOOK_NARROW, PAYOFF
 
 DATA = "/root/testdata/sf0.001"
@@ -39,6 +38,17 @@ def test_every_fiftieth_vector_is_searched(spark):
         assert np.allclose(g.distance, np.sqrt(np.maximum(2 * (1 - m[np.searchsorted(ids, g.vec_id)] @ m[ids == q][0]), 0)), atol=1e-4)
 
 
+def packed_lines(lengths, most):
+    """Runs of words (first, last) whose joined length is at most `most`; a longer word stands alone."""
+    out, a, size = [], 0, -1
+    for i, n in enumerate(lengths):
+        if i > a and size + 1 + n > most:
+            out.append((a, i - 1))
+            a, size = i, -1
+        size += 1 + n
+    return [*out, (a, len(lengths) - 1)] if len(lengths) else out
+
+
 def ranged(segments, words, pad, contained):
     """(video, segment) with the words of its span, moved out by pad on both sides, as a frame."""
     for r in segments.itertuples():
