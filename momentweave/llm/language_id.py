@@ -188,18 +188,20 @@ def _gram_keys(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def _sample(known: DataFrame, docs_per_language: int, characters_per_language: int) -> DataFrame:
     """About docs_per_language rows of each language of known (doc_id, text, lang), fewer if they have more than
-    characters_per_language, drawn by a hash of doc_id and text. Equal rows teach once."""
-    size = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
-    share = F.least(F.lit(1.0), docs_per_language / F.col("rows"), characters_per_language / F.greatest(F.col("characters"), F.lit(1)))
-    share = cut(size.select(F.col("lang").alias("of"), share.alias("share")), "shares")  # a row a language: Spark broadcasts it while it is small
+    characters_per_language, but at least one, drawn by a hash of doc_id and text. Equal rows teach once."""
     unit = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
-    return known.join(share, F.col("lang") == F.col("of")).where(unit < F.col("share")).drop("of", "share").distinct()
+    size = known.groupBy("lang").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"), F.min(unit).alias("least"))
+    share = F.least(F.lit(1.0), docs_per_language / F.col("rows"), characters_per_language / F.greatest(F.col("characters"), F.lit(1)))
+    share = cut(size.select(F.col("lang").alias("of"), share.alias("share"), "least"), "shares")  # a row a language: Spark broadcasts it while it is small
+    drawn = (unit < F.col("share")) | (unit == F.col("least"))
+    return known.join(share, F.col("lang") == F.col("of")).where(drawn).drop("of", "share", "least").distinct()
 
 
 def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, characters_per_language: int = CHARACTERS_PER_LANGUAGE) -> LanguageModel:
     """Learn a model from doc_id, text, lang (rows with a null in any of them teach nothing).
 
-    Each language is learned from a bounded sample of its labelled rows (_sample); a tenth of it only calibrates.
+    Each language is learned from a bounded sample of its labelled rows (_sample); a tenth of it, but never all of a
+    language's documents, only calibrates.
     Executors count n-grams, and of these the characters to the left of each shorter one; no n-gram of the sample is
     left out, so counts of counts and discounts are those of the whole sample. The driver gets the tables, which are
     as large as the samples' n-grams, and the calibration documents' cross-entropies.
@@ -208,7 +210,10 @@ def fit(docs: DataFrame, *, docs_per_language: int = DOCS_PER_LANGUAGE, characte
     bounded_batches(spark)
     known = docs.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     sample = cut(_sample(known, docs_per_language, characters_per_language), "labelled")
-    trial = F.pmod(F.xxhash64(F.lit("trial"), "doc_id"), F.lit(10)) == 0
+    # The document of the least key teaches in any case: a language of few documents is not lost to calibration.
+    key = F.xxhash64(F.lit("trial"), "doc_id")
+    sample = cut(sample.join(sample.groupBy("lang").agg(F.min(key).alias("teaches")), "lang").select(*sample.columns, ((F.pmod(key, F.lit(10)) == 0) & (key != F.col("teaches"))).alias("trial")), "shared")
+    trial = F.col("trial")
     grams = sample.where(~trial).select("lang", "text").mapInPandas(_count_grams, "lang string, gram string, n long")
     level, levels = cut(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams"), []
     alphabet = 1 + level.agg(F.count_distinct(F.substring("gram", -1, 1))).first()[0]
