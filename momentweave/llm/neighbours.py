@@ -245,16 +245,30 @@ def _centres(points: DataFrame, shard_rows: int) -> dict[tuple[int, int], np.nda
 
 @dataclass(frozen=True)
 class _Cells:
-    """The cells of one vector length: ids, centres, and how far above its centre a cell's best product may lie."""
+    """The cells of one vector length: ids, centres, how far above its centre a cell's best product may lie, and points."""
 
     ids: np.ndarray
     centres: np.ndarray
     above: np.ndarray
+    n: np.ndarray
 
-    def order(self, queries: np.ndarray, first: int) -> np.ndarray:
-        """Ids of the cells of greatest expected product with each query, best first."""
+    def order(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the cells by expected product with each query (of unit length), best first, and these products."""
         score = _unit(queries) @ self.centres.T + self.above
-        return self.ids[np.argsort(-score, axis=1, kind="stable")[:, :first]]
+        at = np.argsort(-score, axis=1, kind="stable")
+        return at, np.take_along_axis(score, at, 1)
+
+    def visits(self, queries: np.ndarray, first: int, least: int, reached: np.ndarray) -> list[np.ndarray]:
+        """Ids of the cells that each query visits. reached is nan at first: then the first cells in order, and more until
+        they hold `least` points. Later it is the score of the last of `least` rows found: then every other cell whose
+        expected product is as great."""
+        at, score = self.order(queries)
+        held = np.cumsum(self.n[at], axis=1) - self.n[at]
+        begin = (np.arange(at.shape[1]) < first) | (held < least)
+        longest = np.abs(queries).max(1)
+        size = longest * np.sqrt(((queries / longest[:, None]) ** 2).sum(1))
+        further = ~begin & (score >= (reached / size)[:, None])
+        return [self.ids[a[m]] for a, m in zip(at, np.where(np.isnan(reached)[:, None], begin, further), strict=True)]
 
 
 def _built(group: pa.Table) -> pa.Table:
@@ -329,8 +343,10 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, shard_rows: int
     Different vectors are dealt by length, band of norms and nearest centre into cells, and these into shards of
     about shard_rows; each shard's graph is built once and kept as a row. TRIALS queries are also answered exactly,
     by a scan: a query visits as many cells, in order of their expected products, as hold SHARE of the trials'
-    neighbours, and searches with the first breadth that finds RECALL of them (or the largest). So recall is held on
-    any data, and it is the cost that follows from how well the vectors cluster.
+    neighbours, and more until they hold k + 1 points; it searches with the first breadth that finds RECALL of the
+    trials' (or the largest). Then it goes on to every cell whose expected product is as great as the score of its own
+    last row, so a query unlike the trials gets its rows too. Recall is held on any data, and it is the cost that follows
+    from how well the vectors cluster.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
@@ -363,7 +379,7 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, shard_rows: int
     found = sizes.toPandas()  # at most CELLS rows a band
     for d, g in found.groupby("d"):
         above = g["radius"].to_numpy() * np.sqrt(2 * np.log(g["n"].to_numpy() + 1) / d)
-        cells[int(d)] = _Cells(g["cell"].to_numpy(), np.stack([centres[d, r.band][r.cell - base[d, r.band]] for r in g.itertuples()]), above)
+        cells[int(d)] = _Cells(g["cell"].to_numpy(), np.stack([centres[d, r.band][r.cell - base[d, r.band]] for r in g.itertuples()]), above, g["n"].to_numpy())
 
     # A shard is a cell and a part of it, as one number.
     shard = lambda part: F.col("cell") * F.lit(1 << 32) + part
@@ -377,17 +393,17 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, shard_rows: int
         visits = spark.sparkContext.broadcast((cells, first))
 
         @F.arrow_udf("array<bigint>")
-        def visited(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-            for d, v in batches:
+        def visited(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for d, v, reached in batches:
                 out: list = [None] * len(d)
-                held, d = visits.value, d.to_numpy()
+                held, d, reached = visits.value, d.to_numpy(), reached.to_numpy(zero_copy_only=False).astype(np.float64)
                 for size in np.unique(d).tolist():
                     at = np.flatnonzero(d == size)
-                    for i, c in zip(at.tolist(), held[0][size].order(_matrix(v.take(pa.array(at))), held[1][size]), strict=True):
+                    for i, c in zip(at.tolist(), held[0][size].visits(_matrix(v.take(pa.array(at))), held[1][size], k + 1, reached[at]), strict=True):
                         out[i] = c
                 yield pa.array(out, pa.list_(pa.int64()))
 
-        sent = asked.select("point", "v", F.explode(visited("d", "v")).alias("cell")).join(F.broadcast(sizes.select("cell", "shards")), "cell")
+        sent = asked.select("point", "v", F.explode(visited("d", "v", "reached")).alias("cell")).join(F.broadcast(sizes.select("cell", "shards")), "cell")
         sent = sent.select("point", "v", F.explode(F.transform(F.sequence(F.lit(0), F.col("shards") - 1), shard)).alias("shard"))
         sent = cut(sent, "sent")
         blocks = sent.groupBy("shard").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("blocks"))
@@ -396,15 +412,20 @@ def nearest(vectors: DataFrame, queries: Column, *, k: int = 20, shard_rows: int
         # One group is a shard's graph with one block of queries: both bounded.
         pairs = copies.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block"))
         found = pairs.applyInArrow(lambda g, q: _answers(g, q, k, breadths), "breadth long, point long, vec_id long, row long, score double")
-        best = Window.partitionBy("breadth", "point").orderBy(F.desc("score"), "vec_id", "row")
-        return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1)
+        return ranked(found)
 
+    by = Window.partitionBy("breadth", "point").orderBy(F.desc("score"), "vec_id", "row")
+    ranked = lambda found: found.withColumn("place", F.row_number().over(by)).where(F.col("place") <= k + 1)
+    asked = asked.withColumn("reached", F.lit(None).cast("double"))
     trials = asked.orderBy(F.xxhash64("point"), "point").limit(TRIALS)
     first, breadth = _settings(points, trials, cells, answered, k)
-    best = answered(asked, first, (breadth,)).groupBy("point").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "row", "score"))).alias("best"))
+    begun = cut(answered(asked, first, (breadth,)), "answers")
+    last = begun.groupBy("point").agg(F.when(F.count("*") > k, F.min("score")).otherwise(float("-inf")).alias("reached"))
+    further = answered(asked.drop("reached").join(last, "point"), first, (breadth,))
+    best = ranked(begun.drop("place").union(further.drop("place"))).groupBy("point").agg(F.array_sort(F.collect_list(F.struct("place", "vec_id", "row", "score"))).alias("best"))
     others = F.slice(F.filter("best", lambda r: r["row"] != F.col("row")), 1, k)
-    ranked = asked_rows.join(best, "point").select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "r"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
+    answers = asked_rows.join(best, "point").select(F.col("vec_id").alias("query_id"), F.posexplode(others).alias("at", "r"))
+    return answers.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "r.vec_id", "r.score")
 
 
 def _settings(points: DataFrame, trials: DataFrame, cells: dict[int, _Cells], answered, k: int) -> tuple[dict[int, int], int]:
@@ -438,7 +459,7 @@ def _settings(points: DataFrame, trials: DataFrame, cells: dict[int, _Cells], an
     exact = exact.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place").toPandas()  # TRIALS times k rows
     first = {d: len(c.ids) for d, c in cells.items()}
     for d, (ids, v) in of.items():
-        order = cells[d].order(v, len(cells[d].ids))
+        order = cells[d].ids[cells[d].order(v)[0]]
         place = {(p, c): i for p, row in zip(ids.tolist(), order.tolist(), strict=True) for i, c in enumerate(row)}
         mine = exact[exact["trial"].isin(ids)]
         needed = np.sort([place[t, c] for t, c in zip(mine["trial"], mine["cell"], strict=True)])

@@ -123,7 +123,10 @@ def test_no_language_is_dropped(spark):
     assert len(model.languages) == 60
     few = spark.createDataFrame([(7, "many rows of one id", "x")] * 900 + [(8, None, "x"), (None, "no id", "x")], "doc_id long, text string, lang string")
     assert language_id._sample(few.where("text IS NOT NULL"), 10_000, 1_000_000).count() == 2
-    assert language_id.fit(few).languages in ((), ("x",))
+    assert language_id.fit(few).languages == ("x",)
+    alone = [(k, f"{chr(97 + k % 26)}{chr(97 + k // 26)} only one text teaches this", f"l{k:03d}") for k in range(60)] + [(99, "long " * 30, "big")]
+    model = language_id.fit(spark.createDataFrame(alone, "doc_id long, text string, lang string"), characters_per_language=40)
+    assert model.languages == tuple(sorted(r[2] for r in alone))
 
 
 def test_licenses(spark, odd, none):
@@ -579,6 +582,21 @@ def recall(found, ids, m, k=20):
     return hits / n
 
 
+def test_each_query_gets_its_rows_and_goes_where_they_are(spark):
+    """Four long vectors in a band of their own come first for all queries, and don't fill k rows; and a few queries
+    are unlike the rest."""
+    rng = np.random.default_rng(3)
+    m = rng.standard_normal((4000, 16))
+    m[[20, 40, 60, 77]] *= 50
+    m[100:140] = rng.standard_normal((40, 16)) * 0.01 - m[100]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=512).toPandas()
+    assert (got.groupby("query_id").size() == 20).all() and got.query_id.nunique() == 200
+    ids = np.arange(4000)
+    each = {q: recall(g, ids, m) for q, g in got.groupby("query_id")}
+    assert np.mean(list(each.values())) >= 0.95 and min(each.values()) >= 0.6
+
+
 @pytest.mark.parametrize("kind", ["gaussian", "lengths", "groups"])
 def test_neighbours_over_several_shards(spark, kind):
     rng = np.random.default_rng(8)
