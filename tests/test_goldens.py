@@ -171,6 +171,23 @@ def test_inference_answers_each_prompt_once(spark):
     assert sorted((r.n, r.response) for r in out.collect()) == [(1, "A"), (2, "A"), (3, "B"), (4, None)]
 
 
+def test_a_prompt_that_fails_fails_alone(spark):
+    def make():
+        def model(texts):
+            assert len(texts) <= 5 and (len(texts) == 1 or sum(map(len, texts)) <= 40)
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no " + " ".join(texts)[:20])
+            return [t.upper() for t in texts] if "few" not in texts else []
+
+        return model
+
+    rows = [(n, t) for n, t in enumerate([f"p{k}" for k in range(30)] + ["bad", "few", None, "x" * 90, "p1", "bad"])]
+    df = spark.createDataFrame(rows, "n int, prompt string").repartition(3)
+    got = {r.n: (r.prompt, r.response, r.error) for r in R.infer(df, make, most=5, most_bytes=40).collect()}
+    reason = {"bad": "RuntimeError: no bad", "few": "ValueError: 0 answers to 1 prompts"}
+    assert got == {n: (t, t.upper() if t and t not in reason else None, reason.get(t)) for n, t in rows}
+
+
 def test_files_and_index(spark, tmp_path):
     from momentweave.operators import docindex
     from momentweave.sources import tables
