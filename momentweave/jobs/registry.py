@@ -588,6 +588,18 @@ def s3_p6_metadata(spark, d):
     return m.withColumn("is_url", S.is_url("url"))
 
 
+@query("s1_s3_bad_lines", """
+SELECT page_id, page_id % 7 >= 3 AS good, CASE WHEN page_id % 7 >= 3 THEN url END AS url FROM pages
+""")
+def s1_s3_bad_lines(spark, d):
+    """Metadata lines of pages, some cut short, some of a wrong type, some missing: the parsed and the quarantined ones."""
+    k = F.col("page_id") % 7
+    line = F.to_json(F.struct(F.col("page_id").alias("view_count"), F.col("url").alias("webpage_url")))
+    line = F.when(k == 0, F.substring(line, F.lit(1), F.length(line) - 1)).when(k == 1, F.lit('{"view_count": "many"}')).when(k > 2, line)
+    good, bad = T.sorted_out(views.read(spark, d, "pages").select("page_id", line.alias("line")), T.METADATA)
+    return good.select("page_id", F.lit(True).alias("good"), F.col("parsed.webpage_url").alias("url")).unionByName(bad.select("page_id", F.lit(False).alias("good")), allowMissingColumns=True)
+
+
 # Captions, reports, answers.
 
 

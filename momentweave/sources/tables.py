@@ -16,6 +16,15 @@ METADATA = "title string, duration double, uploader string, view_count long, web
 SUFFIXES = (".py", ".md", ".txt", ".js", ".ts")
 
 
+def sorted_out(lines: DataFrame, kind: str, column: str = "line") -> tuple[DataFrame, DataFrame]:
+    """S1, S3. lines parsed as JSON of this schema (other columns and `parsed`), and beside them a quarantine table of the
+    lines (as they came) that aren't: malformed, of other types, or null. Each line is in one of the two."""
+    told = lines.withColumn("parsed", F.from_json(column, f"{kind}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    bad = F.col("parsed").isNull() | F.col("parsed._bad").isNotNull()
+    good = told.where(~bad).withColumn("parsed", F.col("parsed").dropFields("_bad"))
+    return good, told.where(bad).select(*lines.columns)
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """S1. Speech-to-text JSON lines, one video each."""
     return spark.read.schema(TRANSCRIPT).json(path)

@@ -188,6 +188,15 @@ def test_a_prompt_that_fails_fails_alone(spark):
     assert got == {n: (t, t.upper() if t and t not in reason else None, reason.get(t)) for n, t in rows}
 
 
+def test_bad_lines_are_set_apart(spark):
+    from momentweave.sources import tables
+
+    rows = [(1, '{"title": "a", "duration": 2}'), (2, '{"title": "a"'), (3, None), (4, ""), (5, '{"duration": "long"}'), (6, "{}"), (7, "no json"), (8, '{"other": 1}')]
+    good, bad = tables.sorted_out(spark.createDataFrame(rows, "n int, line string"), tables.METADATA)
+    assert sorted((r.n, r.parsed.title, r.parsed.duration) for r in good.collect()) == [(1, "a", 2.0), (6, None, None), (8, None, None)]
+    assert sorted(map(tuple, bad.collect())) == [r for r in rows if r[0] in (2, 3, 4, 5, 7)]
+
+
 def test_files_and_index(spark, tmp_path):
     from momentweave.operators import docindex
     from momentweave.sources import tables
