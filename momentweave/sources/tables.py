@@ -98,6 +98,14 @@ def write_texts(df: DataFrame, text: str | Column, path: str) -> None:
     df.select(F.col(text) if isinstance(text, str) else text).write.mode("overwrite").text(path, lineSep="\n\n")
 
 
+def write_by_video(df: DataFrame, text: str | Column, path: str, *order: str | Column, line_sep: str = "\n") -> None:
+    """S4, S5, S6, S8. One file a video, in the folder video_id=... of path, with a row's text a line, in this order. What
+    the folder holds of other videos stays, so a job may be run again for some."""
+    rows = df.select("video_id", (F.col(text) if isinstance(text, str) else text).alias("value"), F.struct(*order).alias("place")).where("value IS NOT NULL")
+    rows = rows.repartition("video_id").sortWithinPartitions("video_id", "place", "value").select("video_id", "value")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("video_id").text(path, lineSep=line_sep)
+
+
 def clip_records(files: DataFrame, records: DataFrame) -> DataFrame:
     """J10. Each clip file (video_id, file, clip_index or null) with its report record (video_id, clip_index, start_time,
     score): by index, else by the start's text in the file's name; the first record that fits."""

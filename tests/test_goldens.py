@@ -197,6 +197,18 @@ def test_bad_lines_are_set_apart(spark):
     assert sorted(map(tuple, bad.collect())) == [r for r in rows if r[0] in (2, 3, 4, 5, 7)]
 
 
+def test_each_video_gets_its_file(spark, tmp_path):
+    from momentweave.sources import tables
+
+    rows = [(v, n, f"line {n} of {v}") for v in range(12) for n in range(40)]
+    df = spark.createDataFrame(rows, "video_id long, n int, line string").orderBy(F.rand(1)).repartition(7)
+    tables.write_by_video(df, "line", str(tmp_path / "out"), "n")
+    read = lambda v: [f.read_text() for f in (tmp_path / f"out/video_id={v}").glob("part-*")]
+    assert all(read(v) == ["".join(f"line {n} of {v}\n" for n in range(40))] for v in range(12))
+    tables.write_by_video(df.where("video_id = 3 AND n < 2"), F.upper("line"), str(tmp_path / "out"), "n")
+    assert read(3) == ["LINE 0 OF 3\nLINE 1 OF 3\n"] and len(read(4)) == 1
+
+
 def test_files_and_index(spark, tmp_path):
     from momentweave.operators import docindex
     from momentweave.sources import tables
