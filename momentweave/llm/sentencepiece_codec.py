@@ -19,7 +19,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2  # fixed values of the model file's format
 NORMAL, UNK, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # likewise
-LONG = 64  # characters; longer units are few, so vectors over them would be short: each is merged with a heap
+LONG = 64  # characters; longer units are few, so vectors over them would be short: these are merged, all of them together
 KEPT_UNITS = 100_000  # encoded units, about, that a worker keeps for its next texts; as many again that it has not met since
 _UNK_PENALTY = 10.0  # what the library subtracts from the lowest score for an unknown character
 _SLICE = 3 << 19  # characters encoded at a time
@@ -145,6 +145,62 @@ class Merges:
             offer([before[i], i])
         return [s for s in symbols if s >= 0]
 
+    def merged_together(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Symbols of words that lie one after the other, each beginning at one of the places `first`, after all merges;
+        -1 where a symbol is part of the one before it. For models whose merges are ordered.
+
+        There a merge only makes pairs that are merged later, so all pairs of one place in the order of merges are
+        merged at once, in every word; of those that share a symbol the left one goes first. A round costs as much as it
+        merges, and there are at most as many as different pieces that the words come by.
+        """
+        n, rank_of = len(symbols), np.iinfo(np.int32).max
+        symbols = symbols.astype(np.int32)
+        whole = np.zeros(int(self.places.max(initial=-1)) + 1, np.int32)
+        whole[self.places] = self.ids
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+        before[first] = -1
+        after[np.append(first[1:], n) - 1] = n
+        rank = np.full(n, rank_of, np.int32)  # of the pair that begins here
+        waiting: dict[int, list[np.ndarray]] = defaultdict(list)
+        ranks: list[int] = []
+
+        def offer(at: np.ndarray) -> None:
+            rank[at] = rank_of
+            at = at[after[at] < n]
+            found = self.pairs(symbols[at].astype(np.int64), symbols[after[at]].astype(np.int64))
+            at, r = at[found >= 0], self.places[found[found >= 0]]
+            if not len(at):
+                return
+            rank[at] = r
+            if len(r) > 1:
+                order = np.argsort(r, kind="stable")
+                at, r = at[order], r[order]
+            edges = [0, *(np.flatnonzero(np.diff(r)) + 1).tolist(), len(r)]
+            for a, b in zip(edges, edges[1:]):
+                if (k := int(r[a])) not in waiting:
+                    heapq.heappush(ranks, k)
+                waiting[k].append(at[a:b].astype(np.int32))
+
+        for a in range(0, n, _SLICE):
+            offer(np.arange(a, min(a + _SLICE, n)))
+        while ranks:
+            now = heapq.heappop(ranks)
+            at = np.concatenate(waiting.pop(now))
+            at = np.sort(at[rank[at] == now])
+            if not len(at):
+                continue
+            alone = after[at[:-1]] != at[1:]
+            if not alone.all():  # in a run of pairs that share symbols every second one goes
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(np.append(True, alone), place, 0))) % 2 == 0]
+            gone = after[at]
+            then = after[gone]
+            symbols[at], symbols[gone], rank[gone], after[at] = whole[now], -1, rank_of, then
+            before[then[then < n]] = at[then < n]
+            left = before[at]
+            offer(np.unique(np.concatenate((left[left >= 0], at))))
+        return symbols
+
 
 @dataclass(frozen=True)
 class Pieces:
@@ -312,6 +368,28 @@ def _spelled(p: Pieces, word: str, symbols: list[int], starts: list[int]) -> byt
     return np.array(ids, np.int32).tobytes()
 
 
+def _long_units(p: Pieces, words: list[str]) -> dict[str, bytes]:
+    """Ids of each word, by merging them together, about _SLICE characters (or one longer word) at a time."""
+    out: dict[str, bytes] = {}
+    ends = np.cumsum([len(w) for w in words])
+    cuts = [0, *(np.flatnonzero(np.diff(ends // _SLICE)) + 1).tolist(), len(words)]
+    for a, b in zip(cuts, cuts[1:]):
+        some = words[a:b]
+        if not some:
+            continue
+        last = np.cumsum([len(w) for w in some])
+        first = last - [len(w) for w in some]
+        symbols = p.merges.merged_together(p.single(_codes(["".join(some)])[0]), first)
+        starts = np.flatnonzero(symbols >= 0)
+        symbols = symbols[starts]
+        edges = np.searchsorted(starts, np.append(first, last[-1])).tolist()
+        odd = np.append(0, np.cumsum(symbols >= len(p.bytes_)))
+        for w, begin, x, y in zip(some, first.tolist(), edges, edges[1:], strict=False):
+            own = symbols[x:y]
+            out[w] = own.tobytes() if odd[x] == odd[y] else _spelled(p, w, own.tolist(), (starts[x:y] - begin).tolist())
+    return out
+
+
 def encode_units(p: Pieces, units: list[str]) -> dict[str, bytes]:
     """Ids of each unit, as 32-bit integers; units of one length go together."""
     out: dict[str, bytes] = {}
@@ -319,8 +397,10 @@ def encode_units(p: Pieces, units: list[str]) -> dict[str, bytes]:
     for u in units:
         groups[len(u)].append(u)
     top = len(p.bytes_)
-    for size, words in groups.items():
-        if p.merges and (size > LONG or not p.merges.ordered):
+    if p.merges and p.merges.ordered:
+        out |= _long_units(p, [w for size in sorted(groups) if size > LONG for w in groups.pop(size)])
+    for words in groups.values():
+        if p.merges and not p.merges.ordered:
             for w in words:
                 symbols = p.merges.merged(p.single(_codes([w])[0]).tolist())
                 width = [len(p.bytes_[s].decode()) if s < top else 1 for s in symbols]
@@ -353,11 +433,15 @@ class Codec:
         different = set().union(*units) - self._new.keys()
         met = different & self._old.keys()
         self._new |= {u: self._old[u] for u in met}
-        self._new |= encode_units(self.p, list(different - met))
+        fresh = encode_units(self.p, list(different - met))
+        self._new |= fresh
         known = self._new
+        parts = [b"".join([known[u] for u in us]) for us in units]
+        for u in fresh:
+            if len(u) > LONG:  # seldom met again, and of any size
+                del known[u]
         if len(known) > KEPT_UNITS:
             self._new, self._old = {}, known if len(known) <= 2 * KEPT_UNITS else {}
-        parts = [b"".join([known[u] for u in us]) for us in units]
         offsets = np.cumsum([0, *(len(x) // 4 for x in parts)])
         return offsets, np.frombuffer(b"".join(parts), np.int32)
 
@@ -394,7 +478,9 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     model: path of a model file that every executor has. The ids are those of the library for the same file: for a
     unigram model by the best sum of scores, for a BPE model by the one path that merging gives. A null or empty text
     has no ids. A text that contains the space marker itself comes back with spaces there, so its round_trip is false.
-    Equal texts get equal ids. Columns of these names are replaced. No rows give no rows.
+    Equal texts get equal ids. Columns of these names are replaced. No rows give no rows. A text is encoded whole: a
+    worker needs about 120 bytes for each character of its longest text. Words of any length take two to three seconds
+    a million characters at most.
     """
     bounded_batches(docs.sparkSession)
 

@@ -571,6 +571,20 @@ def test_sentencepiece_bpe_paths_are_those_of_merging():
     assert codec.decode(offsets, ids) == [t.encode() for t in texts]
 
 
+def test_sentencepiece_long_words_are_merged_together():
+    """Words over LONG characters, up to a million, with runs, ties and characters that no piece holds."""
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.load_pieces())
+    rng = np.random.default_rng(4)
+    letters = "".join(rng.choice(list("etaoinshrdlucmfwypvbgk"), 1_000_000))
+    texts = ["".join(rng.choice(list(kind), int(n))) for kind in ("ab", "aab", "esst", "日本é", "🙂x") for n in rng.integers(60, 400, 60)]
+    texts += [c * n for c in ("a", "ab", "aab", "=", "-", "🙂") for n in range(63, 140)] + ["ab" * 500_000, "a" * 1_000_000, letters, letters[:65], None, ""]
+    offsets, ids = codec.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [library.encode(t) if t else [] for t in texts]
+    assert codec.decode(offsets, ids) == [(t or "").encode() for t in texts]
+    assert max(map(len, codec._new)) <= sentencepiece_codec.LONG
+
+
 def recall(found, ids, m, k=20):
     """Share of exact neighbours found: by score, so equal ones count alike."""
     hits = n = 0
