@@ -248,9 +248,9 @@ judged AS (SELECT *, lag(score) OVER w AS prior, "round" = 0 OR (score IS NOT NU
 kept AS (SELECT *, bool_and(ok) OVER (PARTITION BY video_id, candidate_id ORDER BY "round") AS live FROM judged)"""
 
 
-def _rounds(spark, d):
+def _rounds(s):
     r, c, v = F.col("round"), F.col("candidate_id"), F.col("video_id")
-    s = views.segments(spark, d).select("video_id", F.col("segment_id").alias("candidate_id"), "start_time", F.explode(F.array(*map(F.lit, range(4)))).alias("round"))
+    s = s.select("video_id", F.col("segment_id").alias("candidate_id"), "start_time", F.explode(F.array(*map(F.lit, range(4)))).alias("round"))
     return s.select(
         "video_id", "candidate_id", "round", (F.col("start_time") + r).alias("new_start"), (F.col("start_time") + r + 20 + (c * 13 + r * 41) % 180).alias("new_end"),
         F.when(((c + r) % 11 > 0) | (r > 0), ((v * 3 + c * 7 + r * 29) % 101).cast("double")).alias("score"),
@@ -264,7 +264,7 @@ SELECT video_id, candidate_id, round(arg_max(new_start, "round"), 6) AS start_ti
 FROM kept WHERE live GROUP BY video_id, candidate_id HAVING arg_max(struct_pack(s := score), "round").s IS NOT NULL
 """))
 def w19_refinements(spark, d):
-    out = ranking.accepted_refinements(_rounds(spark, d))
+    out = ranking.accepted_refinements(_rounds(views.segments(spark, d)))
     return out.select("video_id", "candidate_id", *r6("start_time", "end_time"), "score", F.array_join("improvements", "; ").alias("improvements"), "iteration")
 
 
@@ -865,3 +865,57 @@ def s4_u3_reports(spark, d):
     clips = ranking.clip_index(alone, series.packed_series(s).withColumn("score", F.lit(50.0)))
     r = T.reports(s.withColumn("text", F.lit("")), clips)
     return r.select("video_id", "segments_scored", F.size("top_segments").alias("top_segments"), F.col("top_segments")[0]["score"].alias("best"), "standalone_clips")
+
+
+@query("s4_a10_full_reports", sql(SEGMENTS + _PROPOSED + _ROUNDS + """,
+told AS (SELECT r.video_id, r.segment_id, string_agg(word, ' ' ORDER BY word_idx) AS text
+  FROM (SELECT video_id, segment_id, unnest(range(word_from, word_to + 1)) AS k FROM segments) r JOIN words w ON w.video_id = r.video_id AND w.word_idx = r.k GROUP BY 1, 2),
+ranked AS (SELECT s.*, text, row_number() OVER (PARTITION BY s.video_id ORDER BY score DESC, start_time, end_time) AS rank FROM segments s JOIN told t ON t.video_id = s.video_id AND t.segment_id = s.segment_id),
+shown AS (SELECT video_id, series_idx, episode_idx, e.start_time, e.end_time, CASE WHEN episode_idx <> 2 THEN s.score END AS score, t.text
+  FROM episodes e JOIN segments s USING (video_id) JOIN told t USING (video_id) WHERE good AND s.idx = e.from_idx AND t.segment_id = e.from_idx),
+scored AS (SELECT *, avg(coalesce(score, 50)) OVER (PARTITION BY video_id, series_idx) AS overall, row_number() OVER (PARTITION BY video_id ORDER BY series_idx, episode_idx) AS n FROM shown),
+refined AS (SELECT video_id, count(*) AS n FROM (SELECT video_id, candidate_id FROM kept WHERE live GROUP BY 1, 2 HAVING arg_max(struct_pack(s := score), "round").s IS NOT NULL) GROUP BY 1),
+per AS (SELECT video_id, count(*) AS n, least(count(*), 8) AS alone FROM segments GROUP BY 1),
+parts AS (SELECT video_id, count(*) AS n FROM scored GROUP BY 1)
+""", """
+SELECT p.video_id, 'counts' AS section, 0 AS place, concat_ws('|', p.n, 3 * coalesce(r.n, 0), coalesce(r.n, 0), alone + coalesce(q.n, 0), alone, coalesce(q.n, 0)) AS entry
+FROM per p LEFT JOIN refined r ON r.video_id = p.video_id LEFT JOIN parts q ON q.video_id = p.video_id
+UNION ALL SELECT video_id, 'top', rank, concat_ws('|', round(start_time * 1000)::BIGINT, round(end_time * 1000)::BIGINT, score::BIGINT, segment_type, concat('topic ', segment_id % 5), md5(substring(text, 1, 200))) FROM ranked WHERE rank <= 20
+UNION ALL SELECT video_id, 'clips', rank - 1, concat_ws('|', 'standalone', round(start_time * 1000)::BIGINT, round(end_time * 1000)::BIGINT, round((end_time - start_time) * 1000)::BIGINT, score::BIGINT, md5(substring(text, 1, 500))) FROM ranked WHERE rank <= 8
+UNION ALL SELECT c.video_id, 'clips', alone + c.n - 1, concat_ws('|', 'story_series', round(start_time * 1000)::BIGINT, round(end_time * 1000)::BIGINT, round((end_time - start_time) * 1000)::BIGINT, score::BIGINT, md5(substring(text, 1, 300))) FROM scored c JOIN per p ON p.video_id = c.video_id
+UNION ALL SELECT video_id, 'series', series_idx * 3 + episode_idx, concat_ws('|', concat('series ', series_idx), round(overall * 100)::BIGINT, concat('part ', episode_idx), round(start_time * 1000)::BIGINT, round(end_time * 1000)::BIGINT,
+  round((end_time - start_time) * 1000)::BIGINT, CASE WHEN episode_idx < 3 THEN concat('what follows ', episode_idx) ELSE concat('the end of ', series_idx) END) FROM scored
+"""))
+def s4_a10_full_reports(spark, d):
+    """Whole reports, a row an entry: counts, best segments, clip records with texts, episodes of proposed series."""
+    w = kept(views.words(spark, d), "words")
+    s = kept(views.segments(spark, d), "segments")
+    spans = s.select("video_id", "segment_id", F.col("start_time").alias("t0"), F.col("end_time").alias("t1"))
+    text = W.range_text(spans, w, ["video_id", "segment_id"])
+    s = kept(s.join(text, ["video_id", "segment_id"]).withColumn("topic", F.concat(F.lit("topic "), (F.col("segment_id") % 5).cast("string"))), "told")
+    first = s.select("video_id", F.col("idx").alias("from_idx"), "score", "text")
+    e = series.proposed_series(_proposals(spark, d), s).join(first, ["video_id", "from_idx"]).withColumn("score", F.when(F.col("episode_idx") != 2, F.col("score")))
+    overall = series.series_scores(e.withColumn("overall_story_score", F.lit(None).cast("double")))
+    numbered = lambda name, c: F.concat(F.lit(f"{name} "), F.col(c).cast("string"))
+    e = kept(e.join(overall, ["video_id", "series_idx"]).withColumns({
+        "series_title": numbered("series", "series_idx"), "title": numbered("part", "episode_idx"), "cliffhanger": numbered("what follows", "episode_idx"), "ending": numbered("the end of", "series_idx"),
+    }), "episodes")
+    alone = ranking.top(s, 8, F.desc("score"), "start_time", "end_time").select("video_id", "rank", "start_time", "end_time", "score", "text")
+    clips = ranking.clip_index(alone, e.select("video_id", "series_idx", "episode_idx", "start_time", "end_time", "score", "text"))
+    r = kept(T.reports(s, clips.drop("rank", "series_idx", "episode_idx"), episodes=e, refined=ranking.accepted_refinements(_rounds(s))), "reports")
+
+    ms = lambda c: F.round(c * 1000).cast("long")
+    span = lambda c: [ms(c["start_time"]), ms(c["end_time"])]
+    entry = lambda *cs: F.concat_ws("|", *[c.cast("string") for c in cs]).alias("entry")
+    c, whole = F.col("c"), lambda x: F.round(x).cast("long")
+    of = lambda name: r.select("video_id", F.explode(name).alias("c"))
+    counts = ("segments_scored", "candidates_generated", "refined_candidates", "clips_produced", "standalone_clips", "series_clips")
+    at = lambda name, place: ("video_id", F.lit(name).alias("section"), place.cast("int").alias("place"))
+    told = F.when(c["episode"]["episode_idx"] < 3, c["episode"]["cliffhanger"]).otherwise(c["episode"]["ending"])
+    parts = of("story_series").select("video_id", "c.*").withColumn("episode", F.explode("episodes")).select("video_id", F.struct("series_idx", "title", "overall_story_score", "episode").alias("c"))
+    return (
+        r.select(*at("counts", F.lit(0)), entry(*map(F.col, counts)))
+        .unionByName(of("top_segments").select(*at("top", c["rank"]), entry(*span(c), whole(c["score"]), c["segment_type"], c["topic"], F.md5(c["text"]))))
+        .unionByName(of("clips").select(*at("clips", c["clip_index"]), entry(c["type"], *span(c), ms(c["duration"]), whole(c["score"]), F.md5(c["text"]))))
+        .unionByName(parts.select(*at("series", c["series_idx"] * 3 + c["episode"]["episode_idx"]), entry(c["title"], whole(c["overall_story_score"] * 100), c["episode"]["title"], *span(c["episode"]), ms(c["episode"]["duration"]), told)))
+    )

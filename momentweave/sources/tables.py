@@ -13,6 +13,7 @@ TRANSCRIPT = (
     "words array<struct<word string, start double, end double, confidence double>>>>"
 )
 METADATA = "title string, duration double, uploader string, view_count long, webpage_url string"
+LABELS = ("content_type", "topic", "segment_type", "emotion", "reasoning")
 SUFFIXES = (".py", ".md", ".txt", ".js", ".ts")
 
 
@@ -72,20 +73,52 @@ def video_metadata(lines: DataFrame, column: str = "line") -> DataFrame:
     return m.select(known("title", "Unknown"), known("duration", 0.0), known("uploader", "Unknown"), known("view_count", 0), F.coalesce("webpage_url", F.lit("")).alias("url"))
 
 
-def reports(segments: DataFrame, clips: DataFrame, *, most: int = 20) -> DataFrame:
-    """S4, A10, T3. One row a video: counts of scored segments, standalone clips and episodes, the clips in order, and
-    the `most` best segments. segments: video_id, start_time, end_time, score, text. clips: video_id, clip_index, type,
-    start_time, end_time, score."""
+def reports(segments: DataFrame, clips: DataFrame, *, episodes: DataFrame | None = None, refined: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """S4, A10, T3. One row a video: counts of scored segments, candidates (three for each refined one), refined
+    candidates, standalone clips and episodes; the clips in order, the `most` best segments, the story series.
+
+    segments: video_id, start_time, end_time, score, text, and any of content_type, topic, segment_type, emotion and
+    reasoning (missing: empty). clips: video_id, clip_index, type, start_time, end_time, score; what else they have
+    stays in their records, texts up to 500 characters, of episodes 300. episodes: video_id, series_idx, series_title,
+    overall, episode_idx, title, start_time, end_time, cliffhanger, ending. refined: video_id, one row a candidate. A
+    video of any of these tables has a report; what it lacks counts 0 and is an empty list.
+    """
     best = F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("score"), "start_time", "end_time"))
     top = segments.withColumn("rank", best)
-    preview = F.struct("rank", "start_time", "end_time", "score", F.substring("text", 1, 200).alias("text"))
+    told = [F.coalesce(c, F.lit("")).alias(c) if c in segments.columns else F.lit("").alias(c) for c in LABELS]
+    preview = F.struct("rank", "start_time", "end_time", "score", *told, F.substring("text", 1, 200).alias("text"))
     s = top.groupBy("video_id").agg(F.count("*").alias("segments_scored"), F.array_sort(F.collect_list(F.when(F.col("rank") <= most, preview))).alias("top_segments"))
+    record = ["clip_index", "type", "start_time", "end_time", "score"]
+    more = [F.substring("text", 1, F.when(F.col("type") == "standalone", 500).otherwise(300)).alias("text") if c == "text" else F.col(c) for c in clips.columns if c not in (*record, "video_id")]
     c = clips.groupBy("video_id").agg(
-        F.count("*").alias("clips_produced"), F.count_if(F.col("type") == "standalone").alias("standalone_clips"),
-        F.count_if(F.col("type") == "story_series").alias("series_clips"), F.array_sort(F.collect_list(F.struct("clip_index", "type", "start_time", "end_time", "score"))).alias("clips"),
+        F.count("*").alias("clips_produced"), F.count_if(F.col("type") == "standalone").alias("standalone_clips"), F.count_if(F.col("type") == "story_series").alias("series_clips"),
+        F.sort_array(F.collect_list(F.struct("clip_index", F.struct(*record, (F.col("end_time") - F.col("start_time")).alias("duration"), *more).alias("clip")))).alias("clips"),
+    )
+    out = s.join(c.withColumn("clips", F.transform("clips", lambda k: k["clip"])), "video_id", "full")
+    counts = ["segments_scored", "clips_produced", "standalone_clips", "series_clips"]
+    if refined is not None:
+        r = refined.groupBy("video_id").agg((F.count("*") * 3).alias("candidates_generated"), F.count("*").alias("refined_candidates"))
+        out, counts = out.join(r, "video_id", "full"), [*counts, "candidates_generated", "refined_candidates"]
+    lists = ["top_segments", "clips"]
+    if episodes is not None:
+        out, lists = out.join(series_section(episodes), "video_id", "full"), [*lists, "story_series"]
+    kinds = {f.name: f.dataType for f in out.schema}
+    return out.fillna(0, counts).withColumns({n: F.coalesce(n, F.array().cast(kinds[n])) for n in lists})
+
+
+def series_section(episodes: DataFrame) -> DataFrame:
+    """S4. story_series of each video: title, overall score and episodes of each series; a cliffhanger closes the first
+    two episodes, an ending the third."""
+    last = F.col("episode_idx") == 3
+    episode = F.struct(
+        "episode_idx", "title", "start_time", "end_time", (F.col("end_time") - F.col("start_time")).alias("duration"),
+        F.when(~last, F.coalesce("cliffhanger", F.lit(""))).alias("cliffhanger"), F.when(last, F.coalesce("ending", F.lit(""))).alias("ending"),
     )
-    out = s.join(c, "video_id", "full")
-    return out.fillna(0, ["segments_scored", "clips_produced", "standalone_clips", "series_clips"])
+    one = episodes.groupBy("video_id", "series_idx").agg(
+        F.max("series_title").alias("title"), F.max("overall").alias("overall_story_score"), F.sort_array(F.collect_list(episode)).alias("episodes")
+    )
+    rows = F.sort_array(F.collect_list(F.struct("series_idx", "title", "overall_story_score", "episodes")))
+    return one.groupBy("video_id").agg(rows.alias("story_series"))
 
 
 def write_reports(report: DataFrame, path: str) -> None:

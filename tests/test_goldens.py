@@ -9,6 +9,7 @@ from momentweave.functions import scalars as S
 from momentweave.operators import candidates, ranking, segments, series, signals, words
 from momentweave.operators import responses as R
 from momentweave.params import Params
+from momentweave.sources import tables as T
 
 
 def one(spark, *columns):
@@ -222,3 +223,21 @@ def test_files_and_index(spark, tmp_path):
     assert sorted(r.text for r in files.collect()) == ["ok  text", "x = 1"]
     for _ in range(2):
         assert docindex.append_index(files, str(tmp_path / "index")).count() == 2
+
+
+def test_reports_of_videos_that_lack_a_part(spark):
+    """Counts are 0 and lists empty where a table has no rows of a video; missing labels are empty texts."""
+    s = spark.createDataFrame([(1, 0.0, 5.0, 9.0, "x" * 300, None), (1, 5.0, 9.0, 9.0, "y", "hook")], "video_id long, start_time double, end_time double, score double, text string, topic string")
+    clips = spark.createDataFrame([(2, 0, "standalone", 1.0, 4.0, None, "z" * 600, "t"), (2, 1, "story_series", 4.0, 6.0, 3.0, "z" * 600, None)],
+        "video_id long, clip_index int, type string, start_time double, end_time double, score double, text string, title string")
+    e = spark.createDataFrame([(3, 0, "s", 60.0, k, f"p{k}", float(k), k + 1.0, "c", "e") for k in (3, 1, 2)],
+        "video_id long, series_idx int, series_title string, overall double, episode_idx int, title string, start_time double, end_time double, cliffhanger string, ending string")
+    refined = spark.createDataFrame([(1, 4), (1, 5)], "video_id long, candidate_id long")
+    got = {r.video_id: r for r in T.reports(s, clips, episodes=e, refined=refined, most=1).collect()}
+    assert [(k.rank, k.topic, k.emotion, len(k.text)) for k in got[1].top_segments] == [(1, "", "", 200)]
+    assert (got[1].segments_scored, got[1].candidates_generated, got[1].refined_candidates, got[1].clips_produced, got[1].clips, got[1].story_series) == (2, 6, 2, 0, [], [])
+    assert (got[2].segments_scored, got[2].top_segments, got[2].standalone_clips, got[2].series_clips) == (0, [], 1, 1)
+    assert [(k.title, k.duration, len(k.text)) for k in got[2].clips] == [("t", 3.0, 500), (None, 2.0, 300)]
+    assert [(k.episode_idx, k.title, k.cliffhanger, k.ending) for k in got[3].story_series[0].episodes] == [(1, "p1", "c", None), (2, "p2", "c", None), (3, "p3", None, "e")]
+    none = T.reports(s.limit(0), clips.limit(0), episodes=e.limit(0), refined=refined.limit(0))
+    assert none.count() == 0
