@@ -325,13 +325,6 @@ def w16_packed_series(spark, d):
     return series.packed_series(views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
 
 
-@query("w17_story_series")
-def w17_story_series(spark, d):
-    """Proposed series, and filler and fallback where they are too few."""
-    found = series.story_series(_proposals(spark, d), kept(views.segments(spark, d), "segments"))
-    return found.select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx", "source")
-
-
 _PROPOSED = """,
 proposals AS (SELECT l.video_id, s AS series_idx, e AS episode_idx, (s * 10 + e * 3)::INT AS start_segment_id, (s * 10 + e * 3 + 2 - (CASE WHEN (l.video_id + e) % 7 = 0 THEN 9 ELSE 0 END))::INT AS end_segment_id
   FROM lengths l, (SELECT unnest([0, 1]) AS s), (SELECT unnest([1, 2, 3]) AS e)),
@@ -349,6 +342,33 @@ def _proposals(spark, d):
     return s.select("*", at.alias("start_segment_id"), (at + 2 - F.when((F.col("video_id") + F.col("episode_idx")) % 7 == 0, 9).otherwise(0)).alias("end_segment_id"))
 
 
+@query("w17_story_series", sql(SEGMENTS + _PROPOSED + """,
+spans AS (SELECT video_id, min(start_time) AS a, max(end_time) AS b FROM episodes WHERE good GROUP BY video_id, series_idx),
+accepted AS (SELECT video_id, count(DISTINCT series_idx) AS k, max(series_idx) + 1 AS next FROM episodes WHERE good GROUP BY 1),
+pool AS MATERIALIZED (SELECT s.video_id, idx, start_time, end_time, next, row_number() OVER (PARTITION BY s.video_id ORDER BY idx) - 1 AS pos
+  FROM segments s LEFT JOIN accepted c ON c.video_id = s.video_id
+  WHERE c.k IS NULL OR (c.k < 3 AND NOT EXISTS (SELECT 1 FROM spans p WHERE p.video_id = s.video_id AND s.start_time >= a AND s.end_time <= b))),
+sizes AS (SELECT video_id, next, count(*) AS n FROM pool GROUP BY 1, 2),
+firsts AS (SELECT video_id, next, n, s, [0, n // 4, n // 2][s + 1] AS f FROM sizes, (SELECT unnest([0, 1, 2]) AS s) WHERE n >= 9 AND (next IS NULL OR s = 0)),
+closed AS MATERIALIZED (SELECT a.video_id, a.pos AS a, min(b.pos) FILTER (b.end_time - a.start_time >= 110) AS b
+  FROM (SELECT *, unnest(range(pos, pos + 60)) AS k FROM pool) a JOIN pool b ON b.video_id = a.video_id AND b.pos = a.k GROUP BY 1, 2),
+runs AS (SELECT f.video_id, coalesce(next, 0) + row_number() OVER (PARTITION BY f.video_id ORDER BY s) - 1 AS series_idx, next,
+    e1.a AS a1, coalesce(e1.b, n - 1) AS b1, e2.a AS a2, coalesce(e2.b, n - 1) AS b2, e3.a AS a3, coalesce(e3.b, n - 1) AS b3
+  FROM firsts f JOIN closed e1 ON e1.video_id = f.video_id AND e1.a = f.f JOIN closed e2 ON e2.video_id = f.video_id AND e2.a = coalesce(e1.b, n - 1) + 1
+  JOIN closed e3 ON e3.video_id = f.video_id AND e3.a = coalesce(e2.b, n - 1) + 1 WHERE f.f + 9 <= n),
+parts AS (SELECT *, 1 AS e, a1 AS a, b1 AS b FROM runs UNION ALL SELECT *, 2, a2, b2 FROM runs UNION ALL SELECT *, 3, a3, b3 FROM runs)
+""", """
+SELECT video_id, series_idx::INT AS series_idx, episode_idx::INT AS episode_idx, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, from_idx::INT AS from_idx, to_idx::INT AS to_idx, 'proposed' AS source
+FROM episodes WHERE good
+UNION ALL SELECT p.video_id, series_idx::INT, e::INT, round(x.start_time, 6), round(y.end_time, 6), x.idx::INT, y.idx::INT, CASE WHEN p.next IS NULL THEN 'fallback' ELSE 'filler' END
+FROM parts p JOIN pool x ON x.video_id = p.video_id AND x.pos = a JOIN pool y ON y.video_id = p.video_id AND y.pos = b
+"""))
+def w17_story_series(spark, d):
+    """Proposed series, and filler and fallback where they are too few."""
+    found = series.story_series(_proposals(spark, d), kept(views.segments(spark, d), "segments"))
+    return found.select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx", "source")
+
+
 @query("j9_proposed_series", sql(SEGMENTS + _PROPOSED, "SELECT video_id, series_idx, episode_idx, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, from_idx, to_idx FROM episodes WHERE good"))
 def j9_proposed_series(spark, d):
     return series.proposed_series(_proposals(spark, d), views.segments(spark, d)).select("video_id", "series_idx", "episode_idx", *r6("start_time", "end_time"), "from_idx", "to_idx")
