@@ -818,7 +818,19 @@ def s7_t4_index_search(spark, d):
     return docindex.search_index(spark, path, queries).select("query_id", "rank", "path", F.round("distance", 4).alias("distance"))
 
 
-@query("w4_merged_segments")
+@query("w4_merged_segments", sql(SEGMENTS + """,
+doubled AS (SELECT video_id, segment_id, start_time, end_time, is_complete FROM segments
+  UNION ALL SELECT * FROM (SELECT video_id, segment_id + 1000000 AS segment_id, start_time, lead(end_time) OVER (PARTITION BY video_id ORDER BY segment_id) AS end_time, segment_id % 3 = 0 FROM segments) WHERE end_time IS NOT NULL),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_time, end_time, segment_id) - 1 AS pos FROM doubled),
+met AS MATERIALIZED (SELECT a.video_id, a.pos, b.pos AS j, b.is_complete AND NOT a.is_complete AS better,
+    (least(b.end_time, a.end_time) - greatest(b.start_time, a.start_time)) / (b.end_time - b.start_time) AS share
+  FROM (SELECT *, unnest(range(pos + 1, pos + 61)) AS k FROM placed) a JOIN placed b ON b.video_id = a.video_id AND b.pos = a.k),
+steps_on AS MATERIALIZED (SELECT video_id, pos, min(j) AS j, arg_min(share > 0.3, j) AS replaced FROM met WHERE share <= 0.3 OR (share <= 0.7 AND better) GROUP BY 1, 2),
+walk AS (SELECT video_id, 0::BIGINT AS pos FROM placed WHERE pos = 0 UNION ALL SELECT s.video_id, s.j FROM walk w JOIN steps_on s ON s.video_id = w.video_id AND s.pos = w.pos)
+""", """
+SELECT w.video_id, (row_number() OVER (PARTITION BY w.video_id ORDER BY w.pos) - 1)::INT AS segment_id, round(start_time, 6) AS start_time, round(end_time, 6) AS end_time, is_complete
+FROM walk w JOIN placed p ON p.video_id = w.video_id AND p.pos = w.pos LEFT JOIN steps_on s ON s.video_id = w.video_id AND s.pos = w.pos WHERE NOT coalesce(s.replaced, false)
+"""))
 def w4_merged_segments(spark, d):
     """Segments, and each pair of neighbours as one more that overlaps both."""
     s = views.segments(spark, d).select("video_id", "segment_id", "start_time", "end_time", "is_complete")
