@@ -479,8 +479,8 @@ def encode_decode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     unigram model by the best sum of scores, for a BPE model by the one path that merging gives. A null or empty text
     has no ids. A text that contains the space marker itself comes back with spaces there, so its round_trip is false.
     Equal texts get equal ids. Columns of these names are replaced. No rows give no rows. A text is encoded whole: a
-    worker needs about 120 bytes for each character of its longest text. Words of any length take two to three seconds
-    a million characters at most.
+    worker needs about 120 bytes for each character of its longest text. A million letters without a space take about
+    two seconds, such characters of many scripts and signs about ten.
     """
     bounded_batches(docs.sparkSession)
 
