@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +18,7 @@ SHINGLE, RADIUS, SEED = 3, 3, 42
 STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 20  # of the pipeline's stage
 BANDS, BAND_ROWS = 20, 5  # 20 keys of five minima: texts of similarity 0.8 share none once in 2,800 pairs
 SHARD = 512  # fingerprints of one shard tree; larger buckets are compared shard by shard
+SPLITS = 3  # times that a large bucket is split again by further bits: with four blocks to 16, then 28, 37 and 43 agreeing bits of 64
 SHARD_BYTES = 8 << 20  # of the texts that a shard of the stage holds, about
 
 
@@ -128,31 +129,65 @@ def _blocks(n: int) -> int:
     return 4 if n < 1 << 22 else 5 if n < 1 << 30 else 6
 
 
-def link(nodes: DataFrame, *, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b), b < a, between nodes (fingerprint, node) whose distinct fingerprints differ in at most radius bits.
+def _split(mask: int, radius: int) -> list[int]:
+    """mask with each one of radius + 1 blocks of the bits that it lacks: fingerprints within radius that agree on
+    mask agree on one of these too."""
+    free = [k for k in range(64) if not mask >> k & 1]
+    edges = [len(free) * k // (radius + 1) for k in range(radius + 2)]
+    return [mask | sum(1 << k for k in free[a:b]) for a, b in zip(edges, edges[1:]) if a < b]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) * (x >> 63)
+
+
+def _keyed(rows: DataFrame, masks: Column) -> DataFrame:
+    """rows (fingerprint, node) under each of masks, with the hash of the bits that the mask shows, and its bucket's size."""
+    each = rows.select("fingerprint", "node", F.explode(masks).alias("mask"))
+    each = each.withColumn("bucket", F.xxhash64("mask", F.col("fingerprint").bitwiseAND(F.col("mask"))))
+    sizes = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return each.join(sizes, "bucket")
+
+
+def meetings(nodes: DataFrame, *, radius: int = RADIUS, shard: int = SHARD, splits: int = SPLITS) -> DataFrame:
+    """(group, side, fingerprint, node): groups in which all nodes meet whose fingerprints differ in at most radius bits.
 
     Fingerprints within radius agree in all but radius of their blocks, so rows meet under every choice of the
-    remaining blocks. A bucket of more than `shard` rows is dealt into shards; each pair of shards is one group, so no
-    group holds more than about two shards whatever the bucket's size. Groups give spanning links, not all pairs.
+    remaining blocks. A bucket of more than (radius + 1) * shard rows is split again by radius + 1 blocks of its other
+    bits, one of which two rows within radius share, `splits` times at most: its rows grow by radius + 1 each time, not
+    with its size. What is still larger than a shard is dealt into shards; each pair of shards is one group, so no group
+    holds more than about two shards whatever the bucket's size.
     """
     blocks = max(_blocks(nodes.count()), radius + 1)
     edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for chosen in combinations(range(blocks), blocks - radius):
-        mask = sum(((1 << edges[k + 1]) - (1 << edges[k])) for k in chosen)
-        mask -= (1 << 64) * (mask >= 1 << 63)
-        keys.append(F.xxhash64(F.lit(mask), F.col("fingerprint").bitwiseAND(F.lit(mask))))
-    keyed = nodes.select("fingerprint", "node", F.explode(F.array(*keys)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    keyed = keyed.join(sizes, "bucket")
+    masks = [sum((1 << edges[k + 1]) - (1 << edges[k]) for k in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    keyed = cut(_keyed(nodes, F.array(*[F.lit(_signed(m)) for m in masks])), "buckets")
+    hot = F.col("n") > (radius + 1) * shard
+    settled = keyed.where(~hot)
+    for _ in range(splits):
+        rest = keyed.where(hot)
+        if rest.isEmpty():
+            break
+        finer = {m: _split(m, radius) for m in masks}
+        of = F.create_map(*[c for m, more in finer.items() for c in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in more]))])
+        keyed = cut(_keyed(rest, of[F.col("mask")]), "buckets")
+        masks = sorted({x for more in finer.values() for x in more})
+        settled = settled.union(keyed.where(~hot))
+    keyed = settled.union(keyed.where(hot))
     shards = F.ceil(F.col("n") / shard).cast("int")
     own = F.pmod(F.xxhash64("fingerprint", F.lit(1)), shards).cast("int")
     pairs = keyed.withColumn("shards", shards).withColumn("own", own)
     pairs = pairs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    groups = pairs.select(
+    return pairs.select(
         F.xxhash64("bucket", low, high).alias("group"), F.when(F.col("own") == low, 0).otherwise(1).alias("side"), "fingerprint", "node"
     )
+
+
+def link(nodes: DataFrame, *, radius: int = RADIUS, shard: int = SHARD, splits: int = SPLITS) -> DataFrame:
+    """Links (a, b), b < a, between nodes (fingerprint, node) whose distinct fingerprints differ in at most radius bits:
+    spanning links of each group of meetings, not all pairs."""
+    groups = meetings(nodes, radius=radius, shard=shard, splits=splits)
     dealt = groups.repartition("group").sortWithinPartitions("group", "side", "node")
     return dealt.mapInArrow(_link_partitions, "a long, b long").distinct()
 

@@ -18,7 +18,7 @@ GRAM = 32  # bytes of an anchor
 SHARD_SEGMENTS = 4_096  # segments of one anchor in one shard
 SHARD_BYTES = 1 << 20  # bytes of a suffix array, about
 PART_ROWS = 1_024  # rows of one anchor that are compared in one place, about
-HOT_ANCHORS, HOT_SHARE = 20_000, 32  # anchors that get split, at most; one document in so many is looked at to find them
+CELLS, HOT_SHARE = 1 << 18, 32  # of anchors, by hash: a frequent anchor's cell is split; one document in so many is looked at to find them
 _PACK = 16  # bits of a start count beside a start
 
 
@@ -362,8 +362,9 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     keyed: key, text. Every string of `length` bytes has one anchor, at the same place in each copy, so anchors that
     occur once rule their strings out. Copies of a whole segment are settled by its hash (64 bits beside the anchor's
     64); where segments of one anchor differ, suffix arrays over the different ones find their equal strings. Anchors
-    that are very frequent are found in a sample of documents first: their rows are dealt into parts, and their
-    different segments into several shards. One document gives an anchor no segment twice (own_repeats), so a frequent
+    that are very frequent are found in a sample of documents first: their rows (and those of the anchors of their
+    cells, so any number of frequent anchors is told by CELLS numbers) are dealt into parts, and their different
+    segments into several shards. One document gives an anchor no segment twice (own_repeats), so a frequent
     anchor lies in many documents, and the sample misses one that is in a thousand of them once in 10^13 times.
     """
     bounded_batches(keyed.sparkSession)
@@ -371,13 +372,15 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     found_type = "anchor long, segment long, key long, packed long"
     rows = texts.mapInArrow(_find_anchors(length, gram), found_type)
     sampled = texts.where(F.pmod(F.xxhash64("key"), F.lit(HOT_SHARE)) == 0).mapInArrow(_find_anchors(length, gram), found_type)
-    # At most HOT_ANCHORS rows: bounded, so it may be broadcast. It only says into how many parts an anchor's rows go.
+    # A row a cell: at most CELLS rows whatever the input, so it may be broadcast. It only says into how many parts the
+    # rows of a cell's anchors go; one that is rare itself is split with its neighbours, and put together again below.
+    cell = F.pmod(F.xxhash64("anchor", F.lit(7)), F.lit(CELLS)).cast("int").alias("cell")
     parts = F.ceil(F.count("*") * HOT_SHARE / PART_ROWS).cast("int")
-    hot = sampled.groupBy("anchor").agg(F.count("*").alias("n"), parts.alias("parts")).where("parts > 1").orderBy(F.desc("n"), "anchor").limit(HOT_ANCHORS)
-    hot = cut(hot.select("anchor", "parts"), "hot")
+    frequent = sampled.groupBy("anchor").agg(parts.alias("parts")).where("parts > 1")
+    hot = cut(frequent.groupBy(cell).agg(F.max("parts").alias("parts")), "hot")
 
     # A part settles its copies alone; a segment's first row in each part is then held against the other parts'.
-    dealt = rows.join(F.broadcast(hot), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = rows.withColumn("cell", cell).join(F.broadcast(hot), "cell", "left").drop("cell").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "packed"), F.col("parts")).cast("int"))
     place = F.rank().over(Window.partitionBy("anchor", "part", "segment").orderBy("key", "packed"))
     whole = Window.partitionBy("anchor", "part")
@@ -387,18 +390,20 @@ def repeated_spans(keyed: DataFrame, *, length: int = LENGTH, gram: int = GRAM)
     # Copies need no anchor any more, and only an anchor in several parts needs its segments told apart again.
     kept = judged.select(
         F.when(F.col("place") == 1, F.col("anchor")).alias("anchor"), F.when((F.col("place") == 1) & (F.col("parts") > 1) | (F.col("packed") < 0), F.col("segment")).alias("segment"),
-        "key", "packed", (F.col("place") > 1).alias("copy"),
+        "key", "packed", (F.col("place") > 1).alias("copy"), "part", "parts",
     )
     kept = cut(kept, "segments")
     own = kept.where("packed < 0").select("key", (-1 - F.col("packed")).alias("from"), F.col("segment").alias("to"))
     kept = kept.where("packed >= 0")
 
     again = kept.where("segment IS NOT NULL").withColumn("place", F.rank().over(Window.partitionBy("anchor", "segment").orderBy("key", "packed")))
-    kinds = again.where("place = 1").groupBy("anchor").agg(F.approx_count_distinct("segment").alias("kinds"), (F.min("segment") != F.max("segment")).alias("several"))
+    told = (F.approx_count_distinct("segment").alias("kinds"), (F.min("segment") != F.max("segment")).alias("several"), F.max("parts").alias("parts"))
+    kinds = again.where("place = 1").groupBy("anchor").agg(*told)
     shards = F.ceil(F.col("kinds") / SHARD_SEGMENTS).cast("int")
     mine = F.pmod(F.xxhash64("segment"), shards).cast("int")
-    # Only split anchors are told apart again, so `kinds` has HOT_ANCHORS rows at most: bounded, it may be broadcast.
-    again = again.join(F.broadcast(kinds), "anchor").where("place > 1 OR several")
+    # Every part of an anchor is joined with a row of its own, so no task holds a whole anchor.
+    kinds = kinds.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    again = again.join(kinds, ["anchor", "part"]).where("place > 1 OR several")
     again = cut(again.select("anchor", "key", "packed", (F.col("place") > 1).alias("copy"), mine.alias("shard"), shards.alias("shards")), "parted")
     judged = kept.where("segment IS NULL").select("anchor", "key", "packed", "copy", F.lit(0).alias("shard"), F.lit(1).alias("shards")).union(again)
 

@@ -354,10 +354,10 @@ def kept_by_brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("parted", [False, True])
+@pytest.mark.parametrize("parted", [0, 1, 1 << 18])
 def test_suffix_dedup(spark, odd, none, monkeypatch, parted):
-    if parted:
-        for name, value in {"HOT_SHARE": 1, "PART_ROWS": 2, "SHARD_SEGMENTS": 2, "SHARD_BYTES": 5_000}.items():
+    if parted:  # one cell: every anchor is split with the most frequent one
+        for name, value in {"HOT_SHARE": 1, "PART_ROWS": 2, "SHARD_SEGMENTS": 2, "SHARD_BYTES": 5_000, "CELLS": parted}.items():
             monkeypatch.setattr(suffix_dedup, name, value)
     rng = np.random.default_rng(3)
     vocabulary = ["".join(rng.choice(list("abcdé "), rng.integers(3, 9))) for _ in range(200)]
@@ -436,6 +436,30 @@ def test_simhash_shards_and_chains(spark):
     assert set(found.values()) == {60} and len(found) == 40
 
 
+def test_simhash_splits_a_large_bucket_again(spark):
+    rng = np.random.default_rng(11)
+    far = rng.integers(0, 1 << 47, 3_000) << 16 | 0xBEEF  # one block of 16 bits in common
+    near = far[:600] ^ np.array([sum(1 << int(b) for b in rng.choice(47, k % 5, replace=False) + 16) for k in range(600)])
+    tight = [0xBEEF | sum(1 << int(b) for b in c) for c in itertools.islice(itertools.combinations(range(16, 26), 5), 200)]  # share more blocks
+    prints = np.unique(np.concatenate((far, near, tight))).astype(np.int64)
+    close = np.bitwise_count(prints[:, None].view(np.uint64) ^ prints.view(np.uint64)) <= 3
+    root = np.arange(len(prints))
+    while True:
+        least = np.where(close, root, len(prints)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    nodes = spark.createDataFrame([(int(fp), i) for i, fp in enumerate(prints)], "fingerprint long, node long").cache()
+    for splits in (0, 1, 3):
+        found = {r.node: r.component for r in simhash.components(simhash.link(nodes, shard=8, splits=splits)).collect()}
+        assert [found.get(i, i) for i in range(len(prints))] == root.tolist()
+
+
+def test_simhash_rows_do_not_grow_with_the_square_of_a_bucket(spark):
+    nodes = spark.range(100_000).select((F.shiftleft(F.xxhash64("id"), 16) + 77).alias("fingerprint"), F.col("id").alias("node"))
+    assert simhash.meetings(nodes).count() < 2_000_000
+
+
 def five_words(text):
     w = text.split()
     return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
