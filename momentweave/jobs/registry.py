@@ -305,6 +305,62 @@ def highlights_(spark, d):
     return found.select("video_id", "clip_index", "type", *r6("start_time", "end_time"), F.round("score", 4).alias("score"), F.md5("text").alias("text"))
 
 
+def _said(body, by):
+    """A model's raw answer: the body, fenced, in a sentence or plain, or one that doesn't parse, by a number."""
+    return F.when(by % 17 == 0, "no").when(by % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(by % 3 == 1, F.concat(F.lit("Sure: "), body, F.lit(" done"))).otherwise(body)
+
+
+def _segment_answers(s):
+    """Scores of segments by their length and number."""
+    m = F.round((F.col("end_time") - F.col("start_time")) * 10).cast("long") + F.col("segment_id") * 17 + F.col("video_id")
+    names = ("viewer_retention", "story_quality", "hook_strength", "emotional_intensity", "educational_value", "visual_quality", "audio_quality", "virality")
+    body = F.format_string("{" + ", ".join(f'"{n}": %d' for n in names) + "}", *[m * (2 * k + 3) % 101 for k in range(len(names))])
+    return s.select("video_id", "segment_id", _said(body, m).alias("response"))
+
+
+def _answered_best(spark, d, s, w):
+    """The best candidates by the scores of answers and signals; candidate_id is the rank."""
+    audio = signals.audio_features(views.audio_chunks(spark, d), s)
+    video = signals.video_features(signals.scene_changes(signals.sampled_frames(views.frames(spark, d), s)))
+    scored = kept(highlights.scored_segments(s, _segment_answers(s), audio, video), "scored")
+    best = _best(scored.withColumn("idx", F.lit(0)), kept(C.generate(s, w), "generated"), DEFAULTS.refined)
+    return best.withColumn("candidate_id", F.col("rank").cast("long"))
+
+
+def _round_answers(best):
+    """Boundaries and scores of three rounds: later by a quarter of a second each, some with an end alone."""
+    rows = best.withColumn("round", F.explode(F.array(*map(F.lit, range(4)))))
+    r, h = F.col("round"), F.col("video_id") * 3 + F.col("candidate_id") * 7 + F.col("round") * 29
+    end = F.concat(F.lit('"new_end": '), (F.col("t1") + r * 0.25).cast("string"))
+    start = F.concat(F.lit('"new_start": '), (F.col("t0") + r * 0.25).cast("string"), F.lit(", "))
+    moved = F.concat(F.lit("{"), F.when(h % 7 == 0, "").otherwise(start), end, F.lit(', "reasoning": "later"}'))
+    rated = F.format_string('{"viewer_retention": %d, "hook_strength": %d}', h * 11 % 101, h * 5 % 101)
+    asked = rows.where("round > 0").select("video_id", "candidate_id", "round", F.col("t0").alias("start_time"), F.col("t1").alias("end_time"), _said(moved, h + 1).alias("response"))
+    return asked, rows.select("video_id", "candidate_id", "round", _said(rated, h).alias("response"))
+
+
+def _series_answers(videos):
+    n = F.col("video_id") % 7
+    body = F.format_string('[{"episode_1": {"start_segment_id": %d, "end_segment_id": %d}, "episode_2": {"end_segment_id": %d, "start_segment_id": %d}, "episode_3": {"start_segment_id": %d, "end_segment_id": %d}}]', n, n + 2, n + 5, n + 3, n + 6, n + 8)
+    return videos.select("video_id", _said(body, F.col("video_id")).alias("response"))
+
+
+@query("highlights_of_answers")
+def highlights_of_answers(spark, d):
+    """highlights fed by raw answers and signals: segments scored (M3) and adjusted (J8, F4), candidates estimated from
+    these, boundaries and scores of each round, moderation and series read from answers (M7)."""
+    w = kept(views.words(spark, d), "words")
+    s = kept(views.segments(spark, d), "segments")
+    best = kept(_answered_best(spark, d, s, w), "best")
+    rounds = kept(highlights.answered_rounds(best, *_round_answers(best), w), "rounds")
+    by = F.col("video_id") + F.col("candidate_id")
+    said = F.when(by % 5 == 0, '{"flagged": true, "severity": 0.9}').when(by % 5 == 1, "oops").otherwise('{"flagged": false}')
+    judged = R.moderation_of(best.select("video_id", "candidate_id", said.alias("response")), "video_id", "candidate_id")
+    proposals = R.series_of(_series_answers(s.select("video_id").distinct()))
+    found = highlights.numbered_clips(highlights.highlight_clips(rounds, w, judged), series.story_series(proposals, s), w)
+    return found.select("video_id", "clip_index", "type", *r6("start_time", "end_time"), F.round("score", 4).alias("score"), F.md5("text").alias("text"))
+
+
 # Series.
 
 

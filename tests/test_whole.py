@@ -8,6 +8,7 @@ import pytest
 from momentweave.functions import scalars as S
 from momentweave.jobs import registry, views
 from momentweave.operators import candidates as C
+from momentweave.operators import highlights, ranking
 from momentweave.params import DIMENSIONS, HOOK_NARROW, PAYOFF
 
 DATA = "/root/testdata/sf0.001"
@@ -173,6 +174,73 @@ def test_highlights_are_the_chain_of_their_parts(spark, words):
         assert sorted(g.clip_index) == list(range(len(g)))
 
 
+def test_highlights_of_answers_are_the_chain_of_their_parts(spark, words):
+    s, w = (f(spark, DATA).cache() for f in (views.segments, views.words))
+    rows = []
+
+    def score(h):
+        return None if h % 17 == 0 else round(0.3 * (h * 11 % 101) + 0.15 * (h * 5 % 101) + 27.5 + 1e-9, 2)
+
+    for c in registry._answered_best(spark, DATA, s, w).toPandas().itertuples():
+        h = c.video_id * 3 + c.candidate_id * 7
+        now, told, frame = (c.t0, c.t1), score(h), words[c.video_id]
+        for r in (1, 2, 3):
+            h += 29
+            t0, t1 = c.t0 + r * 0.25 * (h % 7 > 0), c.t1 + r * 0.25
+            text = " ".join(frame.word[(frame.end > t0) & (frame.start < t1)])
+            if (h + 1) % 17 == 0 or t0 < 0 or not 30 <= t1 - t0 <= 180 or len(text) < 20 or score(h) is None or score(h) <= (told or 0) + 2:
+                break
+            now, told = (t0, t1), score(h)
+        if told is not None and abs(now[1] - now[0] - 148) <= 3:
+            text = " ".join(frame.word[(frame.end > now[0]) & (frame.start < now[1])])
+            if text and not ((c.video_id + c.candidate_id) % 5 == 0 and len(text) >= 30):
+                rows.append((c.video_id, c.candidate_id, *now, told, text))
+    frame = spark.createDataFrame(rows, "v long, id long, t0 double, t1 double, score double, text string")
+    frame = frame.select("v", "id", "t0", "t1", "score", "text", S.topic("text").alias("topic"), S.emotion("text").alias("emotion")).toPandas()
+    want = set()
+    for v, g in frame.groupby("v"):
+        text = dict(zip(g.id, g.text, strict=True))
+        picks = chosen([(r.score, r.t0, r.t1, r.topic, r.emotion, r.id) for r in g.itertuples()])
+        want |= {(v, k, round(p[1], 6), round(p[2], 6), p[0], hashlib.md5(text[p[5]].encode()).hexdigest()) for k, p in enumerate(picks)}
+    got = registry.QUERIES["highlights_of_answers"](spark, DATA).toPandas()
+    alone = got[got.type == "standalone"]
+    assert len(want) > 20 and {(r.video_id, r.clip_index, r.start_time, r.end_time, r.score, r.text) for r in alone.itertuples()} == want
+    for _, g in got.groupby("video_id"):
+        assert sorted(g.clip_index) == list(range(len(g)))
+    ends = {v: g.sort_values("idx") for v, g in s.toPandas().groupby("video_id")}
+    for v, g in got[got.type == "story_series"].sort_values("clip_index").groupby("video_id"):
+        n = v % 7
+        if v % 17 and len(ends[v]) > n + 8:  # the proposed series comes first
+            spans = [(ends[v].start_time.iloc[n + k], ends[v].end_time.iloc[n + k + 2]) for k in (0, 3, 6)]
+            assert np.allclose(g[["start_time", "end_time"]].values[:3], spans)
+
+
+def test_segments_are_scored_by_answers_and_signals(spark):
+    segs = spark.createDataFrame([(1, k, "t", 99.0) for k in range(5)], "video_id long, segment_id int, text string, score double")
+    said = ['{"emotional_intensity": 98, "audio_quality": 10, "visual_quality": 50}', '```json\n{"emotional_intensity": 98, "overall_score": 80}\n```', "no", None]
+    answers = spark.createDataFrame([(1, k, a) for k, a in enumerate(said)], "video_id long, segment_id int, response string")
+    audio = spark.createDataFrame([(1, 0, 0.9, 0.1), (1, 2, 0.9, 0.1)], "video_id long, segment_id int, voice_excitement double, speech_ratio double")
+    video = spark.createDataFrame([(1, 0, 6.0, True)], "video_id long, segment_id int, mean_motion double, is_dark boolean")
+    got = highlights.scored_segments(segs, answers, audio, video).orderBy("segment_id").collect()
+    assert [(r.segment_id, r.text, r.emotional_intensity, r.audio_quality, r.visual_quality) for r in got] == [(0, "t", 100, 0, 45), (1, "t", 98, 0, 0)]
+    assert got[0].score == 12.25 and got[1].score == round(0.7 * (0.9 * 50 + 9.8) + 24, 2)
+
+
+def test_rounds_end_with_the_first_answer_that_fails(spark):
+    words = spark.createDataFrame([(1, k, f"word{k}", float(k), k + 0.5) for k in range(200)], "video_id long, word_idx int, word string, start double, end double")
+    found = spark.createDataFrame([(1, c, 10.0, 60.0) for c in range(4)], "video_id long, candidate_id long, t0 double, t1 double")
+    later, wide = '{"new_start": 11, "reasoning": "x"}', '{"new_start": 0, "new_end": 1e300}'
+    said = [(0, 1, later), (0, 2, "oops"), (0, 3, later), (1, 1, wide), (1, 2, later), (2, 2, later)]
+    bounds = spark.createDataFrame([(1, c, r, 10.0, 60.0, a) for c, r, a in said], "video_id long, candidate_id long, round int, start_time double, end_time double, response string")
+    rated = spark.createDataFrame([(1, c, r, '{"hook_strength": %d}' % (r * 30)) for c in range(3) for r in range(4)], "video_id long, candidate_id long, round int, response string")
+    got = {(r.candidate_id, r.round): r for r in highlights.answered_rounds(found, bounds, rated, words).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
+    assert (got[0, 1].new_start, got[0, 1].new_end, got[0, 1].reasoning) == (11, 60, "x") and got[0, 1].text.startswith("word11 ") and got[1, 1].text == ""
+    assert got[0, 0].score == 42.5 and got[3, 0].score is None
+    best = {r.candidate_id: (r.start_time, r.end_time, r.score) for r in ranking.accepted_refinements(highlights.answered_rounds(found, bounds, rated, words)).collect()}
+    assert best == {0: (11, 60, 47), 1: (10, 60, 42.5), 2: (10, 60, 42.5)}
+
+
 def plain_packed(segs, first):
     """Three episodes of (start, end, idx) from a place on, segment by segment, or none."""
     if len(segs) - first < 9:
