@@ -18,7 +18,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
+    """SimHash near-dedup: one document of each group that BK-trees of fingerprints and an exact comparison link stays."""
     return simhash.keep_first(docs)
 
 

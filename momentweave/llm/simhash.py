@@ -15,11 +15,16 @@ from pyspark.sql import types as T
 from .common import as_bytes, bounded_batches, cut, mix, prefix_hash, span_hash, table
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 20  # of the pipeline's stage
-BANDS, BAND_ROWS = 20, 5  # 20 keys of five minima: texts of similarity 0.8 share none once in 2,800 pairs
+STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 36  # of the pipeline's stage; radius of its first 128 bits
+WORDS, COMPARED = 8, 2  # 64-bit words of the stage's fingerprints, and those of them that its trees compare
+MISSED = 1 / 2_800  # pairs of that similarity that agree in no table's bits
+BUCKET = 128  # rows of a table's bucket, about, if fingerprints are evenly spread
+FINE, FINER = 12, 12  # tables of so many more bits, in which rows meet the least of their bucket alone
+STAGE_SHARD = 1_024  # rows of a shard of the stage; larger buckets are compared shard by shard
+FOREST = 4_096  # rows whose trees are built and searched together, about
 SHARD = 512  # fingerprints of one shard tree; larger buckets are compared shard by shard
 SPLITS = 3  # times that a large bucket is split again by further bits: with four blocks to 16, then 28, 37 and 43 agreeing bits of 64
-SHARD_BYTES = 8 << 20  # of the texts that a shard of the stage holds, about
+SHARD_BYTES = 8 << 20  # of the texts that a shard of the stage holds, and of the rows of a forest, about
 
 
 def fingerprint(text: bytes) -> int:
@@ -247,27 +252,56 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(span_hash(prefix_hash(np.frombuffer(b" ".join(words), np.uint8)), starts[: len(words) - size + 1], ends[size - 1 :]))
 
 
-def sketch(text: bytes, size: int, factors: np.ndarray) -> np.ndarray:
-    """Hash of a text's set of shingles, SimHash of the set, and a key of each band of minima (factors: bands x rows)."""
+def wide_print(h: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes in WORDS * 64 bits: each is 1 if set in over half of the hashes, mixed anew for each word."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    seeds = mix(np.arange(1, WORDS + 1, dtype=np.uint64))
+    for k in range(0, len(h), 16 * 255):
+        part = mix(h[k : k + 16 * 255, None] ^ seeds)
+        bits = np.unpackbits(part.view(np.uint8), axis=1, bitorder="little")
+        for i in range(0, len(bits), 255):  # as many as a byte can count
+            ones += bits[i : i + 255].sum(0, dtype=np.uint8)
+    return 2 * ones > len(h)
+
+
+def tables_of(n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Bits that rows must agree in to meet: of the FINE tables, and of as many others as leave MISSED of n rows' pairs.
+
+    Of texts of similarity 0.8 a share of 0.151 of the bits differ: the angle between equally large sets, by pi.
+    A table of n rows takes as many bits as make buckets of BUCKET rows; fewer rows than that are one bucket. Tables
+    take their bits from shuffled decks of all bits, so they share few.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(n, 1) / BUCKET))))
+    agree = (1 - np.arccos(2 * similarity / (1 + similarity)) / np.pi) ** bits
+    rng = np.random.default_rng(SEED)
+
+    def dealt(tables: int, k: int) -> np.ndarray:
+        decks = -(-tables * k // (64 * WORDS))
+        return np.concatenate([np.empty(0, np.int64), *(rng.permutation(64 * WORDS) for _ in range(decks))])[: tables * k].astype(np.int64).reshape(tables, k)
+
+    return dealt(FINE, bits + FINER), dealt(1 if not bits else int(np.ceil(np.log(MISSED) / np.log(1 - agree))), bits)
+
+
+def sketch(text: bytes, size: int, tables: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Hash of a text's set of shingles, the first COMPARED words of its wide SimHash and its key in each of tables."""
     h = shingles(text, size)
-    if not factors.size:
-        return np.array([mix(h).sum(dtype=np.uint64), majority(h)], np.uint64)
-    least = np.full(factors.size, 2**64 - 1, np.uint64)
-    for k in range(0, len(h), 1 << 12):
-        np.minimum(least, (h[k : k + (1 << 12), None] * factors.ravel()).min(0), out=least)
-    places = np.arange(1, factors.size + 1, dtype=np.uint64).reshape(factors.shape)
-    bands = mix(mix(least.reshape(factors.shape) + mix(places)).sum(1, dtype=np.uint64))
-    return np.concatenate((np.array([mix(h).sum(dtype=np.uint64), majority(h)], np.uint64), bands))
+    same = mix(h).sum(dtype=np.uint64)
+    if not tables:
+        return np.array([same], np.uint64)
+    bits = wide_print(h)
+    told = np.packbits(bits[: 64 * COMPARED], bitorder="little").view(np.uint64)
+    keys = [bits[chosen] @ (1 << np.arange(chosen.shape[1])) for chosen in tables]
+    return np.concatenate([[same], told, *(k.astype(np.uint64) for k in keys)])
 
 
-def sketches(size: int, bands: int, rows: int):
-    factors = np.random.default_rng(SEED).integers(0, 1 << 63, (bands, rows), np.uint64) * np.uint64(2) + np.uint64(1)
+def sketches(size: int, tables: tuple[np.ndarray, ...] = ()):
+    width = 1 + (COMPARED + sum(map(len, tables)) if tables else 0)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in arrays:
-            found = [sketch(b, size, factors).view(np.int64) for b in as_bytes(texts)]
-            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * (2 + bands))
+            found = [sketch(b, size, tables).view(np.int64) for b in as_bytes(texts)]
+            offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * width)
             yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(found) if found else np.empty(0, np.int64)))
 
     return of
@@ -293,61 +327,123 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) ->
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Runs of rows with one value in the first column; a run may span batches."""
-    key, held = None, []
+    """Whole runs of rows with one value in the first column, together FOREST rows or SHARD_BYTES at least; a run may span batches."""
+    held, last = [], None
     for batch in batches:
         if not batch.num_rows:
             continue
         group = batch.column(0).to_numpy()
-        edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)]
-        for a, b in zip(edges, edges[1:]):
-            if held and group[a] != key:
-                yield pa.Table.from_batches(held)
-                held = []
-            key = group[a]
-            held.append(batch.slice(a, b - a))
+        edges = np.flatnonzero(np.diff(group)) + 1
+        edge = int(edges[-1]) if len(edges) else 0  # where the last run of the batch begins
+        ended = edge > 0 or (held and last != group[0])
+        if ended and (sum(b.num_rows for b in held) + edge >= FOREST or sum(b.nbytes for b in held) >= SHARD_BYTES):
+            yield pa.Table.from_batches([*held, batch.slice(0, edge)])
+            held, batch = [], batch.slice(edge)
+        held.append(batch)
+        last = group[-1]
     if held:
         yield pa.Table.from_batches(held)
 
 
-def _near(group: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group's rows within radius, of different components, whose first common band is the group's: so each
-    pair is looked at in one bucket alone. Rows of side 1 are held against those of side 0; if there is no side 1, all."""
-    side, fp, component, band = (group[c].to_numpy() for c in ("side", "fingerprint", "component", "band"))
-    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(len(side), -1)
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1) if side.any() else left
-    fp = fp.view(np.uint64)  # of a signed number, bits of its absolute value would be counted
-    near = (np.bitwise_count(fp[right][:, None] ^ fp[left]) <= radius) & (component[right][:, None] != component[left])
-    if not side.any():
-        near &= right[:, None] > left
-    for k in range(int(band[0])):
-        near &= bands[right, k][:, None] != bands[left, k]
-    x, y = np.nonzero(near)
-    return right[x], left[y]
+class BKForest:
+    """A BK-tree of each group of fingerprints (rows of 64-bit words; starts: the groups' first rows) in flat arrays.
+
+    They are the trees that adding rows in order gives: all rows of a level go down one edge at a time, and the first row
+    on a new edge becomes its node. So a node's descendants all come after it.
+    """
+
+    def __init__(self, prints: np.ndarray, starts: np.ndarray) -> None:
+        n = len(prints)
+        self.prints = prints
+        self.root = np.repeat(starts, np.diff(np.append(starts, n)))
+        self.edge = np.zeros(n, np.int16)  # a node's distance to its parent
+        parent, at = np.full(n, -1), self.root.copy()
+        rows = np.delete(np.arange(n), starts)
+        while len(rows):
+            d = self.apart(rows, at[rows])
+            _, first, of = np.unique(at[rows] * (64 * prints.shape[1] + 1) + d, return_index=True, return_inverse=True)
+            nodes = rows[first]
+            parent[nodes], self.edge[nodes] = at[nodes], d[first]
+            at[rows] = nodes[of]
+            rows = np.delete(rows, first)
+        self.children = np.argsort(parent, kind="stable")[len(starts) :]
+        self.first = np.searchsorted(parent[self.children], np.arange(n))
+        self.count = np.bincount(parent[self.children], minlength=n)
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        d = np.zeros(len(x), np.int16)
+        for word in self.prints.T:
+            d += np.bitwise_count(word[x] ^ word[y])
+        return d
+
+    def near(self, radius: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, earlier row) of each group within radius, the earlier one less than before[row]. Only edges whose distance
+        differs by at most radius can lead to one, and none past a node that is not before."""
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        row = np.flatnonzero(before > self.root)
+        node = self.root[row]
+        while len(row):
+            d = self.apart(row, node)
+            near = d <= radius
+            found.append((row[near], node[near]))
+            m = self.count[node]
+            ends = np.cumsum(m)
+            child = self.children[np.arange(ends[-1]) + np.repeat(self.first[node] - ends + m, m)]
+            row, d = np.repeat(row, m), np.repeat(d, m)
+            leads = (child < before[row]) & (np.abs(self.edge[child] - d) <= radius)
+            row, node = row[leads], child[leads]
+        x, y = zip(*found, strict=True)
+        return np.concatenate(x), np.concatenate(y)
+
+
+def _near(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of one group's rows within radius, of different components; if all bands are told, only
+    those whose first common band is the group's, so each pair is looked at in one bucket alone. rows are sorted by group
+    and component; where a group has rows of side 1, these are held against those of side 0.
+
+    A row asks its group's tree for rows before its own component's first, so rows of one component never meet.
+    """
+    told = {c: rows[c].to_numpy() for c in rows.column_names if c in ("group", "side", "component", "band", "fingerprint", "further")}
+    n = rows.num_rows
+    group = told.get("group", np.zeros(n, np.int64))
+    prints = np.stack([told[c] for c in ("fingerprint", "further") if c in told], axis=1).view(np.uint64)  # bits, not numbers
+    parts = np.append(True, np.diff(group) != 0)
+    starts = np.flatnonzero(parts)
+    runs = parts | np.append(True, np.diff(told["component"]) != 0)
+    x, y = BKForest(prints, starts).near(radius, np.flatnonzero(runs)[np.cumsum(runs) - 1])
+    two = np.add.reduceat(told["side"], starts)[np.cumsum(parts) - 1] > 0
+    pairs = ~two[x] | (told["side"][x] != told["side"][y])
+    x, y = x[pairs], y[pairs]
+    if "bands" in rows.column_names:
+        bands, band = rows["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1), told["band"]
+        for k in range(bands.shape[1]):
+            new = (k >= band[x]) | (bands[x, k] != bands[y, k])
+            x, y = x[new], y[new]
+    return x, y
 
 
 def _candidates(radius: int):
-    """Rows (group, side, node, fingerprint, component, band, bands), sorted by group, to (group, side, node) of those
-    that have a partner in _near."""
-    schema = pa.schema([("group", pa.int64()), ("side", pa.int64()), ("node", pa.int64())])
+    """Rows (group, ..., and maybe bands), sorted by group and component, that have a partner in _near; without bands."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            rows = np.unique(np.concatenate(_near(group, radius)))
-            if len(rows):
-                yield from group.select(["group", "side", "node"]).take(pa.array(rows)).cast(schema).combine_chunks().to_batches()
+        for rows in _groups(batches):
+            found = np.unique(np.concatenate(_near(rows, radius)))
+            if len(found):
+                yield from rows.select(LOOKED_AT).take(pa.array(found)).combine_chunks().to_batches()
 
     return of
 
 
+LOOKED_AT = ["group", "side", "node", "fingerprint", "further", "component", "band"]
+
+
 def _compared(radius: int, size: int, similarity: float):
     """The same rows with text, to links (a, b) between similar ones: enough to connect all that are, not all pairs."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            node, component = group["node"].to_numpy(), group["component"].to_numpy().tolist()
+        for rows in _groups(batches):
+            node, component = rows["node"].to_numpy(), rows["component"].to_numpy().tolist()
             root = {c: c for c in component}
 
             def top(c: int) -> int:
@@ -356,8 +452,8 @@ def _compared(radius: int, size: int, similarity: float):
                     c = root[c]  # noqa: B023
                 return c
 
-            pairs = list(zip(*(x.tolist() for x in _near(group, radius)), strict=True))
-            told = {i: shingles(b, size) for i, b in enumerate(as_bytes(group["text"].combine_chunks()))} if pairs else {}
+            pairs = list(zip(*(x.tolist() for x in _near(rows, radius)), strict=True))
+            told = {i: shingles(b, size) for i, b in enumerate(as_bytes(rows["text"].combine_chunks()))} if pairs else {}
             links = []
             for x, y in pairs:
                 p, q = top(component[x]), top(component[y])
@@ -376,46 +472,54 @@ def _compared(radius: int, size: int, similarity: float):
 
 
 def similar_documents(
-    docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, bands: int = BANDS, rows: int = BAND_ROWS, shard: int = SHARD
+    docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, shard: int = STAGE_SHARD
 ) -> DataFrame:
     """doc_id and component_id of every row of docs (doc_id, text) with a doc_id; links are pairs of similar sets of shingles.
 
-    Blocks of a fingerprint's bits cannot bring texts of similarity 0.8 together (they differ in about 10 of 64 bits),
-    so rows meet by bands of minima instead. Those whose SimHash lies within radius are compared exactly. First each
-    row with the least of its bucket; then, in buckets that this leaves in several components, rows of different
-    ones, in shards bounded in rows and bytes: a first look at fingerprints finds the rows that need their text, a
-    second compares these and gives the links that connect, so nothing grows with the pairs of a group but time. Rows
-    that share a doc_id count as one document, equal sets as one row.
+    Fingerprints of texts of similarity 0.8 differ in about 0.15 of their bits, too many for blocks of 64, so they have
+    512: rows that agree in the bits of a table (tables_of) meet in a bucket, whose BK-tree finds those within radius in
+    the first 128 bits, and these are compared exactly. First each row with the least of its bucket in tables of many
+    bits, which joins large groups of near copies; then rows of different components, in shards bounded in rows and
+    bytes: a first look at fingerprints finds the rows that have a partner, a second those whose first common bucket it
+    is, a third compares their texts and gives the links that connect, so nothing grows with the pairs of a group but
+    time. Rows that share a doc_id count as one document, equal sets as one row.
     """
     bounded_batches(docs.sparkSession)
+    fine, coarse = tables_of(docs.count(), similarity)
     s = F.col("sketch")
-    told = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.octet_length("text").alias("bytes")).withColumn("sketch", sketches(size, bands, rows)("text"))
-    told = told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), F.slice(s, 3, bands).alias("bands"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    told = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.octet_length("text").alias("bytes")).withColumn("sketch", sketches(size, (fine, coarse))("text"))
+    keys = [F.slice(s, 2 + COMPARED, FINE).alias("heads"), F.slice(s, 2 + COMPARED + FINE, len(coarse)).cast("array<int>").alias("bands")]
+    told = told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), s[2].alias("further"), *keys, F.coalesce("bytes", F.lit(0)).alias("bytes"))
     prints = cut(told, "sketches")
-    least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "bands", "bytes"))
+    least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "further", "heads", "bands", "bytes"))
     nodes = cut(prints.groupBy("same").agg(least.alias("least")).select("same", "least.*"), "nodes")
-    keyed = nodes.select("node", "fingerprint", "bytes", F.posexplode("bands").alias("band", "bucket"))
-    heads = keyed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("head"), F.min_by("fingerprint", "node").alias("head_print")).where("n > 1").drop("n")
-    met = cut(keyed.join(heads, "bucket"), "met")
-    near = F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("head_print"))) <= radius
-    star = met.where((F.col("node") != F.col("head")) & near).select(F.col("node").alias("a"), F.col("head").alias("b")).distinct()
+    keyed = nodes.select("node", "fingerprint", "further", F.posexplode("heads").alias("band", "key"))
+    heads = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint", "further")).alias("head")).where("n > 1")
+    met = keyed.join(heads.drop("n"), ["band", "key"]).where("node != head.node")
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"head.{c}"))) for c in ("fingerprint", "further"))
+    star = met.where(apart <= radius).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
     links = verified(cut(star, "star"), docs, size, similarity)
 
-    rest = met.drop("head", "head_print").join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rest.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
-    shards = F.ceil(F.greatest(F.col("n") / shard, F.col("bytes") / SHARD_BYTES)).cast("int")
-    rest = rest.drop("bytes").join(open_.select("bucket", shards.alias("shards")), "bucket")
-    dealt = rest.withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
+    of_node = nodes.select("node", "fingerprint", "further", "bytes", "bands").join(components(links), "node", "left")
+    of_node = cut(of_node.withColumn("component", F.coalesce("component", "node")).withColumn("bytes", F.col("bytes").cast("long")), "components")
+    keyed = of_node.select("node", "fingerprint", "further", "component", "bytes", F.posexplode("bands").alias("band", "key"))
+    shards = F.ceil(F.greatest(F.count("*") / shard, F.sum("bytes") / SHARD_BYTES)).cast("int")
+    large = cut(keyed.groupBy("band", "key").agg(shards.alias("shards")).where("shards > 1"), "large")
+    dealt = keyed.join(large, ["band", "key"], "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
     side = F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side")
-    groups = cut(dealt.select(F.xxhash64("bucket", low, high).alias("group"), side, "node", "fingerprint", "component", F.col("band").cast("long")), "groups")
-    groups = groups.join(nodes.select("node", "bands"), "node").select(*groups.columns, "bands")  # only rows of open buckets carry all their bands
-    sorted_ = lambda df: df.repartition("group").sortWithinPartitions("group", "side", "node")
-    asking = cut(sorted_(groups).mapInArrow(_candidates(radius), "group long, side long, node long"), "asking")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(asking.select("node").distinct(), "node", "left_semi").join(nodes.select("node", "same"), "node")
+    groups = dealt.select(F.xxhash64("band", "key", low, high).alias("group"), side, "node", "fingerprint", "further", "component", F.col("band").cast("long"))
+    look = f"{', '.join(f'{c} long' for c in LOOKED_AT)}"
+    sorted_ = lambda df: df.repartition("group").sortWithinPartitions("group", "component", "node")
+    asking = cut(sorted_(groups).mapInArrow(_candidates(radius), look), "asking")
+    asking = asking.join(nodes.select("node", "bands"), "node").select(*LOOKED_AT, "bands")  # only rows with a partner carry all their bands
+    asking = cut(sorted_(asking).mapInArrow(_candidates(radius), look), "asking")
+    asking = asking.join(nodes.select("node", "same", "bands"), "node")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(asking.select("node", "same").distinct(), "node")
     # Rows that share a doc_id may have other texts than the one the node stands for.
-    texts = cut(texts.where(sketches(size, 0, rows)("text")[0] == F.col("same")).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    full = groups.join(asking, ["group", "side", "node"]).join(texts, "node").select(*groups.columns, "text")
+    texts = cut(texts.where(sketches(size)("text")[0] == F.col("same")).groupBy("node").agg(F.min("text").alias("text")), "texts")
+    full = asking.join(texts, "node").select(*LOOKED_AT, "bands", "text")
     links = links.union(sorted_(full).mapInArrow(_compared(radius, size, similarity), "a long, b long"))
 
     several = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

@@ -275,3 +275,60 @@ def test_stage_counts_bits_of_whole_fingerprints():
         "side": [0, 0, 0], "fingerprint": np.array([a, b, c], np.uint64).view(np.int64), "component": [1, 2, 3], "band": [0, 0, 0], "bands": [[1], [1], [1]],
     })
     assert [list(map(int, x)) for x in simhash._near(group, 20)] == [[1], [0]]
+
+
+def test_stage_trees_are_those_of_adding_in_order():
+    rng = np.random.default_rng(3)
+    prints = rng.integers(0, 1 << 64, (300, 2), np.uint64)
+    for k in range(100, 200):  # near others, some of them equal
+        prints[k] = prints[k - 100] ^ np.array([sum(1 << int(b) for b in rng.choice(64, k % 20, replace=False)), 0], np.uint64)
+    starts = np.array([0, 40, 41, 250])
+    forest = simhash.BKForest(prints, starts)
+    whole = [int(a) | int(b) << 64 for a, b in prints.tolist()]
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), 300], strict=True):
+        tree = simhash.BKTree()
+        for fp in whole[a:b]:
+            tree.add(fp)
+        for k, children in enumerate(tree.children):
+            of = forest.children[forest.first[a + k] : forest.first[a + k] + forest.count[a + k]]
+            assert {int(forest.edge[c]): int(c) - a for c in of} == children
+    group = np.searchsorted(starts, np.arange(300), "right")
+    before = np.arange(300) // 5 * 5  # as components of five rows each have it
+    got = set(zip(*(x.tolist() for x in forest.near(simhash.STAGE_RADIUS, before)), strict=True))
+    assert got == {(x, y) for x in range(300) for y in range(before[x]) if group[x] == group[y] and (whole[x] ^ whole[y]).bit_count() <= simhash.STAGE_RADIUS}
+    assert len(got) > 50
+
+
+def test_stage_tables_bring_similar_fingerprints_together():
+    """Of pairs of similarity four fifths nearly all agree in a table's bits and lie within the radius, at any size."""
+    rng = np.random.default_rng(5)
+    pairs = []
+    for _ in range(3_000):  # 90 hashes each, 80 of them shared
+        h = rng.integers(0, 1 << 64, 100, np.uint64)
+        pairs.append((simhash.wide_print(h[:90]), simhash.wide_print(h[10:])))
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    near = (a[:, : 64 * simhash.COMPARED] != b[:, : 64 * simhash.COMPARED]).sum(1) <= simhash.STAGE_RADIUS
+    for n in (0, 1, 100, 50_000, 250_000, 15_000_000):
+        _, tables = simhash.tables_of(n, 0.8)
+        met = near & np.any([(a[:, t] == b[:, t]).all(1) for t in tables], axis=0)
+        assert met.mean() > 0.998, n
+    assert tables.shape[1] == 17  # so unlike fingerprints share a bucket with about 128
+
+
+def test_stage_groups_stay_whole_over_batches(monkeypatch):
+    monkeypatch.setattr(simhash, "FOREST", 5)
+    group = np.repeat(np.arange(9), [1, 3, 7, 1, 1, 2, 12, 1, 4])
+    for size in (1, 2, 3, 5, 40):
+        batches = [simhash.pa.RecordBatch.from_pydict({"group": group[k : k + size]}) for k in range(0, len(group), size)]
+        tables = [t["group"].to_pylist() for t in simhash._groups(iter(batches))]
+        assert sum(tables, []) == group.tolist()
+        assert all(x[-1] != y[0] for x, y in zip(tables, tables[1:])) and (size > 20 or len(tables) > 2)
+
+
+def test_stage_holds_shards_and_bands_of_one_forest():
+    """Two groups in one table: one with sides, one without; a pair counts in its first common band alone."""
+    fp = [0, 1, 3, 0, 1, 1 << 40]
+    told = {"group": [1, 1, 1, 2, 2, 2], "side": [0, 0, 1, 0, 0, 0], "fingerprint": fp, "further": [0] * 6, "component": [1, 2, 3, 1, 2, 2], "band": [1] * 6}
+    pairs = lambda t: set(zip(*(x.tolist() for x in simhash._near(simhash.pa.table(t), 20)), strict=True))
+    assert pairs(told) == {(2, 0), (2, 1), (4, 3), (5, 3)}
+    assert pairs(told | {"bands": [[5, 7], [6, 7], [5, 7], [8, 9], [9, 9], [8, 9]]}) == {(2, 1), (4, 3)}
