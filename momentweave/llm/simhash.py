@@ -17,6 +17,7 @@ from .common import as_bytes, bounded_batches, cut, mix, prefix_hash, span_hash,
 SHINGLE, RADIUS, SEED = 3, 3, 42
 STAGE_SHINGLE, SIMILARITY, STAGE_RADIUS = 5, 0.8, 36  # of the pipeline's stage; radius of its first 128 bits
 WORDS, COMPARED = 8, 2  # 64-bit words of the stage's fingerprints, and those of them that its trees compare
+WHOLE_RADIUS = 144  # of all 512 bits: the same share as STAGE_RADIUS, but eight deviations from texts of that similarity
 MISSED = 1 / 2_800  # pairs of that similarity that agree in no table's bits
 BUCKET = 128  # rows of a table's bucket, about, if fingerprints are evenly spread
 FINE, FINER = 12, 12  # tables of so many more bits, in which rows meet the least of their bucket alone
@@ -283,19 +284,19 @@ def tables_of(n: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(text: bytes, size: int, tables: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Hash of a text's set of shingles, the first COMPARED words of its wide SimHash and its key in each of tables."""
+    """Hash of a text's set of shingles, the set's size, its wide SimHash and its key in each of tables."""
     h = shingles(text, size)
     same = mix(h).sum(dtype=np.uint64)
     if not tables:
         return np.array([same], np.uint64)
     bits = wide_print(h)
-    told = np.packbits(bits[: 64 * COMPARED], bitorder="little").view(np.uint64)
+    told = np.packbits(bits, bitorder="little").view(np.uint64)
     keys = [bits[chosen] @ (1 << np.arange(chosen.shape[1])) for chosen in tables]
-    return np.concatenate([[same], told, *(k.astype(np.uint64) for k in keys)])
+    return np.concatenate([np.array([same, len(h)], np.uint64), told, *(k.astype(np.uint64) for k in keys)])
 
 
 def sketches(size: int, tables: tuple[np.ndarray, ...] = ()):
-    width = 1 + (COMPARED + sum(map(len, tables)) if tables else 0)
+    width = 1 + (1 + WORDS + sum(map(len, tables)) if tables else 0)
 
     @F.arrow_udf(T.ArrayType(T.LongType()))
     def of(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -396,10 +397,11 @@ class BKForest:
         return np.concatenate(x), np.concatenate(y)
 
 
-def _near(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (later, earlier) of one group's rows within radius, of different components; if all bands are told, only
-    those whose first common band is the group's, so each pair is looked at in one bucket alone. rows are sorted by group
-    and component; where a group has rows of side 1, these are held against those of side 0.
+def _near(rows: pa.Table, radius: int, similarity: float = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (later, earlier) of one group's rows within radius, of different components; if sizes of sets are told, only
+    those that can be so similar; if fingerprints are told whole, only those within WHOLE_RADIUS; if all bands are told,
+    only those whose first common band is the group's, so each pair is looked at in one bucket alone. rows are sorted by
+    group and component; where a group has rows of side 1, these are held against those of side 0.
 
     A row asks its group's tree for rows before its own component's first, so rows of one component never meet.
     """
@@ -414,6 +416,16 @@ def _near(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
     two = np.add.reduceat(told["side"], starts)[np.cumsum(parts) - 1] > 0
     pairs = ~two[x] | (told["side"][x] != told["side"][y])
     x, y = x[pairs], y[pairs]
+    if "size" in rows.column_names:
+        sizes = rows["size"].to_numpy()
+        alike = np.minimum(sizes[x], sizes[y]) >= similarity * np.maximum(sizes[x], sizes[y]) - 1e-9
+        x, y = x[alike], y[alike]
+    if "others" in rows.column_names:
+        others = rows["others"].combine_chunks().flatten().to_numpy().reshape(n, -1).view(np.uint64)
+        d = np.zeros(len(x), np.int64)
+        for word in np.concatenate([prints, others], axis=1).T:
+            d += np.bitwise_count(word[x] ^ word[y])
+        x, y = x[d <= WHOLE_RADIUS], y[d <= WHOLE_RADIUS]
     if "bands" in rows.column_names:
         bands, band = rows["bands"].combine_chunks().flatten().to_numpy().reshape(n, -1), told["band"]
         for k in range(bands.shape[1]):
@@ -422,19 +434,19 @@ def _near(rows: pa.Table, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return x, y
 
 
-def _candidates(radius: int):
-    """Rows (group, ..., and maybe bands), sorted by group and component, that have a partner in _near; without bands."""
+def _candidates(radius: int, similarity: float):
+    """Rows (group, ..., and maybe others and bands), sorted by group and component, that have a partner in _near."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches):
-            found = np.unique(np.concatenate(_near(rows, radius)))
+            found = np.unique(np.concatenate(_near(rows, radius, similarity)))
             if len(found):
-                yield from rows.select(LOOKED_AT).take(pa.array(found)).combine_chunks().to_batches()
+                yield from rows.take(pa.array(found)).combine_chunks().to_batches()
 
     return of
 
 
-LOOKED_AT = ["group", "side", "node", "fingerprint", "further", "component", "band"]
+LOOKED_AT = ["group", "side", "node", "fingerprint", "further", "component", "band", "size"]
 
 
 def _compared(radius: int, size: int, similarity: float):
@@ -452,16 +464,15 @@ def _compared(radius: int, size: int, similarity: float):
                     c = root[c]  # noqa: B023
                 return c
 
-            pairs = list(zip(*(x.tolist() for x in _near(rows, radius)), strict=True))
+            pairs = list(zip(*(x.tolist() for x in _near(rows, radius, similarity)), strict=True))
             told = {i: shingles(b, size) for i, b in enumerate(as_bytes(rows["text"].combine_chunks()))} if pairs else {}
             links = []
             for x, y in pairs:
                 p, q = top(component[x]), top(component[y])
-                few, many = sorted((len(told[x]), len(told[y])))
-                if p == q or few < similarity * many:
+                if p == q:
                     continue
                 shared = len(np.intersect1d(told[x], told[y], assume_unique=True))
-                if shared >= similarity * (few + many - shared) - 1e-9:
+                if shared >= similarity * (len(told[x]) + len(told[y]) - shared) - 1e-9:
                     root[max(p, q)] = min(p, q)
                     links.append((max(node[x], node[y]), min(node[x], node[y])))
             if links:
@@ -471,6 +482,34 @@ def _compared(radius: int, size: int, similarity: float):
     return of
 
 
+def dealt(keyed: DataFrame, shard: int) -> DataFrame:
+    """keyed (band, key, node, component, bytes, ...) with group and side: buckets as groups; larger ones than a shard, in
+    rows or bytes, are dealt into shards, and each pair of shards is one group.
+
+    Rows of one component need not meet. Where one has over half of a large bucket's rows, its shards meet only those
+    of the other rows, so the rows made grow with a group of linked copies, not with its square; buckets of one component go.
+    """
+    parts = lambda n, b: F.ceil(F.greatest(n / shard, b / SHARD_BYTES)).cast("int")
+    large = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where(parts(F.col("n"), F.col("b")) > 1)
+    large = cut(large, "large")
+    each = keyed.join(F.broadcast(large.select("band", "key")), ["band", "key"]).groupBy("band", "key", "component").agg(F.count("*").alias("of"), F.sum("bytes").alias("held"))
+    most = each.groupBy("band", "key").agg(F.max(F.struct("of", "held", "component")).alias("most"))
+    over = 2 * F.col("most.of") > F.col("n")
+    split = large.join(most, ["band", "key"]).select(
+        "band", "key", F.when(over, F.col("most.component")).alias("main"), F.when(over, parts(F.col("most.of"), F.col("most.held"))).otherwise(0).alias("first"),
+        F.when(over, parts(F.col("n") - F.col("most.of"), F.col("b") - F.col("most.held"))).otherwise(parts(F.col("n"), F.col("b"))).alias("more"), (F.col("n") == F.col("most.of")).alias("one"),
+    )
+    rows = keyed.join(F.broadcast(cut(split, "split")), ["band", "key"], "left").where(~F.coalesce("one", F.lit(False)))
+    rows = rows.withColumn("first", F.coalesce("first", F.lit(0))).withColumn("more", F.greatest("more", F.lit(1))).withColumn("is_main", F.coalesce(F.col("component") == F.col("main"), F.lit(False)))
+    h = F.xxhash64("node")
+    rows = rows.withColumn("own", F.when(F.col("is_main"), F.pmod(h, F.col("first"))).otherwise(F.col("first") + F.pmod(h, F.col("more"))).cast("int"))
+    least = F.when(F.col("is_main"), F.col("first")).otherwise(0)
+    rows = rows.withColumn("other", F.explode(F.sequence(least, F.col("first") + F.col("more") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side")
+    return rows.select(F.xxhash64("band", "key", low, high).alias("group"), side, *keyed.columns)
+
+
 def similar_documents(
     docs: DataFrame, *, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY, radius: int = STAGE_RADIUS, shard: int = STAGE_SHARD
 ) -> DataFrame:
@@ -480,18 +519,20 @@ def similar_documents(
     512: rows that agree in the bits of a table (tables_of) meet in a bucket, whose BK-tree finds those within radius in
     the first 128 bits, and these are compared exactly. First each row with the least of its bucket in tables of many
     bits, which joins large groups of near copies; then rows of different components, in shards bounded in rows and
-    bytes: a first look at fingerprints finds the rows that have a partner, a second those whose first common bucket it
-    is, a third compares their texts and gives the links that connect, so nothing grows with the pairs of a group but
-    time. Rows that share a doc_id count as one document, equal sets as one row.
+    bytes (dealt): a first look at 128 bits and sizes finds the rows that have a partner, a second, at all bits, those
+    that have one whose first common bucket it is, a third compares their texts and gives the links that connect. So no
+    pairs are made into rows; those of unlinked rows of a bucket take time, and a row in one goes once to each of its shards.
+    Rows that share a doc_id count as one document, equal sets as one row.
     """
     bounded_batches(docs.sparkSession)
     fine, coarse = tables_of(docs.count(), similarity)
     s = F.col("sketch")
     told = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.octet_length("text").alias("bytes")).withColumn("sketch", sketches(size, (fine, coarse))("text"))
-    keys = [F.slice(s, 2 + COMPARED, FINE).alias("heads"), F.slice(s, 2 + COMPARED + FINE, len(coarse)).cast("array<int>").alias("bands")]
-    told = told.select("doc_id", s[0].alias("same"), s[1].alias("fingerprint"), s[2].alias("further"), *keys, F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    words = [s[2].alias("fingerprint"), s[3].alias("further"), F.slice(s, 3 + COMPARED, WORDS - COMPARED).alias("others")]
+    keys = [F.slice(s, 3 + WORDS, FINE).alias("heads"), F.slice(s, 3 + WORDS + FINE, len(coarse)).cast("array<int>").alias("bands")]
+    told = told.select("doc_id", s[0].alias("same"), s[1].alias("size"), *words, *keys, F.coalesce("bytes", F.lit(0)).alias("bytes"))
     prints = cut(told, "sketches")
-    least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "further", "heads", "bands", "bytes"))
+    least = F.min(F.struct(F.col("doc_id").alias("node"), "fingerprint", "further", "size", "others", "heads", "bands", "bytes"))
     nodes = cut(prints.groupBy("same").agg(least.alias("least")).select("same", "least.*"), "nodes")
     keyed = nodes.select("node", "fingerprint", "further", F.posexplode("heads").alias("band", "key"))
     heads = keyed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("node", "fingerprint", "further")).alias("head")).where("n > 1")
@@ -500,26 +541,20 @@ def similar_documents(
     star = met.where(apart <= radius).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
     links = verified(cut(star, "star"), docs, size, similarity)
 
-    of_node = nodes.select("node", "fingerprint", "further", "bytes", "bands").join(components(links), "node", "left")
+    of_node = nodes.select("node", "fingerprint", "further", "size", "bytes", "bands").join(components(links), "node", "left")
     of_node = cut(of_node.withColumn("component", F.coalesce("component", "node")).withColumn("bytes", F.col("bytes").cast("long")), "components")
-    keyed = of_node.select("node", "fingerprint", "further", "component", "bytes", F.posexplode("bands").alias("band", "key"))
-    shards = F.ceil(F.greatest(F.count("*") / shard, F.sum("bytes") / SHARD_BYTES)).cast("int")
-    large = cut(keyed.groupBy("band", "key").agg(shards.alias("shards")).where("shards > 1"), "large")
-    dealt = keyed.join(large, ["band", "key"], "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(F.col("own") == low, 0).otherwise(1).cast("long").alias("side")
-    groups = dealt.select(F.xxhash64("band", "key", low, high).alias("group"), side, "node", "fingerprint", "further", "component", F.col("band").cast("long"))
+    keyed = of_node.select("node", "fingerprint", "further", "component", "size", "bytes", F.posexplode("bands").alias("band", "key"))
+    groups = dealt(keyed, shard).withColumn("band", F.col("band").cast("long")).select(*LOOKED_AT)
     look = f"{', '.join(f'{c} long' for c in LOOKED_AT)}"
     sorted_ = lambda df: df.repartition("group").sortWithinPartitions("group", "component", "node")
-    asking = cut(sorted_(groups).mapInArrow(_candidates(radius), look), "asking")
-    asking = asking.join(nodes.select("node", "bands"), "node").select(*LOOKED_AT, "bands")  # only rows with a partner carry all their bands
-    asking = cut(sorted_(asking).mapInArrow(_candidates(radius), look), "asking")
-    asking = asking.join(nodes.select("node", "same", "bands"), "node")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(asking.select("node", "same").distinct(), "node")
+    asking = cut(sorted_(groups).mapInArrow(_candidates(radius, similarity), look), "asking")
+    asking = asking.join(nodes.select("node", "others", "bands"), "node").select(*LOOKED_AT, "others", "bands")  # only rows with a partner carry all their bits
+    asking = cut(sorted_(asking).mapInArrow(_candidates(radius, similarity), f"{look}, others array<long>, bands array<int>"), "asking")
+    asked = nodes.select("node", "same").join(asking.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(F.col("doc_id").alias("node"), "text").join(asked, "node")
     # Rows that share a doc_id may have other texts than the one the node stands for.
     texts = cut(texts.where(sketches(size)("text")[0] == F.col("same")).groupBy("node").agg(F.min("text").alias("text")), "texts")
-    full = asking.join(texts, "node").select(*LOOKED_AT, "bands", "text")
+    full = asking.join(texts, "node").select(*LOOKED_AT, "others", "bands", "text")
     links = links.union(sorted_(full).mapInArrow(_compared(radius, size, similarity), "a long, b long"))
 
     several = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")

@@ -332,3 +332,44 @@ def test_stage_holds_shards_and_bands_of_one_forest():
     pairs = lambda t: set(zip(*(x.tolist() for x in simhash._near(simhash.pa.table(t), 20)), strict=True))
     assert pairs(told) == {(2, 0), (2, 1), (4, 3), (5, 3)}
     assert pairs(told | {"bands": [[5, 7], [6, 7], [5, 7], [8, 9], [9, 9], [8, 9]]}) == {(2, 1), (4, 3)}
+
+
+def test_stage_rows_do_not_grow_with_the_square_of_a_linked_group(spark):
+    """Rows of different components all meet; a linked group's own rows don't, so its shards make few rows."""
+    made = {}
+    for n in (400, 1600):
+        rows = [(0, 7, k, 1 if k >= 30 else 5_000 + k // 2, 10) for k in range(n)] + [(0, 8, k, 1, 10) for k in range(n)] + [(1, 9, k, k, 10) for k in range(90)]
+        keyed = spark.createDataFrame(rows, "band int, key int, node long, component long, bytes long").repartition(4)
+        groups = simhash.dealt(keyed, 40).toPandas()
+        made[n] = len(groups[groups.key == 7])
+        assert not (groups.key == 8).any()
+        assert groups.groupby("group").size().max() < 160
+        for key, nodes in ((7, n), (9, 90)):
+            met = set()
+            for _, g in groups[groups.key == key].groupby("group"):
+                two = g.side.any()
+                for x, p, s in zip(g.node, g.component, g.side, strict=True):
+                    met |= {(x, y) for y, q, t in zip(g.node, g.component, g.side, strict=True) if x < y and p != q and (not two or s != t)}
+            of = {k: (1 if k >= 30 else 5_000 + k // 2) if key == 7 else k for k in range(nodes)}
+            assert met == {(x, y) for x in of for y in of if x < y and of[x] != of[y]}
+    assert made[1600] < 5 * made[400] and made[1600] < 2 * 1600 + 30
+
+
+def test_stage_compares_likely_partners_alone(spark, monkeypatch):
+    """Texts that share a passage, similar by a quarter: most have partners by 128 bits, few by all bits and by size."""
+    rng, asked, cut = np.random.default_rng(17), [], simhash.cut
+
+    def counting(df, label):
+        found = cut(df, label)
+        asked.extend([found.count()] if label == "asking" else [])
+        return found
+
+    monkeypatch.setattr(simhash, "cut", counting)
+    passage = " ".join(f"p{k}" for k in range(80))
+    rows = [(i, passage + " " + " ".join(f"w{k}" for k in rng.integers(0, 10**6, 100))) for i in range(120)]
+    rows += [(200 + i, rows[i][1] + " end") for i in range(3)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(i, i % 200) for i, _ in rows}
+    assert asked[-1] < 40
+    told = {"fingerprint": [0, 1, 3], "component": [1, 2, 3], "size": [10, 8, 7], "side": [0] * 3}
+    assert [x.tolist() for x in simhash._near(simhash.pa.table(told), 20, 0.8)] == [[1, 2], [0, 1]]
