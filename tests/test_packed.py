@@ -9,7 +9,7 @@ from momentweave.operators import candidates as C
 from momentweave.operators import packed, ranking, segments
 from momentweave.operators import words as W
 
-UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates"]
+UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates"]
 
 
 @pytest.fixture(scope="module")
