@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from momentweave.jobs import registry, views
 from momentweave.operators import candidates as C
-from momentweave.operators import packed, ranking, segments
+from momentweave.operators import captions, packed, ranking, segments
 from momentweave.operators import words as W
+from momentweave.params import Params
 
-UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates"]
+BY_ROWS = ["w12_s8_captions"]
+UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions"]
 
 
 @pytest.fixture(scope="module")
@@ -26,6 +28,8 @@ def odd(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("odd"))
     rows = [(k * 3 + 1, t) for k, t in enumerate(texts)]
     spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    events = [(n, int(rng.integers(0, 40)) * 3 + 1, str(rng.choice(["view", "click"]))) for n in range(300)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{folder}/events.parquet")
     return folder
 
 
@@ -99,6 +103,35 @@ def test_halves_are_rounded_as_spark_does(spark):
     assert packed.rounded(x, 4).tolist() == want
 
 
+def by_rows(name, w, s, events):
+    """The same queries by operators on rows."""
+    span = s.select("video_id", "segment_id", (F.col("start_time") + 1.5).alias("t0"), (F.col("end_time") - 1.5).alias("t1"))
+    if name in ("j2_words_inside", "j3_words_overlapping"):
+        return W.range_text(span, w, ["video_id", "segment_id"], contained=name[1] == "2")
+    if name == "j1_speech_words":
+        at = F.col("event_id") % 600
+        regions = events.where("event_type = 'view'").select(F.col("user_id").alias("video_id"), at.cast("double").alias("start"), (at + 3).cast("double").alias("end"))
+        return W.in_speech(w, regions).select("video_id", "word_idx", "word")
+    if name == "j4_natural_boundaries":
+        targets = s.select("video_id", (F.col("start_time") + 7.3).alias("target"), (F.col("segment_id") % 2 == 0).alias("forward"))
+        return W.snapped(targets, w).select("video_id", F.round("target", 6).alias("target"), "forward", F.round("snapped", 6).alias("snapped"))
+    if name == "w12_s8_captions":
+        t0, t1 = captions.padded(F.col("start_time"), F.col("end_time"))
+        clips = s.select("video_id", F.col("segment_id").cast("long").alias("clip_id"), t0.alias("t0"), t1.alias("t1"))
+        return captions.ass_dialogue(captions.caption_lines(W.words_overlapping(clips, w)))
+    if name == "a8_candidate_ids":
+        ids = F.array_join(F.transform("segment_ids", lambda x: x.cast("string")), ",").alias("segment_ids")
+        return C.described(C.combinations(s), s).select("video_id", "i", "j", ids, "hook_segment_id", "payoff_segment_id")
+    found = C.extended(s) if name == "w11_extended_segments" else C.trimmed(s, w, Params(target=40.0, shortest=15.0))
+    return found.select("video_id", "i", "j", *registry.r6("t0", "t1"))
+
+
+@pytest.mark.parametrize("name", BY_ROWS)
+def test_odd_texts_by_rows(spark, odd, rows, name):
+    got, want = registry.QUERIES[name](spark, odd), by_rows(name, *rows, views.read(spark, odd, "events"))
+    assert got.dtypes == want.dtypes and held(got, *got.columns) == held(want, *got.columns) != []
+
+
 @pytest.mark.parametrize("name", UNSHUFFLED)
 def test_nothing_is_shuffled(spark, odd, name):
     plan = registry.QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
