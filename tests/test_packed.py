@@ -10,8 +10,8 @@ from momentweave.operators import captions, packed, ranking, segments
 from momentweave.operators import words as W
 from momentweave.params import Params
 
-BY_ROWS = ["w12_s8_captions"]
-UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions"]
+BY_ROWS = ["w12_s8_captions", "j3_words_overlapping"]
+UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping"]
 
 
 @pytest.fixture(scope="module")
