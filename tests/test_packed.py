@@ -10,8 +10,8 @@ from momentweave.operators import captions, packed, ranking, segments
 from momentweave.operators import words as W
 from momentweave.params import Params
 
-BY_ROWS = ["w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "j1_speech_words", "a8_candidate_ids", "w13_trimmed_segments"]
-UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "a8_candidate_ids", "w13_trimmed_segments"]
+BY_ROWS = ["w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "j1_speech_words", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
+UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 
 
 @pytest.fixture(scope="module")
