@@ -4,12 +4,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from momentweave.functions import scalars as S
 from momentweave.jobs import registry, views
 from momentweave.operators import candidates as C
 from momentweave.operators import captions, packed, ranking, segments
 from momentweave.operators import words as W
 from momentweave.params import Params
 
+WORDLESS = ["highlights", "w18_diverse_clips"]
 BY_ROWS = ["w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "j1_speech_words", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 
@@ -136,3 +138,25 @@ def test_odd_texts_by_rows(spark, odd, rows, name):
 def test_nothing_is_shuffled(spark, odd, name):
     plan = registry.QUERIES[name](spark, odd)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", WORDLESS)
+def test_no_table_of_words_is_made(spark, name, monkeypatch):
+    def made(*_):
+        raise AssertionError("words")
+
+    monkeypatch.setattr(views, "words", made)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_long_texts_without_outer_white_space(spark):
+    pads = ["", " ", "\n", "\u00a0 ", "\u3000", "\r\n", "\u2028"]
+    texts = [a + "x" + "y " * n + "z" * m + b for a in pads for b in pads for n in (0, 13, 14, 15) for m in (0, 1, 2, 30)] + [None, "", " " * 40, "é" * 29, "é" * 30, "\U0001f600" * 29, "\U0001f600" * 30]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select(S.judgeable("text").alias("got"), (F.length(S.stripped(F.coalesce("text", F.lit("")))) >= 30).alias("want")).collect()
+    assert {r.want for r in rows} == {True, False} and all(r.got == r.want for r in rows)
+
+
+def test_topics_come_from_twenty_words(spark):
+    texts = [None, "", " ", "the a", " ".join(["a"] * 19 + ["Topic"]), "  " + " ".join(["a"] * 19 + ["Topic", "later"]), " ".join(["a"] * 20 + ["Topic"]), " " + " ".join(["a"] * 20 + ["Topic"]), "\t".join(["it"] * 21) + " topic"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "text string").select(S.topic("text")).collect()]
+    assert got == ["general"] * 4 + ["topic"] * 2 + ["general"] * 3
