@@ -10,8 +10,9 @@ from momentweave.operators import candidates as C
 from momentweave.operators import captions, packed, ranking, segments
 from momentweave.operators import words as W
 from momentweave.params import Params
+from momentweave.sources import tables as T
 
-WORDLESS = ["highlights", "w18_diverse_clips"]
+WORDLESS = ["highlights", "w18_diverse_clips", "s4_a10_full_reports"]
 BY_ROWS = ["w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "j1_speech_words", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 
@@ -160,3 +161,11 @@ def test_topics_come_from_twenty_words(spark):
     texts = [None, "", " ", "the a", " ".join(["a"] * 19 + ["Topic"]), "  " + " ".join(["a"] * 19 + ["Topic", "later"]), " ".join(["a"] * 20 + ["Topic"]), " " + " ".join(["a"] * 20 + ["Topic"]), "\t".join(["it"] * 21) + " topic"]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "text string").select(S.topic("text")).collect()]
     assert got == ["general"] * 4 + ["topic"] * 2 + ["general"] * 3
+
+
+def test_records_are_not_broadcast(spark):
+    files = spark.createDataFrame([(1, "clip_5_0.5.mp4", None), (1, "x.mp4", 1)], "video_id long, file string, clip_index int")
+    records = spark.createDataFrame([(1, 0, 0.5, 3.0), (1, 1, 2.0, 4.0)], "video_id long, clip_index int, start_time double, score double")
+    found = T.clip_records(files, records)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert held(found, "file", "r_index") == [("clip_5_0.5.mp4", 0), ("x.mp4", 1)]
