@@ -12,7 +12,7 @@ from momentweave.operators import words as W
 from momentweave.params import Params
 from momentweave.sources import tables as T
 
-WORDLESS = ["highlights", "w18_diverse_clips", "s4_a10_full_reports"]
+WORDLESS = ["highlights", "w18_diverse_clips", "s4_a10_full_reports", "j1_speech_words", "w20_j10_clip_records"]
 BY_ROWS = ["w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "j1_speech_words", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 UNSHUFFLED = ["w14_variants", "best_clips", "t2_refined_candidates", "u2_generated_candidates", "w12_s8_captions", "j3_words_overlapping", "j4_natural_boundaries", "j2_words_inside", "a8_candidate_ids", "w13_trimmed_segments", "w11_extended_segments"]
 
